@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,18 +19,23 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def repeated_words(hashes: Column, window: int = 5) -> Column:
-    """How many words lie in a window found twice or more. hashes: array<bigint>, one 64-bit hash per word.
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once however often f refers to it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    A text without a repeated window, the usual case, costs one pass through a hash set; otherwise the windows are sorted with their places.
-    """
-    n = F.size(hashes)
-    wins = F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(window)]))).otherwise(F.array().cast("array<bigint>"))
-    return wins
+
+def windows(words: Column, window: int = 5) -> Column:
+    """array<bigint>: a 64-bit hash of each run of `window` words, by its first word. Shorter texts have none."""
+
+    def runs(h: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(h) - window)
+        return F.when(F.size(h) >= window, F.transform(places, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
 def _covered(wins: Column, window: int) -> Column:
-    """Words covered by windows whose hash occurs more than once."""
+    """Words covered by windows whose hash occurs more than once. Only texts that have any come here: the windows are sorted with their places."""
     placed = F.array_sort(F.transform(wins, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def starts(s: Column) -> Column:
@@ -40,7 +46,6 @@ def _covered(wins: Column, window: int) -> Column:
         gaps = F.transform(p, lambda x, k: F.least(F.lit(window), F.coalesce(F.get(p, k + 1) - x, F.lit(window))))
         return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
 
-    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  evaluates value once
     return bind(placed, lambda s: bind(starts(s), total))
 
 
@@ -48,16 +53,20 @@ def measure(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFra
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) to docs, from whole texts. Null text: all 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    counted = bind(split_words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), windows(w, window).alias("wins")))
     out = docs.withColumns({
-        "_wins": repeated_words(F.transform(split_words(F.col(text_col)), lambda w: F.xxhash64(w)), window),
-        "n_words": F.size(split_words(F.col(text_col))).cast("long"),
+        "_words": counted,
+        "_lines": lines,
         "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "_lines": lines,
     })
-    out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    twice = F.size("_wins") > F.size(F.array_distinct("_wins"))
-    return out.withColumn("n_repeat_words", F.when(twice, _covered(F.col("_wins"), window)).otherwise(F.lit(0)).cast("long")).drop("_wins", "_lines")
+    wins = F.col("_words.wins")
+    repeats = F.when(F.size(wins) > F.size(F.array_distinct(wins)), _covered(wins, window)).otherwise(F.lit(0))
+    return out.withColumns({
+        "n_words": F.col("_words.n"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_repeat_words": repeats.cast("long"),
+    }).drop("_words", "_lines")
 
 
 @dataclass(frozen=True)
