@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, packing, pii, rules, token_store, warc
+from . import ann, chat, kneser_ney, mixing, ngram_join, packing, pii, rules, token_store, warc
 from .common import n_words, tokenizer_file
 
 
@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
+    return judged.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -79,7 +88,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_chat, op5_ann, op6_rules, op7_warc, op8_packing, op9_token_store, op10_pii)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_mixing, op4_chat, op5_ann, op6_rules, op7_warc, op8_packing, op9_token_store, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
