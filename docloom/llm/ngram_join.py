@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,17 +66,24 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
         return np.unique(_mix(run ^ _U(k)))
 
 
+@lru_cache
+def _factors(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return a[:, None], rng.integers(0, 1 << 32, k, dtype=np.uint32)[:, None]
+
+
 def signature(s: np.ndarray, bands: int, rows: int, seed: int = 1) -> np.ndarray:
     """One 64-bit hash per band from the MinHash values of a set of hashes."""
-    rng = np.random.default_rng(seed)
     k = bands * rows
-    a = (rng.integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-    b = rng.integers(0, 1 << 32, k, dtype=np.uint32)[:, None]
+    a, b = _factors(k, seed)
     x = (s ^ (s >> _U(32))).astype(np.uint32)
     low = np.full(k, 0xFFFFFFFF, dtype=np.uint32)
     with np.errstate(over="ignore"):
         for i in range(0, len(x), 512):
-            np.minimum(low, (a * x[None, i : i + 512] + b).min(axis=1), out=low)
+            v = a * x[None, i : i + 512]
+            v += b
+            np.minimum(low, v.min(axis=1), out=low)
         v, h = low.reshape(bands, rows).astype(np.uint64), np.arange(1, bands + 1, dtype=np.uint64)
         for j in range(rows):
             h = _mix(h * _U(0x9E3779B97F4A7C15) + v[:, j])
