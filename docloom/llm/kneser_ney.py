@@ -221,22 +221,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col:
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, good: float = 0.99, bad: float = 0.25, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """(lang, threshold): per language, the geometric middle of the perplexity below which a share `good` of its trusted documents lies and that below which a share `bad`
+    """(lang, threshold, mid): mid is the middle of the logarithms of trusted documents' perplexities. threshold is, per language, the geometric middle of the perplexity below which a share `good` of its trusted documents lies and that below which a share `bad`
     of those labelled poor lies; the former alone where none is labelled poor, or where that is higher. Quantiles come from mergeable sketches.
     """
     both = scored.where("perplexity IS NOT NULL").select(id_col, lang_col, "perplexity").join(labels.select(F.col("doc_id").alias("_id"), "quality", "toxic"), F.expr(f"{id_col} = _id"))
     x = F.log("perplexity")
+    trusted = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), x)
     q = both.groupBy(lang_col).agg(
-        F.percentile_approx(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), x), good, 20000).alias("g"),
+        F.percentile_approx(trusted, 0.5, 20000).alias("mid"),
+        F.percentile_approx(trusted, good, 20000).alias("g"),
         F.percentile_approx(F.when(F.col("quality") == 0, x), bad, 20000).alias("b"),
     )
-    return q.select(F.col(lang_col).alias("_lang"), F.exp(F.when(F.col("b") > F.col("g"), (F.col("g") + F.col("b")) / 2).otherwise(F.col("g"))).alias("threshold"))
+    limit = F.when(F.col("b") > F.col("g"), (F.col("g") + F.col("b")) / 2).otherwise(F.col("g"))
+    return q.select(F.col(lang_col).alias("_lang"), F.exp(limit).alias("threshold"), "mid")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, inert: float = 20.0) -> DataFrame:
     """docs (or its columns `keep`, which must hold id and language) with perplexity, threshold and kept. docs must be a stable read, such as a table.
 
-    kept: perplexity is at most the language's threshold. Languages without trusted text or threshold are kept unjudged; null and empty texts are not kept, since nothing speaks for
+    kept: perplexity is at most the language's threshold; since a few characters say little, a text's excess over the language's middle counts by chars / (chars + inert). Languages without trusted text or threshold are kept unjudged; null and empty texts are not kept, since nothing speaks for
     them. Null language is a language of its own. Repeated rows are scored alike. An empty table gives no rows. Columns named perplexity, scored_chars, threshold or kept are replaced.
     """
     docs = docs.drop("perplexity", "scored_chars", "threshold", "kept")
@@ -244,4 +247,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     limits = materialise(thresholds(scored, labels, id_col=id_col, lang_col=lang_col), "limits")
     # one row per language; broadcast only when it is as short as that
     out = scored.join(F.broadcast(limits) if limits.count() <= 10_000 else limits, F.expr(f"{lang_col} <=> _lang"), "left").drop("_lang")
-    return out.withColumn("kept", (F.col("scored_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop("scored_chars")
+    weight = F.col("scored_chars") / (F.col("scored_chars") + inert)
+    fine = weight * (F.log("perplexity") - F.col("mid")) <= F.log("threshold") - F.col("mid")
+    return out.withColumn("kept", (F.col("scored_chars") > 0) & F.coalesce(fine, F.lit(True))).drop("scored_chars", "mid")
