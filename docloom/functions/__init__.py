@@ -1 +1 @@
-"""."""
+"""Column functions: Column in, Column out, all evaluated in the JVM."""
