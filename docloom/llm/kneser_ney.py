@@ -137,7 +137,7 @@ def probabilities(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -
     return asked.select("lang", "g", F.log("p").cast("float").alias("logp"))
 
 
-def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 16_000_000) -> DataFrame:
     """docs (or its columns `keep`) with perplexity double, per character, and scored_chars long. perplexity is null where there is nothing to score (null or empty text: scored_chars
     is 0) or no model of the language.
 
@@ -168,7 +168,7 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col:
         for batch in batches:
             for block in _blocks(batch, text_at, block_bytes):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
                     w.write_batch(block)
                 yield pa.RecordBatch.from_arrays([pa.array([block_id], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
                 block_id += 1
@@ -214,10 +214,37 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col:
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, out)
 
 
+def likely(docs: DataFrame, ids: DataFrame, id_col: str, bits: int = 1 << 26) -> DataFrame:
+    """docs without most of the rows whose id isn't in ids; every row whose id is there stays.
+
+    A bitmap of hashed ids, `bits` long whatever the number of ids (8 MB), goes to every task, so that a join on the id that follows moves few texts.
+    """
+    spark = docs.sparkSession
+    place = F.pmod(F.xxhash64(F.col("_id").cast("long")), F.lit(bits))
+    marked = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    whole = bytearray(bits // 8 + 4096)
+    for row in marked.toLocalIterator():
+        # buckets count from 1 but for bit 0, which has one of its own; each has 4096 bytes
+        at = (row["n"] - 1) * 4096 if row["n"] > 0 else bits // 8
+        whole[at : at + 4096] = row["m"]
+    sent, n = spark.sparkContext.broadcast(bytes(whole)), len(docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.frombuffer(sent.value, dtype=np.uint8)
+        for batch in batches:
+            bucket, bit = (batch.column(n + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            at = np.where(bucket > 0, (bucket - 1) * 4096, bits // 8) + bit // 8
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.array(mask[at] >> (bit % 8).astype(np.uint8) & 1 == 1))
+
+    here = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(bits))
+    return docs.where(F.col(id_col).isNotNull()).select("*", F.bitmap_bucket_number(here), F.bitmap_bit_position(here)).mapInArrow(keep, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> list[tuple[DataFrame, DataFrame]]:
     """The model of the trusted texts: those labelled of good quality and not toxic. labels: (doc_id, quality, toxic)."""
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id"))
-    return model(count(docs.select(id_col, lang_col, text_col).join(trusted, F.expr(f"{id_col} = _id"), "left_semi"), lang_col, text_col))
+    texts = likely(docs.select(id_col, lang_col, text_col), trusted, id_col)
+    return model(count(texts.join(trusted, F.expr(f"{id_col} = _id"), "left_semi"), lang_col, text_col))
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, good: float = 0.99, bad: float = 0.25, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
