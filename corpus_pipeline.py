@@ -36,9 +36,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it (0, 1 or 2), as so many rows."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs, common.n_words(F.col("text"))).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    rows = docs.join(taken, F.expr("doc_id <=> _id"))
+    # rows are told apart by id and text, so that repeated ids stay separate documents
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
+    taken = mixing.mix(docs, common.n_words(F.col("text")), id_col="_row").where("copies > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.max("copies").alias("copies"))
+    rows = docs.join(taken, "_row")
     return rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 

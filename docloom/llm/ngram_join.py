@@ -98,7 +98,7 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def sign(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(node: a number of the row's own, doc_id, size, k1, k2: the set's key, bands array<long>)."""
+    """(node: a number of the row's own, doc_id, row_key: a hash of id and text, size, k1, k2: the set's key, bands array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -113,11 +113,12 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col:
                     size.append(len(s))
                     keys.append(_set_key(s))
                     sigs.append(signature(s, bands, rows) if len(s) else np.zeros(0, dtype=np.int64))
-                cells = [pa.array(range(node, node + part.num_rows), pa.int64()), part.column(0), pa.array(size, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
+                cells = [pa.array(range(node, node + part.num_rows), pa.int64()), part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
                 node += part.num_rows
-                yield pa.RecordBatch.from_arrays(cells, names=["node", "doc_id", "size", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays(cells, names=["node", "doc_id", "row_key", "size", "k1", "k2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "node long, doc_id long, size long, k1 long, k2 long, bands array<long>")
+    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).withColumn("row_key", F.xxhash64("doc_id", text_col))
+    return row.mapInArrow(run, "node long, doc_id long, row_key long, size long, k1 long, k2 long, bands array<long>")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -178,7 +179,7 @@ def _verify(similarity: float):
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, n: int = 5, rows: int = 7, recall: float = 0.9999, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (node, doc_id, class_id, n_links, first).
+    """One row per row of docs: (node, doc_id, row_key, class_id, n_links, first).
 
     A link joins two rows whose sets of n-word runs have a Jaccard similarity of at least `similarity`; n_links counts a row's links, copies included. class_id is the smallest doc_id
     among the rows that links connect, and first is true for one row of each class. Rows without words have no links and are classes of their own; null ids count as
@@ -232,12 +233,16 @@ def similar(docs: DataFrame, similarity: float = 0.8, n: int = 5, rows: int = 7,
     tops = per.groupBy("root").agg(F.min("best").alias("top"))
     per = per.join(tops, "root").select(*key, F.col("top.doc_id").alias("class_id"), F.col("top.node").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     per = materialise(per, "classes")
-    out = signed.select("node", "doc_id", *key).join(per, key, "left")
+    out = signed.select("node", "doc_id", "row_key", *key).join(per, key, "left")
     alone = F.col("size") == 0
-    return out.select("node", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), (alone | (F.col("node") == F.col("top"))).alias("first"))
+    return out.select("node", "doc_id", "row_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), (alone | (F.col("node") == F.col("top"))).alias("first"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without near duplicates: of each class of similar(), one row stays, with all its columns. Repeated rows (same id and text) are one."""
-    first = similar(docs, id_col=id_col, text_col=text_col, **how).where("first").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.expr(f"CAST({id_col} AS BIGINT) <=> _id"), "left_semi")
+    """docs without near duplicates: of each class of similar(), one row stays, with all its columns. Rows alike in id and text are one.
+
+    The join on a row's key and the removal of repeated rows work on the same partitioning, so texts are moved once.
+    """
+    first = similar(docs, id_col=id_col, text_col=text_col, **how).where("first").select(F.col("row_key").alias("_row_key")).distinct()
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col).cast("long"), text_col))
+    return keyed.join(first, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
