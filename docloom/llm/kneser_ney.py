@@ -240,27 +240,41 @@ def likely(docs: DataFrame, ids: DataFrame, id_col: str, bits: int = 1 << 26) ->
     return docs.where(F.col(id_col).isNotNull()).select("*", F.bitmap_bucket_number(here), F.bitmap_bit_position(here)).mapInArrow(keep, docs.schema)
 
 
+def held_out(id_: Column, folds: int = 5) -> Column:
+    """Whether a trusted document serves to set thresholds instead of training: one in `folds`, by a hash of its id."""
+    return F.pmod(F.xxhash64(id_.cast("long"), F.lit(17)), F.lit(folds)) == 0
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> list[tuple[DataFrame, DataFrame]]:
-    """The model of the trusted texts: those labelled of good quality and not toxic. labels: (doc_id, quality, toxic)."""
-    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id"))
+    """The model of the trusted texts: those labelled of good quality and not toxic, but for those held out. labels: (doc_id, quality, toxic)."""
+    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id")).where(~held_out(F.col("_id")))
     texts = likely(docs.select(id_col, lang_col, text_col), trusted, id_col)
     return model(count(texts.join(trusted, F.expr(f"{id_col} = _id"), "left_semi"), lang_col, text_col))
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, good: float = 0.99, bad: float = 0.25, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """(lang, threshold, mid): mid is the middle of the logarithms of trusted documents' perplexities. threshold is, per language, the geometric middle of the perplexity below which a share `good` of its trusted documents lies and that below which a share `bad`
-    of those labelled poor lies; the former alone where none is labelled poor, or where that is higher. Quantiles come from mergeable sketches.
+def thresholds(scored: DataFrame, labels: DataFrame, good: float = 0.99, bad: float = 0.25, least: int = 30, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """(lang, threshold, mid): mid is the median of the logarithms of a language's perplexities.
+
+    threshold is, per language, the geometric middle of the perplexity below which a share `good` of its held-out trusted documents lies and that below which a
+    share `bad` of those labelled poor lies, or the former where it is higher. Languages with fewer than `least` documents of either sort take the distance from mid that all
+    languages have together. Quantiles come from mergeable sketches; there is one row per language.
     """
-    both = scored.where("perplexity IS NOT NULL").select(id_col, lang_col, "perplexity").join(labels.select(F.col("doc_id").alias("_id"), "quality", "toxic"), F.expr(f"{id_col} = _id"))
-    x = F.log("perplexity")
-    trusted = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), x)
-    q = both.groupBy(lang_col).agg(
-        F.percentile_approx(trusted, 0.5, 20000).alias("mid"),
-        F.percentile_approx(trusted, good, 20000).alias("g"),
-        F.percentile_approx(F.when(F.col("quality") == 0, x), bad, 20000).alias("b"),
-    )
-    limit = F.when(F.col("b") > F.col("g"), (F.col("g") + F.col("b")) / 2).otherwise(F.col("g"))
-    return q.select(F.col(lang_col).alias("_lang"), F.exp(limit).alias("threshold"), "mid")
+    x = scored.where("perplexity IS NOT NULL").select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.log("perplexity").alias("x"))
+    mids = x.groupBy("_lang").agg(F.percentile_approx("x", 0.5, 20000).alias("mid"))
+    trusted = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & held_out(F.col("_id"))
+    kind = F.when(trusted, 1).when(F.col("quality") == 0, 0)
+    known = x.join(labels.select(F.col("doc_id").alias("_l"), "quality", "toxic"), F.expr("_id = _l")).withColumn("kind", kind).where("kind IS NOT NULL").select("_lang", "x", "kind").alias("k")
+    far = known.join(mids.alias("m"), F.expr("k._lang <=> m._lang")).select("k._lang", "kind", (F.col("x") - F.col("mid")).alias("far"))
+
+    def limits(by: DataFrame, *keys: str) -> DataFrame:
+        two = [F.percentile_approx(F.when(F.col("kind") == k, F.col("far")), q, 20000) for k, q in ((1, good), (0, bad))]
+        n = F.least(F.count_if(F.col("kind") == 1), F.count_if(F.col("kind") == 0))
+        q = by.groupBy(*keys).agg(two[0].alias("g"), two[1].alias("b"), n.alias("n"))
+        return q.select(*keys, "n", F.when(F.col("b") > F.col("g"), (F.col("g") + F.col("b")) / 2).otherwise(F.col("g")).alias("limit"))
+
+    own, whole = limits(far, "_lang").where(F.col("n") >= least).select(F.col("_lang").alias("_l"), "limit"), limits(far).select(F.col("limit").alias("all"))
+    out = mids.join(own, F.expr("_lang <=> _l"), "left").join(F.broadcast(whole))  # one row
+    return out.select("_lang", F.exp(F.col("mid") + F.coalesce("limit", "all")).alias("threshold"), "mid")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, inert: float = 20.0) -> DataFrame:
