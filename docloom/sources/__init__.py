@@ -1 +1 @@
-"""."""
+"""Readers of documents, sessions and layouts."""

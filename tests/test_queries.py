@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
+import docloom.plans.more  # noqa: E402, F401
 from docloom.plans.queries import QUERIES, SQL  # noqa: E402
 
 
