@@ -162,7 +162,7 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = 4096, m: int = 16,
     return dealt.select("shard", "dim", "vector", "ids").groupBy("dim", "shard").applyInArrow(build, _INDEX)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 96, block: int = 1024, m: int = 16) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 128, block: int = 1024, m: int = 16) -> DataFrame:
     """(query_id, rank int, vec_id, score): the k nearest found for each query by cosine, over all shards; the query's own row is left out.
 
     index: as from build_index, with the same k and m. queries: as from usable(). Queries travel in blocks of about `block`, each block to every

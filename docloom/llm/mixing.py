@@ -48,14 +48,37 @@ def _uniform(a: np.uint64, b: np.uint64, seed: int) -> float:
     return ((x ^ (x >> 31)) >> 11) / 2**53
 
 
+def _pool(order: list[int], ids: Sequence[int], sizes: Sequence[int], f: np.ndarray, seed: int) -> int:
+    """Settles documents that have one chance in common. Each in turn, largest first, is paired with the pool of all after it, which keep one chance: so even a document
+    larger than any other finds enough words to trade with, and what is left over at the end is the smallest."""
+    common, left = float(f[order[0]]), sum(sizes[i] for i in order)
+    for k, i in enumerate(order[:-1]):
+        left -= sizes[i]
+        up, down = min(1 - common, common * left / sizes[i]), min(common, (1 - common) * left / sizes[i])
+        if _uniform(ids[i], ids[order[k + 1]], seed) * (up + down) < down:
+            own, common = common + up, common - up * sizes[i] / left
+        else:
+            own, common = common - down, common + down * sizes[i] / left
+        whole = own <= _TINY or own >= 1 - _TINY
+        f[i] = round(own) if whole else own
+        if common <= _TINY or common >= 1 - _TINY:
+            f[order[k + 1 :]] = round(common)
+            return -1 if whole else i
+    f[order[-1]] = common
+    return order[-1]
+
+
 def settle(ids: Sequence[int], sizes: Sequence[int], chances: Sequence[float], seed: int, last: bool) -> tuple[np.ndarray, int]:
     """Pivotal rounding over one leaf. Returns the chances, now 0 or 1 but for the document at the returned place (-1: none).
 
-    The sum of size * chance stays as it was. Large documents go first, so the one that is left over tends to be small. With `last`, it is settled too.
+    The sum of size * chance stays as it was, and each chance is kept on average. Large documents go first, so the one that is left over tends to be small. With `last`, it is
+    settled too.
     """
     f = np.asarray(chances, dtype=float).copy()
     order = sorted(range(len(f)), key=lambda i: (-sizes[i], ids[i]))
     held = -1
+    if len(f) and _TINY < f.min() and f.max() < 1 - _TINY and f.max() - f.min() <= _TINY:
+        held, order = _pool(order, ids, sizes, f, seed), []
     for i in order:
         if f[i] <= _TINY or f[i] >= 1 - _TINY:
             f[i] = round(f[i])

@@ -67,6 +67,18 @@ def test_settle_keeps_the_sum_and_the_mean():
     assert mean / 4000 == pytest.approx(chances, abs=0.04)
 
 
+def test_common_chance_leaves_the_smallest():
+    sizes, mean = [900, 40, 30, 300, 7, 5, 60, 3], np.zeros(8)
+    for seed in range(4000):
+        f, held = mixing.settle(range(8), sizes, [0.35] * 8, seed, False)
+        assert sum(s * c for s, c in zip(sizes, f)) == pytest.approx(0.35 * sum(sizes))
+        assert sum(0 < x < 1 for x in f) <= 1
+        mean += f
+    assert mean / 4000 == pytest.approx([0.35] * 8, abs=0.04)
+    sizes = [500, *[20] * 100, 2]
+    assert all(mixing.settle(range(102), sizes, [0.35] * 102, seed, False)[1] != 0 for seed in range(200))
+
+
 def test_odd_rows(odd):
     m = mixing.mix(odd, n_words(F.col("text")))
     assert m.count() == odd.count()
