@@ -129,6 +129,14 @@ class Encoder:
             cls.shared[file] = cls(file)
         return cls.shared[file]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Free what encoding remembers, and what Arrow keeps for later, in a worker that turns to other work."""
+        import pyarrow as pa
+
+        cls.shared.clear()
+        pa.default_memory_pool().release_unused()
+
     def _raw(self, text: str) -> bytes:
         import numpy as np
 

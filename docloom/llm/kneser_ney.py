@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, shared_dir
+from .common import Encoder, materialise, shared_dir
 
 ORDER = 4
 _START = 1
@@ -79,6 +79,7 @@ def count(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", block
     """(lang, g, c): how often each gram occurs in each language's texts (null language: '')."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.forget()
         for batch in batches:
             for block in _blocks(batch, 1, block_bytes):
                 for lang, rows in _by_language(block, 1, 0).items():
@@ -137,7 +138,7 @@ def probabilities(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -
     return asked.select("lang", "g", F.log("p").cast("float").alias("logp"))
 
 
-def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 16_000_000) -> DataFrame:
+def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 12_000_000) -> DataFrame:
     """docs (or its columns `keep`) with perplexity double, per character, and scored_chars long. perplexity is null where there is nothing to score (null or empty text: scored_chars
     is 0) or no model of the language.
 
@@ -155,6 +156,7 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col:
         return TaskContext.get().partitionId() << 32
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.forget()
         block_id = number()
         for batch in batches:
             for block in _blocks(batch, 1, block_bytes):
@@ -164,6 +166,7 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col:
                 block_id += 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.forget()
         block_id = number()
         for batch in batches:
             for block in _blocks(batch, text_at, block_bytes):
@@ -174,6 +177,7 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col:
                 block_id += 1
 
     def answer(packed: pa.Table, known: pa.Table) -> pa.Table:
+        Encoder.forget()
         tables_ = []
         lang_of, g_of, p_of = known["lang"].combine_chunks(), known["g"].to_numpy(), known["logp"].to_numpy()
         parts: dict[str, tuple[np.ndarray, np.ndarray]] = {}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import label, materialise, shared_dir
+from .common import Encoder, label, materialise, shared_dir
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -103,6 +103,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        Encoder.forget()
         node = TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
