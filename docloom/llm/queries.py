@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, kneser_ney, mixing, ngram_join, packing, pii, rules, token_store, warc
-from .common import n_words, tokenizer_file
+from .common import n_words, prepare, tokenizer_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

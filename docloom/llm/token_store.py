@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, materialise, parts, scratch
+from .common import Encoder, materialise, parts, prepare, scratch
 
 MAGIC = b"DLTOKENS"
 #: magic, ordinal of the segment, documents, documents with a null id (they come first), ids, bytes per id, buckets, seed
@@ -141,6 +141,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
     Files are written by Spark's own writer, so lost tasks leave nothing behind and any file system will do. Null and empty texts are end_id alone.
     """
     spark = docs.sparkSession
+    prepare(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = d.repartitionByRange(parts(spark, total, shard_bytes), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
@@ -170,6 +171,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(segment, place, doc_id, at, n_tokens, ids_crc32) of every document, each found through the index of its segment."""
+    prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, shared_dir
+from .common import materialise, prepare, scratch, shared_dir
 
 #: Fixed: field names of the version block, by ARC version.
 FIELDS = {
@@ -115,6 +115,7 @@ def to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
         if rows:
             yield out()
 
+    prepare(pages.sparkSession)
     return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(run, "name string, content binary")
 
 
