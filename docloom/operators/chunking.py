@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ def fixed_chunks(docs: DataFrame, max_tokens: int, overlap_tokens: int = 0, id_c
     return at.select("doc_id", "chunk_idx", chunk.alias("text"), "char_start", (F.col("char_start") + F.length(chunk)).alias("char_end"), tx.estimate_tokens(chunk).alias("tokens"))
 
 
-_STATE = "struct<parts: array<string>, tokens: bigint, done: array<struct<text: string, tokens: bigint>>>"
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once however often f refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _suffix(text: Column, overlap: int) -> Column:
@@ -53,18 +57,22 @@ def pack_units(units: Column, max_tokens: int, min_tokens: int, overlap: int) ->
         text = F.array_join(acc["parts"], "\x02")
         return F.replace(text, F.lit("\x02"), sep)
 
+    def state(parts: Column, tokens: Column, done: Column, u: Column) -> Column:
+        more = F.when(u["big"], parts).otherwise(F.concat(parts, F.array(u["text"])))
+        total = tokens + F.when(u["big"], 0).otherwise(tx.estimate_tokens(u["text"]))
+        return F.struct(more.alias("parts"), total.cast("bigint").alias("tokens"), done.alias("done"))
+
     def step(acc: Column, u: Column) -> Column:
-        n = tx.estimate_tokens(u["text"])
-        over = (acc["tokens"] + n > max_tokens) & (F.size(acc["parts"]) > 0)
-        text = close(acc, u["sep"])
-        carry = _suffix(text, overlap) if overlap else F.lit("")
-        kept = F.when(over, F.when(carry != "", F.array(carry)).otherwise(F.array().cast("array<string>"))).otherwise(acc["parts"])
-        tokens = F.when(over, tx.estimate_tokens(carry)).otherwise(acc["tokens"])
-        return F.struct(
-            F.when(u["big"], kept).otherwise(F.concat(kept, F.array(u["text"]))).alias("parts"),
-            F.when(u["big"], tokens).otherwise(tokens + n).cast("bigint").alias("tokens"),
-            F.when(over, F.concat(acc["done"], F.array(F.struct(text.alias("text"), acc["tokens"].alias("tokens"))))).otherwise(acc["done"]).alias("done"),
-        )
+        over = (acc["tokens"] + tx.estimate_tokens(u["text"]) > max_tokens) & (F.size(acc["parts"]) > 0)
+
+        def closed(text: Column) -> Column:
+            done = F.concat(acc["done"], F.array(F.struct(text.alias("text"), acc["tokens"].alias("tokens"))))
+            none = F.array().cast("array<string>")
+            if not overlap:
+                return state(none, F.lit(0).cast("bigint"), done, u)
+            return bind(_suffix(text, overlap), lambda c: state(F.when(c != "", F.array(c)).otherwise(none), tx.estimate_tokens(c), done, u))
+
+        return F.when(over, bind(close(acc, u["sep"]), closed)).otherwise(state(acc["parts"], acc["tokens"], acc["done"], u))
 
     def finish(acc: Column) -> Column:
         last = F.struct(close(acc, F.lit("\n\n")).alias("text"), acc["tokens"].alias("tokens"))
