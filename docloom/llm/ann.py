@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -116,10 +114,6 @@ def search_graph(x: np.ndarray, levels: np.ndarray, graph: list[np.ndarray], que
     return np.take_along_axis(found, order, axis=1), np.take_along_axis(score, order, axis=1)
 
 
-def _table(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector array<double>) of the rows that take part: a vector without null, NaN or infinite components and not all zero."""
     v = F.col(vector_col).cast("array<double>")
@@ -168,47 +162,46 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 128, b
     index: as from build_index, with the same k and m. queries: as from usable(). Queries travel in blocks of about `block`, each block to every
     shard of its dimension as one row, so nothing is broadcast; each shard answers with k rows a query, and the answers are merged per query.
     """
-    where = index.groupBy("dim").agg(F.count("*").alias("shards"), F.collect_set("shard").alias("to"))
+    where = index.groupBy("dim").agg(F.max("shard").alias("last"))
     dealt = queries.withColumn("dim", F.size("vector"))
     total = dealt.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
     packed = dealt.join(total, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("q"))
-    sent = packed.join(where, "dim").select("dim", F.explode("to").alias("shard"), "q")
+    sent = packed.join(where, "dim").select("dim", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("shard"), "q")
     pairs = sent.join(index, ["dim", "shard"])
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda name: batch.column(name)[row]  # noqa: E731, B023
-                n, dim, top = get("n").as_py(), get("dim").as_py(), get("top").as_py()
-                x = np.frombuffer(get("vectors").as_py(), dtype=np.float64).reshape(n, dim)
-                ids = np.frombuffer(get("ids").as_py(), dtype=np.int64).reshape(n, -1)
-                levels = np.frombuffer(get("levels").as_py(), dtype=np.int32)
-                flat, graph, at = np.frombuffer(get("neighbours").as_py(), dtype=np.int32), [], 0
-                for level in range(top):
-                    w = 2 * m if level == 0 else m
-                    graph.append(flat[at : at + n * w].reshape(n, w))
-                    at += n * w
-                q = get("q").values
-                names = q.field("vec_id").to_numpy(zero_copy_only=False)
-                vectors = q.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                unit, norms = _unit(x), np.sqrt(np.einsum("ij,ij->i", x, x))
-                for lo in range(0, len(names), 256):
-                    asked = vectors[lo : lo + 256]
-                    found, _ = search_graph(unit, levels, graph, _unit(asked), min(width, max(n, 1)))
-                    a: list[tuple[int, int, float]] = []
-                    for i, name in enumerate(names[lo : lo + 256].tolist()):
-                        near = found[i][found[i] >= 0]
-                        exact = (x[near] * asked[i]).sum(axis=1) / (norms[near] * np.sqrt((asked[i] * asked[i]).sum()))
-                        own = []
-                        for j in np.lexsort((ids[near, 1], -exact))[: k + 1]:
-                            node = near[j]
-                            own += [(name, int(v), float(exact[j])) for v in ids[node, 1 : 1 + ids[node, 0]] if v != name]
-                        own.sort(key=lambda t: (-t[2], t[1]))
-                        a += own[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*a) if a else ((), (), ()), out.types)], schema=out)
-
-    answers = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    def run(pair: pa.Table) -> pa.Table:
+        """One shard and one block of queries: one row."""
+        get = lambda name: pair[name][0]
+        n, dim, top = get("n").as_py(), get("dim").as_py(), get("top").as_py()
+        x = np.frombuffer(get("vectors").as_py(), dtype=np.float64).reshape(n, dim)
+        ids = np.frombuffer(get("ids").as_py(), dtype=np.int64).reshape(n, -1)
+        levels = np.frombuffer(get("levels").as_py(), dtype=np.int32)
+        flat, graph, at = np.frombuffer(get("neighbours").as_py(), dtype=np.int32), [], 0
+        for level in range(top):
+            w = 2 * m if level == 0 else m
+            graph.append(flat[at : at + n * w].reshape(n, w))
+            at += n * w
+        q = get("q").values
+        names = q.field("vec_id").to_numpy(zero_copy_only=False)
+        vectors = q.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        unit, norms = _unit(x), np.sqrt(np.einsum("ij,ij->i", x, x))
+        a: list[tuple[int, int, float]] = []
+        for lo in range(0, len(names), 256):
+            asked = vectors[lo : lo + 256]
+            found, _ = search_graph(unit, levels, graph, _unit(asked), min(width, max(n, 1)))
+            for i, name in enumerate(names[lo : lo + 256].tolist()):
+                near = found[i][found[i] >= 0]
+                exact = (x[near] * asked[i]).sum(axis=1) / (norms[near] * np.sqrt((asked[i] * asked[i]).sum()))
+                own = []
+                for j in np.lexsort((ids[near, 1], -exact))[: k + 1]:
+                    node = near[j]
+                    own += [(name, int(v), float(exact[j])) for v in ids[node, 1 : 1 + ids[node, 0]] if v != name]
+                own.sort(key=lambda t: (-t[2], t[1]))
+                a += own[:k]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*a) if a else ((), (), ()), out.types)], schema=out)
+
+    answers = pairs.groupBy("dim", "shard", "block").applyInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -32,3 +32,18 @@ def test_registered():
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+
+
+def test_odd_rows_and_clashing_columns(spark, odd, tmp_path):
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (8, 1, None), (6, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    clash = odd.selectExpr("*", "1 AS size", "2 AS node", "3 AS root", "'x' AS threshold", "5 AS copies", "6 AS block")
+    clash.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = p.run(spark, str(tmp_path)).collect()
+    assert rows and all(r["n_tokens"] <= 2048 for r in rows)
+    none = tmp_path / "none"
+    odd.limit(0).write.parquet(str(none / "documents.parquet"))
+    labels.limit(0).write.parquet(str(none / "labels.parquet"))
+    assert p.run(spark, str(none)).count() == 0
