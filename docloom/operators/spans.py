@@ -134,5 +134,6 @@ def merge_boxes(boxes: Column, line: float = 5, gap: float = 10) -> Column:
 
 def primary_only(citations: DataFrame, lines: DataFrame) -> DataFrame:
     """Citations that start in a primary section; those that start on no known line stay. lines: (doc_id, start_char, end_char, section)."""
-    hit = citations.join(lines, (citations["doc_id"] == lines["doc_id"]) & (citations["c_start"] >= lines["start_char"]) & (citations["c_start"] < lines["end_char"]), "left").drop(lines["doc_id"])
+    on = F.expr("doc_id = _d AND c_start >= start_char AND c_start < end_char")
+    hit = citations.join(lines.select(F.col("doc_id").alias("_d"), "start_char", "end_char", "section"), on, "left")
     return hit.where(F.col("section").isNull() | F.col("section").isin(*PRIMARY)).select(*citations.columns)
