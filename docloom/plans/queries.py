@@ -237,8 +237,8 @@ def f8_paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_STUDIES} SELECT study_id, coalesce(nullif(first_author, ''), 'Unknown') AS author, publication_year, hospital, coalesce(n_patients, 0) AS n, count(*) OVER () AS total FROM studies")
 def p2_list_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = rel.studies(spark, sf_dir)
-    total = s.agg(F.count("*").alias("total"))
-    return s.selectExpr("study_id", "coalesce(nullif(first_author, ''), 'Unknown') AS author", "publication_year", "hospital", "coalesce(n_patients, 0) AS n").join(F.broadcast(total))  # one row
+    listed = s.selectExpr("study_id", "coalesce(nullif(first_author, ''), 'Unknown') AS author", "publication_year", "hospital", "coalesce(n_patients, 0) AS n")
+    return listed.withColumn("total", F.lit(s.count()).cast("long"))
 
 
 @query(f"""{_STUDIES} SELECT study_id AS \"DocID\", first_author AS \"FirstAuthor\", publication_year AS \"Year\", age_mean AS \"Age_Mean\", CASE WHEN age_mean IS NOT NULL THEN source_text END AS \"Age_Mean_Source\", CASE WHEN age_mean IS NOT NULL THEN CAST(study_id % 30 + 1 AS INT) END AS \"Age_Mean_Page\",
