@@ -277,9 +277,9 @@ def thresholds(scored: DataFrame, labels: DataFrame, good: float = 0.99, bad: fl
         q = by.groupBy(*keys).agg(two[0].alias("g"), two[1].alias("b"), n.alias("n"))
         return q.select(*keys, "n", F.when(F.col("b") > F.col("g"), (F.col("g") + F.col("b")) / 2).otherwise(F.col("g")).alias("limit"))
 
-    own, whole = limits(far, "_lang").where(F.col("n") >= least).select(F.col("_lang").alias("_l"), "limit"), limits(far).select(F.col("limit").alias("all"))
-    out = mids.join(own, F.expr("_lang <=> _l"), "left").join(F.broadcast(whole))  # one row
-    return out.select("_lang", F.exp(F.col("mid") + F.coalesce("limit", "all")).alias("threshold"), "mid")
+    own, whole = limits(far, "_lang").where(F.col("n") >= least).select(F.col("_lang").alias("_l"), "limit"), limits(far).first()["limit"]
+    out = mids.join(own, F.expr("_lang <=> _l"), "left")
+    return out.select("_lang", F.exp(F.col("mid") + F.coalesce("limit", F.lit(whole).cast("double"))).alias("threshold"), "mid")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, inert: float = 20.0) -> DataFrame:
