@@ -153,7 +153,9 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = 4096, m: int = 16,
             "ids": pa.array([np.concatenate([sizes[:, None], ids], axis=1).tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary()), "levels": pa.array([levels.tobytes()], pa.binary()), "neighbours": pa.array([flat.tobytes()], pa.binary()),
         })
 
-    return dealt.select("shard", "dim", "vector", "ids").groupBy("dim", "shard").applyInArrow(build, _INDEX)
+    # building costs far more than its bytes suggest, so shards get tasks of their own rather than being gathered by size
+    tasks = max(1, -(-nodes.count() // shard_rows))
+    return dealt.select("shard", "dim", "vector", "ids").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, _INDEX)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 128, block: int = 1024, m: int = 16) -> DataFrame:
