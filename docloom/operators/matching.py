@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
 
 def text_blocks(spans: DataFrame, most: int = 500) -> DataFrame:
-    """(doc_id, block, text, start_char, end_char): spans in order, a new block once the one before has more than `most` characters."""
-    s = F.sort_array(F.collect_list(F.struct("pos", "text", "start_char", "end_char")))
-    start = F.array().cast("array<struct<text: string, start_char: bigint, end_char: bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fresh = F.array(F.struct(x["text"].alias("text"), x["start_char"].alias("start_char"), x["end_char"].alias("end_char")))
-        grown = F.array(F.struct(F.concat(last["text"], F.lit(" "), x["text"]).alias("text"), last["start_char"].alias("start_char"), x["end_char"].alias("end_char")))
-        return F.when((F.size(acc) == 0) | (F.length(last["text"]) > most), F.concat(acc, fresh)).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), grown))
-
-    made = spans.groupBy("doc_id").agg(F.aggregate(s, start, step).alias("b"))
-    return made.select("doc_id", F.posexplode("b").alias("block", "x")).select("doc_id", "block", "x.*")
+    """(doc_id, block, text, start_char, end_char): spans in order, a new block once the one before has more than `most` characters.
+
+    One linear pass over the words of each document.
+    """
+
+    def run(words: pa.Table) -> pa.Table:
+        words = words.sort_by([(c, "ascending") for c in ("pos", "text", "start_char", "end_char")])
+        texts = words["text"].to_pylist()
+        # characters of the words up to each one, with a blank after every word but the last
+        upto = np.cumsum(np.array([len(t) for t in texts], dtype=np.int64) + 1) - 1
+        starts, ends = [0], []
+        while True:
+            past = int(upto[starts[-1] - 1]) + 1 if starts[-1] else 0
+            end = min(int(np.searchsorted(upto, past + most, side="right")) + 1, len(texts))
+            ends.append(end)
+            if end == len(texts):
+                break
+            starts.append(end)
+        made = pa.array([" ".join(texts[a:b]) for a, b in zip(starts, ends)], pa.string())
+        number = pa.array(range(len(starts)), pa.int32())
+        return pa.table([words["doc_id"].take(starts), number, made, words["start_char"].take(starts), words["end_char"].take([b - 1 for b in ends])], names=["doc_id", "block", "text", "start_char", "end_char"])
+
+    s = spans.select("doc_id", "pos", "text", F.col("start_char").cast("long"), F.col("end_char").cast("long"))
+    out = T.StructType([s.schema["doc_id"], T.StructField("block", T.IntegerType()), *[s.schema[c] for c in ("text", "start_char", "end_char")]])
+    return s.groupBy("doc_id").applyInArrow(run, out)
 
 
 def fuzzy(quotes: DataFrame, blocks: DataFrame, threshold: float = 0.4, k: int = 1) -> DataFrame:
