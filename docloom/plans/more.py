@@ -69,6 +69,24 @@ def j14_link_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.link_values(f, c)
 
 
+def _slices(d: DataFrame, step: int, width: int) -> DataFrame:
+    """(doc_id, i, text): slices of `width` characters at every `step` characters up to the end of each text."""
+    n = F.ceil(F.length("text") / step).cast("int")
+    d = d.where("length(text) > 0").select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return d.select("doc_id", "i", F.substring(F.col("text"), F.col("i") * step + 1, F.lit(width)).alias("text"))
+
+
+_SLICES = "(SELECT doc_id, i::INT AS i, substring(text, CAST(i * {0} + 1 AS INT), {1}) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {0}.0) AS BIGINT))) AS i FROM documents))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, unnest(['a', 'b']) AS field, unnest([substring(text, 3, 4), 'und']) AS value FROM documents), c AS {_SLICES.format(50, 60)}
+SELECT f.doc_id, field, i AS cite_id FROM f JOIN c ON c.doc_id = f.doc_id WHERE contains(lower(text), lower(value))""")
+def j14_link_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    f = d.select("doc_id", F.inline(F.array(F.struct(F.lit("a").alias("field"), F.substring("text", 3, 4).alias("value")), F.struct(F.lit("b").alias("field"), F.lit("und").alias("value")))))
+    return matching.link_values(f, _slices(d, 50, 60).withColumnRenamed("i", "cite_id"))
+
+
 _MARKED = "concat('**Sample Size**: ', CAST(c_custkey AS STRING), chr(10), 'note', chr(10), '**[Age]**:  ', c_mktsegment, ' ', chr(10), '**Sample Size**: ', CAST(c_custkey % 7 AS STRING))"
 
 
@@ -100,6 +118,14 @@ def j21_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.supports(p, c)
 
 
+@query(f"""WITH p AS (SELECT DISTINCT doc_id AS response_id, unnest(['the', 'und', 'THERE', 'nowhere']) AS phrase FROM documents), c AS {_SLICES.format(100, 100)}
+SELECT response_id, phrase, min(i)::INT AS idx FROM p JOIN c ON doc_id = response_id WHERE contains(lower(text), lower(phrase)) GROUP BY response_id, phrase""")
+def j21_supports_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    p = d.select(F.col("doc_id").alias("response_id"), F.explode(F.array(*map(F.lit, ("the", "und", "THERE", "nowhere")))).alias("phrase"))
+    return matching.supports(p, _slices(d, 100, 100).select(F.col("doc_id").alias("response_id"), F.col("i").alias("idx"), "text"))
+
+
 @query(f"""WITH {_SPANS}, f AS (SELECT doc_id, page, pos, x, y, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y, x, pos) > 5 THEN 1 ELSE 0 END AS f FROM spans), l AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, page ORDER BY y, x, pos ROWS UNBOUNDED PRECEDING) AS line FROM f)
 SELECT doc_id, page, CAST(max(line) AS BIGINT) + 1 AS n_lines, count(*) AS n_words FROM l GROUP BY doc_id, page""")
 def s5_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
