@@ -332,3 +332,10 @@ def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .queries import _lines
 
     return _lines(spark, sf_dir).where("pos < 2").select("doc_id", "pos", tx.strip(F.col("text")).rlike(r"^\d+/\d+").alias("ratio"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos::INT AS pos, regexp_matches(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^\\d+/\\d+') AS ratio FROM lines")
+def p7_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .queries import _lines
+
+    return _lines(spark, sf_dir).select("doc_id", "pos", tx.strip(F.col("text")).rlike(r"^\d+/\d+").alias("ratio"))

@@ -48,3 +48,9 @@ def test_slices_reach_the_end(spark):
     assert {(r["response_id"], r["phrase"]): r["idx"] for r in more.j21_supports_whole(spark, SF).collect()} == first and max(first.values()) > 3
     linked = {(d, i) for d, t in texts.items() for i, x in enumerate(cut(t, 50, 60)) if "und" in x}
     assert {(r["doc_id"], r["cite_id"]) for r in more.j14_link_values_whole(spark, SF).where("field = 'b'").collect()} == linked and max(i for _, i in linked) > 2
+
+
+@tables
+def test_p7_judges_every_line(spark):
+    n = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").selectExpr("sum(size(split(text, '\n'))) AS n").first()["n"]
+    assert more.p7_lines_whole(spark, SF).count() >= n and more.p7_lines_whole(spark, SF).where("pos > 1").count() > 0
