@@ -31,7 +31,7 @@ _DIGIT = re.compile(r"[0-9]")
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _AT = re.compile(r"[\[(] ?at", re.I)
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9][0-9 ().-]{6,22}[0-9](?![0-9A-Za-z])")
-_KEYED = re.compile(r"(?:token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key)[\x20\"']{0,2}[:=][\x20]{0,2}[\"']?([A-Za-z0-9_/+=-]{8,200})", re.I)
+_KEYED = re.compile(r"(?:token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key)[\x20\"']{0,2}[:=][\x20]{0,2}[\"']?([A-Za-z0-9_/+=-]{8,}+(?:\.[A-Za-z0-9_/+=-]++)*+)", re.I)
 _KEY_HINT = re.compile(r"token|secret|passw|pwd|key", re.I)
 
 #: Gazetteers and context words.
