@@ -257,25 +257,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col:
     return model(count(texts.join(trusted, F.expr(f"{id_col} = _id"), "left_semi"), lang_col, text_col))
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, good: float = 0.99, bad: float = 0.25, least: int = 30, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+def thresholds(scored: DataFrame, labels: DataFrame, good: float = 0.99, least: int = 30, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """(lang, threshold, mid): mid is the median of the logarithms of a language's perplexities.
 
-    threshold is, per language, the geometric middle of the perplexity below which a share `good` of its held-out trusted documents lies and that below which a
-    share `bad` of those labelled poor lies, or the former where it is higher. Languages with fewer than `least` documents of either sort take the distance from mid that all
-    languages have together. Quantiles come from mergeable sketches; there is one row per language.
+    threshold is, per language, the perplexity below which a share `good` of its held-out trusted documents lies. Languages with fewer than `least` of these take the distance from
+    mid that all languages have together. Quantiles come from mergeable sketches; there is one row per language.
     """
     x = scored.where("perplexity IS NOT NULL").select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.log("perplexity").alias("x"))
     mids = x.groupBy("_lang").agg(F.percentile_approx("x", 0.5, 20000).alias("mid"))
     trusted = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & held_out(F.col("_id"))
-    kind = F.when(trusted, 1).when(F.col("quality") == 0, 0)
-    known = x.join(labels.select(F.col("doc_id").alias("_l"), "quality", "toxic"), F.expr("_id = _l")).withColumn("kind", kind).where("kind IS NOT NULL").select("_lang", "x", "kind").alias("k")
-    far = known.join(mids.alias("m"), F.expr("k._lang <=> m._lang")).select("k._lang", "kind", (F.col("x") - F.col("mid")).alias("far"))
+    known = x.join(labels.select(F.col("doc_id").alias("_l"), "quality", "toxic"), F.expr("_id = _l")).where(trusted).select("_lang", "x").alias("k")
+    far = known.join(mids.alias("m"), F.expr("k._lang <=> m._lang")).select("k._lang", (F.col("x") - F.col("mid")).alias("far"))
 
     def limits(by: DataFrame, *keys: str) -> DataFrame:
-        two = [F.percentile_approx(F.when(F.col("kind") == k, F.col("far")), q, 20000) for k, q in ((1, good), (0, bad))]
-        n = F.least(F.count_if(F.col("kind") == 1), F.count_if(F.col("kind") == 0))
-        q = by.groupBy(*keys).agg(two[0].alias("g"), two[1].alias("b"), n.alias("n"))
-        return q.select(*keys, "n", F.when(F.col("b") > F.col("g"), (F.col("g") + F.col("b")) / 2).otherwise(F.col("g")).alias("limit"))
+        return by.groupBy(*keys).agg(F.percentile_approx("far", good, 20000).alias("limit"), F.count("*").alias("n"))
 
     own, whole = limits(far, "_lang").where(F.col("n") >= least).select(F.col("_lang").alias("_l"), "limit"), limits(far).first()["limit"]
     out = mids.join(own, F.expr("_lang <=> _l"), "left")
