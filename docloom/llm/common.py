@@ -6,7 +6,6 @@ import os
 import re
 import tempfile
 import uuid
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +26,16 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a local master gets a temporary folder, as in tests; on a cluster that would be another folder on each machine, so there it is an error.
+    """
     prepare(spark)
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master: {master})")
         named = tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -45,7 +50,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it from there: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -54,6 +61,25 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by materialise() once all that is made of them is written elsewhere. Other tables are left alone."""
+    for table in tables:
+        if path := getattr(table, "_scratch", None):
+            delete(table.sparkSession, path)
+
+
+def small(table: DataFrame, most: int = 10_000) -> DataFrame:
+    """The side of a join, for a written table: broadcast if it has at most `most` rows, which is counted first."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def release() -> None:
+    """Give back what Arrow keeps for later; called when a task's Python step ends."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def parts(spark: SparkSession, rows: int, each: int, least: int = 1) -> int:
     """Tasks for so many rows (or bytes) at about `each` a task."""
     return max(least, -(-int(rows) // each))
@@ -64,36 +90,38 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def _with_low(rows: DataFrame, low: DataFrame, salts: int) -> DataFrame:
+    """Adds m to rows (u, v) from low (u, m). A u with many rows is a hub: its m goes out once per salt, and each salt's rows meet it in a group of their own."""
+    dealt = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
+    needed = dealt.select("u", "s").distinct().join(low, "u")
+    return dealt.join(needed, ["u", "s"]).drop("s")
 
 
-def label(edges: DataFrame, rounds_per_cut: int = 3) -> DataFrame:
+def label(edges: DataFrame, salts: int = 256) -> DataFrame:
     """Connected components of an undirected graph, without bringing links or labels to the driver.
 
     edges: (a long, b long). Returns (node long, root long), root being the smallest node of its component; nodes
     without an edge to another node may be missing. Alternates two steps that each keep one row per edge at most: every
-    node passes its smallest neighbour to its larger neighbours, then to its smaller ones. Only a count of changes
-    reaches the driver. Hubs are safe: both steps are plain grouped minima, which combine before the shuffle, and joins.
+    node passes its smallest neighbour to its larger neighbours, then to its smaller ones. Ends when a round leaves the set of edges as it was;
+    only the number of changed edges reaches the driver. Minima combine before the shuffle, and joins deal a hub's edges to `salts` groups.
     """
-    spark = edges.sparkSession
-    pair = edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct()
-    pair = materialise(pair, "edges")
-    old = None
+    pair = materialise(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
     while True:
         # larger side: all neighbours above u move to the smallest node seen around u
         both = pair.union(pair.selectExpr("v AS u", "u AS v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        wide = both.where("v > u").join(low, "u").selectExpr("v AS u", "m AS v").distinct()
+        wide = _with_low(both.where("v > u"), low, salts).selectExpr("v AS u", "m AS v").distinct()
         # smaller side: u and all neighbours not above it move to the smallest of them
         low = wide.groupBy("u").agg(F.min("v").alias("m"))
-        close = wide.join(low, "u").selectExpr("explode(array(struct(v AS u, m AS v), struct(u AS u, m AS v))) AS e").select("e.*").where("u <> v").distinct()
+        ends = F.explode(F.expr("array(struct(v AS u, m AS v), struct(u AS u, m AS v))"))
+        close = _with_low(wide, low, salts).select(ends.alias("e")).select("e.*").where("u <> v").distinct()
         close = materialise(close, "edges")
-        sign = close.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        # both are sets, so they are equal if one holds the other and has as many rows
+        same = close.count() == pair.count() and close.join(pair, ["u", "v"], "left_anti").isEmpty()
+        discard(pair)
         pair = close
-        if old == sign:
+        if same:
             break
-        old = sign
     return pair.selectExpr("u AS node", "v AS root").union(pair.selectExpr("v AS node", "v AS root").distinct())
 
 
@@ -104,38 +132,32 @@ class Encoder:
     """Token ids of whole texts by the tokenizers library, remembered by piece.
 
     The tokenizer in use drops white space and never joins characters across it, so a text's ids are those of its blank-separated pieces, one
-    after another; pieces repeat a lot, so each is encoded once and kept (at most `keep` of them, then the table starts anew).
-    Texts of Latin-1 characters are lower-cased first, which the tokenizer does itself in any case. Other tokenizers take whole texts.
+    after another; pieces repeat a lot, so each is encoded once and kept, until the table takes `keep_bytes` and starts anew; pieces over 256 characters aren't kept.
+    The table lives as long as the encoder, which a task makes for itself, so no worker holds it afterwards.
+    Texts of Latin-1 characters are lower-cased first, which the tokenizer does itself in any case; texts that might hold special tokens, which it finds before that, are
+    encoded whole. Other tokenizers take whole texts.
     """
 
-    shared: dict[str, "Encoder"] = {}
+    tokenizers: dict[str, tuple] = {}
 
-    def __init__(self, file: str, keep: int = 900_000):
+    def __init__(self, file: str, keep_bytes: int = 48_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import json
+        if file not in self.tokenizers:
+            import json
 
-        from tokenizers import Tokenizer
+            from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
-        said = json.loads(self.tokenizer.to_str())
-        kinds = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
-        self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and said["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed"
-        self.keep, self.known, self.base = keep, {"": b""}, {}
+            t = Tokenizer.from_file(file)
+            said = json.loads(t.to_str())
+            kinds = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
+            by_piece = kinds == ["NFC", "Replace", "Lowercase"] and said["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed"
+            self.tokenizers[file] = t, by_piece
+        self.tokenizer, self.by_piece = self.tokenizers[file]
+        self.keep_bytes = keep_bytes
+        self._anew()
 
-    @classmethod
-    def of(cls, file: str) -> "Encoder":
-        """One for each worker process, so that what is known lasts from task to task."""
-        if file not in cls.shared:
-            cls.shared[file] = cls(file)
-        return cls.shared[file]
-
-    @classmethod
-    def forget(cls) -> None:
-        """Free what encoding remembers, and what Arrow keeps for later, in a worker that turns to other work."""
-        import pyarrow as pa
-
-        cls.shared.clear()
-        pa.default_memory_pool().release_unused()
+    def _anew(self) -> None:
+        self.held, self.known, self.base = 0, {"": b""}, {}
 
     def _raw(self, text: str) -> bytes:
         import numpy as np
@@ -153,7 +175,9 @@ class Encoder:
                 ids = np.array([x.id for x in self.tokenizer.model.tokenize(word)], dtype="<u4").tobytes()
             else:
                 ids = self._raw(word)
-            self.base[word] = ids
+            if len(word) <= 256:
+                self.base[word] = ids
+                self.held += 200 + len(word) + len(ids)
         if end and end not in self.known:
             self.known[end] = self._raw(end)
         return ids + self.known[end] if end else ids
@@ -162,7 +186,7 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.by_piece:
+        if not self.by_piece or "<|" in text:
             return self._raw(text)
         if text.isascii():
             text = text.lower()
@@ -176,14 +200,17 @@ class Encoder:
         try:
             return b"".join([known[x] for x in pieces])
         except KeyError:
-            if len(known) + len(self.base) > self.keep:
-                known.clear()
-                self.base.clear()
-                known[""] = b""
+            out = []
             for x in pieces:
-                if x not in known:
-                    known[x] = self._piece(x)
-            return b"".join([known[x] for x in pieces])
+                if (ids := self.known.get(x)) is None:
+                    if self.held > self.keep_bytes:
+                        self._anew()
+                    ids = self._piece(x)
+                    if len(x) <= 256:
+                        self.known[x] = ids
+                        self.held += 200 + len(x) + len(ids)
+                out.append(ids)
+            return b"".join(out)
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:

@@ -1,13 +1,16 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text scores every document by its perplexity.
+"""Quality classifier: interpolated modified Kneser-Ney n-gram models score every document by its perplexity.
 
-The grams are runs of four characters (16 bits each, so that a gram is one 64-bit number and its lower orders are its low
-bits). Counts are tables keyed by language and gram. Documents are read in blocks; a block asks for its distinct grams only, the distinct grams of all blocks meet the count tables in joins on
-their keys, and each answer goes back to the block that asked. So neither the model nor the corpus' grams need fit anywhere.
+The grams are runs of five characters (code points). Two models come from the labels: one of trusted texts, whose perplexity judges form, and one of
+toxic texts; where a passage is far likelier under the second, the text is toxic however well formed the rest is. Both exist twice, each trained on the documents of one
+fold, and a document is scored by the models of the other fold, so no text is judged by a model that holds it.
+
+Counts are tables keyed by model and gram. Documents are read in blocks of one language and fold; a block asks for its distinct grams only, the distinct
+grams of all blocks meet the count tables in joins on their keys, and each answer goes back to the block that asked. So neither the models nor the corpus' grams need fit anywhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +18,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Encoder, materialise, shared_dir
-
-ORDER = 4
-_START = 1
-
-
-def grams(text: str) -> np.ndarray:
-    """The 4-gram that ends at each character, as int64; the text is preceded by three start marks. Characters count modulo 2^16."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) & np.uint64(0xFFFF)
-    c = np.concatenate([np.full(ORDER - 1, _START, dtype=np.uint64), c])
-    g = c[ORDER - 1 :].copy()
-    for k in range(1, ORDER):
-        g |= c[ORDER - 1 - k : len(c) - k] << np.uint64(16 * k)
-    return g.view(np.int64)
+from .common import discard, materialise, release, shared_dir, small
+
+ORDER = 5
+#: Stands four times before a text, so that its first characters have whole contexts too.
+START = "\x02"
+#: Below order 1 all code points are alike.
+CODE_POINTS = 0x110000
+#: Columns of our own; no table has such names.
+_KEY, _TEXT, _NLL, _CHARS, _TOXIC = "_kn_key", "_kn_text", "_kn_nll", "_kn_chars", "_kn_toxic"
+_U = np.uint64
+
+
+def _chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """Runs of ORDER characters, about `most` at a time: code points, where in them the runs start, and (text, number of its runs) in order. A long text goes on in the next chunk."""
+    parts: list[str] = []
+    runs: list[tuple[int, int]] = []
+    held = 0
+
+    def made() -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        c = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        lengths = np.array([n for _, n in runs])
+        first = np.concatenate([[0], np.cumsum(lengths + ORDER - 1)[:-1]])
+        starts = np.repeat(first - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        return c, starts, runs
+
+    for i, text in enumerate(texts):
+        text = text or ""
+        at = 0
+        while at < len(text):
+            n = min(len(text) - at, most - held)
+            parts.append(START * (ORDER - 1) + text[:n] if at == 0 else (START * (ORDER - 1) + text[:at])[1 - ORDER :] + text[at : at + n] if at < ORDER else text[at + 1 - ORDER : at + n])
+            runs.append((i, n))
+            at, held = at + n, held + n
+            if held >= most:
+                yield made()
+                parts, runs, held = [], [], 0
+    if runs:
+        yield made()
+
+
+def _hashes(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs that start at `starts`. They only tell apart the grams of one block: two of a million share one with a chance of 1 in 10^7."""
+    n = len(c) - ORDER + 1
+    h = np.zeros(max(n, 0), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(ORDER):
+            h += c[j : n + j]
+            h *= _U(0xD6E8FEB86659FD93)
+            h ^= h >> _U(29)
+    return h[starts]
+
+
+def _first(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and how often each occurs."""
+    order = np.argsort(h)
+    ranked = h[order]
+    at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return ranked[at], order[at], np.diff(np.concatenate([at, [len(h)]]))
+
+
+def distinct(texts: Iterable[str | None], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams of some texts: hashes in order, code points [n, ORDER], counts."""
+    h, g, n = np.zeros(0, dtype=np.uint64), np.zeros((0, ORDER), dtype=np.uint32), np.zeros(0, dtype=np.int64)
+    for c, starts, _ in _chunks(texts, most):
+        new, at, many = _first(_hashes(c, starts))
+        both, points = np.concatenate([h, new]), np.concatenate([g, c[starts[at][:, None] + np.arange(ORDER)]])
+        h, place, _ = _first(both)
+        n = np.bincount(np.searchsorted(h, both), weights=np.concatenate([n, many]), minlength=len(h)).astype(np.int64)
+        g = points[place]
+    return h, g, n
+
+
+def _strings(g: np.ndarray) -> pa.Array:
+    s = np.ascontiguousarray(g, dtype="<u4").tobytes().decode("utf-32-le", "replace")
+    return pa.array([s[i : i + ORDER] for i in range(0, len(s), ORDER)], pa.string())
 
 
 def _blocks(batch: pa.RecordBatch, text_at: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -44,65 +108,51 @@ def _blocks(batch: pa.RecordBatch, text_at: int, most: int) -> Iterator[pa.Recor
         yield batch.slice(start)
 
 
-def _by_language(batch: pa.RecordBatch, text_at: int, lang_at: int) -> dict[str, list[int]]:
-    rows: dict[str, list[int]] = {}
-    for i, lang in enumerate(batch.column(lang_at).to_pylist()):
-        if batch.column(text_at)[i].is_valid:
-            rows.setdefault(lang or "", []).append(i)
-    return rows
+def _by_key(batches: Iterator[pa.RecordBatch], text_at: int, key_at: int, most: int) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Blocks of rows with one key."""
+    for batch in batches:
+        for block in _blocks(batch, text_at, most):
+            keys = block.column(key_at).dictionary_encode()
+            codes = keys.indices.to_numpy()
+            for i, key in enumerate(keys.dictionary.to_pylist()):
+                yield key, block.take(pa.array(np.flatnonzero(codes == i)))
 
 
-def _distinct(batch: pa.RecordBatch, rows: list[int], text_at: int, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of some rows and how often each occurs. Sorts about a million characters at a time."""
-    kept, held, n = [], [], 0
+def _texts(block: pa.RecordBatch, at: int) -> Iterator[str | None]:
+    return (cell.as_py() for cell in block.column(at))
 
-    def settle() -> None:
-        kept.append(np.unique(np.concatenate(held), return_counts=True))
 
-    for i in rows:
-        g = grams(batch.column(text_at)[i].as_py())
-        for at in range(0, len(g), chunk):
-            held.append(g[at : at + chunk])
-            n += len(held[-1])
-            if n >= chunk:
-                settle()
-                held, n = [], 0
-    if held:
-        settle()
-    if not kept:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    g, where = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
-    return g, np.bincount(where, weights=np.concatenate([k[1] for k in kept])).astype(np.int64)
+def fold(id_: Column) -> Column:
+    """0 or 1, by a hash of a document's id (null: a fold like any other id's)."""
+    return F.pmod(F.xxhash64(id_.cast("long"), F.lit(17)), F.lit(2)).cast("int")
 
 
-def count(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
-    """(lang, g, c): how often each gram occurs in each language's texts (null language: '')."""
+def _key(lang: Column, fold_: Column) -> Column:
+    """Names the fold and language that share models; a null language is one of its own."""
+    return F.concat_ws(":", fold_.cast("string"), lang.cast("string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Encoder.forget()
-        for batch in batches:
-            for block in _blocks(batch, 1, block_bytes):
-                for lang, rows in _by_language(block, 1, 0).items():
-                    g, c = _distinct(block, rows, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(c)], names=["lang", "g", "c"])
 
-    made = docs.select(F.col(lang_col).cast("string"), text_col).mapInArrow(run, "lang string, g long, c long")
-    return made.groupBy("lang", "g").agg(F.sum("c").alias("c"))
+def count(docs: DataFrame, block_bytes: int = 16_000_000) -> DataFrame:
+    """(key, g, c): how often each gram occurs in the texts of each key. docs: (key string, text string)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, block in _by_key(batches, 1, 0, block_bytes):
+            _, g, c = distinct(_texts(block, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(g), pa.string()), _strings(g), pa.array(c, pa.int64())], names=["key", "g", "c"])
+        release()
 
-def _low(g: Column, k: int) -> Column:
-    """The last k characters of a gram."""
-    return g if k == ORDER else g.bitwiseAND(F.lit((1 << (16 * k)) - 1))
+    return docs.select("key", "text").mapInArrow(run, "key string, g string, c long").groupBy("key", "g").agg(F.sum("c").alias("c"))
 
 
 def model(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1 to 4, (lang, g, num): discounted count of each gram, and (lang, h, total, gamma): what its context's counts are
+    """For each order from 1 up, (key, g, num): discounted count of each gram, and (key, h, total, gamma): what its context's counts are
     divided by, and the weight of the order below. counts: as from count().
 
-    The highest order has true counts; below, a gram's count is how many characters it follows. The three discounts of an order come from its counts of counts, per language.
+    The highest order has true counts; below, a gram's count is how many characters it follows. The three discounts of an order come from its counts of counts, per model.
     """
-    out, level = [], materialise(counts, "kn4")
+    out, level = [], counts
     for k in range(ORDER, 0, -1):
+        level = materialise(level, f"kn{k}")
         n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
@@ -110,45 +160,59 @@ def model(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
             d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
             return F.least(F.greatest(F.coalesce(F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), d), F.lit(0.5 * i)), F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}")
 
-        stats = level.groupBy("lang").agg(*n).select("lang", *[discount(i) for i in (1, 2, 3)])
+        # one row per model
+        stats = materialise(level.groupBy("key").agg(*n).select("key", *[discount(i) for i in (1, 2, 3)]), "discounts")
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = level.join(stats, "lang").withColumn("d", d)
-        context = F.lit(0).cast("long") if k == 1 else F.shiftrightunsigned("g", 16)
-        t = materialise(t.select("lang", "g", context.alias("h"), (F.col("c") - F.col("d")).alias("num"), "c", "d"), f"kn{k}")
-        below = t.groupBy("lang", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
-        out.append((t.select("lang", "g", "num"), below))
+        t = level.join(small(stats), "key").select("key", "g", F.expr(f"left(g, {k - 1})").alias("h"), "c", d.alias("d"))
+        below = materialise(t.groupBy("key", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma")), f"contexts{k}")
+        out.append((t.select("key", "g", (F.col("c") - F.col("d")).alias("num")), below))
         if k > 1:
-            level = t.groupBy("lang", _low(F.col("g"), k - 1).alias("g")).agg(F.count("*").alias("c"))
+            level = level.groupBy("key", F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("c"))
     return out[::-1]
 
 
 def probabilities(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Adds logp (natural) to (lang, g): the interpolated probability of a gram's last character after its first three. Languages without a model drop out.
+    """(key, g, logp): for distinct (key, g), the natural logarithm of the interpolated probability of a gram's last character after those before. Keys without a model drop out.
 
-    From order 1 up: p = num / total + gamma * p of the order below, and p of the order below where the context is unknown; below order 1 all 2^16 characters are alike.
+    From order 1 up: p = num / total + gamma * p of the order below, and p of the order below where the context is unknown. An order's grams are the
+    distinct endings of the order above, so each is worked out once.
     """
-    p: Column = F.lit(1.0 / 65536)
-    for k, (t, below) in enumerate(tables, 1):
-        key = asked.withColumn("_g", _low(F.col("g"), k)).withColumn("_h", F.shiftrightunsigned("_g", 16) if k > 1 else F.lit(0).cast("long"))
-        t = t.select(F.col("lang").alias("_l"), F.col("g").alias("_tg"), "num")
-        below = below.select(F.col("lang").alias("_m"), F.col("h").alias("_th"), "total", "gamma")
-        j = key.join(below, F.expr("lang = _m AND _h = _th"), "left" if k > 1 else "inner").join(t, F.expr("lang = _l AND _g = _tg"), "left")
-        under = F.col("p") if k > 1 else p
-        asked = j.select("lang", "g", F.when(F.col("total").isNull(), under).otherwise(F.coalesce("num", F.lit(0.0)) / F.col("total") + F.col("gamma") * under).alias("p"))
-    return asked.select("lang", "g", F.log("p").cast("float").alias("logp"))
-
-
-def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 12_000_000) -> DataFrame:
-    """docs (or its columns `keep`) with perplexity double, per character, and scored_chars long. perplexity is null where there is nothing to score (null or empty text: scored_chars
-    is 0) or no model of the language.
-
-    docs must be a stable read, such as a table: its blocks are made twice, once for their grams and once, compressed, to meet the answers.
+    known = small(materialise(tables[0][1].select("key").distinct(), "models"))
+    ends = [materialise(asked.join(known, "key", "left_semi"), f"asked{ORDER}")]
+    for k in range(ORDER - 1, 0, -1):
+        ends.append(materialise(ends[-1].select("key", F.expr("substring(g, 2)").alias("g")).distinct(), f"asked{k}"))
+    p: DataFrame | None = None
+    for k, (own, (t, below)) in enumerate(zip(ends[::-1], tables), 1):
+        j = own.withColumn("h", F.expr(f"left(g, {k - 1})")).join(small(below) if k == 1 else below, ["key", "h"], "left").join(t, ["key", "g"], "left")
+        under = F.lit(1.0 / CODE_POINTS)
+        if p is not None:
+            j = j.withColumn("e", F.expr("substring(g, 2)")).join(p.select("key", F.col("g").alias("e"), F.col("p").alias("under")), ["key", "e"])
+            under = F.col("under")
+        p = j.select("key", "g", F.when(F.col("total").isNull(), under).otherwise(F.coalesce("num", F.lit(0.0)) / F.col("total") + F.col("gamma") * under).alias("p"))
+    return p.select("key", "g", F.log("p").alias("logp"))
+
+
+def _worst(excess: np.ndarray, before: float) -> tuple[float, float]:
+    """Largest sum of a run of values, and the largest sum of one that ends at the last; `before` is that of a run that ends before the first."""
+    s = before + np.cumsum(excess, dtype=np.float64)
+    w = s - np.minimum(np.minimum.accumulate(s), 0.0)
+    return float(w.max()), float(w[-1])
+
+
+def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 16_000_000) -> DataFrame:
+    """docs (or its columns `keep`) with _kn_nll double: negative logarithm of the text's probability under the trusted model of the other fold, _kn_chars long: its length, and
+    _kn_toxic double: over all passages, the largest logarithm of how much likelier the toxic model makes it than the trusted one.
+
+    Null where there is nothing to score (null or empty text) or no model. docs must be a stable read, such as a table: its blocks are made twice, once for
+    their grams and once, compressed, to meet the answers.
     """
     keep = docs.columns if keep is None else keep
-    names = list(dict.fromkeys([*keep, lang_col, text_col]))
-    docs = docs.select(*names)
-    text_at, lang_at = names.index(text_col), names.index(lang_col)
-    shared_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    shared_dir(spark)
+    rows = docs.select(*keep, F.col(text_col).alias(_TEXT), _key(F.col(lang_col), fold(F.col(id_col))).alias(_KEY))
+    n = len(keep)
+    # the text travels once, also where it is one of the columns to keep
+    sent = [c for c in keep if c != text_col]
 
     def number() -> int:
         from pyspark import TaskContext
@@ -156,76 +220,77 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], lang_col:
         return TaskContext.get().partitionId() << 32
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Encoder.forget()
-        block_id = number()
-        for batch in batches:
-            for block in _blocks(batch, 1, block_bytes):
-                for lang, rows in _by_language(block, 1, 0).items():
-                    g, _ = _distinct(block, rows, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([block_id] * len(g), pa.int64()), pa.array([lang] * len(g), pa.string()), pa.array(g)], names=["block", "lang", "g"])
-                block_id += 1
+        for i, (key, block) in enumerate(_by_key(batches, 0, 1, block_bytes), number()):
+            _, g, _ = distinct(_texts(block, 0))
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(g), pa.int64()), pa.array(range(len(g)), pa.int32()), pa.array([key] * len(g), pa.string()), _strings(g)], names=["block", "nth", "key", "g"])
+        release()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Encoder.forget()
-        block_id = number()
-        for batch in batches:
-            for block in _blocks(batch, text_at, block_bytes):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
-                    w.write_batch(block)
-                yield pa.RecordBatch.from_arrays([pa.array([block_id], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
-                block_id += 1
+        for i, (_, block) in enumerate(_by_key(batches, n, n + 1, block_bytes), number()):
+            block = block.select([*sent, _TEXT])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
+                w.write_batch(block)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+        release()
 
     def answer(packed: pa.Table, known: pa.Table) -> pa.Table:
-        Encoder.forget()
-        tables_ = []
-        lang_of, g_of, p_of = known["lang"].combine_chunks(), known["g"].to_numpy(), known["logp"].to_numpy()
-        parts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        codes = lang_of.dictionary_encode()
-        for i, lang in enumerate(codes.dictionary.to_pylist()):
-            at = np.flatnonzero(codes.indices.to_numpy() == i)
-            at = at[np.argsort(g_of[at], kind="stable")]
-            parts[lang] = g_of[at], p_of[at]
-        for blob in packed["rows"]:
-            block = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
-            found: list[float | None] = []
-            chars: list[int] = []
-            for lang, cell in zip(block.column(lang_at).to_pylist(), block.column(text_at)):
-                text = cell.as_py()
-                chars.append(len(text or ""))
-                if not text or (lang or "") not in parts:
-                    found.append(None)
-                    continue
-                keys, logp = parts[lang or ""]
-                total, g = 0.0, grams(text)
-                for at in range(0, len(g), 1 << 20):
-                    piece = g[at : at + (1 << 20)]
-                    place = np.minimum(np.searchsorted(keys, piece), len(keys) - 1)
-                    if not (keys[place] == piece).all():
-                        raise ValueError("a block differs between two reads; give score() a stable table")
-                    total += float(logp[place].sum(dtype=np.float64))
-                found.append(float(np.exp(-total / len(g))))
-            tables_.append(block.select(keep).append_column("perplexity", pa.array(found, pa.float64())).append_column("scored_chars", pa.array(chars, pa.int64())))
-        if not tables_:
+        if packed.num_rows != 1:
             raise ValueError("a block differs between two reads; give score() a stable table")
-        return pa.concat_tables(tables_)
-
-    asked = docs.select(F.col(lang_col).cast("string").alias("lang"), text_col).mapInArrow(ask, "block long, lang string, g long")
-    known = materialise(probabilities(asked.select("lang", "g").distinct(), tables), "logp")
-    answers = asked.join(known, ["lang", "g"])
-    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField("perplexity", T.DoubleType()), T.StructField("scored_chars", T.LongType())])
-    packed = docs.mapInArrow(pack, "block long, rows binary")
+        block = pa.ipc.open_stream(packed["rows"][0].as_buffer()).read_all().combine_chunks()
+        at = block.schema.get_field_index(_TEXT)
+        lengths = np.array([len(x or "") for x in _texts(block, at)], dtype=np.int64)
+        nll, toxic = np.full(len(lengths), np.nan), np.full(len(lengths), np.nan)
+        if known.num_rows:
+            h, _, _ = distinct(_texts(block, at))
+            place = known["nth"].to_numpy()
+            if len(h) != len(place):
+                raise ValueError("a block differs between two reads; give score() a stable table")
+            good, bad = np.empty(len(h)), np.empty(len(h))
+            good[place], bad[place] = known["good"].to_numpy(zero_copy_only=False), known["bad"].to_numpy(zero_copy_only=False)
+            total, worst, running = np.zeros(len(lengths)), np.zeros(len(lengths)), np.zeros(len(lengths))
+            for c, starts, runs in _chunks(_texts(block, at)):
+                where = np.searchsorted(h, _hashes(c, starts))
+                logp = good[where]
+                excess = bad[where] - logp  # nan without a toxic model
+                to = 0
+                for i, k in runs:
+                    total[i] -= logp[to : to + k].sum()
+                    top, running[i] = _worst(excess[to : to + k], running[i])
+                    worst[i] = max(worst[i], top)
+                    to += k
+            some = lengths > 0
+            nll[some] = total[some]
+            if not np.isnan(bad).any():
+                toxic[some] = worst[some]
+        cells = [block.column(at if c == text_col else block.schema.get_field_index(c)) for c in keep]
+        release()
+        optional = lambda x: pa.array(x, pa.float64(), mask=np.isnan(x))
+        return pa.Table.from_arrays([*cells, optional(nll), pa.array(lengths), optional(toxic)], names=[*keep, _NLL, _CHARS, _TOXIC])
+
+    asked = rows.select(_TEXT, _KEY).mapInArrow(ask, "block long, nth int, key string, g string")
+    both = F.array(*[F.concat(F.lit(kind), F.col("key")) for kind in ("good:", "bad:")])
+    wanted = asked.select("key", "g").distinct().select(F.explode(both).alias("key"), "g")
+    logp = probabilities(wanted, tables).select(F.expr("split_part(key, ':', 1)").alias("kind"), F.expr("substring(key, instr(key, ':') + 1)").alias("key"), "g", "logp")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("logp"))).cast("float").alias(kind)
+    known = materialise(logp.groupBy("key", "g").agg(of("good"), of("bad")).where("good IS NOT NULL"), "logp")
+    answers = asked.join(known, ["key", "g"]).select("block", "nth", "good", "bad")
+    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField(_NLL, T.DoubleType()), T.StructField(_CHARS, T.LongType()), T.StructField(_TOXIC, T.DoubleType())])
+    packed = rows.mapInArrow(pack, "block long, rows binary")
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, out)
 
 
-def likely(docs: DataFrame, ids: DataFrame, id_col: str, bits: int = 1 << 26) -> DataFrame:
-    """docs without most of the rows whose id isn't in ids; every row whose id is there stays.
+def likely(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without most of the rows whose id isn't in ids (one column); every row whose id is there stays.
 
-    A bitmap of hashed ids, `bits` long whatever the number of ids (8 MB), goes to every task, so that a join on the id that follows moves few texts.
+    A bitmap of hashed ids goes to every task, so that a join on the id that follows moves few texts. It has 16 bits for each id, 2^16 at least and 2^28 (32 MB) at
+    most; beyond 100 million ids it lets more rows pass, which the join drops.
     """
     spark = docs.sparkSession
-    place = F.pmod(F.xxhash64(F.col("_id").cast("long")), F.lit(bits))
-    marked = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("_id"))
+    bits = 1 << min(28, max(16, (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    marked = ids.select(place(F.col("_id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     whole = bytearray(bits // 8 + 4096)
     for row in marked.toLocalIterator():
         # buckets count from 1 but for bit 0, which has one of its own; each has 4096 bytes
@@ -239,56 +304,78 @@ def likely(docs: DataFrame, ids: DataFrame, id_col: str, bits: int = 1 << 26) ->
             bucket, bit = (batch.column(n + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             at = np.where(bucket > 0, (bucket - 1) * 4096, bits // 8) + bit // 8
             yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.array(mask[at] >> (bit % 8).astype(np.uint8) & 1 == 1))
+        release()
 
-    here = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(bits))
+    here = place(F.col(id_col))
     return docs.where(F.col(id_col).isNotNull()).select("*", F.bitmap_bucket_number(here), F.bitmap_bit_position(here)).mapInArrow(keep, docs.schema)
 
 
-def held_out(id_: Column, folds: int = 5) -> Column:
-    """Whether a trusted document serves to set thresholds instead of training: one in `folds`, by a hash of its id."""
-    return F.pmod(F.xxhash64(id_.cast("long"), F.lit(17)), F.lit(folds)) == 0
+def verdicts(labels: DataFrame) -> DataFrame:
+    """(label_id, kind) from (doc_id, quality, toxic): bad for ids that any row calls toxic, good for those that all rows call of good quality; no others, and no null id."""
+    by = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id"))
+    per = by.agg(F.max(F.coalesce("toxic", F.lit(0))).alias("t"), F.min(F.coalesce("quality", F.lit(0))).alias("q"))
+    return per.select("label_id", F.when(F.col("t") == 1, "bad").when(F.col("q") == 1, "good").alias("kind")).where("kind IS NOT NULL")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> list[tuple[DataFrame, DataFrame]]:
-    """The model of the trusted texts: those labelled of good quality and not toxic, but for those held out. labels: (doc_id, quality, toxic)."""
+    """Models of the trusted and of the toxic texts, for each language and fold; a fold's models are trained on the documents of the other fold."""
     shared_dir(docs.sparkSession)
-    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id")).where(~held_out(F.col("_id")))
-    texts = likely(docs.select(id_col, lang_col, text_col), trusted, id_col)
-    return model(count(texts.join(trusted, F.expr(f"{id_col} = _id"), "left_semi"), lang_col, text_col))
+    said = verdicts(labels)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = likely(texts, said.select("label_id"), "id").join(said, F.expr("id = label_id"))
+    key = F.concat_ws(":", "kind", _key(F.col("lang"), 1 - fold(F.col("id"))))
+    return model(count(chosen.select(key.alias("key"), "text")))
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, good: float = 0.99, least: int = 30, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """(lang, threshold, mid): mid is the median of the logarithms of a language's perplexities.
+def _limit(values: DataFrame, share: float, prior: float) -> DataFrame:
+    """(lang, limit): per language, the quantile `share` of (lang, x), drawn towards that of all languages together as if `prior` values spoke for it. One row per language."""
+    own = values.groupBy("lang").agg(F.percentile_approx("x", share, 20000).alias("own"), F.count("*").alias("n"))
+    pooled = F.lit(values.agg(F.percentile_approx("x", share, 20000)).first()[0]).cast("double")
+    return own.select("lang", ((F.col("n") * F.col("own") + prior * pooled) / (F.col("n") + prior)).alias("limit"))
 
-    threshold is, per language, the perplexity below which a share `good` of its held-out trusted documents lies. Languages with fewer than `least` of these take the distance from
-    mid that all languages have together. Quantiles come from mergeable sketches; there is one row per language.
+
+def thresholds(scored: DataFrame, trusted: DataFrame, good: float = 0.99, spotless: float = 0.995, prior: float = 30.0) -> DataFrame:
+    """(lang, threshold, toxicity_limit), one row per language of scored: (id, lang, x: logarithm of perplexity, toxicity).
+
+    Among a language's trusted documents (ids in trusted: (label_id)), a share `good` has at most perplexity threshold, and a share `spotless` at most toxicity_limit. Few documents say little about a quantile, so each is drawn towards that of all languages, perplexities relative to the language's middle:
+    with n documents, the language's own counts n / (n + prior). Quantiles come from mergeable sketches.
     """
-    x = scored.where("perplexity IS NOT NULL").select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.log("perplexity").alias("x"))
-    mids = x.groupBy("_lang").agg(F.percentile_approx("x", 0.5, 20000).alias("mid"))
-    trusted = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & held_out(F.col("_id"))
-    known = x.join(labels.select(F.col("doc_id").alias("_l"), "quality", "toxic"), F.expr("_id = _l")).where(trusted).select("_lang", "x").alias("k")
-    far = known.join(mids.alias("m"), F.expr("k._lang <=> m._lang")).select("k._lang", (F.col("x") - F.col("mid")).alias("far"))
+    mids = materialise(scored.where("x IS NOT NULL").groupBy("lang").agg(F.percentile_approx("x", 0.5, 20000).alias("mid")), "mids")
+    known = scored.where("x IS NOT NULL").join(trusted, F.expr("id = label_id"), "left_semi").alias("k")
+    known = materialise(known.join(small(mids).alias("m"), F.expr("k.lang <=> m.lang")).select("k.lang", (F.col("x") - F.col("mid")).alias("x"), "toxicity"), "trusted")
+    toxicity = known.select("lang", F.col("toxicity").alias("x")).where("x IS NOT NULL")
+    out = mids
+    for name, values, share in (("threshold", known.select("lang", "x"), good), ("toxicity_limit", toxicity, spotless)):
+        limit = materialise(_limit(values, share, prior), name).select(F.col("lang").alias("_l"), F.col("limit").alias(name))
+        out = out.join(small(limit), F.expr("lang <=> _l"), "left").drop("_l")
+    return out.select("lang", F.exp(F.col("mid") + F.col("threshold")).alias("threshold"), "toxicity_limit")
 
-    def limits(by: DataFrame, *keys: str) -> DataFrame:
-        return by.groupBy(*keys).agg(F.percentile_approx("far", good, 20000).alias("limit"), F.count("*").alias("n"))
 
-    own, whole = limits(far, "_lang").where(F.col("n") >= least).select(F.col("_lang").alias("_l"), "limit"), limits(far).first()["limit"]
-    out = mids.join(own, F.expr("_lang <=> _l"), "left")
-    return out.select("_lang", F.exp(F.col("mid") + F.coalesce("limit", F.lit(whole).cast("double"))).alias("threshold"), "mid")
+OUTPUT = ("perplexity", "threshold", "toxicity", "toxicity_limit", "kept")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, inert: float = 20.0) -> DataFrame:
-    """docs (or its columns `keep`, which must hold id and language) with perplexity, threshold and kept. docs must be a stable read, such as a table.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, inert: float = 20.0, **shares) -> DataFrame:
+    """docs (or its columns `keep`, which must hold id and language) with perplexity, threshold, toxicity, toxicity_limit and kept. docs must be a stable read, such as a table.
 
-    kept: perplexity is at most the language's threshold; since a few characters say little, a text's excess over the language's middle counts by chars / (chars + inert). Languages without trusted text or threshold are kept unjudged; null and empty texts are not kept, since nothing speaks for
-    them. Null language is a language of its own. Repeated rows are scored alike. An empty table gives no rows. Columns named perplexity, scored_chars, threshold or kept are replaced.
+    kept: perplexity <= threshold and toxicity <= toxicity_limit, where these exist. perplexity is per character; since a few characters say little, each text is scored as if
+    it went on for `inert` characters at its language's middle. Languages without trusted texts are kept unjudged, and
+    where no text is labelled toxic, toxicity is null. Null and empty texts are not kept, since nothing speaks for them; their perplexity is null.
+    Null language is a language of its own. Repeated rows are scored alike. An empty table gives no rows. Columns of docs with the five names are replaced; other names never clash.
     """
     shared_dir(docs.sparkSession)
-    docs = docs.drop("perplexity", "scored_chars", "threshold", "kept")
-    scored = materialise(score(docs, train(docs, labels, id_col, lang_col, text_col), lang_col, text_col, keep), "scored")
-    limits = materialise(thresholds(scored, labels, id_col=id_col, lang_col=lang_col), "limits")
-    # one row per language; broadcast only when it is as short as that
-    out = scored.join(F.broadcast(limits) if limits.count() <= 10_000 else limits, F.expr(f"{lang_col} <=> _lang"), "left").drop("_lang")
-    weight = F.col("scored_chars") / (F.col("scored_chars") + inert)
-    fine = weight * (F.log("perplexity") - F.col("mid")) <= F.log("threshold") - F.col("mid")
-    return out.withColumn("kept", (F.col("scored_chars") > 0) & F.coalesce(fine, F.lit(True))).drop("scored_chars", "mid")
+    docs = docs.drop(*OUTPUT)
+    keep = docs.columns if keep is None else keep
+    tables = train(docs, labels, id_col, lang_col, text_col)
+    scored = materialise(score(docs, tables, id_col, lang_col, text_col, keep), "scored")
+    for pair in tables:
+        discard(*pair)
+    # the language's middle in the same rough way for texts of all lengths
+    rate = scored.where(F.col(_NLL).isNotNull()).groupBy(F.col(lang_col).alias("_kn_lang")).agg(F.percentile_approx(F.col(_NLL) / F.col(_CHARS), 0.5, 20000).alias("_kn_rate"))
+    rate = small(materialise(rate, "rates"))
+    x = (F.col(_NLL) + inert * F.col("_kn_rate")) / (F.col(_CHARS) + inert)
+    scored = scored.join(rate, F.expr(f"`{lang_col}` <=> _kn_lang"), "left").withColumn("_kn_x", x)
+    plain = scored.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col("_kn_x").alias("x"), F.col(_TOXIC).alias("toxicity"))
+    limits = materialise(thresholds(plain, verdicts(labels).where("kind = 'good'").select("label_id"), **shares), "limits").withColumnRenamed("lang", "_kn_limit")
+    out = scored.join(small(limits), F.expr(f"`{lang_col}` <=> _kn_limit"), "left")
+    fine = F.coalesce(F.exp("_kn_x") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col(_TOXIC) <= F.col("toxicity_limit"), F.lit(True))
+    return out.select(*keep, F.exp("_kn_x").alias("perplexity"), "threshold", F.col(_TOXIC).alias("toxicity"), "toxicity_limit", ((F.col(_CHARS) > 0) & fine).alias("kept"))

@@ -155,7 +155,7 @@ def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[str | None], byte
 
 
 def encoder_of(file: str) -> Callable[[], Callable[[str | None], bytes]]:
-    return lambda: Encoder.of(file).encode
+    return lambda: Encoder(file).encode
 
 
 def pieces(sequences: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
-    return judged.select("doc_id", "lang", "perplexity", "threshold", "kept")
+    return judged.select("doc_id", "lang", *kneser_ney.OUTPUT)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

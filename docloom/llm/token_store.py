@@ -149,7 +149,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = Encoder.of(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode, end = Encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
         number, keys, ids, held = TaskContext.get().partitionId() << 24, [], [], 0
 
         def out() -> pa.RecordBatch:

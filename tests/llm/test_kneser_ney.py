@@ -3,18 +3,19 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import kneser_ney as kn
 
 
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney of order 4 over characters, with dictionaries."""
+    """Interpolated modified Kneser-Ney of order 5 over characters, with dictionaries."""
     top = Counter()
     for t in texts:
-        s = "\x01\x01\x01" + t
-        top.update(s[i - 3 : i + 1] for i in range(3, len(s)))
-    levels, counts = {4: top}, top
-    for k in (3, 2, 1):
+        s = "\x02" * 4 + t
+        top.update(s[i - 4 : i + 1] for i in range(4, len(s)))
+    levels, counts = {5: top}, top
+    for k in (4, 3, 2, 1):
         counts = Counter(g[1:] for g in counts)
         levels[k] = counts
     tables = {}
@@ -28,9 +29,9 @@ def brute_model(texts):
             mass[g[:-1]] += d[min(c, 3) - 1]
         tables[k] = counts, d, total, mass
 
-    def p(g, k=4):
+    def p(g, k=5):
         if k == 0:
-            return 1 / 65536
+            return 1 / 0x110000
         g = g[-k:]
         counts, d, total, mass = tables[k]
         if not total[g[:-1]]:
@@ -38,11 +39,18 @@ def brute_model(texts):
         c = counts[g]
         return (c - d[min(c, 3) - 1] if c else 0) / total[g[:-1]] + mass[g[:-1]] / total[g[:-1]] * p(g, k - 1)
 
-    def perplexity(t):
-        s = "\x01\x01\x01" + t
-        return math.exp(-sum(math.log(p(s[i - 3 : i + 1])) for i in range(3, len(s))) / len(t))
+    return p
 
-    return perplexity
+
+def brute_score(good, bad, t):
+    """Negative log-likelihood under one model, and the largest gain of the other over any passage."""
+    s = "\x02" * 4 + t
+    logs = [(math.log(good(s[i - 4 : i + 1])), math.log(bad(s[i - 4 : i + 1]))) for i in range(4, len(s))]
+    gain = best = 0.0
+    for a, b in logs:
+        gain = max(0.0, gain + b - a)
+        best = max(best, gain)
+    return -sum(a for a, _ in logs), best
 
 
 def texts(n, seed):
@@ -53,44 +61,84 @@ def texts(n, seed):
 @pytest.fixture(scope="module")
 def table(spark, tmp_path_factory):
     good, odd = texts(60, 0), ["XX!! $$$ ###" * 3, None, "", "the of", "日本 😀", "the of"]
-    rows = [(i, t, "en" if i % 2 else None) for i, t in enumerate(good)] + [(100 + i, t, "en") for i, t in enumerate(odd)] + [(200, "no model here", "zz"), (None, "the an", "en")]
+    vile = [x + " scum vermin " + x for x in texts(20, 5)]
+    rows = [(i, t, "en" if i % 2 else None) for i, t in enumerate(good)] + [(100 + i, t, "en") for i, t in enumerate(odd)] + [(300 + i, t, "en") for i, t in enumerate(vile)]
+    rows += [(200, "no model here", "zz"), (None, "the an", "en"), (1, good[1], "en"), (1, good[1], "en")]
     path = str(tmp_path_factory.mktemp("kn") / "docs")
-    spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("doc_id", "doc_id").repartition(3).write.parquet(path)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100, 0, 0)], "doc_id long, quality int, toxic int")
-    return spark.read.parquet(path), labels, good
-
-
-def test_perplexity(table):
-    docs, labels, good = table
-    held = {r[0] for r in docs.where(kn.held_out(docs["doc_id"])).select("doc_id").collect()}
-    assert 0 < len(held & set(range(60))) < 30
-    model = {lang: brute_model([t for i, t in enumerate(good) if i % 2 == (lang == "en") and i not in held]) for lang in ("en", None)}
-    tables = kn.train(docs, labels)
-    got = kn.score(docs, tables, block_bytes=500).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # names that the operator might use inside
+    df.selectExpr("*", "1 AS mid", "2 AS block", "'k' AS key", "3 AS kind", "4 AS id", "5 AS x", "'y' AS threshold", "6 AS label_id", "7 AS nth").repartition(3).write.parquet(path)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100, 0, 0), (1, 1, None), (None, 1, 0)] + [(300 + i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")
+    return spark.read.parquet(path), labels, good, vile
+
+
+def test_scores(table):
+    docs, labels, good, vile = table
+    folds = {r["doc_id"]: r["f"] for r in docs.select("doc_id", kn.fold(F.col("doc_id")).alias("f")).collect()}
+    assert set(folds.values()) == {0, 1}
+    trusted = lambda f, lang: brute_model([t for i, t in enumerate(good) if i % 2 == (lang == "en") and folds[i] != f] + [good[1]] * 2 * (lang == "en" and folds[1] != f))
+    toxic = lambda f: brute_model([t for i, t in enumerate(vile) if folds[300 + i] != f])
+    models = {(f, lang): (trusted(f, lang), toxic(f) if lang else None) for f in (0, 1) for lang in ("en", None)}
+    got = kn.score(docs, kn.train(docs, labels), block_bytes=500).collect()
     assert len(got) == docs.count()
     for r in got:
+        assert r["_kn_chars"] == len(r["text"] or "")
         if not r["text"] or r["lang"] == "zz":
-            assert r["perplexity"] is None
-        elif "😀" not in r["text"]:
-            assert r["perplexity"] == pytest.approx(model[r["lang"]](r["text"]), rel=1e-4)
+            assert r["_kn_nll"] is None
+            continue
+        a, b = models[folds[r["doc_id"]], r["lang"]]
+        nll, gain = brute_score(a, b or a, r["text"])
+        assert r["_kn_nll"] == pytest.approx(nll, rel=1e-4)
+        assert r["_kn_toxic"] is None if b is None else r["_kn_toxic"] == pytest.approx(gain, rel=1e-3, abs=1e-3)
 
 
 def test_classify(table):
-    docs, labels, _ = table
+    docs, labels, good, vile = table
     out = kn.classify(docs, labels)
-    kept = {r["doc_id"]: r["kept"] for r in out.collect()}
+    assert out.columns == [*[c for c in docs.columns if c != "threshold"], *kn.OUTPUT]
+    rows = out.collect()
+    assert len(rows) == docs.count()
+    kept = {r["doc_id"]: r["kept"] for r in rows}
     assert all(kept[i] for i in range(60)) and kept[200] and kept[103] and kept[None]
     assert not kept[100] and not kept[101] and not kept[102]
-    assert out.columns == [*docs.columns, "perplexity", "threshold", "kept"]
+    assert sum(kept[300 + i] for i in range(20)) <= 1
+    for r in rows:
+        if r["text"] and r["threshold"] is not None:
+            assert r["kept"] == (r["perplexity"] <= r["threshold"] and (r["toxicity"] is None or r["toxicity"] <= r["toxicity_limit"]))
+    assert len({r["perplexity"] for r in rows if r["doc_id"] == 1}) == 1
     assert kn.classify(docs.limit(0), labels).count() == 0
 
 
+def test_held_out_accuracy(spark, tmp_path):
+    """Documents without labels are judged like their kind."""
+    rng = np.random.default_rng(3)
+    words = ["the", "ing", "reed", "thou", "an", "of", "tion", "er"]
+    plain = lambda: " ".join("".join(rng.choice(words, int(rng.integers(1, 4)))) for _ in range(40))
+    junk = lambda: "".join(rng.choice(list("qxzjkw#$%0 "), 200))
+    vile = lambda: plain() + " worthless scum " + plain()
+    rows = [(3 * i + k, make(), "en") for i in range(150) for k, make in enumerate((plain, junk, vile))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 2)) for i in range(225)], "doc_id long, quality int, toxic int")
+    new = [r for r in kn.classify(spark.read.parquet(str(tmp_path / "d")), labels).collect() if r["doc_id"] >= 225]
+    share = lambda k: sum(r["kept"] for r in new if r["doc_id"] % 3 == k) / 75
+    assert share(0) >= 0.94 and share(1) == 0 and share(2) <= 0.03
+
+
 def test_long_text_in_chunks():
-    t = "".join(texts(300, 4))
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array([t, t[:50]])], names=["lang", "text"])
-    for chunk in (37, 1 << 20):
-        g, c = kn._distinct(batch, [0, 1], 1, chunk)
-        want = Counter(kn.grams(t).tolist()) + Counter(kn.grams(t[:50]).tolist())
-        assert dict(zip(g.tolist(), c.tolist())) == dict(want)
+    t = "".join(texts(300, 4)) + "😀日本"
+    both = [t, None, "", t[:50], "a"]
+    want = Counter()
+    for x in both:
+        s = "\x02" * 4 + (x or "")
+        want.update(s[i - 4 : i + 1] for i in range(4, len(s)))
+    for most in (1, 3, 37, 1 << 20):
+        h, g, n = kn.distinct(both, most)
+        assert (np.diff(h.astype(object)) > 0).all()
+        assert dict(zip(kn._strings(g).to_pylist(), n.tolist())) == dict(want)
+
+
+def test_bitmap(spark):
+    ids = spark.range(500).selectExpr("id * 7 AS label_id")
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text")
+    left = {r["doc_id"] for r in kn.likely(docs, ids, "doc_id").collect()}
+    assert {7 * i for i in range(500)} <= left and len(left) < 3000
