@@ -90,31 +90,34 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _with_low(rows: DataFrame, low: DataFrame, salts: int) -> DataFrame:
-    """Adds m to rows (u, v) from low (u, m). A u with many rows is a hub: its m goes out once per salt, and each salt's rows meet it in a group of their own."""
-    dealt = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
-    needed = dealt.select("u", "s").distinct().join(low, "u")
-    return dealt.join(needed, ["u", "s"]).drop("s")
+def spread_join(rows: DataFrame, per: DataFrame, key: str, by: str, salts: int = 256) -> DataFrame:
+    """rows joined (inner) with per, which has one row for each value of key; `by` tells apart the rows of one key.
+
+    A key with many rows is a hub: its row of per goes out once per salt that occurs, and each salt's rows meet it in a group of their own.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    needed = dealt.select(key, "_salt").distinct().join(per, key)
+    return dealt.join(needed, [key, "_salt"]).drop("_salt")
 
 
-def label(edges: DataFrame, salts: int = 256) -> DataFrame:
+def label(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph, without bringing links or labels to the driver.
 
     edges: (a long, b long). Returns (node long, root long), root being the smallest node of its component; nodes
     without an edge to another node may be missing. Alternates two steps that each keep one row per edge at most: every
     node passes its smallest neighbour to its larger neighbours, then to its smaller ones. Ends when a round leaves the set of edges as it was;
-    only the number of changed edges reaches the driver. Minima combine before the shuffle, and joins deal a hub's edges to `salts` groups.
+    only the number of changed edges reaches the driver. Minima combine before the shuffle, and joins deal a hub's edges to many groups.
     """
     pair = materialise(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
     while True:
         # larger side: all neighbours above u move to the smallest node seen around u
         both = pair.union(pair.selectExpr("v AS u", "u AS v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        wide = _with_low(both.where("v > u"), low, salts).selectExpr("v AS u", "m AS v").distinct()
+        wide = spread_join(both.where("v > u"), low, "u", "v").selectExpr("v AS u", "m AS v").distinct()
         # smaller side: u and all neighbours not above it move to the smallest of them
         low = wide.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.explode(F.expr("array(struct(v AS u, m AS v), struct(u AS u, m AS v))"))
-        close = _with_low(wide, low, salts).select(ends.alias("e")).select("e.*").where("u <> v").distinct()
+        close = spread_join(wide, low, "u", "v").select(ends.alias("e")).select("e.*").where("u <> v").distinct()
         close = materialise(close, "edges")
         # both are sets, so they are equal if one holds the other and has as many rows
         same = close.count() == pair.count() and close.join(pair, ["u", "v"], "left_anti").isEmpty()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import label, materialise, shared_dir
+from .common import discard, label, materialise, parts, shared_dir, spread_join
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -178,7 +178,41 @@ def _verify(similarity: float):
     return run
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, n: int = 5, rows: int = 7, recall: float = 0.9999, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _place(members: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """Adds blocks and block to members (root, node, size, center, ...): how many blocks a component has, and which is the row's.
+
+    A block holds about `block` members or block_bytes of hashes. Members of one center, which share a bucket, go to the same blocks as far as they fit, so that most blocks of a
+    component that chance ties hold together have no bucket in common.
+    """
+    fit = lambda n, b: F.greatest(F.ceil(F.col(n) / block), F.ceil(8 * F.col(b) / block_bytes)).cast("long")
+    whole = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("w")).select("root", fit("m", "w").alias("blocks"))
+    members = spread_join(members, whole, "root", "node")
+    own = members.where("blocks > 1").groupBy("center").agg(F.count("*").alias("m"), F.sum("size").alias("w")).select("center", fit("m", "w").alias("shares"))
+    large = spread_join(members.where("blocks > 1"), own, "center", "node")
+    share = F.pmod(F.xxhash64("node"), F.col("shares"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("center", share), F.col("blocks"))).drop("shares")
+    return members.where("blocks = 1").withColumn("block", F.lit(0).cast("long")).unionByName(large)
+
+
+def _pairs(members: DataFrame, put: DataFrame, similarity: float) -> DataFrame:
+    """(root, i, j), i < j: the blocks of large components that have to be compared, since some bucket reaches into both and their sets' sizes allow a link."""
+    large = members.where("blocks > 1").select("root", "node", "block", "size")
+    sizes = large.groupBy("root", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    reach = put.join(large.select("node", "root", "block"), "node").select("h", "root", "block").distinct()
+    # a bucket lies in one component; only buckets that reach into two blocks or more make pairs
+    wide = reach.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    reach = reach.join(wide, "h", "left_semi")
+    i, j = reach.select("h", "root", F.col("block").alias("i")), reach.select("h", F.col("block").alias("j"))
+    met = i.join(j, "h").where("i < j").select("root", "i", "j").distinct()
+    a = sizes.select("root", F.col("block").alias("i"), F.col("least").alias("a_least"), F.col("most").alias("a_most"))
+    b = sizes.select("root", F.col("block").alias("j"), F.col("least").alias("b_least"), F.col("most").alias("b_most"))
+    may = (F.col("a_most") >= similarity * F.col("b_least") - 1e-9) & (F.col("b_most") >= similarity * F.col("a_least") - 1e-9)
+    return met.join(a, ["root", "i"]).join(b, ["root", "j"]).where(may).select("root", "i", "j")
+
+
+def similar(
+    docs: DataFrame, similarity: float = 0.8, n: int = 5, rows: int = 7, recall: float = 0.9999, block: int = 256, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """One row per row of docs: (node, doc_id, row_key, class_id, n_links, first).
 
     A link joins two rows whose sets of n-word runs have a Jaccard similarity of at least `similarity`; n_links counts a row's links, copies included. class_id is the smallest doc_id
@@ -187,55 +221,66 @@ def similar(docs: DataFrame, similarity: float = 0.8, n: int = 5, rows: int = 7,
 
     Steps: rows with the same set are one class representative. Representatives meet in buckets of equal band hashes; each is tied to the smallest
     of its bucket, so a bucket makes as many rows as it has members, and the ties' connected components hold every pair that shares a bucket.
-    Components are verified on full sets, in blocks of `block` representatives: every pair of blocks is one group,
-    compared by counting shared hashes in a matrix; only each member's links and its smallest partner come out. bands follow from
-    similarity, rows and recall (the chance to find a pair right at the threshold; pairs above it have more, and any chain of ties does too).
+    Components are verified on full sets: small ones whole, several to a task; large ones in blocks of `block` representatives or block_bytes of hashes, each
+    block in itself and each pair of blocks that some bucket reaches into. A group is compared by counting shared hashes in a matrix, and only each member's links
+    and its smallest partner come out. bands follow from similarity, rows and recall (the chance to find a pair right at the threshold; pairs above it have more).
+    Keys that many rows share (a bucket, a component, a center) are joined with salts.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     bands = bands_for(similarity, recall, rows)
     signed = materialise(sign(docs, n, bands, rows, id_col, text_col), "signed")
     key = ["size", "k1", "k2"]
-    reps = signed.where("size > 0").groupBy(*key).agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best")
+    reps = signed.where("size > 0").groupBy(*key).agg(F.min("node").alias("rep"), F.count("*").alias("copies"), best)
     reps = materialise(reps, "reps")
     put = signed.join(reps.select(F.col("rep").alias("node")), "node", "left_semi").select("node", F.explode("bands").alias("h"))
     low = put.groupBy("h").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1").select("h", "low")
-    ties = put.join(low, "h").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    found = materialise(label(ties), "candidates")
-    sizes = found.groupBy("root").agg(F.count("*").alias("m"))
-    members = found.join(sizes, "root").join(reps.withColumnRenamed("rep", "node"), "node")
-    members = members.join(signed.select("node", "doc_id"), "node").select("root", "node", "m", "copies", "doc_id", *key)
-    members = materialise(members.withColumn("blocks", F.ceil(F.col("m") / block).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "members")
+    put = materialise(spread_join(put, low, "h", "node"), "buckets")
+    found = label(put.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+    centers = put.groupBy("node").agg(F.min("low").alias("center"))
+    members = found.join(centers, "node").join(reps.select(F.col("rep").alias("node"), "copies", *key), "node").join(signed.select("node", "row_key"), "node")
+    members = materialise(_place(members, block, block_bytes), "members")
 
     # full sets of the members only
-    wanted = members.select(F.col("doc_id").alias("_want")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, F.expr("doc_id <=> _want"), "left_semi")
+    texts = docs.select(F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row_key"), F.col(text_col).alias("text")).join(members.select("row_key").distinct(), "row_key", "left_semi").select("text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingles(x.as_py(), n) for x in part.column(1)]
+                sets = [shingles(x.as_py(), n) for x in part.column(0)]
                 keys = [_set_key(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*key, "hashes"])
-
-    sets = texts.mapInArrow(full, "size long, k1 long, k2 long, hashes binary").dropDuplicates(key)
-    sets = members.join(sets, key)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    spread = sets.select("root", "node", "copies", "block", "blocks", "hashes", other.alias("o")).select("root", "node", "copies", "block", "hashes", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.lit(-1).cast("long")).alias("large"))
-    # small components share tasks; of a large one, each pair of blocks is a group
-    share = F.when(F.col("large") < 0, F.pmod(F.xxhash64("root"), F.lit(members.count() // 1000 + 1))).otherwise(F.lit(0).cast("long"))
-    checked = materialise(spread.withColumn("share", share).groupBy("large", "share", "i", "j").applyInArrow(_verify(similarity), _VERIFY), "checked")
+                cells = [pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=[*key, "hashes"])
+
+    sets = members.join(texts.mapInArrow(full, "size long, k1 long, k2 long, hashes binary").dropDuplicates(key), key)
+    sets = materialise(sets.select("root", "node", "copies", "block", "blocks", "size", "hashes"), "sets")
+    columns = ["root", "node", "copies", "block", "hashes"]
+    # small components share tasks, about block_bytes of hashes in each; of a large one, each block and each pair of blocks is a group
+    shares = parts(spark, 8 * (members.agg(F.sum("size")).first()[0] or 0), block_bytes)
+    none = F.lit(-1).cast("long")
+    alone = sets.where("blocks = 1").select(*columns, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), none.alias("large"), F.pmod(F.xxhash64("root"), F.lit(shares)).alias("share"))
+    pairs = materialise(_pairs(members, put, similarity), "pairs")
+    ends = pairs.select("root", F.expr("inline(array(struct(i AS block, i, j), struct(j AS block, i, j)))"))
+    ends = ends.unionByName(members.where("blocks > 1").select("root", "block", F.col("block").alias("i"), F.col("block").alias("j")).distinct())
+    large = sets.where("blocks > 1").join(ends, ["root", "block"]).select(*columns, "i", "j", F.col("root").alias("large"), F.lit(0).cast("long").alias("share"))
+    checked = alone.unionByName(large).groupBy("large", "share", "i", "j").applyInArrow(_verify(similarity), _VERIFY)
+    checked = materialise(checked, "checked")
+    discard(sets, put, pairs)
 
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     joined = label(checked.where("low <> node").select(F.col("node").alias("a"), F.col("low").alias("b")))
     per = reps.withColumnRenamed("rep", "node").join(joined, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = per.groupBy("root").agg(F.min("best").alias("top"))
-    per = per.join(tops, "root").select(*key, F.col("top.doc_id").alias("class_id"), F.col("top.node").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per = spread_join(per, tops, "root", "node").select(*key, F.col("top.doc_id").alias("class_id"), F.col("top.node").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     per = materialise(per, "classes")
-    out = signed.select("node", "doc_id", "row_key", *key).join(per, key, "left")
-    alone = F.col("size") == 0
-    return out.select("node", "doc_id", "row_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), (alone | (F.col("node") == F.col("top"))).alias("first"))
+    discard(members, checked, reps)
+    # copies of one text are a hub here too, and rows without words have no class of their own in `per`
+    out = spread_join(signed.where("size > 0").select("node", "doc_id", "row_key", F.struct(*key).alias("k")), per.select(F.struct(*key).alias("k"), "class_id", "top", "n_links"), "k", "node")
+    out = out.select("node", "doc_id", "row_key", "class_id", F.col("n_links").cast("long").alias("n_links"), (F.col("node") == F.col("top")).alias("first"))
+    alone = signed.where("size = 0").select("node", "doc_id", "row_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

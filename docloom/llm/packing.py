@@ -1,8 +1,8 @@
 """Sequence packing by minimum bin slack.
 
 Documents are cut into full windows and one remainder each. Remainders are gathered, some thousands at a time, and fill windows: the longest one left opens a window, and a subset-sum over the
-multiset of remaining lengths, kept as a bitset, finds those that fill it closest to capacity. Cutting is free, so what a partition has left at
-its end goes out in sequences whose lengths are powers of two, which need no padding.
+multiset of remaining lengths, kept as a bitset, finds those that fill it closest to capacity. Cutting is free, so remainders that don't fit together are cut, and what a
+partition has left at its end goes out in sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -71,33 +71,40 @@ def plan(lengths: list[int], size: int) -> list[list[int]]:
     return out
 
 
-def _flush(rest: list[tuple], size: int, last: bool, loose: int) -> tuple[list[list[tuple]], list[tuple]]:
-    """Windows of pieces (doc_id, start, ids, doc_tokens), and the pieces to keep for later: those of windows with more slack than `loose`."""
-    windows, later = [], []
-    for places in plan([len(p[2]) // 4 for p in rest], size):
-        pieces = [rest[i] for i in places]
-        total = sum(len(p[2]) // 4 for p in pieces)
-        if size - total > loose and total & (total - 1):
-            later += pieces
-        else:
-            windows.append(pieces)
-    if not last:
-        return windows, later
-    # at the end: one stream, cut at the full size and then at falling powers of two
-    left = sum(len(p[2]) // 4 for p in later)
-    while left:
+def _cut(rest: list[tuple], size: int, most: int) -> tuple[list[list[tuple]], list[tuple]]:
+    """Windows without slack out of one stream of pieces, cut where a window is full; ends when `most` pieces at most are left or the tokens left don't fill a window."""
+    windows, left = [], sum(len(p[2]) // 4 for p in rest)
+    while len(rest) > most and left:
         room = size if left >= size else 1 << (left.bit_length() - 1)
         left -= room
         window = []
         while room:
-            doc, start, ids, n = later.pop()
+            doc, start, ids, n = rest.pop()
             k = min(room, len(ids) // 4)
             window.append((doc, start, ids[: 4 * k], n))
             if k < len(ids) // 4:
-                later.append((doc, start + k, ids[4 * k :], n))
+                rest.append((doc, start + k, ids[4 * k :], n))
             room -= k
         windows.append(window)
-    return windows, []
+    return windows, rest
+
+
+def _flush(rest: list[tuple], size: int, last: bool, loose: int) -> tuple[list[list[tuple]], list[tuple]]:
+    """Windows of pieces (doc_id, start, ids, doc_tokens), and the pieces to keep for later: those of windows with more slack than `loose`.
+
+    Lengths that don't fit together, such as many just over half a window, would be kept forever: where more than half of the pieces are left, the
+    others are cut to fill windows. So a call frees half of the pieces at least, and each piece is planned twice on average at most. With `last`, all are cut and the end goes out in falling powers of two.
+    """
+    windows, later = [], []
+    for places in plan([len(p[2]) // 4 for p in rest], size):
+        pieces = [rest[i] for i in places]
+        total = sum(len(p[2]) // 4 for p in pieces)
+        if size - total > loose and total & (total - 1):
+            later += pieces
+        else:
+            windows.append(pieces)
+    cut, later = _cut(later, size, 0 if last else len(rest) // 2)
+    return windows + cut, later
 
 
 def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[str | None], bytes]], end_id: int = 1, size: int = 2048, pad_id: int = 0, hold: int = 4096, loose: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

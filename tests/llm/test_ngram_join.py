@@ -56,9 +56,30 @@ def corpus(seed=3):
 def test_against_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (256, 8):  # the second one splits the large group into blocks
-        got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar(df, block=block).collect())
-        assert got == brute(rows)
+    want = brute(rows)
+    for how in ({}, {"block": 8}, {"block_bytes": 20_000}):  # the second and third split large groups into blocks
+        got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar(df, **how).collect())
+        assert got == want
+
+
+def test_hub_and_chain(spark):
+    """Components are exact for a star with more rows than there are salts, a long chain and a few pairs."""
+    from docloom.llm.common import label
+
+    star = [(5000, 10_000 + i) for i in range(1500)]
+    chain = [(i, i + 1) for i in range(100)]
+    df = spark.createDataFrame(star + chain + [(200, 300), (300, 200), (7000, 7000)], "a long, b long")
+    got = {r["node"]: r["root"] for r in label(df).collect()}
+    want = {n: 5000 for _, n in star} | {i: 0 for i in range(101)} | {5000: 5000, 200: 200, 300: 200}
+    assert got == want
+
+
+def test_clashing_columns(spark):
+    rows = corpus(4)[:40]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS size", "3 AS h", "4 AS root", "5 AS block", "'z' AS row_key", "6 AS _salt")
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar(df).collect())
+    assert got == brute(rows)
+    assert ngram_join.keep_one(df).columns == df.columns
 
 
 def test_keep_one(spark, odd):

@@ -92,13 +92,39 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), make).count() == 0
 
 
-def test_packing_odd(spark, odd):
-    e = Encoder(tokenizer_file())
-    got = packing.pieces(packing.pack(odd, packing.encoder_of(tokenizer_file()))).toPandas()
-    want = {}
+def test_packing_odd(spark, odd, tokenizer):
+    """Real ids: every piece has the checksum of its part of the whole text's ids."""
+    got = packing.pieces(packing.pack(odd, packing.encoder_of(tokenizer_file()))).collect()
+    texts = {}
     for r in odd.collect():
-        want[r["doc_id"]] = want.get(r["doc_id"], 0) + len(e.encode(r["text"])) // 4 + 1
-    assert {None if d != d else int(d): int(n) for d, n in got.groupby("doc_id", dropna=False)["length"].sum().items()} == want
+        texts.setdefault(r["doc_id"], []).append(whole(tokenizer, r["text"]) + np.array([1], dtype="<u4").tobytes())
+    for r in got:
+        ids = texts[r["doc_id"]][0]
+        assert r["doc_tokens"] == len(ids) // 4 and r["ids_crc32"] == zlib.crc32(ids[4 * r["start"] : 4 * (r["start"] + r["length"])])
+    for doc, same in texts.items():
+        spans = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == doc)
+        assert sum(n for _, n in spans) == sum(len(x) // 4 for x in same)
+    check_pieces(got, {}, 2048)
+
+
+def test_remainders_that_do_not_fit_together():
+    """20,000 remainders just over half a window: planned in linear time, never more than `hold` held."""
+    import time
+
+    began, rest, seen, most = time.perf_counter(), [], 0, 0
+    ids = np.zeros(1100, dtype="<u4").tobytes()
+    flushes = 0
+    for doc in range(20_000):
+        rest.append((doc, 0, ids, 1100))
+        most = max(most, len(rest))
+        if len(rest) >= 4096:
+            windows, rest = packing._flush(rest, 2048, False, 8)
+            flushes += 1
+            seen += sum(len(p[2]) // 4 for w in windows for p in w)
+            assert len(rest) <= 2048 and all(sum(len(p[2]) // 4 for p in w) == 2048 for w in windows)
+    windows, rest = packing._flush(rest, 2048, True, 8)
+    seen += sum(len(p[2]) // 4 for w in windows for p in w)
+    assert seen == 20_000 * 1100 and not rest and most == 4096 and flushes <= 10 and time.perf_counter() - began < 20
 
 
 def test_segment():
