@@ -41,7 +41,7 @@ def unescape(text: Column, t: Template = Template()) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """Final messages from a log of events.
 
-    events: (conv_id, msg_id, seq, kind, role, text), kind one of
+    events: (conv_id, msg_id, seq, kind, role, text), msg_id and seq of any type that has an order, kind one of
     message (opens msg_id with a text), delta (adds text to it), edit (puts text in its place) and regenerate (drops
     what was streamed; later deltas build the new text). Returns (conv_id, msg_id, seq, role, text): seq is that of the
     message's first event, role the first that is given (empty if none is), text what holds after the last event. A null text is empty, an unknown
@@ -53,11 +53,38 @@ def fold(events: DataFrame) -> DataFrame:
     kept = F.when(F.col("last").isNull() | F.col("seq").isNull() | (F.col("seq") >= F.col("last")), F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))
     return live.groupBy("conv_id", "msg_id").agg(
         F.min("seq").alias("seq"),
-        F.coalesce(F.min_by("role", F.when(F.col("role").isNotNull(), F.struct(F.coalesce("seq", F.lit(-(2**63))), "role"))), F.lit("")).alias("role"),
+        F.coalesce(F.min_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "role"))), F.lit("")).alias("role"),
         F.array_join(F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["text"]), "").alias("text"),
     )
 
 
+def to_log(turns: DataFrame) -> DataFrame:
+    """A table of finished turns (conv_id, turn, role, text) as the log of events that a chat service would have kept: (conv_id, msg_id, seq, kind, role, text).
+
+    By a hash of the turn, it was written whole, streamed in three deltas, corrected by an edit, or streamed anew after a draft that was dropped. A
+    message is named by its turn, a hash of what it says, and its number among rows that are wholly alike; seq is the turn and the step within it. So the log is the same on every run.
+    """
+    text, same = F.coalesce("text", F.lit("")), F.xxhash64("role", "text")
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn", "hash").orderBy("hash"))
+    one = turns.select("conv_id", "turn", "role", text.alias("text"), same.alias("hash")).withColumn("nth", nth)
+    third = (F.length("text") / 3).cast("int")
+    cut = [F.left(F.col("text"), third), F.substring(F.col("text"), third + 1, third), F.substring(F.col("text"), 2 * third + 1, F.length("text"))]
+    draft = F.concat(F.left(F.col("text"), F.lit(8)), F.lit(" ..."))
+
+    def steps(*events: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), x.alias("said")) for k, (kind, x) in enumerate(events)])
+
+    nothing = F.lit(None).cast("string")
+    streamed = [("delta", x) for x in cut]
+    ways = (steps(("message", F.col("text"))), steps(("message", nothing), *streamed), steps(("message", draft), ("edit", F.col("text"))), steps(("message", nothing), ("delta", draft), ("regenerate", nothing), *streamed))
+    way = F.pmod(F.xxhash64("hash", "turn"), F.lit(len(ways)))
+    chosen = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
+    out = one.withColumn("event", F.explode(chosen))
+    # only a message's first event names the role
+    role = F.when(F.col("event.step") == 0, F.col("role"))
+    return out.select("conv_id", F.struct("turn", "hash", "nth").alias("msg_id"), F.struct("turn", "event.step").alias("seq"), "event.kind", role.alias("role"), F.col("event.said").alias("text"))
+
+
 def render(messages: DataFrame, template: Template = Template()) -> DataFrame:
     """One row per conversation: (conv_id, n_turns long, formatted string, loss array<struct<start, length>>).
 

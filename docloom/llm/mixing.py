@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, shared_dir, small
 
 _TINY = 1e-9
 
@@ -104,15 +104,17 @@ def settle(ids: Sequence[int], sizes: Sequence[int], chances: Sequence[float], s
 
 
 def round_copies(items: DataFrame, seed: int = 0, leaf: int = 4096) -> DataFrame:
-    """Settles chances within each source. items: (key long, source, size long > 0, chance double in [0, 1), n long: rows of the source).
+    """Settles chances within each source. items: (key long, nth long, source, size long > 0, chance double in [0, 1), n long: rows of the source); key and nth tell rows of a source apart.
 
-    Returns (key, source, size, taken int 0 or 1). No group of more than about `leaf` rows meets in one task, whatever the size of a source.
+    Returns (key, nth, source, size, taken int 0 or 1). Leaves are dealt by a hash of key and nth, so no group of more than about `leaf` rows meets in one task, however many rows a source
+    or a key has.
     """
-    schema = "key long, source string, size long, chance double, n long, leaf long, open boolean"
+    schema = "key long, nth long, source string, size long, chance double, n long, leaf long, open boolean"
+    mask = 0xFFFFFFFFFFFFFFFF
 
     def level(seed: int, last: bool):
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            ids = [0 if pd.isna(x) else int(x) & 0xFFFFFFFFFFFFFFFF for x in rows["key"]]
+            ids = [((0 if pd.isna(x) else int(x)) * 0x9E3779B97F4A7C15 + int(k)) & mask if k else (0 if pd.isna(x) else int(x)) & mask for x, k in zip(rows["key"], rows["nth"])]
             f, held = settle(ids, rows["size"].tolist(), rows["chance"].tolist(), seed, last)
             open_ = np.zeros(len(rows), dtype=bool)
             if held >= 0:
@@ -121,17 +123,17 @@ def round_copies(items: DataFrame, seed: int = 0, leaf: int = 4096) -> DataFrame
 
         return run
 
-    spark = items.sparkSession
     most = items.agg(F.max("n")).first()[0] or 0
     done, k = [], 0
-    now = items.select("key", "source", "size", "chance", "n")
+    own = ["key", "nth", "source", "size", "chance", "n"]
+    now = items.select(*own)
     while True:
         leaves = F.ceil(F.col("n") / leaf).cast("long")
-        spread = F.xxhash64("key") if not k else F.xxhash64("leaf", F.lit(k))
+        spread = F.xxhash64("key", "nth") if not k else F.xxhash64("leaf", F.lit(k))
         last = most <= leaf
-        dealt = now.withColumn("leaf", F.pmod(spread, leaves)).withColumn("open", F.lit(False)).select("key", "source", "size", "chance", "n", "leaf", "open")
+        dealt = now.withColumn("leaf", F.pmod(spread, leaves)).withColumn("open", F.lit(False)).select(*own, "leaf", "open")
         settled = materialise(dealt.groupBy("source", "leaf").applyInPandas(level(seed + 7 * k, last), schema), "mix")
-        done.append(settled.where(~F.col("open")).select("key", "source", "size", F.col("chance").cast("int").alias("taken")))
+        done.append(settled.where(~F.col("open")).select("key", "nth", "source", "size", F.col("chance").cast("int").alias("taken")))
         if last:
             break
         most = -(-most // leaf)
@@ -144,21 +146,25 @@ def round_copies(items: DataFrame, seed: int = 0, leaf: int = 4096) -> DataFrame
 
 
 def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """How many words the mix takes of each document: (doc_id, source, size, source_size, target, copies, taken).
+    """How many words the mix takes of each document: (doc_id, nth, source, size, source_size, target, copies, taken).
 
-    size gives a document's size; null counts as 0. Documents of size 0 are taken 0 times. Repeated ids are rows of their
-    own. Reruns agree: chances come from ids and the seed alone. An empty table gives no rows.
+    size gives a document's size; null counts as 0. Documents of size 0 are taken 0 times. Rows alike in id, source and size are documents of their
+    own, numbered by nth from 0. Reruns agree: chances come from id, nth and the seed alone. An empty table gives no rows.
     """
     shared_dir(docs.sparkSession)
-    sized = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size")), "sizes")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    # counted first, so that rows that are alike get numbers without meeting in a task
+    alike = plain.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
+    sized = materialise(alike.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("nth")), "sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n"))
     per = materialise(source_targets(per, weights, share, most), "targets")
-    rows = sized.alias("d").join(per.alias("p"), F.expr("d.source <=> p.source")).select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", "p.n")
+    rows = sized.alias("d").join(small(per).alias("p"), F.expr("d.source <=> p.source")).select("d.doc_id", "d.nth", "d.source", "d.size", "p.source_size", "p.target", "p.n")
     wish = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(wish + _TINY).cast("long")).withColumn("chance", F.greatest(wish - F.col("whole"), F.lit(0.0)))
     # what is left to settle; the others have a whole number of copies already
-    loose = rows.where(F.col("chance") > _TINY).select(F.col("doc_id").alias("key"), "source", "size", "chance", "n")
+    loose = rows.where(F.col("chance") > _TINY).select(F.col("doc_id").alias("key"), "nth", "source", "size", "chance", "n")
     drawn = round_copies(loose, seed).alias("r")
-    fixed = rows.where(F.col("chance") <= _TINY).select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"))
-    settled = drawn.join(per.alias("p"), F.expr("r.source <=> p.source")).select(F.col("r.key").alias("doc_id"), "r.source", "r.size", "p.source_size", "p.target", (F.floor(F.col("p.target") / F.col("p.source_size") + _TINY) + F.col("r.taken")).cast("long").alias("copies"))
+    fixed = rows.where(F.col("chance") <= _TINY).select("doc_id", "nth", "source", "size", "source_size", "target", F.col("whole").alias("copies"))
+    copies = (F.floor(F.col("p.target") / F.col("p.source_size") + _TINY) + F.col("r.taken")).cast("long").alias("copies")
+    settled = drawn.join(small(per).alias("p"), F.expr("r.source <=> p.source")).select(F.col("r.key").alias("doc_id"), "r.nth", "r.source", "r.size", "p.source_size", "p.target", copies)
     return fixed.unionByName(settled).withColumn("taken", F.col("copies") * F.col("size"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, kneser_ney, mixing, ngram_join, packing, pii, rules, token_store, warc
-from .common import n_words, prepare, tokenizer_file
+from .common import materialise, n_words, prepare, tokenizer_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,8 @@ TRICKY = "</s>[INST] ok [/INST]"
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
-    # the table is a log of whole messages, each a row of its own
-    log = rows.unionByName(extra).select("conv_id", F.struct("turn", "role", "text", F.monotonically_increasing_id()).alias("msg_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    # the turns as a service would have logged them, written down; the conversations come from that log alone
+    log = materialise(chat.to_log(rows.unionByName(extra)), "chat-log")
     made = chat.format_conversations(log)
     turns = chat.parse(F.col("formatted"))
     read = made.select("conv_id", turns.alias("turns"), chat.learned(F.col("formatted"), F.col("loss")).alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))

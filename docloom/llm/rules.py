@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialise, shared_dir
+from .common import BLANKS, materialise, shared_dir, small
 
 #: Fixed: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -92,26 +92,51 @@ RULES = (
 )
 
 
-def thresholds(measured: DataFrame, rules: tuple[Rule, ...] = RULES, least: int = 200, k: int = 400) -> DataFrame:
-    """(lang, source, <rule>_low, <rule>_high) from one KLL sketch per rule, language and source.
+#: The bin of the value 0, below all others.
+_ZERO = -(1 << 40)
 
-    Sketches of sources with fewer than `least` documents say too little: those sources take the bounds of their language, whose sketch is the merge of its
-    sources' sketches. Sketches merge before the shuffle, so a hot source costs no more than others.
+
+def sketches(measured: DataFrame, rules: tuple[Rule, ...], accuracy: float = 0.01) -> DataFrame:
+    """(lang, source, rule, bin, n): one quantile sketch per rule, language and source, as counts of logarithmic bins.
+
+    A bin holds the values within a share `accuracy` of each other, so it stands for each of them that nearly. Counts of the same bin add up, so sketches merge exactly, in any
+    order, and reruns agree; that happens before the shuffle, so a hot source costs no more than others. Values from 10^-6 to 10^6 make under 3000 bins.
+    """
+    named = F.inline(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.expr(f"CAST({r.value} AS DOUBLE)").alias("value")) for r in rules]))
+    bin_ = F.when(F.col("value") > 0, F.floor(F.log("value") / F.log(F.lit(1 + accuracy)))).otherwise(F.lit(_ZERO)).cast("long")
+    return measured.select("lang", "source", named).groupBy("lang", "source", "rule", bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def quantiles(sketch: DataFrame, keys: list[str], shares: dict[str, float], accuracy: float = 0.01) -> DataFrame:
+    """(keys, n, one column per share): the values below which these shares lie, from a sketch (keys, bin, n)."""
+    w = Window.partitionBy(*keys)
+    ranked = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+    value = lambda b: F.when(b == _ZERO, 0.0).otherwise(F.pow(F.lit(1 + accuracy), b + 0.5))
+    return ranked.groupBy(*keys).agg(F.max("all").alias("n"), *[value(F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("bin")))).alias(name) for name, share in shares.items()])
+
+
+def thresholds(measured: DataFrame, rules: tuple[Rule, ...] = RULES, prior: float = 200.0) -> DataFrame:
+    """(lang, source, <rule>_low, <rule>_high) from one sketch per rule, language and source.
+
+    Few documents say little about quantiles, so a source's are drawn towards those of its language, whose sketch is the merge of its sources': with n documents, its own
+    count n / (n + prior).
     """
-    by = measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.expr(f"CAST({r.value} AS DOUBLE)"), k).alias(r.name) for r in rules])
-    by = materialise(by, "sketches")
-    whole = by.groupBy("lang").agg(*[F.kll_merge_agg_double(r.name, k).alias(f"all_{r.name}") for r in rules])
-    both = by.alias("b").join(whole.alias("w"), F.expr("b.lang <=> w.lang"))
-    out = [F.col("b.lang").alias("lang"), F.col("b.source").alias("source")]
+    by = materialise(sketches(measured, rules), "sketches")
+    shares = {"q1": 0.25, "q3": 0.75}
+    own = quantiles(by, ["lang", "source", "rule"], shares)
+    whole = quantiles(by.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n")), ["lang", "rule"], shares)
+    both = own.alias("o").join(whole.alias("w"), F.expr("o.lang <=> w.lang AND o.rule = w.rule"))
+    drawn = lambda q: ((F.col("o.n") * F.col(f"o.{q}") + prior * F.col(f"w.{q}")) / (F.col("o.n") + prior)).alias(q)
+    both = both.select("o.lang", "o.source", "o.rule", drawn("q1"), drawn("q3"))
+    out = []
     for r in rules:
-        sketch = F.when(F.col("b.n") >= least, F.col(f"b.{r.name}")).otherwise(F.col(f"w.all_{r.name}"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        reach = r.reach * F.greatest(q3 - q1, F.lit(r.slack))
-        out += [(q1 - reach if r.lower else F.lit(float("-inf"))).alias(f"{r.name}_low"), (q3 + reach).alias(f"{r.name}_high")]
-    return both.select(*out)
+        reach = r.reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(r.slack))
+        low = F.col("q1") - reach if r.lower else F.lit(float("-inf"))
+        out += [F.max(F.when(F.col("rule") == r.name, x)).alias(f"{r.name}_{side}") for side, x in (("low", low), ("high", F.col("q3") + reach))]
+    return both.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 200) -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior: float = 200.0) -> DataFrame:
     """One row per document: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed array<string>, kept).
 
     base_failed: under 10 words, or over 20% of words in repeated windows; such documents don't shape the thresholds either. kept is
@@ -122,8 +147,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     m = measure(plain).drop("text").withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     m = materialise(m, "measured")
-    t = materialise(thresholds(m.where(~F.col("base_failed")), rules, least), "thresholds")
-    j = m.alias("m").join(t.alias("t"), F.expr("m.lang <=> t.lang AND m.source <=> t.source"), "left")
+    t = materialise(thresholds(m.where(~F.col("base_failed")), rules, prior), "thresholds")
+    j = m.alias("m").join(small(t).alias("t"), F.expr("m.lang <=> t.lang AND m.source <=> t.source"), "left")
     value = {r.name: F.expr(f"CAST({r.value} AS DOUBLE)") for r in rules}
     failed = F.array_compact(F.array(*[F.when((value[r.name] > F.col(f"t.{r.name}_high")) | (value[r.name] < F.col(f"t.{r.name}_low")), F.lit(r.name)) for r in rules]))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -32,3 +32,29 @@ def test_ties_nulls_and_empty(spark):
     got = {r["conv_id"]: r["t"] for r in chat.render(m).select("conv_id", F.transform(chat.parse(F.col("formatted")), lambda t: t["text"]).alias("t")).collect()}
     assert got == {1: ["", "a", "a", "b"], None: ["x"]}
     assert chat.render(m.limit(0)).count() == 0
+
+
+def test_log_of_a_table(spark):
+    """A table of turns, logged with deltas, edits and regenerations, comes back as it was."""
+    texts = TEXTS + [f"text {i} " * (i % 7) for i in range(60)] + ["same", "same", "same", None]
+    rows = [(i % 3 if i % 5 else None, None if i % 9 == 8 else i // 6, ("user", "assistant", None)[i % 3], t) for i, t in enumerate(texts)]
+    turns = spark.createDataFrame(rows + [(1, 2, "user", "twice")] * 3, "conv_id long, turn long, role string, text string")
+    log = chat.to_log(turns)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    direct = turns.select("conv_id", F.struct("turn", F.lit(0).alias("step")).alias("seq"), "role", "text")
+    want = {r["conv_id"]: (r["formatted"], r["n_turns"]) for r in chat.render(direct).collect()}
+    for parts in (1, 5):
+        got = {r["conv_id"]: (r["formatted"], r["n_turns"]) for r in chat.format_conversations(log.repartition(parts)).collect()}
+        assert got == want
+
+
+def test_very_long_text(spark):
+    long = "<|word " * 200_000
+    turns = spark.createDataFrame([(1, i, "assistant", long + "x" * i) for i in range(4)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(chat.to_log(turns)).select(chat.learned(F.col("formatted"), F.col("loss")).alias("learned")).first()
+    assert out["learned"] == "".join(long + "x" * i for i in range(4))
+
+
+def test_clashing_columns(spark):
+    e = events(spark, [(1, 1, 1, "message", "user", "hi")]).selectExpr("*", "9 AS last", "8 AS n", "7 AS before", "6 AS piece", "5 AS turn")
+    assert chat.format_conversations(e).first()["formatted"] == "<|turn>user<|body>hi<|end>"

@@ -50,7 +50,7 @@ def test_limits_and_reruns(mixed):
 
 
 def test_small_leaves_form_a_tree(spark):
-    items = spark.range(500).select(F.col("id").alias("key"), F.lit("s").alias("source"), (F.col("id") % 50 + 1).alias("size"), F.lit(0.3).alias("chance"), F.lit(500).cast("long").alias("n"))
+    items = spark.range(500).select(F.col("id").alias("key"), F.lit(0).cast("long").alias("nth"), F.lit("s").alias("source"), (F.col("id") % 50 + 1).alias("size"), F.lit(0.3).alias("chance"), F.lit(500).cast("long").alias("n"))
     out = mixing.round_copies(items, leaf=16).toPandas()
     assert len(out) == 500 and set(out["taken"]) <= {0, 1}
     assert abs((out["taken"] * out["size"]).sum() - 0.3 * out["size"].sum()) <= 50
@@ -79,6 +79,16 @@ def test_common_chance_leaves_the_smallest():
     assert all(mixing.settle(range(102), sizes, [0.35] * 102, seed, False)[1] != 0 for seed in range(200))
 
 
+def test_one_id_for_many_rows(spark):
+    """Rows without an id are documents of their own, dealt to many leaves."""
+    df = spark.range(9000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'s' || (id % 2) AS source", "1 + id % 40 AS size", "5 AS nth", "6 AS leaf")
+    got = [mixing.mix(df, F.col("size")).toPandas() for _ in range(2)]
+    key = ["source", "size", "nth", "copies"]
+    assert len(got[0]) == 9000 and got[0][key].sort_values(key).values.tolist() == got[1][key].sort_values(key).values.tolist()
+    for _, rows in got[0].groupby("source"):
+        assert abs(rows["taken"].sum() - rows["target"].iloc[0]) <= 40
+
+
 def test_odd_rows(odd):
     m = mixing.mix(odd, n_words(F.col("text")))
     assert m.count() == odd.count()

@@ -48,6 +48,31 @@ def test_sketches_come_near_exact_quantiles(spark):
     assert t["symbols_high"] == pytest.approx(q3 + 3 * (q3 - q1), rel=0.05)
 
 
+def test_reruns_agree_and_sources_lean_on_their_language(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("w" * int(rng.integers(1, 12)) + str(k) for k in range(30)) + " #" * int(rng.integers(0, 9)), "en", f"s{i % 40}") for i in range(2000)]
+    make = lambda n: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(n)
+    a, b = (sorted((r["doc_id"], r["kept"]) for r in rules.judge(make(n)).collect()) for n in (1, 7))
+    assert a == b
+    measured = rules.measure(make(2))
+    bounds = {p: {r["source"]: r["symbols_high"] for r in rules.thresholds(measured, prior=p).collect()} for p in (0.0, 200.0, 1e9)}
+    whole = bounds[1e9]["s0"]
+    assert all(abs(bounds[200.0][s] - whole) <= abs(bounds[0.0][s] - whole) + 1e-9 for s in bounds[0.0])
+
+
+def test_verdict_against_brute_force(spark):
+    """Bounds from exact quantiles give the same verdict but for documents within the sketch's accuracy of a bound."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{'w' * int(rng.integers(1, 9))}{k}{i}" for k in range(40)) + " $" * int(rng.integers(0, 3) if i % 20 else 60), "en", None) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    m = {i: brute(t) for i, t, _, _ in rows}
+    share = {i: x[2] / x[1] for i, x in m.items()}
+    q1, q3 = np.quantile(list(share.values()), [0.25, 0.75])
+    high = q3 + 3 * max(q3 - q1, 0.03)
+    got = {r["doc_id"]: "symbols" in r["failed"] for r in rules.judge(df).collect()}
+    assert all(got[i] == (share[i] > high) for i in got if abs(share[i] - high) > 0.02 * high) and 0 < sum(got.values()) < 100
+
+
 def test_odd_rows(spark, odd):
     got = rules.judge(odd)
     assert got.count() == odd.count()
