@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import array
+import json
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
+from typing import TYPE_CHECKING
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: Fixed: what the contracts call a word, and the six characters that part words.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -128,26 +136,64 @@ def label(edges: DataFrame) -> DataFrame:
     return pair.selectExpr("u AS node", "v AS root").union(pair.selectExpr("v AS node", "v AS root").distinct())
 
 
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,]?)")
+def blocks(batch: "pa.RecordBatch", text_at: int, most: int) -> Iterator["pa.RecordBatch"]:
+    """Slices of a batch with at most about `most` bytes of text, one row at least."""
+    start, held = 0, 0
+    for i, cell in enumerate(batch.column(text_at)):
+        n = len(cell.as_buffer()) if cell.is_valid else 0
+        if i > start and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+class Runs:
+    """Many arrays of ids, one after another in one array."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
+        self.ids, self.lengths = ids, lengths
+        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+    @classmethod
+    def of(cls, lists: list[array.array]) -> "Runs":
+        ids = np.frombuffer(b"".join([x.tobytes() for x in lists]), dtype="<u4")
+        return cls(ids, np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
+
+    def take(self, places: np.ndarray) -> "Runs":
+        n = self.lengths[places]
+        ends = np.cumsum(n)
+        at = np.repeat(self.starts[places] - (ends - n), n)
+        at += np.arange(len(at))
+        return Runs(self.ids[at], n)
+
+
+#: Fixed: a piece of Latin letters, perhaps with a point or comma behind, which the tokenizer in use parts from it.
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes with: printable ones as they are, the others from code point 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
-    """Token ids of whole texts by the tokenizers library, remembered by piece.
+    """Token ids of whole texts by the tokenizers library.
 
-    The tokenizer in use drops white space and never joins characters across it, so a text's ids are those of its blank-separated pieces, one
-    after another; pieces repeat a lot, so each is encoded once and kept, until the table takes `keep_bytes` and starts anew; pieces over 256 characters aren't kept.
-    The table lives as long as the encoder, which a task makes for itself, so no worker holds it afterwards.
-    Texts of Latin-1 characters are lower-cased first, which the tokenizer does itself in any case; texts that might hold special tokens, which it finds before that, are
-    encoded whole. Other tokenizers take whole texts.
+    The tokenizer in use drops white space and never joins characters across it, so a text's ids are those of its blank-separated pieces, one after
+    another; pieces repeat a lot, so the distinct pieces of a block of texts are encoded once. Nothing is kept from block to block.
+    Plain pieces go to the tokenizer's merges without its normalizer, all others through the whole tokenizer; texts that might hold special
+    tokens, which it finds first of all, and all texts of other tokenizers are encoded whole.
     """
 
     tokenizers: dict[str, tuple] = {}
 
-    def __init__(self, file: str, keep_bytes: int = 48_000_000):
+    def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if file not in self.tokenizers:
-            import json
-
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(file)
@@ -156,64 +202,59 @@ class Encoder:
             by_piece = kinds == ["NFC", "Replace", "Lowercase"] and said["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed"
             self.tokenizers[file] = t, by_piece
         self.tokenizer, self.by_piece = self.tokenizers[file]
-        self.keep_bytes = keep_bytes
-        self._anew()
-
-    def _anew(self) -> None:
-        self.held, self.known, self.base = 0, {"": b""}, {}
-
-    def _raw(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        import numpy as np
-
-        if not (m := _PLAIN.fullmatch(piece)):
-            return self._raw(piece)
-        word, end = m.groups()
-        if (ids := self.base.get(word)) is None:
-            if word.isascii():  # such a word reaches the merges as it is
-                ids = np.array([x.id for x in self.tokenizer.model.tokenize(word)], dtype="<u4").tobytes()
-            else:
-                ids = self._raw(word)
-            if len(word) <= 256:
-                self.base[word] = ids
-                self.held += 200 + len(word) + len(ids)
-        if end and end not in self.known:
-            self.known[end] = self._raw(end)
-        return ids + self.known[end] if end else ids
+        self.letters = _byte_letters()
+
+    def _raw(self, text: str) -> array.array:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> array.array:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array.array("I", [x.id for x in self.tokenizer.model.tokenize(word)])
+
+    def _pieces(self, pieces: "pa.Array") -> Runs:
+        import pyarrow.compute as pc
+
+        plain = pc.match_substring_regex(pieces, _PLAIN)
+        words = pc.utf8_lower(pieces.filter(plain))
+        last = pc.utf8_slice_codeunits(words, -1)
+        point, comma = pc.equal(last, "."), pc.equal(last, ",")
+        base = pc.if_else(pc.or_(point, comma), pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        odd = pieces.filter(pc.invert(plain))
+        lists = [array.array("I"), self._raw("."), self._raw(",")]
+        lists += [self._word(x) for x in base.dictionary.to_pylist()]
+        first_odd = len(lists)
+        lists += [self._raw(x) for x in odd.to_pylist()]
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        # each piece is a word and what stands behind it, or an odd piece and nothing
+        parts = np.zeros((len(pieces), 2), dtype=np.int64)
+        parts[is_plain, 0] = base.indices.to_numpy() + 3
+        parts[is_plain, 1] = point.to_numpy(zero_copy_only=False) + 2 * comma.to_numpy(zero_copy_only=False)
+        parts[~is_plain, 0] = first_odd + np.arange(len(odd))
+        halves = Runs.of(lists).take(parts.ravel())
+        return Runs(halves.ids, halves.lengths.reshape(-1, 2).sum(axis=1))
+
+    def many(self, texts: "pa.Array") -> Iterator[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers; a null text has none."""
+        import pyarrow.compute as pc
+
+        if not self.by_piece:
+            yield from (self._raw(x or "").tobytes() for x in texts.to_pylist())
+            return
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        whole = special.to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(pc.if_else(special, "", pc.fill_null(texts, "")))
+        coded = lists.flatten().dictionary_encode()
+        out = self._pieces(coded.dictionary).take(coded.indices.to_numpy())
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        bounds, raw = out.starts[upto] * 4, memoryview(np.ascontiguousarray(out.ids, dtype="<u4")).cast("B")
+        for i in range(len(texts)):
+            yield self._raw(texts[i].as_py()).tobytes() if whole[i] else bytes(raw[bounds[i] : bounds[i + 1]])
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.by_piece or "<|" in text:
-            return self._raw(text)
-        if text.isascii():
-            text = text.lower()
-        else:
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        pieces, known = text.replace("\n", " ").split(" "), self.known
-        try:
-            return b"".join([known[x] for x in pieces])
-        except KeyError:
-            out = []
-            for x in pieces:
-                if (ids := self.known.get(x)) is None:
-                    if self.held > self.keep_bytes:
-                        self._anew()
-                    ids = self._piece(x)
-                    if len(x) <= 256:
-                        self.known[x] = ids
-                        self.held += 200 + len(x) + len(ids)
-                out.append(ids)
-            return b"".join(out)
+        import pyarrow as pa
+
+        return next(self.many(pa.array([text], pa.string())))
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, release, shared_dir, small
+from .common import blocks, discard, materialise, release, shared_dir, small
 
 ORDER = 5
 #: Stands four times before a text, so that its first characters have whole contexts too.
@@ -95,23 +95,10 @@ def _strings(g: np.ndarray) -> pa.Array:
     return pa.array([s[i : i + ORDER] for i in range(0, len(s), ORDER)], pa.string())
 
 
-def _blocks(batch: pa.RecordBatch, text_at: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most about `most` bytes of text, one row at least."""
-    start, held = 0, 0
-    for i, cell in enumerate(batch.column(text_at)):
-        n = len(cell.as_buffer()) if cell.is_valid else 0
-        if i > start and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def _by_key(batches: Iterator[pa.RecordBatch], text_at: int, key_at: int, most: int) -> Iterator[tuple[str, pa.RecordBatch]]:
     """Blocks of rows with one key."""
     for batch in batches:
-        for block in _blocks(batch, text_at, most):
+        for block in blocks(batch, text_at, most):
             keys = block.column(key_at).dictionary_encode()
             codes = keys.indices.to_numpy()
             for i, key in enumerate(keys.dictionary.to_pylist()):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Encoder, shared_dir
+from .common import Encoder, blocks, release, shared_dir
 
 SEQUENCE = "sequence_id long, n_tokens int, ids binary, pieces array<struct<doc_id: long, start: long, length: long, doc_tokens: long, offset: long>>"
 _PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("offset", pa.int64())])
@@ -107,10 +107,10 @@ def _flush(rest: list[tuple], size: int, last: bool, loose: int) -> tuple[list[l
     return windows + cut, later
 
 
-def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[str | None], bytes]], end_id: int = 1, size: int = 2048, pad_id: int = 0, hold: int = 4096, loose: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[pa.Array], Iterator[bytes]]], end_id: int = 1, size: int = 2048, pad_id: int = 0, hold: int = 4096, loose: int = 8, block_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sequences of at most `size` tokens: (sequence_id, n_tokens: without padding, ids: little-endian 32-bit, padded, pieces).
 
-    make_encoder is called on the executor and gives text -> ids as bytes; each document gets end_id at its end, so null and empty texts are that id alone. A sequence is padded
+    make_encoder is called on the executor and gives texts -> ids of each as bytes; each document gets end_id at its end, so null and empty texts are that id alone. A sequence is padded
     to size unless its length is a power of two. Works partition by partition in one pass, without a shuffle; memory is bounded by `hold` remainders,
     each under a window, and the document at hand. Repeated ids stay separate. Ids depend on the partition and order of the input only, so a retried task writes the same.
     """
@@ -137,10 +137,10 @@ def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[str | None], byte
                 made.append({"sequence_id": number, "n_tokens": total, "ids": ids if total & (total - 1) == 0 else ids + pad * (size - total), "pieces": listed})
             return pa.RecordBatch.from_pylist(made, schema=_SCHEMA)
 
-        for batch in batches:
+        for batch in (b for whole in batches for b in blocks(whole, 1, block_bytes)):
             whole: list[list[tuple]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, size):
                     piece = (doc, at, ids[4 * at : 4 * (at + size)], n)
@@ -157,12 +157,13 @@ def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[str | None], byte
             windows, _ = _flush(rest, size, True, loose)
             for i in range(0, len(windows), 512):
                 yield rows(windows[i : i + 512])
+        release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SEQUENCE)
 
 
-def encoder_of(file: str) -> Callable[[], Callable[[str | None], bytes]]:
-    return lambda: Encoder(file).encode
+def encoder_of(file: str) -> Callable[[], Callable[[pa.Array], Iterator[bytes]]]:
+    return lambda: Encoder(file).many
 
 
 def pieces(sequences: DataFrame) -> DataFrame:

@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, materialise, parts, prepare, scratch
+from .common import Encoder, blocks, materialise, parts, prepare, release, scratch
 
+#: Folder of the directory, below a store's; file listings pass over names that begin so.
+DIRECTORY = "_segments"
 MAGIC = b"DLTOKENS"
 #: magic, ordinal of the segment, documents, documents with a null id (they come first), ids, bytes per id, buckets, seed
 HEADER = struct.Struct("<8sQQQQIIQ")
@@ -131,68 +133,151 @@ class Reader:
 
     def get(self, key: int | None, nth: int = 0) -> np.ndarray | None:
         """Ids of one document, or None if the segment lacks it."""
+        if not self.n_docs:
+            return None
         at, n, there = self.find(np.array([key or 0]), np.array([nth]), np.array([key is None]))
-        return self.ids[int(at[0]) : int(at[0] + n[0])] if there[0] else None
-
-
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 2_000_000, shard_bytes: int = 24_000_000) -> None:
-    """Encode every whole text, add end_id, and write the ids in ascending order of id (null ids first, repeated ids by text) below path.
-
-    Files are written by Spark's own writer, so lost tasks leave nothing behind and any file system will do. Null and empty texts are end_id alone.
+        if not there[0] or not self._holds(key, nth):
+            return None
+        return self.ids[int(at[0]) : int(at[0] + n[0])]
+
+    def _holds(self, key: int | None, nth: int) -> bool:
+        """Whether the sorted keys have this one, at least nth + 1 times; asked only for keys whose fingerprint agrees."""
+        if key is None:
+            return nth < self.n_null
+        own = self.keys[self.n_null :]
+        return nth < np.searchsorted(own, key, "right") - np.searchsorted(own, key)
+
+    @property
+    def low(self) -> int:
+        """Smallest id; beyond the largest where all are null."""
+        return int(self.keys[self.n_null]) if self.n_null < self.n_docs else 0
+
+    @property
+    def high(self) -> int:
+        return int(self.keys[-1]) if self.n_null < self.n_docs else -1
+
+
+def write(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 2_000_000, shard_bytes: int = 24_000_000, block_bytes: int = 16_000_000,
+) -> None:
+    """Encode every whole text, add end_id, and write the ids in ascending order of id (null ids first, repeated ids by a hash of the text, then by text) below path.
+
+    Files are written by Spark's own writer, so lost tasks leave nothing behind and any file system will do. Null and empty texts are end_id alone. A file has about
+    shard_bytes of text; rows of one id, or rows wholly alike, may lie in many files, so no id makes a file large.
     """
     spark = docs.sparkSession
     prepare(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = d.repartitionByRange(parts(spark, total, shard_bytes), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    order = [F.asc_nulls_first("doc_id"), "hash", "row"]
+    dealt = d.repartitionByRange(parts(spark, total, shard_bytes), *order).sortWithinPartitions(F.asc_nulls_first("doc_id"), "hash", F.asc_nulls_first("text")).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = Encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode, end = Encoder(tokenizer).many, np.array([end_id], dtype="<u4").tobytes()
         number, keys, ids, held = TaskContext.get().partitionId() << 24, [], [], 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([segment(number, keys, ids)], pa.binary())], names=["value"])
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for batch in (b for whole in batches for b in blocks(whole, 1, block_bytes)):
+            for key, own in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 keys.append(key)
-                ids.append(encode(text.as_py()) + end)
+                ids.append(own + end)
                 held += len(ids[-1]) // 4
                 if held >= segment_ids:
                     yield out()
                     number, keys, ids, held = number + 1, [], [], 0
         if keys:
             yield out()
+        release()
 
     dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
 
+def _segments(content: pa.Scalar) -> Iterator[tuple[int, Reader]]:
+    """Place and reader of each segment of a file."""
+    data, at = memoryview(content.as_buffer()), 0
+    while at < len(data):
+        r = Reader(data[at:])
+        yield at, r
+        at += r.end + 1
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(segment, place, doc_id, at, n_tokens, ids_crc32) of every document, each found through the index of its segment."""
+    """(segment, place, doc_id, at, n_tokens, ids_crc32, file, segment_at) of every document, each found through the index of its segment."""
     prepare(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                data, at = memoryview(content.as_buffer()), 0
-                while at < len(data):
-                    r = Reader(data[at:])
-                    at += r.end + 1
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for began, r in _segments(content):
                     null = np.arange(r.n_docs) < r.n_null
                     place, n, there = r.find(r.keys, _nth(r.keys, null), null)
                     if not there.all():
                         raise ValueError(f"segment {r.ordinal}: the index misses documents of its own")
                     raw = memoryview(r.ids.astype("<u4").tobytes())
                     crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(place.tolist(), n.tolist())]
+                    same = lambda x, t, n=r.n_docs: pa.array([x] * n, t)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r.ordinal] * r.n_docs, pa.int64()), pa.array(range(r.n_docs), pa.int64()), pa.array(r.keys, pa.int64(), mask=null), pa.array(place.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())],
-                        names=["segment", "place", "doc_id", "at", "n_tokens", "ids_crc32"],
+                        [same(r.ordinal, pa.int64()), pa.array(range(r.n_docs), pa.int64()), pa.array(r.keys, pa.int64(), mask=null), pa.array(place.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64()), same(name, pa.string()), same(began, pa.int64())],
+                        names=["segment", "place", "doc_id", "at", "n_tokens", "ids_crc32", "file", "segment_at"],
                     )
 
-    return files.mapInArrow(run, "segment long, place long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(run, "segment long, place long, doc_id long, at long, n_tokens long, ids_crc32 long, file string, segment_at long")
+
+
+def write_directory(documents: DataFrame, path: str) -> None:
+    """Write the directory of a store beside its files: for each segment its file, place there, smallest and largest id, and whether it holds null ids. documents: as from read()."""
+    per = documents.groupBy("file", "segment_at", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("has_null"))
+    per.repartitionByRange("segment").write.mode("overwrite").parquet(f"{path}/{DIRECTORY}")
+
+
+def lookup(spark: SparkSession, path: str, keys: Sequence[int | None], most: int = 100_000) -> DataFrame:
+    """(doc_id, nth, ids array<long>): the ids, end id included, of the documents with these keys, in the store at path, which has its directory. Keys that it lacks give no rows; nth numbers the rows of a repeated key.
+
+    At most `most` keys at once, which go to every task; a join with read() serves more. The directory says which segments may hold a key; only their files are read, and in a segment the
+    hash index leads from key to ids, whatever the number of documents. A fingerprint that agrees by chance (1 in 2^32) is told by the stored key.
+    """
+    prepare(spark)
+    wanted = sorted({k for k in keys if k is not None})
+    null = any(k is None for k in keys)
+    if len(wanted) > most:
+        raise ValueError(f"{len(wanted)} keys at once; at most {most}, or join with read()")
+    asked = np.array(wanted, dtype=np.int64)
+    listed = spark.read.parquet(f"{path}/{DIRECTORY}")
+    span = (F.col("last") >= (wanted[0] if wanted else 0)) & (F.col("first") <= (wanted[-1] if wanted else -1))
+    near = listed.where(span | (F.col("has_null") if null else F.lit(False)))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last, nulls = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            some = [bool(h and null) or (a is not None and np.searchsorted(asked, a) < np.searchsorted(asked, b, "right")) for a, b, h in zip(first, last, nulls)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some, pa.bool_()))], names=["file"])
+
+    # a key lies in one segment, or in neighbours where it is repeated, so there are about as many files as keys at most
+    files = [r["file"] for r in near.select("file", "first", "last", "has_null").mapInArrow(hold, "file string").distinct().collect()]
+    schema = "doc_id long, segment long, place long, ids array<long>"
+    if not files:
+        return spark.createDataFrame([], "doc_id long, nth int, ids array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                for _, r in _segments(content):
+                    out = []
+                    for key in [None] * null + asked[np.searchsorted(asked, r.low) : np.searchsorted(asked, r.high, "right")].tolist():
+                        nth = 0
+                        while (found := r.get(key, nth)) is not None:
+                            out.append({"doc_id": key, "segment": r.ordinal, "place": nth, "ids": found.tolist()})
+                            nth += 1
+                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("segment", pa.int64()), ("place", pa.int64()), ("ids", pa.list_(pa.int64()))]))
+
+    found = spark.read.format("binaryFile").load(files).select("content").mapInArrow(run, schema)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("segment", "place")) - 1
+    return found.select("doc_id", nth.alias("nth"), "ids")
 
 
 def starts(documents: DataFrame) -> DataFrame:
@@ -209,8 +294,10 @@ def starts(documents: DataFrame) -> DataFrame:
 
 
 def store(docs: DataFrame, tokenizer: str, end_id: int = 2, **columns) -> DataFrame:
-    """Write docs to a fresh store in the shared folder and read it back: (doc_id, start, n_tokens, ids_crc32). An empty table gives no rows."""
+    """Write docs to a fresh store in the shared folder, with its directory, and read it back: (doc_id, start, n_tokens, ids_crc32). An empty table gives no rows."""
     spark = docs.sparkSession
     path = scratch(spark, "tokens")
     write(docs, path, tokenizer, end_id, **columns)
-    return starts(materialise(read(spark, path), "token-index")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    found = materialise(read(spark, path), "token-index")
+    write_directory(found, path)
+    return starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")

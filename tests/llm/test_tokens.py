@@ -1,8 +1,10 @@
 """Encoding, packing and the token store."""
 
+import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import packing, token_store
@@ -23,15 +25,28 @@ def whole(tokenizer, text):
 
 
 def test_encoder(tokenizer):
-    for keep in (900_000, 3):
-        e = Encoder(tokenizer_file(), keep)
-        for _ in range(2):
-            for t in TEXTS:
-                assert e.encode(t) == whole(tokenizer, t), repr(t)
+    e = Encoder(tokenizer_file())
+    assert list(e.many(pa.array(TEXTS * 2))) == [whole(tokenizer, t) for t in TEXTS * 2]
+    assert list(e.many(pa.array(TEXTS)[3:7])) == [whole(tokenizer, t) for t in TEXTS[3:7]]
+    assert list(e.many(pa.array([], pa.string()))) == [] and e.encode("<|ENDOFTEXT|> a") == whole(tokenizer, "<|ENDOFTEXT|> a")
     plain = Encoder(tokenizer_file("byte_bpe_50k.json"))
     assert not plain.by_piece and plain.encode("a b\nc") == np.array(plain.tokenizer.encode("a b\nc", add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_every_latin_letter(tokenizer):
+    e = Encoder(tokenizer_file())
+    words = [f"a{chr(c)}{chr(d)}b" for c in range(0x20, 0x180) for d in (0x61, 0xC9, 0xF7, 0x178)] + ["\u212a\u212b", "\u1e9eA", "I\u0130i"]
+    assert list(e.many(pa.array(words))) == [whole(tokenizer, w) for w in words]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_encoder_on_documents(tokenizer):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].combine_chunks()
+    assert list(Encoder(tokenizer_file()).many(texts)) == [whole(tokenizer, t) for t in texts.to_pylist()]
+
+
 def test_encoder_on_random_texts(tokenizer):
     rng, e = np.random.default_rng(0), Encoder(tokenizer_file())
     alphabet = list("aBé .,'\n\tſKÅñ1-!") + ["́", " ", "ﬁ", "Σ"]
@@ -82,7 +97,7 @@ def test_packing(spark):
     rows = [(i, "x" * int(rng.integers(0, 300))) for i in range(400)] + [(400, None)]
 
     def make():
-        return lambda t: np.arange(len(t or ""), dtype="<u4").tobytes()
+        return lambda texts: (np.arange(len(t or ""), dtype="<u4").tobytes() for t in texts.to_pylist())
 
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for hold in (4096, 50):
@@ -169,3 +184,41 @@ def test_segments_split(spark, tmp_path):
     for i, r in enumerate(got):
         assert (r["doc_id"], r["start"]) == (i, at)
         at += r["n_tokens"]
+
+
+def test_lookup(spark, tmp_path):
+    e, path = Encoder(tokenizer_file()), str(tmp_path / "s")
+    rows = [(3 * i, f"word{i} " * (i % 9)) for i in range(400)] + [(30, "again"), (30, "again"), (30, None), (None, "no id"), (None, "no id either"), (-8, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS hash", "2 AS row", "3 AS segment")
+    token_store.write(df, path, tokenizer_file(), segment_ids=100, shard_bytes=900)
+    found = token_store.read(spark, path)
+    token_store.write_directory(found, path)
+    assert found.select("file").distinct().count() > 5 and found.select("segment").distinct().count() > 8
+    keys = [0, 3, 30, 31, -8, None, 1197, 10**12, -(10**12), 600]
+    got = {}
+    for r in token_store.lookup(spark, path, keys).orderBy("nth").collect():
+        assert r["nth"] == len(got.setdefault(r["doc_id"], []))
+        got[r["doc_id"]].append(r["ids"])
+    want = {}
+    for k, text in rows:
+        if k in keys:
+            want.setdefault(k, []).append([*np.frombuffer(e.encode(text), dtype="<u4").tolist(), 2])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert token_store.lookup(spark, path, [10**12]).count() == token_store.lookup(spark, path, []).count() == 0
+    with pytest.raises(ValueError):
+        token_store.lookup(spark, path, [1, 2, 3], most=2)
+
+
+def test_one_id_in_many_files(spark, tmp_path):
+    """Rows of one id, most of them wholly alike, are dealt to many files and still come back in one order."""
+    path = str(tmp_path / "s")
+    df = spark.createDataFrame([(7, "same text here " * 5)] * 300 + [(7, f"other {i} " * 5) for i in range(100)] + [(9, "z")], "doc_id long, text string")
+    token_store.write(df, path, tokenizer_file(), shard_bytes=2000)
+    found = token_store.read(spark, path)
+    assert found.where("doc_id = 7").select("file").distinct().count() > 5
+    rows = token_store.starts(found).orderBy("segment", "place").collect()
+    at = 0
+    for r in rows:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert rows[-1]["doc_id"] == 9 and len(rows) == 401
