@@ -1,6 +1,6 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs the labelers, and a span classifier is trained on what they say.
 
-Two passes over the texts. The first counts vote patterns, of which there are at most 3^6 per kind whatever the corpus; the model is
+Two passes over the texts. The first counts patterns of votes and features, of which there is a fixed number per kind whatever the corpus; the model is
 fitted to those counts. The second finds the spans again and classifies them, so that no spans are stored or joined in between.
 """
 
@@ -9,14 +9,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir
+from .common import prepare, release, shared_dir
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Fixed: the base patterns. The lookbehind, the possessive parts and the search from the at sign give the same matches as the plain patterns, in linear time.
@@ -111,13 +111,18 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     return out
 
 
+def pattern(text: str, start: int, end: int, kind: str) -> str:
+    """What labelers say of a span, then its features."""
+    return votes(text, start, end, kind) + features(text[start:end])
+
+
 def votes(text: str, start: int, end: int, kind: str) -> str:
     """One letter per labeler: + for personal, - against, 0 no opinion. Labelers: form, check, gazetteer, context for, context against, edges."""
     s = text[start:end]
     digits = "".join(_DIGIT.findall(s)) if kind in ("card", "phone") else ""
     before = text[max(0, start - 32) : start].lower()
     if kind == "email":
-        form = "+" if _DOMAIN.search(s) else "0"
+        form = "+" if _DOMAIN.search(s) or _AT.search(s) else "0"
         check = "0" if len(s) <= 254 else "-"
         gaz = "+" if re.split(r"[^A-Za-z]+", s.rstrip())[-1].lower() in _TLD else "-"
     elif kind == "ip":
@@ -141,72 +146,108 @@ def votes(text: str, start: int, end: int, kind: str) -> str:
     return form + check + gaz + for_ + against + edges
 
 
+#: Classes of each of a span's own features: length, share of digits, kinds of separators.
+FEATURES = (5, 4, 3)
+_SEPARATORS = re.compile(r"[^A-Za-z0-9]")
+
+
+def features(span: str) -> str:
+    """One digit per feature, its class."""
+    n, digits = len(span), len(_DIGIT.findall(span))
+    length = sum(n >= k for k in (8, 16, 32, 64))
+    share = 0 if not digits else 1 if 2 * digits < n else 2 if digits < n else 3
+    return f"{length}{share}{min(2, len(set(_SEPARATORS.findall(span))))}"
+
+
 #: How often each labeler is thought to be right when it speaks, before any text is seen: form, check, gazetteer, context for, context against, edges.
-BELIEF = (0.6, 0.9, 0.6, 0.8, 0.75, 0.75)
+BELIEF = (0.6, 0.9, 0.6, 0.8, 0.9, 0.85)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the span classifier: per kind, a bias and one weight for each labeler's + and -."""
+    """Weights of the span classifier, per kind: a bias, one weight for each labeler's + and -, one for each class of each feature.
+
+    right and share say what expectation-maximisation found: each labeler's reliability, and the share of candidates that are personal.
+    """
 
     weights: dict[str, list[float]]
+    right: dict[str, list[float]] = field(default_factory=dict)
+    share: dict[str, float] = field(default_factory=dict)
 
     def chance(self, kind: str, pattern: str) -> float:
         w = self.weights.get(kind)
         if w is None:
             return 0.0
-        x = w[0] + sum(w[1 + 2 * i + (v == "-")] for i, v in enumerate(pattern) if v != "0")
+        x = float(np.dot(w, _inputs(pattern)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def fit(counts: list[tuple[str, str, int]], rounds: int = 50) -> Model:
-    """Expectation-maximisation over (kind, pattern, count), then logistic regression on its posteriors.
+def _inputs(pattern: str) -> list[float]:
+    """What the classifier sees of a pattern, that is of votes and, if they follow, features."""
+    out = [1.0]
+    for v in pattern[: len(BELIEF)]:
+        out += [float(v == "+"), float(v == "-")]
+    said = pattern[len(BELIEF) :]
+    for i, n in enumerate(FEATURES):
+        out += [float(said != "" and int(said[i]) == k) for k in range(n)]
+    return out
+
+
+def fit(counts: list[tuple], rounds: int = 50, weight: float = 100.0, share: float = 0.35) -> Model:
+    """Expectation-maximisation over the votes of (kind, pattern, count, whether base; False if left out), then logistic regression on its posteriors.
 
-    Each labeler has, per kind, a chance of being right when it speaks. It starts from BELIEF, which counts as much as all of the kind's candidates together: agreement
-    alone can't tell labelers that are all right from labelers that are all wrong. The prior stays at 0.3, so one weak vote makes no personal data.
+    Each labeler has, per kind, a chance of being right when it speaks, and each kind a share of personal ones among the candidates. Base spans are personal by
+    definition, so they count with certainty and anchor the labelers. Beliefs, BELIEF and `share`, count as much as `weight` spans; agreement alone
+    couldn't tell labelers that are all right from labelers that are all wrong. So little data leaves them as they are and much data moves them anywhere from 0.51 to 0.99.
     The regression sees each pattern once, weighted by the logarithm of its count, with a ridge; it starts at 0, so
     it doesn't depend on the order of counts. Kinds without candidates get no weights.
     """
-    weights = {}
-    for kind in sorted({k for k, _, _ in counts}):
-        rows = sorted((p, n) for k, p, n in counts if k == kind)
-        v = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in p] for p, _ in rows], dtype=float)
-        n = np.array([c for _, c in rows], dtype=float)
+    weights, found, shares = {}, {}, {}
+    for kind in sorted({c[0] for c in counts}):
+        rows = sorted((c[1], c[2], len(c) > 3 and bool(c[3])) for c in counts if c[0] == kind)
+        v = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in p[: len(BELIEF)]] for p, _, _ in rows], dtype=float)
+        n = np.array([c for _, c, _ in rows], dtype=float)
+        sure = np.array([b for _, _, b in rows])
+        open_ = np.where(sure, 0.0, n)
         belief = np.array(BELIEF)
-        right, prior = belief.copy(), 0.3
+        right, prior = belief.copy(), share
         for _ in range(rounds):
             odds = math.log(prior / (1 - prior)) + (v * np.log(right / (1 - right))).sum(axis=1)
-            post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            post = np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
             agree = (n[:, None] * np.where(v > 0, post[:, None], np.where(v < 0, 1 - post[:, None], 0))).sum(axis=0)
             said = (n[:, None] * (v != 0)).sum(axis=0)
-            right = np.clip((agree + belief * n.sum()) / (said + n.sum()), 0.51, 0.98)
-        x = np.concatenate([np.ones((len(v), 1)), np.stack([v > 0, v < 0], axis=2).reshape(len(v), -1)], axis=1).astype(float)
-        w, c = np.zeros(x.shape[1]), np.log1p(n)
+            right = np.clip((agree + belief * weight) / (said + weight), 0.51, 0.99)
+            prior = min(0.99, max(0.01, float((open_ @ post + share * weight) / (open_.sum() + weight))))
+        x, c = np.array([_inputs(p) for p, _, _ in rows]), np.log1p(n)
+        w = np.zeros(x.shape[1])
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (c * (post - p)) - 0.1 * w)
             w += step
-        weights[kind] = w.tolist()
-    return Model(weights)
+        weights[kind], found[kind], shares[kind] = w.tolist(), right.tolist(), prior
+    return Model(weights, found, shares)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """First pass: counts of vote patterns over all whole texts (combined before the shuffle), then fit(). At most 5 * 3^6 counts reach the driver."""
+    """First pass: counts of vote patterns over all whole texts (combined before the shuffle), then fit(). Counts of at most 5 * 3^6 patterns of votes with 60 of features reach the driver, whatever the corpus; some hundreds in practice."""
     shared_dir(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], int] = {}
+        seen: dict[tuple[str, str, bool], int] = {}
         for batch in batches:
             for cell in batch.column(0):
                 if text := cell.as_py():
                     base = base_spans(text)
-                    for a, b, kind in base + candidates(text, base):
-                        key = kind, votes(text, a, b, kind)
-                        seen[key] = seen.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["kind", "pattern", "n"])
+                    for sure, found in ((True, base), (False, candidates(text, base))):
+                        for a, b, kind in found:
+                            key = kind, pattern(text, a, b, kind), sure
+                            seen[key] = seen.get(key, 0) + 1
+        kinds, patterns, sures = zip(*seen) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(patterns, pa.string()), pa.array(sures, pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["kind", "pattern", "sure", "n"])
+        release()
 
-    made = docs.select(text_col).mapInArrow(run, "kind string, pattern string, n long")
-    return fit([tuple(r) for r in made.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect()])
+    made = docs.select(text_col).mapInArrow(run, "kind string, pattern string, sure boolean, n long")
+    return fit([(r["kind"], r["pattern"], r["n"], r["sure"]) for r in made.groupBy("kind", "pattern", "sure").agg(F.sum("n").alias("n")).collect()])
 
 
 def spans(text: str | None, model: Model) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -214,7 +255,7 @@ def spans(text: str | None, model: Model) -> tuple[list[tuple[int, int, str]], l
     if not text:
         return [], []
     base = base_spans(text)
-    more = [s for s in candidates(text, base) if model.chance(s[2], votes(text, *s)) >= 0.5]
+    more = [s for s in candidates(text, base) if model.chance(s[2], pattern(text, *s)) >= 0.5]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base
 
 
@@ -255,6 +296,7 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text", length_col: st
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        release()
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out
