@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, release, shared_dir, small
 
 _INDEX = "shard long, dim int, n int, top int, ids binary, vectors binary, levels binary, neighbours binary"
 
@@ -16,79 +18,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def build_graph(x: np.ndarray, m: int, pool: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Levels of the nodes, and for each level an int32 array [n, width] of neighbours (-1: none).
+def _greedy(x: np.ndarray, links: np.ndarray, queries: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The place each query reaches from `at` by going to the nearest neighbour while that is nearer."""
+    at = at.copy()
+    sim, moving = np.einsum("ij,ij->i", x[at], queries), np.arange(len(queries))
+    while len(moving):
+        c = links[at[moving]]
+        s = np.where(c >= 0, np.einsum("ijk,ik->ij", x[np.maximum(c, 0)], queries[moving]), -np.inf)
+        best = s.argmax(axis=1)
+        top = s[np.arange(len(moving)), best]
+        better = top > sim[moving]
+        moving, to, top = moving[better], c[np.arange(len(c)), best][better], top[better]
+        at[moving], sim[moving] = to, top
+    return at
 
-    x: unit vectors. Node levels fall off geometrically. On each level, a node's candidates are its `pool` nearest nodes of that level; one is linked if it is nearer
-    to the node than to any neighbour linked before it (so links point apart), and places left over go to the nearest others. Links
-    hold both ways, as far as there are places.
-    """
-    n = len(x)
-    rng = np.random.default_rng(seed)
-    levels = np.minimum(np.floor(-np.log(1 - rng.random(n)) / np.log(m)).astype(np.int32), 8)
-    graph = []
-    for level in range(int(levels.max()) + 1):
-        here = np.flatnonzero(levels >= level)
-        width = 2 * m if level == 0 else m
-        links = np.full((n, width), -1, dtype=np.int32)
-        if len(here) > 1:
-            v, k = x[here], min(pool, len(here) - 1)
-            near = np.empty((len(here), k), dtype=np.int64)
-            for i in range(0, len(here), 1024):
-                sims = v[i : i + 1024] @ v.T
-                sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -np.inf
-                best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                order = np.argsort(-np.take_along_axis(sims, best, axis=1), axis=1, kind="stable")
-                near[i : i + 1024] = np.take_along_axis(best, order, axis=1)
-            out: list[list[int]] = []
-            for i in range(len(here)):
-                c = near[i]
-                among, own = v[c] @ v[c].T, v[c] @ v[i]
-                taken: list[int] = []
-                for j in range(k):
-                    if len(taken) >= width // 2:
-                        break
-                    if not taken or own[j] > among[j, taken].max():
-                        taken.append(j)
-                rest = [j for j in range(k) if j not in set(taken)]
-                out.append([int(c[j]) for j in taken + rest[: width // 2 - len(taken)]])
-            back: list[list[int]] = [[] for _ in here]
-            for i, row in enumerate(out):
-                for j in row:
-                    back[j].append(i)
-            for i, row in enumerate(out):
-                have = set(row)
-                extra = [j for j in back[i] if j not in have][: width - len(row)]
-                both = here[np.array(row + extra, dtype=np.int64)]
-                links[here[i], : len(both)] = both
-        graph.append(links)
-    return levels, graph
-
-
-def search_graph(x: np.ndarray, levels: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and similarities of `width` near nodes for each query (-1: none), best first, all queries moving at once."""
+
+def _beam(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and similarities of `width` near nodes for each query (-1: none), best first, from its entries [queries, some] (-1: none), all queries moving at once."""
     q, n = len(queries), len(x)
-    at = np.full(q, int(np.argmax(levels)), dtype=np.int64)
-    sim = np.einsum("ij,ij->i", x[at], queries)
-    for level in range(len(graph) - 1, 0, -1):
-        links, moving = graph[level], np.ones(q, dtype=bool)
-        while moving.any():
-            who = np.flatnonzero(moving)
-            c = links[at[who]]
-            s = np.where(c >= 0, np.einsum("ijk,ik->ij", x[np.maximum(c, 0)], queries[who]), -np.inf)
-            best = s.argmax(axis=1)
-            top = s[np.arange(len(who)), best]
-            better = top > sim[who]
-            at[who[better]] = c[np.arange(len(who)), best][better]
-            sim[who[better]] = top[better]
-            moving[who[~better]] = False
+    width = max(width, entries.shape[1])
     found = np.full((q, width), -1, dtype=np.int64)
     score = np.full((q, width), -np.inf)
     done = np.ones((q, width), dtype=bool)
     seen = np.zeros((q, n), dtype=bool)
-    found[:, 0], score[:, 0], done[:, 0] = at, sim, False
-    seen[np.arange(q), at] = True
-    links, active = graph[0], np.arange(q)
+    rows, cols = np.nonzero(entries >= 0)
+    start = entries[rows, cols]
+    found[rows, cols], done[rows, cols] = start, False
+    score[rows, cols] = np.einsum("ij,ij->i", x[start], queries[rows])
+    seen[rows, start] = True
+    active = np.arange(q)
     while len(active):
         todo = np.where(done[active], -np.inf, score[active])
         pick = todo.argmax(axis=1)
@@ -114,6 +72,107 @@ def search_graph(x: np.ndarray, levels: np.ndarray, graph: list[np.ndarray], que
     return np.take_along_axis(found, order, axis=1), np.take_along_axis(score, order, axis=1)
 
 
+def _choose(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, most: int) -> np.ndarray:
+    """Of candidates (places, nearest first, with similarities own), those to link: nearer to the node than to any chosen before, so that links point apart; places left over go to the nearest others."""
+    if len(candidates) <= most:
+        return candidates
+    v = x[candidates]
+    among = v @ v.T
+    taken, nearest = [], np.full(len(candidates), -np.inf)
+    for j in range(len(candidates)):
+        if own[j] > nearest[j]:
+            taken.append(j)
+            if len(taken) == most:
+                break
+            np.maximum(nearest, among[j], out=nearest)
+    if len(taken) < most:
+        free = np.ones(len(candidates), dtype=bool)
+        free[taken] = False
+        taken = np.sort(np.concatenate([taken, np.flatnonzero(free)[: most - len(taken)]])).astype(np.int64)
+    return candidates[taken]
+
+
+def build_graph(x: np.ndarray, m: int, pool: int, seed: int, batch: int = 256) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Levels of the nodes, and for each level an int32 array [n, width] of neighbours (-1: none); width is 2 m on level 0, m above.
+
+    x: unit vectors. Node levels fall off geometrically. Nodes come in at random, the highest first, in batches that grow to `batch`: each searches the graph so
+    far for its `pool` nearest on every level it has, sees the others of its batch too, and links to m of them (m / 2 above level 0). Links hold both ways; a
+    node with too many keeps those that point apart. So building costs a search per node, not a comparison of all pairs.
+    """
+    n = len(x)
+    rng = np.random.default_rng(seed)
+    levels = np.minimum(np.floor(-np.log(1 - rng.random(n)) / np.log(m)).astype(np.int32), 8)
+    order = rng.permutation(n)
+    if n:
+        first = int(np.argmax(levels[order]))
+        order[[0, first]] = order[[first, 0]]
+    top = int(levels.max()) if n else 0
+    widths = [2 * m if level == 0 else m for level in range(top + 1)]
+    # room for twice the links while building, so that few nodes have to choose before the end
+    room = [np.full((n, 2 * w), -1, dtype=np.int32) for w in widths]
+    used = [np.zeros(n, dtype=np.int64) for _ in widths]
+
+    def shrink(level: int, node: int, most: int) -> None:
+        c = room[level][node, : used[level][node]].astype(np.int64)
+        own = x[c] @ x[node]
+        by = np.argsort(-own, kind="stable")
+        kept = _choose(x, own[by], c[by], most)
+        room[level][node] = -1
+        room[level][node, : len(kept)], used[level][node] = kept, len(kept)
+
+    at = 1
+    while at < n:
+        new = order[at : at + min(batch, at)]
+        at += len(new)
+        entry = np.full(len(new), order[0])
+        among = x[new] @ x[new].T
+        np.fill_diagonal(among, -np.inf)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for level in range(top, -1, -1):
+            who = np.flatnonzero(levels[new] >= level)
+            if level:
+                above = np.flatnonzero(levels[new] < level)
+                entry[above] = _greedy(x, room[level], x[new[above]], entry[above])
+            if len(who):
+                near, sim = _beam(x, room[level], x[new[who]], entry[who][:, None], pool)
+                entry[who] = near[:, 0]
+                found.append((who, near, sim))
+            else:
+                found.append((who, np.zeros((0, pool), dtype=np.int64), np.zeros((0, pool))))
+        for level, (who, near, sim) in zip(range(top, -1, -1), found):
+            beside = among[np.ix_(who, who)]
+            most = widths[level] // 2
+            for i, row in enumerate(who):
+                peers = np.flatnonzero(beside[i] > (sim[i][min(most, len(sim[i])) - 1]))
+                c = np.concatenate([near[i][near[i] >= 0], new[who[peers]]])
+                own = np.concatenate([sim[i][near[i] >= 0], beside[i][peers]])
+                by = np.argsort(-own, kind="stable")[:pool]
+                node = new[row]
+                for j in _choose(x, own[by], c[by], most):
+                    for a, b in ((node, j), (j, node)):
+                        k = used[level][a]
+                        if (room[level][a, :k] == b).any():
+                            continue
+                        if k == room[level].shape[1]:
+                            shrink(level, a, widths[level])
+                            k = used[level][a]
+                        room[level][a, k] = b
+                        used[level][a] = k + 1
+    for level, w in enumerate(widths):
+        for node in np.flatnonzero(used[level] > w):
+            shrink(level, int(node), w)
+    return levels, [np.ascontiguousarray(r[:, :w]) for r, w in zip(room, widths)]
+
+
+def search_graph(x: np.ndarray, levels: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, width: int, entries: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Places and similarities of `width` near nodes for each query (-1: none), best first: down the levels with up to `entries` places each, then the lowest with the whole width."""
+    near = np.full((len(queries), 1), int(np.argmax(levels)), dtype=np.int64)
+    for level in range(len(graph) - 1, 0, -1):
+        near = _beam(x, graph[level], queries, near, entries)[0][:, :entries]
+    found, score = _beam(x, graph[0], queries, near, max(width, near.shape[1]))
+    return found[:, :width], score[:, :width]
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector array<double>) of the rows that take part: a vector without null, NaN or infinite components and not all zero."""
     v = F.col(vector_col).cast("array<double>")
@@ -158,52 +217,66 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = 4096, m: int = 16,
     return dealt.select("shard", "dim", "vector", "ids").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, _INDEX)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 128, block: int = 1024, m: int = 16) -> DataFrame:
+def _flat(row: pa.RecordBatch, m: int) -> tuple:
+    """An index row as arrays: ids, vectors, unit vectors, norms, levels, graph."""
+    get = lambda name: row.column(name)[0]
+    n, dim, top = get("n").as_py(), get("dim").as_py(), get("top").as_py()
+    x = np.frombuffer(get("vectors").as_py(), dtype=np.float64).reshape(n, dim)
+    ids = np.frombuffer(get("ids").as_py(), dtype=np.int64).reshape(n, -1)
+    flat, graph, at = np.frombuffer(get("neighbours").as_py(), dtype=np.int32), [], 0
+    for level in range(top):
+        w = 2 * m if level == 0 else m
+        graph.append(flat[at : at + n * w].reshape(n, w))
+        at += n * w
+    return ids, x, _unit(x), np.sqrt(np.einsum("ij,ij->i", x, x)), np.frombuffer(get("levels").as_py(), dtype=np.int32), graph
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 128, together: int = 256, m: int = 16) -> DataFrame:
     """(query_id, rank int, vec_id, score): the k nearest found for each query by cosine, over all shards; the query's own row is left out.
 
-    index: as from build_index, with the same k and m. queries: as from usable(). Queries travel in blocks of about `block`, each block to every
-    shard of its dimension as one row, so nothing is broadcast; each shard answers with k rows a query, and the answers are merged per query.
+    index: as from build_index, written, with the same k and m. queries: as from usable(). Each query goes to every shard of its dimension, and each shard once to the task that takes its
+    queries, ahead of them in the sort order: the task streams, holding one shard and `together` queries. Each shard answers with k rows a query, and the answers are merged per query.
     """
-    where = index.groupBy("dim").agg(F.max("shard").alias("last"))
-    dealt = queries.withColumn("dim", F.size("vector"))
-    total = dealt.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    packed = dealt.join(total, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("q"))
-    sent = packed.join(where, "dim").select("dim", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("shard"), "q")
-    pairs = sent.join(index, ["dim", "shard"])
+    # one row per dimension
+    where = materialise(index.groupBy("dim").agg(F.max("shard").alias("last")), "shards")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("shard")
+    asked = queries.withColumn("dim", F.size("vector")).join(small(where), "dim").select("dim", every, F.lit(1).alias("kind"), "vec_id", "vector")
+    flat = index.select("dim", "shard", F.lit(0).alias("kind"), "n", "top", "ids", "vectors", "levels", "neighbours")
+    both = asked.unionByName(flat, allowMissingColumns=True).repartition(max(1, index.count()), "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def run(pair: pa.Table) -> pa.Table:
-        """One shard and one block of queries: one row."""
-        get = lambda name: pair[name][0]
-        n, dim, top = get("n").as_py(), get("dim").as_py(), get("top").as_py()
-        x = np.frombuffer(get("vectors").as_py(), dtype=np.float64).reshape(n, dim)
-        ids = np.frombuffer(get("ids").as_py(), dtype=np.int64).reshape(n, -1)
-        levels = np.frombuffer(get("levels").as_py(), dtype=np.int32)
-        flat, graph, at = np.frombuffer(get("neighbours").as_py(), dtype=np.int32), [], 0
-        for level in range(top):
-            w = 2 * m if level == 0 else m
-            graph.append(flat[at : at + n * w].reshape(n, w))
-            at += n * w
-        q = get("q").values
-        names = q.field("vec_id").to_numpy(zero_copy_only=False)
-        vectors = q.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        unit, norms = _unit(x), np.sqrt(np.einsum("ij,ij->i", x, x))
+    def answer(shard: tuple, rows: pa.RecordBatch) -> pa.RecordBatch:
+        ids, x, unit, norms, levels, graph = shard
+        names = rows.column("vec_id").to_pylist()
+        asked = rows.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
+        found, _ = search_graph(unit, levels, graph, _unit(asked), min(width, len(x)))
         a: list[tuple[int, int, float]] = []
-        for lo in range(0, len(names), 256):
-            asked = vectors[lo : lo + 256]
-            found, _ = search_graph(unit, levels, graph, _unit(asked), min(width, max(n, 1)))
-            for i, name in enumerate(names[lo : lo + 256].tolist()):
-                near = found[i][found[i] >= 0]
-                exact = (x[near] * asked[i]).sum(axis=1) / (norms[near] * np.sqrt((asked[i] * asked[i]).sum()))
-                own = []
-                for j in np.lexsort((ids[near, 1], -exact))[: k + 1]:
-                    node = near[j]
-                    own += [(name, int(v), float(exact[j])) for v in ids[node, 1 : 1 + ids[node, 0]] if v != name]
-                own.sort(key=lambda t: (-t[2], t[1]))
-                a += own[:k]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*a) if a else ((), (), ()), out.types)], schema=out)
-
-    answers = pairs.groupBy("dim", "shard", "block").applyInArrow(run, "query_id long, vec_id long, score double")
+        for i, name in enumerate(names):
+            near = found[i][found[i] >= 0]
+            exact = (x[near] * asked[i]).sum(axis=1) / (norms[near] * np.sqrt((asked[i] * asked[i]).sum()))
+            own = []
+            for j in np.lexsort((ids[near, 1], -exact))[: k + 1]:
+                node = near[j]
+                own += [(name, int(v), float(exact[j])) for v in ids[node, 1 : 1 + ids[node, 0]] if v != name]
+            own.sort(key=lambda t: (-t[2], t[1]))
+            a += own[:k]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*a) if a else ((), (), ()), out.types)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard = None, ()
+        for batch in batches:
+            dims, shards, kinds = (batch.column(c).to_numpy() for c in ("dim", "shard", "kind"))
+            new = (kinds[1:] == 0) | (kinds[:-1] == 0) | (shards[1:] != shards[:-1]) | (dims[1:] != dims[:-1])
+            edges = np.flatnonzero(np.concatenate([[True], new, [True]]))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if kinds[lo] == 0:
+                    held, shard = (dims[lo], shards[lo]), _flat(batch.slice(lo, 1), m)
+                elif held == (dims[lo], shards[lo]):  # else no vector fell on that number
+                    for at in range(lo, hi, together):
+                        yield answer(shard, batch.slice(at, min(together, hi - at)))
+        release()
+
+    answers = both.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

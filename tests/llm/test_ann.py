@@ -27,6 +27,31 @@ def test_recall(spark):
         assert abs(r.score - a @ b / np.sqrt(a @ a * (b @ b))) < 1e-12
 
 
+def test_recall_on_clusters_over_shards(spark):
+    """The registered settings, on tight clusters, some far larger than others, over four shards."""
+    rng = np.random.default_rng(7)
+    of = np.minimum(rng.geometric(0.02, 14_000), 200)
+    x = rng.normal(size=(201, 32))[of] + 0.05 * rng.normal(size=(14_000, 32))
+    df = spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, dim int, shard int")
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    want = exact(list(range(14_000)), x, range(0, 14_000, 50), 5)
+    hits = sum(len(set(g["vec_id"]) & set(want[q])) for q, g in got.groupby("query_id"))
+    assert len(got) == 1400 and hits / 1400 >= 0.97
+
+
+def test_graph():
+    """Every node is linked, links hold no node itself and none twice, and search by graph alone comes near the exact answer."""
+    rng = np.random.default_rng(2)
+    x = ann._unit(rng.normal(size=(1500, 16)))
+    levels, graph = ann.build_graph(x, 16, 64, 0)
+    for level, links in enumerate(graph):
+        for i, row in enumerate(links):
+            own = row[row >= 0]
+            assert len(set(own)) == len(own) and i not in own and (levels[own] >= level).all()
+        assert level or (links[:, 0] >= 0).all()
+    assert [len(ann.build_graph(x[:n], 16, 64, 0)[0]) for n in (1, 2, 3)] == [1, 2, 3]
+
+
 def test_copies_odd_rows_and_few(spark):
     one, nan, inf = [1.0, 0.0], float("nan"), float("inf")
     rows = [(i, one) for i in range(20)] + [(50, [1.0, 0.1]), (100, None), (101, []), (102, [0.0, 0.0]), (103, [None, 1.0]), (104, [nan, 1.0]), (105, [inf, 1.0]), (150, [1.0, 2.0, 3.0]), (None, one)]

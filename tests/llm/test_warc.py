@@ -2,8 +2,6 @@ import gzip
 import hashlib
 import base64
 
-import pytest
-
 from docloom.llm import warc
 
 
@@ -18,10 +16,56 @@ def test_arc_versions_and_truncation():
     old = b"filedesc://x 0.0.0.0 19990101 text/plain 10\n1 0 Org\nq\nhttp://u v/ 1.2.3.4 199901020304 text/gif 3\nGIF\n"
     r = next(warc.parse_arc(old))
     assert (r["uri"], r["ip"], r["date"], r["mime"], r["payload"], r["head"]) == ("http://u v/", "1.2.3.4", "1999-01-02T03:04:00Z", "text/gif", b"GIF", b"")
-    for bad in (b"", b"http://x 1 2 3 4\n", b"filedesc://x 0 1 t 0\n"):
-        with pytest.raises((ValueError, IndexError)):
-            list(warc.parse_arc(bad))
-    assert warc._unzip(gzip.compress(b"ab") + gzip.compress(b"cd")) == b"abcd"
+    assert list(warc.parse_arc(b"")) == []
+    for bad in (b"http://x 1 2 3 4\n", b"filedesc://x 0 1 t 0\n", b"\0\1", b"filedesc://x 0 1 t x\n"):
+        assert [r["problem"] is None for r in warc.parse_arc(bad)] == [False]
+    assert list(warc._members(gzip.compress(b"ab") + gzip.compress(b"cd") + b"\0\0")) == [b"ab", b"cd"]
+
+
+def test_bad_records_are_kept_aside(spark):
+    good = warc.arc_container("a.arc", 1, [(1, "http://a", b"one"), (2, "http://b", b"two")])
+    at = good.index(b"http://b 0.0.0.0")
+    broken = good[:at] + b"http://c 0.0.0.0 when text/html 10\n0123456789\n" + good[at:]
+    rows = list(warc.parse_arc(broken, "f"))
+    assert [(r["page_id"], r["problem"]) for r in rows] == [(1, None), (None, "bad header line"), (2, None)]
+    assert rows[1]["payload"] == b"http://c 0.0.0.0 when text/html 10\n0123456789\n"
+    arcs = spark.createDataFrame([("x", bytearray(broken)), ("y", bytearray(b"nothing of the kind")), ("z", bytearray(gzip.compress(good))), ("e", bytearray(b""))], "name string, content binary")
+    assert sorted(r["page_id"] for r in warc.archive(arcs).collect()) == [1, 1, 2, 2]
+    assert {(r["place"], r["problem"]) for r in warc.problems(warc.convert(arcs)).collect()} == {(f"x:{at}", "bad header line"), ("y:0", "no version block")}
+
+
+def test_timestamps():
+    assert [warc.timestamp(x) for x in ("1999", "199913", "20000230", "1999010203", "19990101256199", "20240229235959")] == [
+        "1999-01-01T00:00:00Z", "1999-12-01T00:00:00Z", "2000-02-29T00:00:00Z", "1999-01-02T03:00:00Z", "1999-01-01T23:59:59Z", "2024-02-29T23:59:59Z",
+    ]
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path):
+    """Each record is a member of its own, and ordinary gzip readers read whole files."""
+    import os
+
+    df = spark.createDataFrame([(i, "u", os.urandom(3000).hex()) for i in range(40)] + [(100, "u", "x" * 3_000_000)], "page_id long, url string, html string").coalesce(1)
+    arcs = warc.to_arc(df, each_bytes=30_000)
+    assert arcs.count() >= 8
+    records = warc.convert(arcs)
+    marks = warc.revisits(records)
+    path = str(tmp_path / "w")
+    warc.write(records.join(marks, "record_id", "left"), path, each_bytes=20_000)
+    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
+    assert len(files) >= 5
+    seen = 0
+    for f in files:
+        data = f.read_bytes()
+        members = list(warc._members(data))
+        assert gzip.decompress(data) == b"".join(members) and b"WARC-Type: warcinfo" in members[0]
+        assert all(m.startswith(b"WARC/1.0") and len(list(warc.parse_warc(m))) == 1 for m in members)
+        seen += len(members) - 1
+    assert seen == 41 == warc.read(spark, path).count()
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS record_id", "3 AS name", "4 AS content")
+    assert sorted(r["record_type"] for r in warc.archive(warc.to_arc(df)).collect()) == ["response", "revisit"]
 
 
 def test_pages(spark):
