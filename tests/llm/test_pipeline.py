@@ -39,7 +39,7 @@ def test_odd_rows_and_clashing_columns(spark, odd, tmp_path):
 
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (8, 1, None), (6, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    clash = odd.selectExpr("*", "1 AS size", "2 AS node", "3 AS root", "'x' AS threshold", "5 AS copies", "6 AS block")
+    clash = odd.selectExpr("*", "1 AS size", "2 AS node", "3 AS root", "'x' AS threshold", "5 AS copies", "6 AS block", "7 AS mid", "8 AS kept", "9 AS key", "10 AS kind", "11 AS nth")
     clash.write.parquet(str(tmp_path / "documents.parquet"))
     rows = p.run(spark, str(tmp_path)).collect()
     assert rows and all(r["n_tokens"] <= 2048 for r in rows)
@@ -47,3 +47,19 @@ def test_odd_rows_and_clashing_columns(spark, odd, tmp_path):
     odd.limit(0).write.parquet(str(none / "documents.parquet"))
     labels.limit(0).write.parquet(str(none / "labels.parquet"))
     assert p.run(spark, str(none)).count() == 0
+
+
+def test_mixture_of_repeated_rows(spark):
+    """Taken on its own, the stage keeps near its targets also where rows repeat."""
+    import corpus_pipeline as p
+    from docloom.llm import common, mixing
+    from pyspark.sql import functions as F
+
+    rows = [(i % 40 if i % 3 else None, "w " * (i % 25 + 1), "en", f"s{i % 2}", 0) for i in range(900)]
+    docs = spark.createDataFrame(rows + [(7, "w " * 9, "en", "s0", 0)] * 300, "doc_id long, text string, lang string, source string, n_chars long")
+    out = p.mixture(spark, docs, "")
+    size = common.n_words(F.col("text"))
+    got = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    per = docs.groupBy("source").agg(F.sum(size).alias("source_size"))
+    for r in mixing.source_targets(per).collect():
+        assert abs(got[r["source"]] - r["target"]) <= 25
