@@ -18,34 +18,33 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity passes their language's threshold."""
+    """Documents whose perplexity and toxicity pass their language's limits."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return kneser_ney.classify(docs.select(*COLUMNS), labels).where("kept").select(*COLUMNS)
+    return kneser_ney.classify(docs, labels, keep=list(COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return ngram_join.keep_one(docs.select(*COLUMNS))
+    return ngram_join.keep_one(docs).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data masked; n_chars follows the new text."""
-    docs = docs.select(*COLUMNS)
-    return pii.redact(docs, pii.train(docs), length_col="n_chars")
+    return pii.redact(docs, pii.train(docs), length_col="n_chars").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it (0, 1 or 2), as so many rows."""
-    # rows are told apart by id and text, so that repeated ids stay separate documents
-    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
-    taken = mixing.mix(docs, common.n_words(F.col("text")), id_col="_row").where("copies > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.max("copies").alias("copies"))
-    rows = docs.join(taken, "_row")
+    # rows are told apart by all they hold, so that repeated ids stay documents of their own; rows that are wholly alike are one, taken as often as all of them together
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
+    taken = mixing.mix(docs, common.n_words(F.col("text")), id_col="_row").where("copies > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").alias("copies"))
+    rows = docs.dropDuplicates(["_row"]).join(taken, "_row")
     return rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: (sequence_id, n_tokens, ids, pieces)."""
-    return packing.pack(docs.select(*COLUMNS), packing.encoder_of(common.tokenizer_file()))
+    return packing.pack(docs, packing.encoder_of(common.tokenizer_file()))
 
 
 STAGES = [
