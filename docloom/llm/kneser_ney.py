@@ -4,17 +4,19 @@ The grams are runs of five characters (code points). Two models come from the la
 toxic texts; where a passage is far likelier under the second, the text is toxic however well formed the rest is. Both exist twice, each trained on the documents of one
 fold, and a document is scored by the models of the other fold, so no text is judged by a model that holds it.
 
-Counts are tables keyed by model and gram. Documents are read in blocks of one language and fold; a block asks for its distinct grams only, the distinct
-grams of all blocks meet the count tables in joins on their keys, and each answer goes back to the block that asked. So neither the models nor the corpus' grams need fit anywhere.
+Counts are tables keyed by model and gram. Documents are read in blocks of one language and fold; a block asks for its distinct grams and their contexts that the models may
+hold, the questions of all blocks meet the count tables in a join on hashed keys, and each answer goes back to the block that asked. So neither the models nor the corpus' grams need fit anywhere.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,9 +80,9 @@ def _first(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[at], order[at], np.diff(np.concatenate([at, [len(h)]]))
 
 
-def distinct(texts: Iterable[str | None], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams of some texts: hashes in order, code points [n, ORDER], counts."""
-    h, g, n = np.zeros(0, dtype=np.uint64), np.zeros((0, ORDER), dtype=np.uint32), np.zeros(0, dtype=np.int64)
+def distinct(texts: Iterable[str | None], most: int = 1 << 20, start: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams of some texts, and of those that `start` came from: hashes in order, code points [n, ORDER], counts."""
+    h, g, n = start or (np.zeros(0, dtype=np.uint64), np.zeros((0, ORDER), dtype=np.uint32), np.zeros(0, dtype=np.int64))
     for c, starts, _ in _chunks(texts, most):
         new, at, many = _first(_hashes(c, starts))
         both, points = np.concatenate([h, new]), np.concatenate([g, c[starts[at][:, None] + np.arange(ORDER)]])
@@ -91,8 +93,28 @@ def distinct(texts: Iterable[str | None], most: int = 1 << 20) -> tuple[np.ndarr
 
 
 def _strings(g: np.ndarray) -> pa.Array:
+    k = g.shape[1]
     s = np.ascontiguousarray(g, dtype="<u4").tobytes().decode("utf-32-le", "replace")
-    return pa.array([s[i : i + ORDER] for i in range(0, len(s), ORDER)], pa.string())
+    return pa.array([s[i : i + k] for i in range(0, len(s), k)], pa.string())
+
+
+def _ids(points: np.ndarray, key: str) -> np.ndarray:
+    """64-bit names of character runs [n, k] under a key. Among a billion, two share one with a chance of 3%, and would then share their counts."""
+    k = points.shape[1]
+    seed = int.from_bytes(hashlib.blake2b(f"{k}:{key}".encode(), digest_size=8).digest(), "little")
+    h = np.full(len(points), seed, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            h = (h ^ points[:, j]) * _U(0x9E3779B97F4A7C15)
+            h ^= h >> _U(32)
+        h *= _U(0xD6E8FEB86659FD93)
+        h ^= h >> _U(29)
+    return h.view(np.int64)
+
+
+def _roles(g: np.ndarray, key: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order from 1 up, the names of the grams' endings of that length, and of the contexts in those."""
+    return [_ids(g[:, ORDER - k :], key) for k in range(1, ORDER + 1)], [_ids(g[:, ORDER - k : ORDER - 1], key) for k in range(1, ORDER + 1)]
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], text_at: int, key_at: int, most: int) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -119,13 +141,24 @@ def _key(lang: Column, fold_: Column) -> Column:
     return F.concat_ws(":", fold_.cast("string"), lang.cast("string"))
 
 
-def count(docs: DataFrame, block_bytes: int = 16_000_000) -> DataFrame:
-    """(key, g, c): how often each gram occurs in the texts of each key. docs: (key string, text string)."""
+def count(docs: DataFrame, block_bytes: int = 16_000_000, most: int = 1_000_000) -> DataFrame:
+    """(key, g, c): how often each gram occurs in the texts of each key. docs: (key string, text string). A task gathers up to about `most` distinct grams before it hands them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, (_, g, c) in held.items():
+                for at in range(0, len(g), 100_000):
+                    part = g[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.string()), _strings(part), pa.array(c[at : at + 100_000], pa.int64())], names=["key", "g", "c"])
+            held.clear()
+
         for key, block in _by_key(batches, 1, 0, block_bytes):
-            _, g, c = distinct(_texts(block, 1))
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(g), pa.string()), _strings(g), pa.array(c, pa.int64())], names=["key", "g", "c"])
+            held[key] = distinct(_texts(block, 1), start=held.get(key))
+            if sum(len(h) for h, _, _ in held.values()) > most:
+                yield from out()
+        yield from out()
         release()
 
     return docs.select("key", "text").mapInArrow(run, "key string, g string, c long").groupBy("key", "g").agg(F.sum("c").alias("c"))
@@ -158,25 +191,59 @@ def model(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return out[::-1]
 
 
-def probabilities(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(key, g, logp): for distinct (key, g), the natural logarithm of the interpolated probability of a gram's last character after those before. Keys without a model drop out.
+_COUNTS = ("num", "total", "gamma")
 
-    From order 1 up: p = num / total + gamma * p of the order below, and p of the order below where the context is unknown. An order's grams are the
-    distinct endings of the order above, so each is worked out once.
-    """
-    known = small(materialise(tables[0][1].select("key").distinct(), "models"))
-    ends = [materialise(asked.join(known, "key", "left_semi"), f"asked{ORDER}")]
-    for k in range(ORDER - 1, 0, -1):
-        ends.append(materialise(ends[-1].select("key", F.expr("substring(g, 2)").alias("g")).distinct(), f"asked{k}"))
-    p: DataFrame | None = None
-    for k, (own, (t, below)) in enumerate(zip(ends[::-1], tables), 1):
-        j = own.withColumn("h", F.expr(f"left(g, {k - 1})")).join(small(below) if k == 1 else below, ["key", "h"], "left").join(t, ["key", "g"], "left")
-        under = F.lit(1.0 / CODE_POINTS)
-        if p is not None:
-            j = j.withColumn("e", F.expr("substring(g, 2)")).join(p.select("key", F.col("g").alias("e"), F.col("p").alias("under")), ["key", "e"])
-            under = F.col("under")
-        p = j.select("key", "g", F.when(F.col("total").isNull(), under).otherwise(F.coalesce("num", F.lit(0.0)) / F.col("total") + F.col("gamma") * under).alias("p"))
-    return p.select("key", "g", F.log("p").alias("logp"))
+
+def items(tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """One row for each run of up to ORDER characters that a fold's models know, as a gram or as a context: (id long, <good|bad>_<num|total|gamma> float). See model()."""
+    none = F.lit(None).cast("double")
+    rows = None
+    for k, (t, below) in enumerate(tables, 1):
+        grams = t.select("key", F.lit(k).alias("k"), F.col("g").alias("s"), "num", none.alias("total"), none.alias("gamma"))
+        contexts = below.select("key", F.lit(k - 1).alias("k"), F.col("h").alias("s"), none.alias("num"), "total", "gamma")
+        both = grams.unionByName(contexts)
+        rows = both if rows is None else rows.unionByName(both)
+    kind, key = F.expr("split_part(key, ':', 1)"), F.expr("substring(key, instr(key, ':') + 1)")
+    cells = [F.max(F.when(kind == which, F.col(c))).cast("float").alias(f"{which}_{c}") for which in ("good", "bad") for c in _COUNTS]
+    merged = rows.groupBy(key.alias("own"), "k", "s").agg(*cells)
+    names = [f"{which}_{c}" for which in ("good", "bad") for c in _COUNTS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lengths, strings = (batch.column(i).to_pylist() for i in range(3))
+            ids = np.zeros(len(keys), dtype=np.int64)
+            groups: dict[tuple[str, int], list[int]] = {}
+            for i, at in enumerate(zip(keys, lengths)):
+                groups.setdefault(at, []).append(i)
+            for (own, k), at in groups.items():
+                points = np.frombuffer("".join([strings[i] for i in at]).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(at), k)
+                ids[at] = _ids(points, own)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[3:]], names=["id", *names])
+        release()
+
+    return merged.mapInArrow(run, "id long, " + ", ".join(f"{x} float" for x in names))
+
+
+def bitmap(spark: SparkSession, ids: DataFrame, most: int = 28) -> tuple[Broadcast, int]:
+    """A broadcast bitmap of hashed ids (one long column) and its size in bits: 16 for each id, 2^16 at least and 2^most (32 MB) at most. With more ids it only lets more others pass."""
+    bits = 1 << min(most, max(16, (16 * ids.count()).bit_length()))
+    # Spark's bitmaps count from 1: buckets of 4096 bytes each
+    place = F.pmod(_scatter(F.col(ids.columns[0])), F.lit(bits)) + 1
+    marked = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    whole = bytearray(max(bits // 8, 4096))
+    for row in marked.toLocalIterator():
+        whole[(row["n"] - 1) * 4096 : row["n"] * 4096] = row["m"]
+    return spark.sparkContext.broadcast(bytes(whole)), bits
+
+
+def _scatter(id_: Column) -> Column:
+    return id_.bitwiseXOR(F.shiftright(id_, 32))
+
+
+def _marked(mask: bytes, bits: int, ids: np.ndarray) -> np.ndarray:
+    """Whether each id may be in the bitmap."""
+    p = (ids ^ (ids >> 32)) & (bits - 1)
+    return np.frombuffer(mask, dtype=np.uint8)[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1
 
 
 def _worst(excess: np.ndarray, before: float) -> tuple[float, float]:
@@ -186,12 +253,28 @@ def _worst(excess: np.ndarray, before: float) -> tuple[float, float]:
     return float(w.max()), float(w[-1])
 
 
-def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 16_000_000) -> DataFrame:
+def _logs(roles: tuple[list[np.ndarray], list[np.ndarray]], ids: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
+    """The natural logarithm of the interpolated probability of each gram's last character after those before; None without a model. ids in order, counts [ids, (num, total, gamma)].
+
+    From order 1 up: p = num / total + gamma * p of the order below, and p of the order below where the context is unknown.
+    """
+    p, known = 1.0 / CODE_POINTS, False
+    for grams, contexts in zip(*roles):
+        at, context = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (grams, contexts))
+        total, gamma = (np.where(ids[context] == contexts, counts[context, i], np.nan) for i in (1, 2))
+        num = np.nan_to_num(np.where(ids[at] == grams, counts[at, 0], 0.0))
+        seen = ~np.isnan(total)
+        known = known or seen.any()
+        p = np.where(seen, num / np.where(seen, total, 1.0) + np.where(seen, gamma, 1.0) * p, p)
+    return np.log(p) if known else None
+
+
+def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 16_000_000) -> DataFrame:
     """docs (or its columns `keep`) with _kn_nll double: negative logarithm of the text's probability under the trusted model of the other fold, _kn_chars long: its length, and
     _kn_toxic double: over all passages, the largest logarithm of how much likelier the toxic model makes it than the trusted one.
 
-    Null where there is nothing to score (null or empty text) or no model. docs must be a stable read, such as a table: its blocks are made twice, once for
-    their grams and once, compressed, to meet the answers.
+    known: as from items(), written. Null where there is nothing to score (null or empty text) or no model. docs must be a stable read, such as a table: its blocks are made
+    twice, once for their questions and once, compressed, to meet the answers. A bitmap of what the models know thins the questions; the join decides.
     """
     keep = docs.columns if keep is None else keep
     spark = docs.sparkSession
@@ -200,6 +283,7 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], id_col: st
     n = len(keep)
     # the text travels once, also where it is one of the columns to keep
     sent = [c for c in keep if c != text_col]
+    mask, bits = bitmap(spark, known.select("id"))
 
     def number() -> int:
         from pyspark import TaskContext
@@ -209,16 +293,19 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], id_col: st
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (key, block) in enumerate(_by_key(batches, 0, 1, block_bytes), number()):
             _, g, _ = distinct(_texts(block, 0))
-            yield pa.RecordBatch.from_arrays([pa.array([i] * len(g), pa.int64()), pa.array(range(len(g)), pa.int32()), pa.array([key] * len(g), pa.string()), _strings(g)], names=["block", "nth", "key", "g"])
+            if len(g):
+                grams, contexts = _roles(g, key)
+                wanted = np.unique(np.concatenate([np.unique(x[_marked(mask.value, bits, x)]) for x in grams + contexts]))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(wanted), pa.int64()), pa.array(wanted)], names=["block", "id"])
         release()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, (_, block) in enumerate(_by_key(batches, n, n + 1, block_bytes), number()):
+        for i, (key, block) in enumerate(_by_key(batches, n, n + 1, block_bytes), number()):
             block = block.select([*sent, _TEXT])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
                 w.write_batch(block)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([key], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "key", "rows"])
         release()
 
     def answer(packed: pa.Table, known: pa.Table) -> pa.Table:
@@ -228,73 +315,53 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], id_col: st
         at = block.schema.get_field_index(_TEXT)
         lengths = np.array([len(x or "") for x in _texts(block, at)], dtype=np.int64)
         nll, toxic = np.full(len(lengths), np.nan), np.full(len(lengths), np.nan)
-        if known.num_rows:
-            h, _, _ = distinct(_texts(block, at))
-            place = known["nth"].to_numpy()
-            if len(h) != len(place):
-                raise ValueError("a block differs between two reads; give score() a stable table")
-            good, bad = np.empty(len(h)), np.empty(len(h))
-            good[place], bad[place] = known["good"].to_numpy(zero_copy_only=False), known["bad"].to_numpy(zero_copy_only=False)
+        h, g, _ = distinct(_texts(block, at))
+        if known.num_rows and len(h):
+            ids = known["id"].to_numpy()
+            order = np.argsort(ids)
+            counts = [np.stack([known[f"{which}_{c}"].to_numpy(zero_copy_only=False).astype(np.float64)[order] for c in _COUNTS], axis=1) for which in ("good", "bad")]
+            roles = _roles(g, packed["key"][0].as_py())
+            good, bad = (_logs(roles, ids[order], x) for x in counts)
             total, worst, running = np.zeros(len(lengths)), np.zeros(len(lengths)), np.zeros(len(lengths))
-            for c, starts, runs in _chunks(_texts(block, at)):
+            for c, starts, runs in _chunks(_texts(block, at)) if good is not None else ():
                 where = np.searchsorted(h, _hashes(c, starts))
                 logp = good[where]
-                excess = bad[where] - logp  # nan without a toxic model
+                excess = None if bad is None else bad[where] - logp
                 to = 0
                 for i, k in runs:
                     total[i] -= logp[to : to + k].sum()
-                    top, running[i] = _worst(excess[to : to + k], running[i])
-                    worst[i] = max(worst[i], top)
+                    if excess is not None:
+                        top, running[i] = _worst(excess[to : to + k], running[i])
+                        worst[i] = max(worst[i], top)
                     to += k
             some = lengths > 0
-            nll[some] = total[some]
-            if not np.isnan(bad).any():
-                toxic[some] = worst[some]
+            if good is not None:
+                nll[some] = total[some]
+                if bad is not None:
+                    toxic[some] = worst[some]
         cells = [block.column(at if c == text_col else block.schema.get_field_index(c)) for c in keep]
         release()
         optional = lambda x: pa.array(x, pa.float64(), mask=np.isnan(x))
         return pa.Table.from_arrays([*cells, optional(nll), pa.array(lengths), optional(toxic)], names=[*keep, _NLL, _CHARS, _TOXIC])
 
-    asked = rows.select(_TEXT, _KEY).mapInArrow(ask, "block long, nth int, key string, g string")
-    both = F.array(*[F.concat(F.lit(kind), F.col("key")) for kind in ("good:", "bad:")])
-    wanted = asked.select("key", "g").distinct().select(F.explode(both).alias("key"), "g")
-    logp = probabilities(wanted, tables).select(F.expr("split_part(key, ':', 1)").alias("kind"), F.expr("substring(key, instr(key, ':') + 1)").alias("key"), "g", "logp")
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("logp"))).cast("float").alias(kind)
-    known = materialise(logp.groupBy("key", "g").agg(of("good"), of("bad")).where("good IS NOT NULL"), "logp")
-    answers = asked.join(known, ["key", "g"]).select("block", "nth", "good", "bad")
+    answers = rows.select(_TEXT, _KEY).mapInArrow(ask, "block long, id long").join(known, "id")
     out = T.StructType([*[docs.schema[c] for c in keep], T.StructField(_NLL, T.DoubleType()), T.StructField(_CHARS, T.LongType()), T.StructField(_TOXIC, T.DoubleType())])
-    packed = rows.mapInArrow(pack, "block long, rows binary")
+    packed = rows.mapInArrow(pack, "block long, key string, rows binary")
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, out)
 
 
 def likely(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """docs without most of the rows whose id isn't in ids (one column); every row whose id is there stays.
-
-    A bitmap of hashed ids goes to every task, so that a join on the id that follows moves few texts. It has 16 bits for each id, 2^16 at least and 2^28 (32 MB) at
-    most; beyond 100 million ids it lets more rows pass, which the join drops.
-    """
-    spark = docs.sparkSession
-    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("_id"))
-    bits = 1 << min(28, max(16, (16 * ids.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
-    marked = ids.select(place(F.col("_id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    whole = bytearray(bits // 8 + 4096)
-    for row in marked.toLocalIterator():
-        # buckets count from 1 but for bit 0, which has one of its own; each has 4096 bytes
-        at = (row["n"] - 1) * 4096 if row["n"] > 0 else bits // 8
-        whole[at : at + 4096] = row["m"]
-    sent, n = spark.sparkContext.broadcast(bytes(whole)), len(docs.columns)
+    """docs without most of the rows whose id isn't in ids (one column); every row whose id is there stays. So a join on the id that follows moves few texts."""
+    mask, bits = bitmap(docs.sparkSession, ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long")).alias("h")))
+    n = len(docs.columns)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.frombuffer(sent.value, dtype=np.uint8)
         for batch in batches:
-            bucket, bit = (batch.column(n + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            at = np.where(bucket > 0, (bucket - 1) * 4096, bits // 8) + bit // 8
-            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.array(mask[at] >> (bit % 8).astype(np.uint8) & 1 == 1))
+            hashes = batch.column(n).to_numpy()
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.array(_marked(mask.value, bits, hashes)))
         release()
 
-    here = place(F.col(id_col))
-    return docs.where(F.col(id_col).isNotNull()).select("*", F.bitmap_bucket_number(here), F.bitmap_bit_position(here)).mapInArrow(keep, docs.schema)
+    return docs.where(F.col(id_col).isNotNull()).select("*", F.xxhash64(F.col(id_col).cast("long"))).mapInArrow(keep, docs.schema)
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
@@ -304,14 +371,18 @@ def verdicts(labels: DataFrame) -> DataFrame:
     return per.select("label_id", F.when(F.col("t") == 1, "bad").when(F.col("q") == 1, "good").alias("kind")).where("kind IS NOT NULL")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> list[tuple[DataFrame, DataFrame]]:
-    """Models of the trusted and of the toxic texts, for each language and fold; a fold's models are trained on the documents of the other fold."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """Written items() of the models of the trusted and of the toxic texts, for each language and fold; a fold's models are trained on the documents of the other fold."""
     shared_dir(docs.sparkSession)
     said = verdicts(labels)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     chosen = likely(texts, said.select("label_id"), "id").join(said, F.expr("id = label_id"))
     key = F.concat_ws(":", "kind", _key(F.col("lang"), 1 - fold(F.col("id"))))
-    return model(count(chosen.select(key.alias("key"), "text")))
+    tables = model(count(chosen.select(key.alias("key"), "text")))
+    known = materialise(items(tables), "items")
+    for pair in tables:
+        discard(*pair)
+    return known
 
 
 def _limit(values: DataFrame, share: float, prior: float) -> DataFrame:
@@ -352,10 +423,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     shared_dir(docs.sparkSession)
     docs = docs.drop(*OUTPUT)
     keep = docs.columns if keep is None else keep
-    tables = train(docs, labels, id_col, lang_col, text_col)
-    scored = materialise(score(docs, tables, id_col, lang_col, text_col, keep), "scored")
-    for pair in tables:
-        discard(*pair)
+    known = train(docs, labels, id_col, lang_col, text_col)
+    scored = materialise(score(docs, known, id_col, lang_col, text_col, keep), "scored")
+    discard(known)
     # the language's middle in the same rough way for texts of all lengths
     rate = scored.where(F.col(_NLL).isNotNull()).groupBy(F.col(lang_col).alias("_kn_lang")).agg(F.percentile_approx(F.col(_NLL) / F.col(_CHARS), 0.5, 20000).alias("_kn_rate"))
     rate = small(materialise(rate, "rates"))
