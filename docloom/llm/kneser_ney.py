@@ -5,7 +5,8 @@ toxic texts; where a passage is far likelier under the second, the text is toxic
 fold, and a document is scored by the models of the other fold, so no text is judged by a model that holds it.
 
 Counts are tables keyed by model and gram. Documents are read in blocks of one language and fold; a block asks for its distinct grams and their contexts that the models may
-hold, the questions of all blocks meet the count tables in a join on hashed keys, and each answer goes back to the block that asked. So neither the models nor the corpus' grams need fit anywhere.
+hold, the questions of all blocks meet the count tables in a join on hashed keys, and each answer goes back to the block that asked. The counts that nearly every block would ask for, a
+bounded number of the largest, go to all tasks at once instead. So neither the models nor the corpus' grams need fit anywhere.
 """
 
 from __future__ import annotations
@@ -253,28 +254,67 @@ def _worst(excess: np.ndarray, before: float) -> tuple[float, float]:
     return float(w.max()), float(w[-1])
 
 
-def _logs(roles: tuple[list[np.ndarray], list[np.ndarray]], ids: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
-    """The natural logarithm of the interpolated probability of each gram's last character after those before; None without a model. ids in order, counts [ids, (num, total, gamma)].
+_ROW = [("id", "<i8"), *[(f"{which}_{c}", "<f4") for which in ("good", "bad") for c in _COUNTS]]
+
+
+def largest(known: DataFrame, most: int) -> tuple[Broadcast, DataFrame]:
+    """The items with the largest counts, at most `most` of them (32 bytes each), as a broadcast array of _ROW in order of id; and the ids of the others."""
+    weight = F.floor(8 * F.log2(F.greatest(*[F.coalesce(f"{which}_{c}", F.lit(0.0)) for which in ("good", "bad") for c in ("num", "total")]) + 1e-3)).cast("int")
+    steps = sorted(((r["w"], r["n"]) for r in known.groupBy(weight.alias("w")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    taken, least = 0, None
+    for w, n in steps:
+        if taken + n > most:
+            break
+        taken, least = taken + n, w
+    rows = known.where(weight >= least).toArrow() if least is not None else known.limit(0).toArrow()
+    head = np.zeros(rows.num_rows, dtype=_ROW)
+    for name, _ in _ROW:
+        head[name] = rows[name].to_numpy()  # null becomes nan
+    head.sort(order="id")
+    return known.sparkSession.sparkContext.broadcast(head.tobytes()), (known if least is None else known.where(weight < least)).select("id")
+
+
+def _find(table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ids in a table of _ROW in order of id, and whether it has them."""
+    if not len(table):
+        return np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=bool)
+    own = table["id"]
+    at = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+    return at, own[at] == ids
+
+
+def _counts(tables: list[np.ndarray], ids: np.ndarray, names: list[str]) -> dict[str, np.ndarray]:
+    """These counts of each id, from the first table that has it; nan where none has."""
+    out = {name: np.full(len(ids), np.nan) for name in names}
+    for table in reversed(tables):
+        at, there = _find(table, ids)
+        for name in names:
+            out[name][there] = table[name][at[there]]
+    return out
+
+
+def _logs(roles: tuple[list[np.ndarray], list[np.ndarray]], tables: list[np.ndarray], which: str) -> np.ndarray | None:
+    """The natural logarithm of the interpolated probability of each gram's last character after those before; None without a model.
 
     From order 1 up: p = num / total + gamma * p of the order below, and p of the order below where the context is unknown.
     """
     p, known = 1.0 / CODE_POINTS, False
     for grams, contexts in zip(*roles):
-        at, context = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (grams, contexts))
-        total, gamma = (np.where(ids[context] == contexts, counts[context, i], np.nan) for i in (1, 2))
-        num = np.nan_to_num(np.where(ids[at] == grams, counts[at, 0], 0.0))
+        num = np.nan_to_num(_counts(tables, grams, [f"{which}_num"])[f"{which}_num"])
+        of = _counts(tables, contexts, [f"{which}_total", f"{which}_gamma"])
+        total, gamma = of[f"{which}_total"], of[f"{which}_gamma"]
         seen = ~np.isnan(total)
         known = known or seen.any()
         p = np.where(seen, num / np.where(seen, total, 1.0) + np.where(seen, gamma, 1.0) * p, p)
     return np.log(p) if known else None
 
 
-def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 16_000_000) -> DataFrame:
+def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 16_000_000, common: int = 1 << 20) -> DataFrame:
     """docs (or its columns `keep`) with _kn_nll double: negative logarithm of the text's probability under the trusted model of the other fold, _kn_chars long: its length, and
     _kn_toxic double: over all passages, the largest logarithm of how much likelier the toxic model makes it than the trusted one.
 
     known: as from items(), written. Null where there is nothing to score (null or empty text) or no model. docs must be a stable read, such as a table: its blocks are made
-    twice, once for their questions and once, compressed, to meet the answers. A bitmap of what the models know thins the questions; the join decides.
+    twice, once for their questions and once, compressed, to meet the answers. The `common` largest counts (32 MB) go to all tasks, a bitmap of the others thins the questions, and the join decides.
     """
     keep = docs.columns if keep is None else keep
     spark = docs.sparkSession
@@ -283,7 +323,8 @@ def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: s
     n = len(keep)
     # the text travels once, also where it is one of the columns to keep
     sent = [c for c in keep if c != text_col]
-    mask, bits = bitmap(spark, known.select("id"))
+    head, others = largest(known, common)
+    mask, bits = bitmap(spark, others)
 
     def number() -> int:
         from pyspark import TaskContext
@@ -296,6 +337,7 @@ def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: s
             if len(g):
                 grams, contexts = _roles(g, key)
                 wanted = np.unique(np.concatenate([np.unique(x[_marked(mask.value, bits, x)]) for x in grams + contexts]))
+                wanted = wanted[~_find(np.frombuffer(head.value, dtype=_ROW), wanted)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(wanted), pa.int64()), pa.array(wanted)], names=["block", "id"])
         release()
 
@@ -316,12 +358,13 @@ def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: s
         lengths = np.array([len(x or "") for x in _texts(block, at)], dtype=np.int64)
         nll, toxic = np.full(len(lengths), np.nan), np.full(len(lengths), np.nan)
         h, g, _ = distinct(_texts(block, at))
-        if known.num_rows and len(h):
-            ids = known["id"].to_numpy()
-            order = np.argsort(ids)
-            counts = [np.stack([known[f"{which}_{c}"].to_numpy(zero_copy_only=False).astype(np.float64)[order] for c in _COUNTS], axis=1) for which in ("good", "bad")]
+        if len(h):
+            own = np.zeros(known.num_rows, dtype=_ROW)
+            for name, _ in _ROW:
+                own[name] = known[name].to_numpy()
+            tables = [np.frombuffer(head.value, dtype=_ROW), own[np.argsort(own["id"])]]
             roles = _roles(g, packed["key"][0].as_py())
-            good, bad = (_logs(roles, ids[order], x) for x in counts)
+            good, bad = (_logs(roles, tables, which) for which in ("good", "bad"))
             total, worst, running = np.zeros(len(lengths)), np.zeros(len(lengths)), np.zeros(len(lengths))
             for c, starts, runs in _chunks(_texts(block, at)) if good is not None else ():
                 where = np.searchsorted(h, _hashes(c, starts))

@@ -79,8 +79,11 @@ def test_scores(table):
     trusted = lambda f, lang: brute_model([t for i, t in enumerate(good) if i % 2 == (lang == "en") and folds[i] != f] + [good[1]] * 2 * (lang == "en" and folds[1] != f))
     toxic = lambda f: brute_model([t for i, t in enumerate(vile) if folds[300 + i] != f])
     models = {(f, lang): (trusted(f, lang), toxic(f) if lang else None) for f in (0, 1) for lang in ("en", None)}
-    got = kn.score(docs, kn.train(docs, labels), block_bytes=500).collect()
-    assert len(got) == docs.count()
+    known = kn.train(docs, labels)
+    assert 1000 < known.count()
+    # with all, some and no counts sent ahead
+    got = [r for common in (1 << 20, 1000, 0) for r in kn.score(docs, known, block_bytes=500, common=common).collect()]
+    assert len(got) == 3 * docs.count()
     for r in got:
         assert r["_kn_chars"] == len(r["text"] or "")
         if not r["text"] or r["lang"] == "zz":
