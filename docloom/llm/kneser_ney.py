@@ -193,6 +193,7 @@ def model(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
 
 
 _COUNTS = ("num", "total", "gamma")
+_CELLS = [f"{which}_{c}" for which in ("good", "bad") for c in _COUNTS]
 
 
 def items(tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -207,7 +208,6 @@ def items(tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     kind, key = F.expr("split_part(key, ':', 1)"), F.expr("substring(key, instr(key, ':') + 1)")
     cells = [F.max(F.when(kind == which, F.col(c))).cast("float").alias(f"{which}_{c}") for which in ("good", "bad") for c in _COUNTS]
     merged = rows.groupBy(key.alias("own"), "k", "s").agg(*cells)
-    names = [f"{which}_{c}" for which in ("good", "bad") for c in _COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,10 +219,10 @@ def items(tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
             for (own, k), at in groups.items():
                 points = np.frombuffer("".join([strings[i] for i in at]).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(at), k)
                 ids[at] = _ids(points, own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[3:]], names=["id", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[3:]], names=["id", *_CELLS])
         release()
 
-    return merged.mapInArrow(run, "id long, " + ", ".join(f"{x} float" for x in names))
+    return merged.mapInArrow(run, "id long, " + ", ".join(f"{x} float" for x in _CELLS))
 
 
 def bitmap(spark: SparkSession, ids: DataFrame, most: int = 28) -> tuple[Broadcast, int]:
@@ -254,11 +254,37 @@ def _worst(excess: np.ndarray, before: float) -> tuple[float, float]:
     return float(w.max()), float(w[-1])
 
 
-_ROW = [("id", "<i8"), *[(f"{which}_{c}", "<f4") for which in ("good", "bad") for c in _COUNTS]]
+class Counts:
+    """Items in memory: their ids in order, and a row of _CELLS for each."""
+
+    def __init__(self, ids: np.ndarray, cells: np.ndarray):
+        self.ids, self.cells = ids, cells
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> "Counts":
+        ids = rows["id"].to_numpy()
+        order = np.argsort(ids)
+        cells = np.stack([rows[c].to_numpy() for c in _CELLS], axis=1).astype("<f4")  # null becomes nan
+        return cls(ids[order], cells[order])
+
+    def packed(self) -> bytes:
+        return self.ids.astype("<i8").tobytes() + self.cells.tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> "Counts":
+        n = len(data) // (8 + 4 * len(_CELLS))
+        return cls(np.frombuffer(data, dtype="<i8", count=n), np.frombuffer(data, dtype="<f4", offset=8 * n).reshape(n, len(_CELLS)))
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ids, and whether they are here."""
+        if not len(self.ids):
+            return np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=bool)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return at, self.ids[at] == ids
 
 
 def largest(known: DataFrame, most: int) -> tuple[Broadcast, DataFrame]:
-    """The items with the largest counts, at most `most` of them (32 bytes each), as a broadcast array of _ROW in order of id; and the ids of the others."""
+    """The items with the largest counts, at most `most` of them (32 bytes each), packed and broadcast; and the ids of the others."""
     weight = F.floor(8 * F.log2(F.greatest(*[F.coalesce(f"{which}_{c}", F.lit(0.0)) for which in ("good", "bad") for c in ("num", "total")]) + 1e-3)).cast("int")
     steps = sorted(((r["w"], r["n"]) for r in known.groupBy(weight.alias("w")).agg(F.count("*").alias("n")).collect()), reverse=True)
     taken, least = 0, None
@@ -266,47 +292,33 @@ def largest(known: DataFrame, most: int) -> tuple[Broadcast, DataFrame]:
         if taken + n > most:
             break
         taken, least = taken + n, w
-    rows = known.where(weight >= least).toArrow() if least is not None else known.limit(0).toArrow()
-    head = np.zeros(rows.num_rows, dtype=_ROW)
-    for name, _ in _ROW:
-        head[name] = rows[name].to_numpy()  # null becomes nan
-    head.sort(order="id")
-    return known.sparkSession.sparkContext.broadcast(head.tobytes()), (known if least is None else known.where(weight < least)).select("id")
-
-
-def _find(table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ids in a table of _ROW in order of id, and whether it has them."""
-    if not len(table):
-        return np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=bool)
-    own = table["id"]
-    at = np.minimum(np.searchsorted(own, ids), len(own) - 1)
-    return at, own[at] == ids
-
-
-def _counts(tables: list[np.ndarray], ids: np.ndarray, names: list[str]) -> dict[str, np.ndarray]:
-    """These counts of each id, from the first table that has it; nan where none has."""
-    out = {name: np.full(len(ids), np.nan) for name in names}
-    for table in reversed(tables):
-        at, there = _find(table, ids)
-        for name in names:
-            out[name][there] = table[name][at[there]]
+    head = Counts.of((known.where(weight >= least) if least is not None else known.limit(0)).toArrow())
+    return known.sparkSession.sparkContext.broadcast(head.packed()), (known if least is None else known.where(weight < least)).select("id")
+
+
+def _cells(tables: list[Counts], ids: np.ndarray) -> np.ndarray:
+    """The cells of each id, from the table that has it; nan where none has."""
+    out = np.full((len(ids), len(_CELLS)), np.nan)
+    for table in tables:
+        at, there = table.find(ids)
+        out[there] = table.cells[at[there]]
     return out
 
 
-def _logs(roles: tuple[list[np.ndarray], list[np.ndarray]], tables: list[np.ndarray], which: str) -> np.ndarray | None:
-    """The natural logarithm of the interpolated probability of each gram's last character after those before; None without a model.
+def _logs(roles: tuple[list[np.ndarray], list[np.ndarray]], tables: list[Counts]) -> list[np.ndarray | None]:
+    """Under the trusted and the toxic model, the natural logarithm of the interpolated probability of each gram's last character after those before; None without a model.
 
     From order 1 up: p = num / total + gamma * p of the order below, and p of the order below where the context is unknown.
     """
-    p, known = 1.0 / CODE_POINTS, False
+    p, known = [1.0 / CODE_POINTS] * 2, [False] * 2
     for grams, contexts in zip(*roles):
-        num = np.nan_to_num(_counts(tables, grams, [f"{which}_num"])[f"{which}_num"])
-        of = _counts(tables, contexts, [f"{which}_total", f"{which}_gamma"])
-        total, gamma = of[f"{which}_total"], of[f"{which}_gamma"]
-        seen = ~np.isnan(total)
-        known = known or seen.any()
-        p = np.where(seen, num / np.where(seen, total, 1.0) + np.where(seen, gamma, 1.0) * p, p)
-    return np.log(p) if known else None
+        ends, befores = _cells(tables, grams), _cells(tables, contexts)
+        for i in (0, 1):
+            num, total, gamma = np.nan_to_num(ends[:, 3 * i]), befores[:, 3 * i + 1], befores[:, 3 * i + 2]
+            seen = ~np.isnan(total)
+            known[i] = known[i] or seen.any()
+            p[i] = np.where(seen, num / np.where(seen, total, 1.0) + np.where(seen, gamma, 1.0) * p[i], p[i])
+    return [np.log(x) if k else None for x, k in zip(p, known)]
 
 
 def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 16_000_000, common: int = 1 << 20) -> DataFrame:
@@ -337,7 +349,7 @@ def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: s
             if len(g):
                 grams, contexts = _roles(g, key)
                 wanted = np.unique(np.concatenate([np.unique(x[_marked(mask.value, bits, x)]) for x in grams + contexts]))
-                wanted = wanted[~_find(np.frombuffer(head.value, dtype=_ROW), wanted)[1]]
+                wanted = wanted[~Counts.unpacked(head.value).find(wanted)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(wanted), pa.int64()), pa.array(wanted)], names=["block", "id"])
         release()
 
@@ -359,12 +371,7 @@ def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: s
         nll, toxic = np.full(len(lengths), np.nan), np.full(len(lengths), np.nan)
         h, g, _ = distinct(_texts(block, at))
         if len(h):
-            own = np.zeros(known.num_rows, dtype=_ROW)
-            for name, _ in _ROW:
-                own[name] = known[name].to_numpy()
-            tables = [np.frombuffer(head.value, dtype=_ROW), own[np.argsort(own["id"])]]
-            roles = _roles(g, packed["key"][0].as_py())
-            good, bad = (_logs(roles, tables, which) for which in ("good", "bad"))
+            good, bad = _logs(_roles(g, packed["key"][0].as_py()), [Counts.unpacked(head.value), Counts.of(known)])
             total, worst, running = np.zeros(len(lengths)), np.zeros(len(lengths)), np.zeros(len(lengths))
             for c, starts, runs in _chunks(_texts(block, at)) if good is not None else ():
                 where = np.searchsorted(h, _hashes(c, starts))
