@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, discard, materialise, release, shared_dir, small
+from .common import blocks, discard, materialise, parts, release, shared_dir, small
 
 ORDER = 5
 #: Stands four times before a text, so that its first characters have whole contexts too.
@@ -73,22 +73,30 @@ def _hashes(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return h[starts]
 
 
-def _first(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, a place of each, and how often each occurs."""
+def _first(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, how often each occurs, and which of them stands at each place."""
     order = np.argsort(h)
     ranked = h[order]
-    at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    return ranked[at], order[at], np.diff(np.concatenate([at, [len(h)]]))
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    at = np.flatnonzero(new)
+    which = np.empty(len(h), dtype=np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[at], order[at], np.diff(np.concatenate([at, [len(h)]])), which
 
 
-def distinct(texts: Iterable[str | None], most: int = 1 << 20, start: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams of some texts, and of those that `start` came from: hashes in order, code points [n, ORDER], counts."""
+def distinct(texts: Iterable[str | None], most: int = 1 << 20, start: tuple | None = None, runs: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams of some texts, and of those that `start` came from: hashes in order, code points [n, ORDER], counts.
+
+    runs, if given, gets for each chunk its distinct hashes, which of them each run of characters has, and (text, number of its runs) in order.
+    """
     h, g, n = start or (np.zeros(0, dtype=np.uint64), np.zeros((0, ORDER), dtype=np.uint32), np.zeros(0, dtype=np.int64))
-    for c, starts, _ in _chunks(texts, most):
-        new, at, many = _first(_hashes(c, starts))
+    for c, starts, of in _chunks(texts, most):
+        new, at, many, which = _first(_hashes(c, starts))
+        if runs is not None:
+            runs.append((new, which, of))
         both, points = np.concatenate([h, new]), np.concatenate([g, c[starts[at][:, None] + np.arange(ORDER)]])
-        h, place, _ = _first(both)
-        n = np.bincount(np.searchsorted(h, both), weights=np.concatenate([n, many]), minlength=len(h)).astype(np.int64)
+        h, place, _, where = _first(both)
+        n = np.bincount(where, weights=np.concatenate([n, many]), minlength=len(h)).astype(np.int64)
         g = points[place]
     return h, g, n
 
@@ -279,7 +287,9 @@ class Counts:
         """Places of ids, and whether they are here."""
         if not len(self.ids):
             return np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=bool)
-        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        # in order, as neighbours then lie near each other
+        order, at = np.argsort(ids), np.empty(len(ids), dtype=np.int64)
+        at[order] = np.minimum(np.searchsorted(self.ids, ids[order]), len(self.ids) - 1)
         return at, self.ids[at] == ids
 
 
@@ -369,16 +379,17 @@ def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: s
         at = block.schema.get_field_index(_TEXT)
         lengths = np.array([len(x or "") for x in _texts(block, at)], dtype=np.int64)
         nll, toxic = np.full(len(lengths), np.nan), np.full(len(lengths), np.nan)
-        h, g, _ = distinct(_texts(block, at))
+        runs: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]] = []
+        h, g, _ = distinct(_texts(block, at), runs=runs)
         if len(h):
             good, bad = _logs(_roles(g, packed["key"][0].as_py()), [Counts.unpacked(head.value), Counts.of(known)])
             total, worst, running = np.zeros(len(lengths)), np.zeros(len(lengths)), np.zeros(len(lengths))
-            for c, starts, runs in _chunks(_texts(block, at)) if good is not None else ():
-                where = np.searchsorted(h, _hashes(c, starts))
-                logp = good[where]
-                excess = None if bad is None else bad[where] - logp
+            for new, which, of in runs if good is not None else ():
+                where = np.searchsorted(h, new)
+                logp = good[where][which]
+                excess = None if bad is None else (bad[where] - good[where])[which]
                 to = 0
-                for i, k in runs:
+                for i, k in of:
                     total[i] -= logp[to : to + k].sum()
                     if excess is not None:
                         top, running[i] = _worst(excess[to : to + k], running[i])
@@ -428,7 +439,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     chosen = likely(texts, said.select("label_id"), "id").join(said, F.expr("id = label_id"))
     key = F.concat_ws(":", "kind", _key(F.col("lang"), 1 - fold(F.col("id"))))
-    tables = model(count(chosen.select(key.alias("key"), "text")))
+    # some thousands of documents to a task, so that grams are counted together before they are handed on
+    tables = model(count(chosen.select(key.alias("key"), "text").coalesce(parts(docs.sparkSession, said.count(), 8000))))
     known = materialise(items(tables), "items")
     for pair in tables:
         discard(*pair)
