@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -125,28 +125,94 @@ def paper_sections(text: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def page_chunks(pages: DataFrame, max_tokens: int = 1500, min_tokens: int = 100) -> DataFrame:
-    """Chunks that know their pages. pages: (doc_id, page, text). Returns (doc_id, chunk_idx, text, page_start, page_end); no overlap."""
+def paper_chunks(docs: DataFrame, max_tokens: int = 2000, min_tokens: int = 100, overlap: int = 150, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each section of a paper in chunks of its own: (doc_id, chunk_idx, section, text, tokens); chunk_idx counts through the document. Papers without a marked section are one section, named by each chunk's text."""
+    text = F.col(text_col)
+    parts = bind(paper_sections(text), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("type"), text.alias("text")))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("nth", "s"))
+    made = semantic_chunks(rows.select(F.struct("doc_id", "nth", "s.type").alias("at"), F.col("s.text").alias("text")), max_tokens, min_tokens, overlap, id_col="at")
+    order = Window.partitionBy("doc_id").orderBy("nth", "idx")
+    flat = made.select("doc_id.doc_id", "doc_id.nth", F.col("chunk_idx").alias("idx"), F.coalesce("doc_id.type", "section").alias("section"), "text", "tokens")
+    return flat.select("doc_id", (F.row_number().over(order) - 1).alias("chunk_idx"), "section", "text", "tokens")
+
+
+def chunk(docs: DataFrame, strategy: str = "medical", **options) -> DataFrame:
+    """(doc_id, chunk_idx, text, tokens) by strategy: medical (sections kept), semantic or fixed."""
+    ways = {"medical": paper_chunks, "semantic": semantic_chunks, "fixed": fixed_chunks}
+    if strategy not in ways:
+        raise ValueError(f"unknown strategy: {strategy}")
+    return ways[strategy](docs, **options).select("doc_id", "chunk_idx", "text", "tokens")
+
+
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """(doc_id, n_chunks, avg_tokens): halves round up."""
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.floor(F.avg("tokens") + 0.5).alias("avg_tokens"))
+
+
+#: What word boundaries go by: ASCII letters, digits and the underscore.
+_WORD = "[A-Za-z0-9_]"
+
+
+def named_sections(text: Column) -> Column:
+    """array<struct<name, text>>: for each heading that occurs, from its first occurrence to the next run of capitals, or the end."""
+    out = []
+    for name, words in HEADINGS:
+        p = rf"(?i)(?<!{_WORD})(?:{words})(?!{_WORD})"
+        at, mark = F.regexp_instr(text, F.lit(p)), F.length(F.regexp_substr(text, F.lit(p)))
+        rest = F.substring(text, at + mark, F.length(text))
+        end = F.coalesce(F.nullif(F.regexp_instr(rest, F.lit(rf"(?<!{_WORD})[A-Z][A-Z\s]{{2,}}(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")), F.lit(0)), F.length(rest) + 1)
+        out.append(F.when(at > 0, F.struct(F.lit(name).alias("name"), tx.strip(F.substring(text, at, mark + end - 1)).alias("text"))))
+    return F.array_compact(F.array(*out))
+
+
+# Headings that name the sections of a paper.
+HEADINGS = (
+    ("abstract", "ABSTRACT"),
+    ("introduction", "INTRODUCTION"),
+    ("methods", "METHODS?|MATERIALS AND METHODS|PATIENTS AND METHODS"),
+    ("results", "RESULTS?"),
+    ("discussion", "DISCUSSION"),
+    ("conclusion", "CONCLUSION"),
+)
+
+
+def _last_items(items: Column, overlap: int) -> Column:
+    """The longest run of last items, array<struct<text, page>>, with at most `overlap` tokens."""
+    start = F.struct(F.array().cast("array<struct<text: string, page: bigint>>").alias("kept"), F.lit(0).cast("bigint").alias("tokens"), F.lit(False).alias("full"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["tokens"] + tx.estimate_tokens(x["text"])
+        stop = acc["full"] | (n > overlap)
+        return F.struct(F.when(stop, acc["kept"]).otherwise(F.concat(F.array(x), acc["kept"])).alias("kept"), F.when(stop, acc["tokens"]).otherwise(n).cast("bigint").alias("tokens"), stop.alias("full"))
+
+    return F.aggregate(F.reverse(items), start, step, lambda a: a["kept"])
+
+
+def page_chunks(pages: DataFrame, max_tokens: int = 1500, min_tokens: int = 100, overlap: int = 0) -> DataFrame:
+    """Chunks that know their pages. pages: (doc_id, page, text). Returns (doc_id, chunk_idx, text, page_start, page_end).
+
+    With overlap, a new chunk begins with the last paragraphs of the one before that have at most so many tokens together.
+    """
     body = F.array_sort(F.collect_list(F.struct("page", F.col("text"))))
     joined = pages.groupBy("doc_id").agg(body.alias("p"))
-    units = F.flatten(F.transform("p", lambda p: F.transform(tx.paragraphs(p["text"]), lambda t: F.struct(t.alias("text"), p["page"].alias("page")))))
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("tokens"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), F.array().cast("array<struct<text: string, a: bigint, b: bigint>>").alias("done"))
+    unit = lambda t, p: F.struct(t.alias("text"), p["page"].cast("bigint").alias("page"))
+    units = F.flatten(F.transform("p", lambda p: F.transform(tx.paragraphs(p["text"]), lambda t: unit(t, p))))
+    done = "array<struct<text: string, a: bigint, b: bigint>>"
+    start = F.struct(F.array().cast("array<struct<text: string, page: bigint>>").alias("items"), F.lit(0).cast("bigint").alias("tokens"), F.array().cast(done).alias("done"))
+
+    def made(items: Column) -> Column:
+        page = F.transform(items, lambda x: x["page"])
+        return F.array(F.struct(F.array_join(F.transform(items, lambda x: x["text"]), "\n\n").alias("text"), F.array_min(page).alias("a"), F.array_max(page).alias("b")))
 
     def step(acc: Column, u: Column) -> Column:
-        n = tx.estimate_tokens(u["text"])
-        over = (acc["tokens"] + n > max_tokens) & (F.size(acc["parts"]) > 0)
-        made = F.array(F.struct(F.array_join(acc["parts"], "\n\n").alias("text"), acc["a"].alias("a"), acc["b"].alias("b")))
-        page = u["page"].cast("bigint")
-        return F.struct(
-            F.when(over, F.array(u["text"])).otherwise(F.concat(acc["parts"], F.array(u["text"]))).alias("parts"),
-            F.when(over, n).otherwise(acc["tokens"] + n).cast("bigint").alias("tokens"),
-            F.when(over, page).otherwise(F.coalesce(acc["a"], page)).alias("a"), page.alias("b"),
-            F.when(over, F.concat(acc["done"], made)).otherwise(acc["done"]).alias("done"),
-        )
+        over = (acc["tokens"] + tx.estimate_tokens(u["text"]) > max_tokens) & (F.size(acc["items"]) > 0)
+        kept = _last_items(acc["items"], overlap) if overlap else F.array().cast("array<struct<text: string, page: bigint>>")
+        items = F.concat(F.when(over, kept).otherwise(acc["items"]), F.array(u))
+        total = F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: (a + tx.estimate_tokens(x["text"])).cast("bigint"))
+        return F.struct(items.alias("items"), total.alias("tokens"), F.when(over, F.concat(acc["done"], made(acc["items"]))).otherwise(acc["done"]).alias("done"))
 
     def finish(acc: Column) -> Column:
-        made = F.array(F.struct(F.array_join(acc["parts"], "\n\n").alias("text"), acc["a"].alias("a"), acc["b"].alias("b")))
-        return F.when((F.size(acc["parts"]) > 0) & (acc["tokens"] >= min_tokens), F.concat(acc["done"], made)).otherwise(acc["done"])
+        return F.when((F.size(acc["items"]) > 0) & (acc["tokens"] >= min_tokens), F.concat(acc["done"], made(acc["items"]))).otherwise(acc["done"])
 
     out = joined.select("doc_id", F.posexplode(F.aggregate(units, start, step, finish)).alias("chunk_idx", "c"))
     return out.select("doc_id", "chunk_idx", F.col("c.text").alias("text"), F.col("c.a").alias("page_start"), F.col("c.b").alias("page_end"))

@@ -86,3 +86,51 @@ def weighted_score(parts: dict[str, tuple[Column, float]]) -> Column:
 def latest_annotations(annotations: DataFrame) -> DataFrame:
     """The last annotation of each field. annotations: (study_id, field, truth, annotator, seq)."""
     return annotations.groupBy("study_id", "field").agg(F.max_by("truth", "seq").alias("truth"), F.sort_array(F.collect_set("annotator")).alias("annotators"))
+
+
+# What a report advises, and when: six means of studies and the number of hallucinated fields.
+ADVICE = (
+    ("Overall F1 score below 0.7 - consider improving extraction prompts or model", "f1 < 0.7"),
+    ("Low source grounding rate - extraction may be hallucinating data", "grounding_rate < 0.5"),
+    ("Newcastle-Ottawa scores frequently inconsistent - add validation checks", "nos_consistency < 0.8"),
+    ("High hallucination error count - strengthen source text verification", "hallucination > 5 * n_studies"),
+    ("Critical field accuracy below 85% - focus on improving high-importance field extraction", "critical_accuracy < 0.85"),
+)
+MEANS = ("precision", "recall", "f1", "grounding_rate", "nos_consistency", "critical_accuracy")
+
+
+def corpus_means(per_study: DataFrame, consistent: DataFrame) -> DataFrame:
+    """One row: n_studies and six means. consistent: (study_id, nos_consistency boolean)."""
+    j = per_study.join(consistent.select("study_id", F.col("nos_consistency").cast("double").alias("nos_consistency")), "study_id")
+    return j.agg(F.count("*").alias("n_studies"), *[F.avg(c).alias(c) for c in MEANS])
+
+
+def report(per_study: DataFrame, consistent: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row: the means, a count per kind of error, and what they advise. Over no studies: no advice."""
+    # both sides are one row
+    both = corpus_means(per_study, consistent).withColumn("_one", F.lit(1)).join(error_histogram(metrics).withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return both.withColumn("recommendations", F.array_compact(F.array(*[F.when(F.expr(when), F.lit(text)) for text, when in ADVICE])))
+
+
+# What each evaluator weighs in the composite, and from where a record passes.
+EVALUATORS = {"faithfulness": 0.30, "relevancy": 0.15, "hallucination": 0.30, "clinical": 0.25}
+PASSES = 0.7
+
+
+def composite(scores: DataFrame) -> DataFrame:
+    """(study_id, composite, passes, weak: evaluators under the threshold, in order) from (study_id, one column per evaluator). A null score counts as 0."""
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in EVALUATORS.items()), F.lit(0.0))
+    weak = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0.0)) < PASSES, F.lit(c)) for c in EVALUATORS]))
+    return scores.select("study_id", total.alias("composite"), (F.round(total, 9) >= PASSES).alias("passes"), weak.alias("weak"))
+
+
+def section_completion(fields: DataFrame) -> DataFrame:
+    """(study_id, section, percent): share of a section's fields that have a value; the section is what stands before a field's first point. fields: (study_id, field, value)."""
+    full = (F.coalesce("value", F.lit("")) != "").cast("double")
+    return fields.groupBy("study_id", F.substring_index("field", ".", 1).alias("section")).agg(tx.round_half_up(100 * F.avg(full)).alias("percent"))
+
+
+def truth_template(studies: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """An empty annotation for each field: (study_id, field, truth null, checksum of the study's id and field)."""
+    one = studies.select("study_id", F.explode(F.array(*map(F.lit, fields))).alias("field"))
+    return one.select("study_id", "field", F.lit(None).cast("string").alias("truth"), F.sha2(F.concat_ws(":", "study_id", "field"), 256).alias("checksum"))

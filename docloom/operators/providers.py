@@ -88,17 +88,21 @@ def imaging(docs: DataFrame) -> DataFrame:
 
 # Which reviewers look at a record, in order of dispatch, and when.
 REVIEWERS = (
-    ("math_consistency", "true"), ("scale_inversion", "has_outcomes"), ("etiology_segregation", "coalesce(diagnosis, '') <> ''"), ("evd_confounding", "technique IS NOT NULL"),
+    ("math_consistency", "true"), ("scale_inversion", "has_outcomes"), ("etiology_segregation", "coalesce(diagnosis, '') <> ''"), ("evd_confounding", "evd_used IS NOT NULL"),
     ("flowchart_consistency", "has_text"), ("surgical_technique", "true"), ("outcome_definition", "has_outcomes"), ("source_citation", "has_text"),
 )
 
 
 def triage(records: DataFrame) -> DataFrame:
-    """(study_id, reviewers, skipped, quality) from (study_id, diagnosis, technique, has_text, has_outcomes, has_comparator, has_quality)."""
+    """(study_id, reviewers, priority, skipped, quality) from (study_id, diagnosis, evd_used, has_text, has_outcomes, has_comparator, has_quality).
+
+    priority is the order of dispatch, but that the reviewer of scales comes first.
+    """
     on = [F.when(F.expr(c), F.lit(n)) for n, c in REVIEWERS]
+    sorted_on = [on[1], on[0], *on[2:]]
     off = [F.when(~F.coalesce(F.expr(c), F.lit(False)), F.lit(n)) for n, c in REVIEWERS]
     plus = sum((F.when(F.col(c), w).otherwise(0.0) for c, w in (("has_text", 0.15), ("has_comparator", 0.1), ("has_outcomes", 0.15), ("has_quality", 0.1))), F.lit(0.5))
-    return records.select("study_id", F.array_compact(F.array(*on)).alias("reviewers"), F.array_compact(F.array(*off)).alias("skipped"), F.least(F.lit(1.0), plus).alias("quality"))
+    return records.select("study_id", F.array_compact(F.array(*on)).alias("reviewers"), F.array_compact(F.array(*sorted_on)).alias("priority"), F.array_compact(F.array(*off)).alias("skipped"), F.least(F.lit(1.0), plus).alias("quality"))
 
 
 def discussion(text: Column) -> Column:

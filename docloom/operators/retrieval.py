@@ -37,7 +37,7 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """The k vectors nearest to one query vector, exactly: the query is a literal, so each partition keeps its k best."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("score", F.round(cosine(F.col("embedding"), q), 9)).orderBy(F.desc("score"), "vec_id").limit(k)
+    return vectors.withColumn("score", cosine(F.col("embedding"), q)).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
 def recent_turns(turns: DataFrame, n: int = 20) -> DataFrame:

@@ -15,17 +15,18 @@ ISSUE = ("study_id", "critic", "field", "severity", "message")
 
 @dataclass(frozen=True)
 class Rule:
-    """An issue for every row where `broken` holds (SQL condition; null counts as no)."""
+    """An issue for every row where `broken` holds (SQL condition over the columns `needs`; null counts as no)."""
 
     critic: str
     field: str
     severity: str
     broken: str
     message: str
+    needs: tuple[str, ...]
 
 
 def bounds(field: str, column: str, low: float, high: float, label: str, severity: str = "CRITICAL") -> Rule:
-    return Rule("range", field, severity, f"{column} < {low} OR {column} > {high}", f"{label} outside {low}-{high}")
+    return Rule("range", field, severity, f"{column} < {low} OR {column} > {high}", f"{label} outside {low}-{high}", (column,))
 
 
 def range_rules(latest_year: int) -> list[Rule]:
@@ -39,12 +40,12 @@ def range_rules(latest_year: int) -> list[Rule]:
         bounds("quality.selectionScore", "selection", 0, 4, "selection score"),
         bounds("quality.comparabilityScore", "comparability", 0, 2, "comparability score"),
         bounds("quality.outcomeScore", "outcome", 0, 3, "outcome score"),
-        Rule("range", "quality.totalScore", "CRITICAL", "abs(selection + comparability + outcome - total) > 0.1", "total differs from the sum of domains"),
+        Rule("range", "quality.totalScore", "CRITICAL", "abs(selection + comparability + outcome - total) > 0.1", "total differs from the sum of domains", ("selection", "comparability", "outcome", "total")),
     ]
 
 
 def absent(column: str, field: str, label: str) -> Rule:
-    return Rule("completeness", field, "WARNING", f"coalesce(CAST({column} AS STRING), '') = ''", f"missing: {label}")
+    return Rule("completeness", field, "WARNING", f"coalesce(CAST({column} AS STRING), '') = ''", f"missing: {label}", (column,))
 
 
 def completeness_rules() -> list[Rule]:
@@ -54,31 +55,47 @@ def completeness_rules() -> list[Rule]:
         absent("n_patients", "population.sampleSize", "sample size"),
         absent("procedure", "intervention.procedure", "procedure"),
         absent("mortality", "outcomes.mortality", "mortality"),
-        Rule("completeness", "comparator.sampleSize", "WARNING", "comparator_exists AND coalesce(comparator_n, 0) = 0", "comparator without sample size"),
+        Rule("completeness", "comparator.sampleSize", "WARNING", "comparator_exists AND coalesce(comparator_n, 0) = 0", "comparator without sample size", ("comparator_exists", "comparator_n")),
     ]
 
 
 def criteria_rules(topic: tuple[str, ...] = ("cerebellar", "cerebellum"), surgery: tuple[str, ...] = ("decompres", "craniectomy")) -> list[Rule]:
     none_of = lambda col, words: " AND ".join(f"NOT contains(lower(coalesce({col}, '')), '{w}')" for w in words)
     return [
-        Rule("criteria", "population.diagnosis", "CRITICAL", none_of("diagnosis", topic), "topic not met"),
-        Rule("criteria", "intervention.procedure", "CRITICAL", f"{none_of('procedure', surgery)} AND {none_of('technique', surgery)}", "procedure not met"),
-        Rule("criteria", "outcomes", "CRITICAL", "coalesce(mortality, '') = '' AND coalesce(mrs, '') = '' AND coalesce(complications, '') = ''", "no clinical outcome"),
-        Rule("criteria", "population.sampleSize", "WARNING", "coalesce(n_patients, 0) < 5", "small sample"),
+        Rule("criteria", "population.diagnosis", "CRITICAL", none_of("diagnosis", topic), "topic not met", ("diagnosis",)),
+        Rule("criteria", "intervention.procedure", "CRITICAL", f"{none_of('procedure', surgery)} AND {none_of('technique', surgery)}", "procedure not met", ("procedure", "technique")),
+        Rule("criteria", "outcomes", "CRITICAL", "coalesce(mortality, '') = '' AND coalesce(mrs, '') = '' AND coalesce(complications, '') = ''", "no clinical outcome", ("mortality", "mrs", "complications")),
+        Rule("criteria", "population.sampleSize", "WARNING", "coalesce(n_patients, 0) < 5", "small sample", ("n_patients",)),
     ]
 
 
-def apply_rules(studies: DataFrame, rules: list[Rule], id_col: str = "study_id") -> DataFrame:
-    """(study_id, critic, field, severity, message): one row per broken rule, from a single pass whatever their number. Rules whose columns the table lacks don't apply."""
-    have, out = {c.lower() for c in studies.columns}, []
-    import re
+def sample_rules(column: str = "n_stated") -> list[Rule]:
+    """A sample size is a whole number above 0."""
+    return [Rule("arithmetic", "population.sampleSize", "CRITICAL", f"{column} <= 0 OR {column} <> floor({column})", "sample size is not a positive whole number", (column,))]
+
+
+def sum_rules(whole: str, parts: tuple[str, ...], field: str = "population.sampleSize") -> list[Rule]:
+    """Groups of patients add up to all of them, where all numbers are given."""
+    return [Rule("math_consistency", field, "WARNING", f"{' + '.join(parts)} <> {whole}", "groups do not add up to the whole", (whole, *parts))]
+
+
+def flow_rules(screened: str = "screened", excluded: str = "excluded", enrolled: str = "enrolled") -> list[Rule]:
+    """Patients screened less those excluded are those enrolled, and no more can be excluded than were screened."""
+    needs = (screened, excluded, enrolled)
+    return [
+        Rule("flowchart_consistency", "population.flow", "WARNING", f"{screened} - {excluded} <> {enrolled}", "screened less excluded differs from enrolled", needs),
+        Rule("flowchart_consistency", "population.flow", "CRITICAL", f"{excluded} > {screened}", "more excluded than screened", needs[:2]),
+    ]
 
-    words = {"or", "and", "not", "abs", "coalesce", "cast", "as", "string", "contains", "lower"}
-    for r in rules:
-        names = set(re.findall(r"[a-z_][a-z0-9_]*", re.sub(r"'[^']*'", "", r.broken.lower()))) - words
-        if names <= have:
-            out.append(F.when(F.expr(r.broken), F.struct(*[F.lit(x).alias(n) for n, x in (("critic", r.critic), ("field", r.field), ("severity", r.severity), ("message", r.message))])))
-    return studies.select(F.col(id_col).alias("study_id"), F.explode(F.array_compact(F.array(*out))).alias("i")).select("study_id", "i.*") if out else studies.select(F.col(id_col).alias("study_id")).limit(0)
+
+def apply_rules(studies: DataFrame, rules: list[Rule], id_col: str = "study_id") -> DataFrame:
+    """(study_id, critic, field, severity, message): one row per broken rule, from a single pass whatever their number. A rule whose columns the table lacks is an error."""
+    lacks = {c for r in rules for c in r.needs} - set(studies.columns)
+    if lacks:
+        raise ValueError(f"no columns {sorted(lacks)}")
+    issue = lambda r: F.struct(*[F.lit(x).alias(n) for n, x in (("critic", r.critic), ("field", r.field), ("severity", r.severity), ("message", r.message))])
+    broken = F.array(*[F.when(F.expr(r.broken), issue(r)) for r in rules])
+    return studies.select(F.col(id_col).alias("study_id"), F.explode(F.array_compact(broken)).alias("i")).select("study_id", "i.*")
 
 
 def arithmetic(measures: DataFrame, text_col: str = "mortality", field: str = "outcomes.mortality", strict: bool = False) -> DataFrame:
@@ -170,3 +187,44 @@ def decide(issues: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def union(*issues: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), issues)
+
+
+def quick(studies: DataFrame, layer1: DataFrame, layer3: DataFrame) -> DataFrame:
+    """Gate for live checks: (study_id, passed, errors, warnings). layer1 and layer3: issues (study_id, severity, message). passed: no critical issue of layer 1; errors are
+    its critical messages, warnings those of layer 3, both in order."""
+    errors = layer1.where("severity = 'CRITICAL'").groupBy("study_id").agg(F.sort_array(F.collect_list("message")).alias("errors"))
+    warnings = layer3.where("severity = 'WARNING'").groupBy("study_id").agg(F.sort_array(F.collect_list("message")).alias("warnings"))
+    none = F.array().cast("array<string>")
+    j = studies.select("study_id").join(errors, "study_id", "left").join(warnings, "study_id", "left")
+    return j.select("study_id", F.col("errors").isNull().alias("passed"), F.coalesce("errors", none).alias("errors"), F.coalesce("warnings", none).alias("warnings"))
+
+
+def critique(issues: DataFrame, anchored: DataFrame, critics: DataFrame, modes: DataFrame) -> DataFrame:
+    """The whole verdict with its mode: (study_id, mode, n_critical, n_warning, confidence, passed, corrections map or null).
+
+    issues: with field, severity, suggested, seq. modes: (study_id, mode AUTO, REVIEW or MANUAL, approved by a reviewer, may be null). A reviewer's approval passes a record in REVIEW
+    mode. Corrections, the suggestions of critical issues, come with AUTO mode and with approval.
+    """
+    v = verdict(issues, anchored, critics).join(modes, "study_id").join(corrections(issues), "study_id", "left")
+    approved = (F.col("mode") == "REVIEW") & F.coalesce("approved", F.lit(False))
+    given = F.when((F.col("mode") == "AUTO") | approved, F.col("corrections"))
+    return v.select("study_id", "mode", "n_critical", "n_warning", "confidence", (F.col("passed") | approved).alias("passed"), given.alias("corrections"))
+
+
+def gate(candidates: DataFrame, existing: DataFrame, matches: DataFrame) -> DataFrame:
+    """What happens to records to be saved: (study_id, status). candidates: (study_id, passed). matches: (study_id, confidence), what a duplicate check found.
+
+    rejected: the critique failed; saved: no record exists yet or no match was found, or only a Low one; flagged: a Medium match; duplicate: a High one.
+    """
+    rank = F.expr("CASE confidence WHEN 'High' THEN 2 WHEN 'Medium' THEN 1 ELSE 0 END")
+    best = matches.groupBy("study_id").agg(F.max(rank).alias("rank"))
+    empty = existing.isEmpty()
+    j = candidates.join(best, "study_id", "left")
+    rank = F.coalesce("rank", F.lit(0)) if not empty else F.lit(0)
+    return j.select("study_id", F.when(~F.col("passed"), "rejected").when(rank == 2, "duplicate").when(rank == 1, "flagged").otherwise("saved").alias("status"))
+
+
+def findings(issues: DataFrame, critic: str | None = None, severity: str | None = None) -> DataFrame:
+    """Issues of one critic, one severity, both or all."""
+    out = issues if critic is None else issues.where(F.col("critic") == critic)
+    return out if severity is None else out.where(F.col("severity") == severity)

@@ -118,6 +118,12 @@ def envelope(boxes: DataFrame, *keys: str) -> DataFrame:
     return boxes.groupBy(*keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max(F.col("y") + F.col("height")).alias("y1"))
 
 
+def next_boxes(words: DataFrame, n: int) -> DataFrame:
+    """(doc_id, pos, boxes array<struct<x0, y0, x1, y1>>): of each word and the n - 1 after it, as many as there are. words: (doc_id, pos, x0, y0, x1, y1)."""
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, n - 1)
+    return words.select("doc_id", "pos", F.collect_list(F.struct("x0", "y0", "x1", "y1")).over(w).alias("boxes"))
+
+
 def merge_boxes(boxes: Column, line: float = 5, gap: float = 10) -> Column:
     """array<struct<x0, y0, x1, y1>> of boxes (the same struct, doubles) in order: one joins the box before it if it is on the same line (y0 less than `line` away) and begins less than `gap` after its end."""
     start = F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")

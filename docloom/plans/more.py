@@ -15,20 +15,21 @@ from .relations import table
 
 # --- matching --------------------------------------------------------------------
 
-_QUOTES = "SELECT doc_id, 1 AS quote_id, substring(text, 30, 60) AS quote FROM documents WHERE length(text) > 200 UNION ALL SELECT doc_id, 2, concat(substring(text, 10, 40), ' zzz qqq') FROM documents WHERE length(text) > 200 UNION ALL SELECT doc_id, 3, 'nothing like this there' FROM documents WHERE length(text) > 200"
-_BLOCKS = "blocks AS (SELECT doc_id, CAST(i AS INT) AS block, substring(text, CAST(i * 400 + 1 AS INT), 500) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 400.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 200))"
+_QUOTES = "SELECT * FROM (SELECT doc_id, 1 AS quote_id, substring(text, 30, 60) AS quote FROM documents UNION ALL SELECT doc_id, 2, concat(substring(text, 10, 40), ' zzz qqq') FROM documents UNION ALL SELECT doc_id, 3, 'nothing like this there' FROM documents) x WHERE regexp_matches(quote, '[A-Za-z0-9_]')"
+_BLOCKS = "blocks AS (SELECT doc_id, CAST(i AS INT) AS block, substring(text, CAST(i * 400 + 1 AS INT), 500) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 400.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0))"
 _PLAIN = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '\\s+', ' ', 'g'), '[^A-Za-z0-9_\\s]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
 _FUZZY = f"""quotes AS ({_QUOTES}), {_BLOCKS}, q AS (SELECT *, list_distinct(list_filter(regexp_split_to_array({_PLAIN.format("quote")}, '\\s+'), lambda x: x <> '')) AS w FROM quotes),
 d AS (SELECT q.doc_id, quote_id, block, 1 - len(list_intersect(w, regexp_split_to_array({_PLAIN.format("text")}, '\\s+'))) / CAST(len(w) AS DOUBLE) AS distance FROM q JOIN blocks b ON b.doc_id = q.doc_id WHERE len(w) > 0)"""
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).where("length(text) > 200").select("doc_id", "text")
-    return d.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("quote_id"), q.alias("quote")) for i, q in ((1, F.substring("text", 30, 60)), (2, F.concat(F.substring("text", 10, 40), F.lit(" zzz qqq"))), (3, F.lit("nothing like this there")))])))
+    d = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text")
+    # a quote without a word says nothing
+    return d.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("quote_id"), q.alias("quote")) for i, q in ((1, F.substring("text", 30, 60)), (2, F.concat(F.substring("text", 10, 40), F.lit(" zzz qqq"))), (3, F.lit("nothing like this there")))]))).where(F.col("quote").rlike("[A-Za-z0-9_]"))
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).where("length(text) > 200").select("doc_id", "text")
+    d = docs(spark, sf_dir).where("length(text) > 0").select("doc_id", "text")
     n = F.ceil(F.length("text") / 400).cast("int")
     return d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("block")).select("doc_id", "block", F.substring(F.col("text"), F.col("block") * 400 + 1, F.lit(500)).alias("text"))
 
@@ -60,15 +61,6 @@ def j12_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.in_windows(spans.word_spans(docs(spark, sf_dir).select("doc_id", "text")), "The er", 5)
 
 
-@query("""WITH f AS (SELECT doc_id, unnest(['a', 'b']) AS field, unnest([substring(text, 3, 4), 'und']) AS value FROM documents), c AS (SELECT doc_id, i AS cite_id, substring(text, i * 50 + 1, 60) AS text FROM documents, (SELECT unnest([0, 1, 2]) AS i) x)
-SELECT f.doc_id, field, cite_id::INT AS cite_id FROM f JOIN c ON c.doc_id = f.doc_id WHERE contains(lower(text), lower(value))""")
-def j14_link_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select("doc_id", "text")
-    f = d.select("doc_id", F.inline(F.array(F.struct(F.lit("a").alias("field"), F.substring("text", 3, 4).alias("value")), F.struct(F.lit("b").alias("field"), F.lit("und").alias("value")))))
-    c = d.select("doc_id", "text", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("cite_id")).select("doc_id", "cite_id", F.substring(F.col("text"), F.col("cite_id") * 50 + 1, F.lit(60)).alias("text"))
-    return matching.link_values(f, c)
-
-
 def _slices(d: DataFrame, step: int, width: int) -> DataFrame:
     """(doc_id, i, text): slices of `width` characters at every `step` characters up to the end of each text."""
     n = F.ceil(F.length("text") / step).cast("int")
@@ -81,7 +73,7 @@ _SLICES = "(SELECT doc_id, i::INT AS i, substring(text, CAST(i * {0} + 1 AS INT)
 
 @query(f"""WITH f AS (SELECT doc_id, unnest(['a', 'b']) AS field, unnest([substring(text, 3, 4), 'und']) AS value FROM documents), c AS {_SLICES.format(50, 60)}
 SELECT f.doc_id, field, i AS cite_id FROM f JOIN c ON c.doc_id = f.doc_id WHERE contains(lower(text), lower(value))""")
-def j14_link_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j14_link_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", "text")
     f = d.select("doc_id", F.inline(F.array(F.struct(F.lit("a").alias("field"), F.substring("text", 3, 4).alias("value")), F.struct(F.lit("b").alias("field"), F.lit("und").alias("value")))))
     return matching.link_values(f, _slices(d, 50, 60).withColumnRenamed("i", "cite_id"))
@@ -110,17 +102,9 @@ def j15_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), matching.table_caption(t, F.instr(t, "|")).alias("caption"), matching.figure_caption(figs, (F.col("c_custkey") % 3).cast("int")).alias("figure"))
 
 
-@query("WITH p AS (SELECT DISTINCT doc_id AS response_id, unnest(['the', 'und', 'THERE', 'nowhere']) AS phrase FROM documents), c AS (SELECT doc_id AS response_id, i AS idx, substring(text, i * 100 + 1, 100) AS text FROM documents, (SELECT unnest([0, 1, 2, 3]) AS i) x) SELECT p.response_id, phrase, min(idx)::INT AS idx FROM p JOIN c ON c.response_id = p.response_id WHERE contains(lower(text), lower(phrase)) GROUP BY p.response_id, phrase")
-def j21_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select("doc_id", "text")
-    p = d.select(F.col("doc_id").alias("response_id"), F.explode(F.array(*map(F.lit, ("the", "und", "THERE", "nowhere")))).alias("phrase"))
-    c = d.select("doc_id", "text", F.explode(F.array(*map(F.lit, (0, 1, 2, 3)))).alias("idx")).select(F.col("doc_id").alias("response_id"), "idx", F.substring(F.col("text"), F.col("idx") * 100 + 1, F.lit(100)).alias("text"))
-    return matching.supports(p, c)
-
-
 @query(f"""WITH p AS (SELECT DISTINCT doc_id AS response_id, unnest(['the', 'und', 'THERE', 'nowhere']) AS phrase FROM documents), c AS {_SLICES.format(100, 100)}
 SELECT response_id, phrase, min(i)::INT AS idx FROM p JOIN c ON doc_id = response_id WHERE contains(lower(text), lower(phrase)) GROUP BY response_id, phrase""")
-def j21_supports_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j21_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", "text")
     p = d.select(F.col("doc_id").alias("response_id"), F.explode(F.array(*map(F.lit, ("the", "und", "THERE", "nowhere")))).alias("phrase"))
     return matching.supports(p, _slices(d, 100, 100).select(F.col("doc_id").alias("response_id"), F.col("i").alias("idx"), "text"))
@@ -221,14 +205,14 @@ def w9_discussion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("d.findings").alias("n_findings"), F.get("d.limitations", F.lit(0)).alias("limitation"), "d.implications")
 
 
-_REC = "study_id, diagnosis, technique, study_id % 2 = 0 AS has_text, study_id % 3 = 0 AS has_outcomes, study_id % 5 = 0 AS has_comparator, true AS has_quality"
+_REC = "study_id, diagnosis, evd_used, study_id % 2 = 0 AS has_text, study_id % 3 = 0 AS has_outcomes, study_id % 5 = 0 AS has_comparator, true AS has_quality"
 
 
-@query(f"""{_STUDIES}, r AS (SELECT {_REC} FROM studies) SELECT study_id, 2 + CASE WHEN has_outcomes THEN 2 ELSE 0 END + CASE WHEN has_text THEN 2 ELSE 0 END + 1 + CASE WHEN technique IS NOT NULL THEN 1 ELSE 0 END AS n_reviewers,
+@query(f"""{_STUDIES}, r AS (SELECT {_REC} FROM studies) SELECT study_id, 2 + CASE WHEN has_outcomes THEN 2 ELSE 0 END + CASE WHEN has_text THEN 2 ELSE 0 END + 1 + CASE WHEN evd_used IS NOT NULL THEN 1 ELSE 0 END AS n_reviewers, CASE WHEN has_outcomes THEN 'scale_inversion' ELSE 'math_consistency' END AS first,
 round((0.6 + CASE WHEN has_text THEN 0.15 ELSE 0 END + CASE WHEN has_comparator THEN 0.1 ELSE 0 END + CASE WHEN has_outcomes THEN 0.15 ELSE 0 END)::DOUBLE, 6) AS quality FROM r""")
 def p16_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rel.studies(spark, sf_dir).selectExpr(*[x.strip() for x in _REC.split(",")])
-    return providers.triage(r).select("study_id", F.size("reviewers").alias("n_reviewers"), F.round("quality", 6).alias("quality"))
+    return providers.triage(r).select("study_id", F.size("reviewers").alias("n_reviewers"), F.get("priority", F.lit(0)).alias("first"), F.round("quality", 6).alias("quality"))
 
 
 @query("WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) > 20) AS l FROM documents) SELECT doc_id, i::INT AS number, l[i] AS raw_text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)")
@@ -327,15 +311,8 @@ def f38_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.patients(n, 62.5, 12.0, 0.002, 365, 7)
 
 
-@query(f"WITH {_LINES} SELECT doc_id, pos::INT AS pos, regexp_matches(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^\\d+/\\d+') AS ratio FROM lines WHERE pos < 2")
-def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .queries import _lines
-
-    return _lines(spark, sf_dir).where("pos < 2").select("doc_id", "pos", tx.strip(F.col("text")).rlike(r"^\d+/\d+").alias("ratio"))
-
-
 @query(f"WITH {_LINES} SELECT doc_id, pos::INT AS pos, regexp_matches(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^\\d+/\\d+') AS ratio FROM lines")
-def p7_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .queries import _lines
 
     return _lines(spark, sf_dir).select("doc_id", "pos", tx.strip(F.col("text")).rlike(r"^\d+/\d+").alias("ratio"))

@@ -23,11 +23,24 @@ STUDY = {
     "technique": f"CASE {K} % 3 WHEN 0 THEN 'wide decompression' ELSE NULL END",
     "diagnosis": f"CASE {K} % 5 WHEN 0 THEN 'Cerebellar infarction' WHEN 1 THEN 'stroke of the cerebellum' ELSE 'stroke' END",
     "mortality": f"CASE {K} % 6 WHEN 0 THEN concat(CAST({K} % 41 AS STRING), '/40 (', CAST(CAST(floor(({K} % 41) * 2.5) AS INT) AS STRING), '%)') WHEN 1 THEN concat(CAST({K} % 140 AS STRING), '%') WHEN 2 THEN concat(CAST({K} % 41 AS STRING), '/40') WHEN 3 THEN concat(CAST(CAST(floor(({K} % 41) * 2.5) AS INT) + {K} % 4 AS STRING), '% (', CAST({K} % 41 AS STRING), '/40)') WHEN 4 THEN 'not reported' ELSE '' END",
-    "mrs": f"CASE {K} % 8 WHEN 0 THEN '' ELSE concat(CAST({K} % 8 AS STRING), '/10') END",
+    "mrs": f"CASE {K} % 8 WHEN 0 THEN '' WHEN 1 THEN concat(CAST({K} % 10 AS STRING), '/10 (', CAST({K} % 10 * 10 + {K} % 3 AS STRING), '%)') ELSE concat(CAST({K} % 8 AS STRING), '/10') END",
     "follow_up": f"CASE {K} % 8 WHEN 0 THEN concat(CAST({K} % 400 AS STRING), ' days') WHEN 1 THEN concat(CAST(1 + {K} % 14 AS STRING), ' months') WHEN 2 THEN concat('median ', CAST(1 + {K} % 3 AS STRING), ' years') WHEN 3 THEN '60 days' WHEN 4 THEN '135d' WHEN 5 THEN '' WHEN 6 THEN 'not stated' ELSE NULL END",
     "source_text": f"concat('In this series of ', CAST({K} % 97 AS STRING), ' cases from ', n_name, ' the result was ', CAST({K} % 41 AS STRING))",
     "is_duplicate": f"{K} % 12 = 0",
     "dup_confidence": f"CASE {K} % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END",
+    "gcs": f"CAST(CASE WHEN {K} % 10 = 0 THEN NULL ELSE {K} % 23 END AS INT)",
+    "mortality_pct": f"CAST(CASE WHEN {K} % 7 = 0 THEN NULL ELSE {K} % 113 - 3 END AS INT)",
+    "n_stated": f"CAST({K} % 29 - 1 AS INT)",
+    "evd_used": f"CASE {K} % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE NULL END",
+    "complications": f"CASE {K} % 4 WHEN 0 THEN 'bleeding' WHEN 1 THEN '' ELSE NULL END",
+    "comparator_exists": f"{K} % 3 = 0",
+    "comparator_n": f"CAST(CASE {K} % 6 WHEN 0 THEN 0 WHEN 3 THEN NULL ELSE {K} % 50 END AS INT)",
+    "difficulty": f"CASE {K} % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END",
+    "screened": f"CAST({K} % 90 + 10 AS INT)",
+    "excluded": f"CAST({K} % 31 AS INT)",
+    "enrolled": f"CAST({K} % 90 + 10 - {K} % 31 + CASE WHEN {K} % 13 = 0 THEN 2 ELSE 0 END AS INT)",
+    "arm_a": f"CAST(CASE WHEN {K} % 19 = 0 THEN NULL ELSE floor(({K} % 13 + 2) / 2.0) END AS INT)",
+    "arm_b": f"CAST({K} % 13 + 2 AS INT) - CAST(floor(({K} % 13 + 2) / 2.0) AS INT) + CAST(CASE WHEN {K} % 16 = 0 THEN 1 ELSE 0 END AS INT)",
     "design": f"CASE {K} % 3 WHEN 0 THEN 'cohort' WHEN 1 THEN 'series' ELSE 'trial' END",
 }
 STUDIES_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in STUDY.items()) + " FROM customer JOIN nation ON c_nationkey = n_nationkey"
