@@ -82,10 +82,16 @@ def small(table: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def release() -> None:
-    """Give back what Arrow keeps for later; called when a task's Python step ends."""
+    """Give freed memory back to the machine, as a worker lives on after its task: what Arrow keeps for later, and what the C library does."""
+    import ctypes
+
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def parts(spark: SparkSession, rows: int, each: int, least: int = 1) -> int:
@@ -161,12 +167,17 @@ class Runs:
         ids = np.frombuffer(b"".join([x.tobytes() for x in lists]), dtype="<u4")
         return cls(ids, np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
 
-    def take(self, places: np.ndarray) -> "Runs":
+    def take(self, places: np.ndarray, step: int = 200_000) -> "Runs":
         n = self.lengths[places]
-        ends = np.cumsum(n)
-        at = np.repeat(self.starts[places] - (ends - n), n)
-        at += np.arange(len(at))
-        return Runs(self.ids[at], n)
+        out, to = np.empty(int(n.sum()), dtype=self.ids.dtype), 0
+        for i in range(0, len(places), step):
+            own, k = places[i : i + step], n[i : i + step]
+            ends = np.cumsum(k)
+            at = np.repeat(self.starts[own] - (ends - k), k)
+            at += np.arange(len(at))
+            out[to : to + len(at)] = self.ids[at]
+            to += len(at)
+        return Runs(out, n)
 
 
 #: Fixed: a piece of Latin letters, perhaps with a point or comma behind, which the tokenizer in use parts from it.
@@ -227,7 +238,7 @@ class Encoder:
         lists += [self._raw(x) for x in odd.to_pylist()]
         is_plain = plain.to_numpy(zero_copy_only=False)
         # each piece is a word and what stands behind it, or an odd piece and nothing
-        parts = np.zeros((len(pieces), 2), dtype=np.int64)
+        parts = np.zeros((len(pieces), 2), dtype=np.int32)
         parts[is_plain, 0] = base.indices.to_numpy() + 3
         parts[is_plain, 1] = point.to_numpy(zero_copy_only=False) + 2 * comma.to_numpy(zero_copy_only=False)
         parts[~is_plain, 0] = first_odd + np.arange(len(odd))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, label, materialise, parts, shared_dir, spread_join
+from .common import discard, label, materialise, parts, release, shared_dir, spread_join
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -116,6 +116,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col:
                 cells = [pa.array(range(node, node + part.num_rows), pa.int64()), part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
                 node += part.num_rows
                 yield pa.RecordBatch.from_arrays(cells, names=["node", "doc_id", "row_key", "size", "k1", "k2", "bands"])
+        release()
 
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).withColumn("row_key", F.xxhash64("doc_id", text_col))
     return row.mapInArrow(run, "node long, doc_id long, row_key long, size long, k1 long, k2 long, bands array<long>")
@@ -253,6 +254,7 @@ def similar(
                 keys = [_set_key(s) for s in sets]
                 cells = [pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cells, names=[*key, "hashes"])
+        release()
 
     sets = members.join(texts.mapInArrow(full, "size long, k1 long, k2 long, hashes binary").dropDuplicates(key), key)
     sets = materialise(sets.select("root", "node", "copies", "block", "blocks", "size", "hashes"), "sets")
