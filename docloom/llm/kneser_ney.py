@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,16 +84,11 @@ def _first(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return ranked[at], order[at], np.diff(np.concatenate([at, [len(h)]])), which
 
 
-def distinct(texts: Iterable[str | None], most: int = 1 << 20, start: tuple | None = None, runs: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams of some texts, and of those that `start` came from: hashes in order, code points [n, ORDER], counts.
-
-    runs, if given, gets for each chunk its distinct hashes, which of them each run of characters has, and (text, number of its runs) in order.
-    """
+def distinct(texts: Iterable[str | None], most: int = 1 << 20, start: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams of some texts, and of those that `start` came from: hashes in order, code points [n, ORDER], counts."""
     h, g, n = start or (np.zeros(0, dtype=np.uint64), np.zeros((0, ORDER), dtype=np.uint32), np.zeros(0, dtype=np.int64))
-    for c, starts, of in _chunks(texts, most):
-        new, at, many, which = _first(_hashes(c, starts))
-        if runs is not None:
-            runs.append((new, which, of))
+    for c, starts, _ in _chunks(texts, most):
+        new, at, many, _ = _first(_hashes(c, starts))
         both, points = np.concatenate([h, new]), np.concatenate([g, c[starts[at][:, None] + np.arange(ORDER)]])
         h, place, _, where = _first(both)
         n = np.bincount(where, weights=np.concatenate([n, many]), minlength=len(h)).astype(np.int64)
@@ -379,12 +374,13 @@ def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: s
         at = block.schema.get_field_index(_TEXT)
         lengths = np.array([len(x or "") for x in _texts(block, at)], dtype=np.int64)
         nll, toxic = np.full(len(lengths), np.nan), np.full(len(lengths), np.nan)
-        runs: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]] = []
-        h, g, _ = distinct(_texts(block, at), runs=runs)
+        h, g, _ = distinct(_texts(block, at))
         if len(h):
             good, bad = _logs(_roles(g, packed["key"][0].as_py()), [Counts.unpacked(head.value), Counts.of(known)])
             total, worst, running = np.zeros(len(lengths)), np.zeros(len(lengths)), np.zeros(len(lengths))
-            for new, which, of in runs if good is not None else ():
+            # the runs of characters are made again chunk by chunk, rather than held
+            for c, starts, of in _chunks(_texts(block, at)) if good is not None else ():
+                new, _, _, which = _first(_hashes(c, starts))
                 where = np.searchsorted(h, new)
                 logp = good[where][which]
                 excess = None if bad is None else (bad[where] - good[where])[which]
@@ -447,28 +443,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col:
     return known
 
 
+def quantiles(values: DataFrame, share: float, width: float = 1e-4) -> DataFrame:
+    """(lang, x, n): per language, the value up to which a share of (lang, x) lies, and their number.
+
+    A sketch per language counts values in bins of this width; counts add up exactly, in any order, so reruns agree. Values span a few units, so bins are at most some 100,000 a language.
+    """
+    bins = values.groupBy("lang", F.floor(F.col("x") / width).alias("bin")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("lang")
+    ranked = bins.withColumn("upto", F.sum("c").over(w.orderBy("bin"))).withColumn("n", F.sum("c").over(w))
+    return ranked.groupBy("lang").agg(((F.min(F.when(F.col("upto") >= share * F.col("n"), F.col("bin"))) + 1) * width).alias("x"), F.max("n").alias("n"))
+
+
 def _limit(values: DataFrame, share: float, prior: float) -> DataFrame:
     """(lang, limit): per language, the quantile `share` of (lang, x), drawn towards that of all languages together as if `prior` values spoke for it. One row per language."""
-    own = values.groupBy("lang").agg(F.percentile_approx("x", share, 20000).alias("own"), F.count("*").alias("n"))
-    pooled = F.lit(values.agg(F.percentile_approx("x", share, 20000)).first()[0]).cast("double")
-    return own.select("lang", ((F.col("n") * F.col("own") + prior * pooled) / (F.col("n") + prior)).alias("limit"))
+    pooled = quantiles(values.select(F.lit(0).alias("lang"), "x"), share).first()
+    other = F.lit(pooled["x"] if pooled else None).cast("double")
+    return quantiles(values, share).select("lang", ((F.col("n") * F.col("x") + prior * other) / (F.col("n") + prior)).alias("limit"))
 
 
 def thresholds(scored: DataFrame, trusted: DataFrame, good: float = 0.99, spotless: float = 0.995, prior: float = 30.0) -> DataFrame:
     """(lang, threshold, toxicity_limit), one row per language of scored: (id, lang, x: logarithm of perplexity, toxicity).
 
     Among a language's trusted documents (ids in trusted: (label_id)), a share `good` has at most perplexity threshold, and a share `spotless` at most toxicity_limit. Few documents say little about a quantile, so each is drawn towards that of all languages, perplexities relative to the language's middle:
-    with n documents, the language's own counts n / (n + prior). Quantiles come from mergeable sketches.
+    with n documents, the language's own counts n / (n + prior). Quantiles come from mergeable sketches, of toxicity on a logarithmic scale.
     """
-    mids = materialise(scored.where("x IS NOT NULL").groupBy("lang").agg(F.percentile_approx("x", 0.5, 20000).alias("mid")), "mids")
+    mids = materialise(quantiles(scored.where("x IS NOT NULL").select("lang", "x"), 0.5).select("lang", F.col("x").alias("mid")), "mids")
     known = scored.where("x IS NOT NULL").join(trusted, F.expr("id = label_id"), "left_semi").alias("k")
     known = materialise(known.join(small(mids).alias("m"), F.expr("k.lang <=> m.lang")).select("k.lang", (F.col("x") - F.col("mid")).alias("x"), "toxicity"), "trusted")
-    toxicity = known.select("lang", F.col("toxicity").alias("x")).where("x IS NOT NULL")
+    toxicity = known.select("lang", F.log1p("toxicity").alias("x")).where("x IS NOT NULL")
     out = mids
     for name, values, share in (("threshold", known.select("lang", "x"), good), ("toxicity_limit", toxicity, spotless)):
         limit = materialise(_limit(values, share, prior), name).select(F.col("lang").alias("_l"), F.col("limit").alias(name))
         out = out.join(small(limit), F.expr("lang <=> _l"), "left").drop("_l")
-    return out.select("lang", F.exp(F.col("mid") + F.col("threshold")).alias("threshold"), "toxicity_limit")
+    return out.select("lang", F.exp(F.col("mid") + F.col("threshold")).alias("threshold"), F.expm1("toxicity_limit").alias("toxicity_limit"))
 
 
 OUTPUT = ("perplexity", "threshold", "toxicity", "toxicity_limit", "kept")
@@ -489,8 +496,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     scored = materialise(score(docs, known, id_col, lang_col, text_col, keep), "scored")
     discard(known)
     # the language's middle in the same rough way for texts of all lengths
-    rate = scored.where(F.col(_NLL).isNotNull()).groupBy(F.col(lang_col).alias("_kn_lang")).agg(F.percentile_approx(F.col(_NLL) / F.col(_CHARS), 0.5, 20000).alias("_kn_rate"))
-    rate = small(materialise(rate, "rates"))
+    rate = quantiles(scored.where(F.col(_NLL).isNotNull()).select(F.col(lang_col).alias("lang"), (F.col(_NLL) / F.col(_CHARS)).alias("x")), 0.5)
+    rate = small(materialise(rate.select(F.col("lang").alias("_kn_lang"), F.col("x").alias("_kn_rate")), "rates"))
     x = (F.col(_NLL) + inert * F.col("_kn_rate")) / (F.col(_CHARS) + inert)
     scored = scored.join(rate, F.expr(f"`{lang_col}` <=> _kn_lang"), "left").withColumn("_kn_x", x)
     plain = scored.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col("_kn_x").alias("x"), F.col(_TOXIC).alias("toxicity"))

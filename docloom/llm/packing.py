@@ -107,7 +107,7 @@ def _flush(rest: list[tuple], size: int, last: bool, loose: int) -> tuple[list[l
     return windows + cut, later
 
 
-def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[pa.Array], Iterator[bytes]]], end_id: int = 1, size: int = 2048, pad_id: int = 0, hold: int = 4096, loose: int = 8, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[pa.Array], Iterator[bytes]]], end_id: int = 1, size: int = 2048, pad_id: int = 0, hold: int = 4096, loose: int = 8, block_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sequences of at most `size` tokens: (sequence_id, n_tokens: without padding, ids: little-endian 32-bit, padded, pieces).
 
     make_encoder is called on the executor and gives texts -> ids of each as bytes; each document gets end_id at its end, so null and empty texts are that id alone. A sequence is padded

@@ -158,7 +158,7 @@ class Reader:
 
 
 def write(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 2_000_000, shard_bytes: int = 24_000_000, block_bytes: int = 8_000_000,
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 2_000_000, shard_bytes: int = 24_000_000, block_bytes: int = 4_000_000,
 ) -> None:
     """Encode every whole text, add end_id, and write the ids in ascending order of id (null ids first, repeated ids by a hash of the text, then by text) below path.
 
