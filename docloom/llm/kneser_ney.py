@@ -443,10 +443,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col:
     return known
 
 
-def quantiles(values: DataFrame, share: float, width: float = 1e-4) -> DataFrame:
+def quantiles(values: DataFrame, share: float, width: float = 1e-3) -> DataFrame:
     """(lang, x, n): per language, the value up to which a share of (lang, x) lies, and their number.
 
-    A sketch per language counts values in bins of this width; counts add up exactly, in any order, so reruns agree. Values span a few units, so bins are at most some 100,000 a language.
+    A sketch per language counts values in bins of this width; counts add up exactly, in any order, so reruns agree. Values span a few units, so bins are at most some 10,000 a language.
     """
     bins = values.groupBy("lang", F.floor(F.col("x") / width).alias("bin")).agg(F.count("*").alias("c"))
     w = Window.partitionBy("lang")
