@@ -134,7 +134,7 @@ def synthesise(head: dict[str, str], body: bytes, truncated: bool, place: str) -
     }
 
 
-def to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", each_bytes: int = 32_000_000) -> DataFrame:
+def to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", each_bytes: int = 16_000_000) -> DataFrame:
     """Pages as legacy ARC containers of about each_bytes: (name, content binary); versions 1 and 2 in turn. Null html is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ def _member(record: bytes) -> bytes:
     return z.compress(record) + z.flush()
 
 
-def write(records: DataFrame, path: str, each_bytes: int = 32_000_000) -> None:
+def write(records: DataFrame, path: str, each_bytes: int = 16_000_000) -> None:
     """WARC files below path, by Spark's own writer. records: rows of RECORD with first_*; those with a problem are left out.
 
     A file begins with a warcinfo record and holds about each_bytes, compressed, one record at least; each record is a gzip member of its own, so it can be read from its place alone.
@@ -333,7 +333,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "record_id string, page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long")
 
 
-def archive(arcs: DataFrame, least: int = 0, each_bytes: int = 32_000_000) -> DataFrame:
+def archive(arcs: DataFrame, least: int = 0, each_bytes: int = 16_000_000) -> DataFrame:
     """Store ARC files in the shared folder, convert them to WARC files there, repeated payloads as revisits, and read those back. No files, no rows. What can't be read is left out; see problems()."""
     spark = arcs.sparkSession
     shared_dir(spark)
