@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -54,10 +55,20 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def _shielded() -> str:
+    """Pattern of the dots that end no sentence: each dot of an abbreviation, by what stands around it, and those between digits."""
+    around = [r"(?<=[0-9]\.)(?=[0-9])"]
+    for word in ABBREVIATIONS:
+        for i, c in enumerate(word):
+            if c == ".":
+                before, after = re.escape(word[: i + 1]), re.escape(word[i + 1 :])
+                around.append(f"(?<={before})" + (f"(?={after})" if after else ""))
+    return r"\.(?:" + "|".join(around) + ")"
+
+
 def shield(text: Column) -> Column:
     """Dots of abbreviations and decimals become a control character, so that they end no sentence."""
-    masked = reduce(lambda t, a: F.replace(t, F.lit(a), F.lit(a.replace(".", _DOT))), ABBREVIATIONS, text)
-    return F.regexp_replace(masked, r"(\d+)\.(?=\d)", "$1" + _DOT)
+    return F.regexp_replace(text, _shielded(), _DOT)
 
 
 def sentences(text: Column) -> Column:
@@ -144,7 +155,11 @@ def word_set(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common words among all words of two texts."""
-    x, y = word_set(a), word_set(b)
+    return jaccard_of_sets(word_set(a), word_set(b))
+
+
+def jaccard_of_sets(x: Column, y: Column) -> Column:
+    """Share of common words among all words of two word sets."""
     return F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y)).cast("double"))
 
 
