@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +13,27 @@ from ..functions import text as tx
 
 def word_spans(docs: DataFrame, page_chars: int = 1000, line_chars: int = 80, char_width: int = 6, line_height: int = 12) -> DataFrame:
     """Words of each document with running offsets: (doc_id, pos, text, start_char, end_char, page, x, y, width, height). Words are parted by single blanks."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    one = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
-    start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("long")
-    one = one.withColumn("start_char", start).withColumn("end_char", F.col("start_char") + F.length("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                lists = pc.split_pattern(batch.column(1), " ")
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                words, first = lists.flatten(), np.cumsum(n) - n
+                upto = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy().astype(np.int64) + 1)])
+                pos, start = np.arange(len(words)) - np.repeat(first, n), upto[:-1] - np.repeat(upto[first], n)
+                doc = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                made = pa.RecordBatch.from_arrays([doc, pa.array(pos, pa.int32()), words, pa.array(start, pa.int64())], names=["doc_id", "pos", "text", "start_char"])
+                yield from (made.slice(k, 100_000) for k in range(0, len(words), 100_000))
+
+    # offsets are sums within a text, made where the text is: no word is shuffled for them
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    one = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, pos int, text string, start_char long")
+    one = one.withColumn("end_char", F.col("start_char") + F.length("text"))
     s = F.col("start_char")
     return one.withColumns({"page": (F.floor(s / page_chars) + 1).cast("long"), "x": (s % line_chars * char_width).cast("long"), "y": (F.floor(s / line_chars) * line_height).cast("long"), "width": (F.length("text") * char_width).cast("long"), "height": F.lit(line_height).cast("long")})
 
