@@ -150,13 +150,15 @@ def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[pa.Array], Iterat
                     whole = []
                 if len(rest) >= hold:
                     windows, rest = _flush(rest, size, False, loose)
-                    yield rows(windows)
+                    for i in range(0, len(windows), 256):
+                        yield rows(windows[i : i + 256])
+                    release()
             if whole:
                 yield rows(whole)
         if rest:
             windows, _ = _flush(rest, size, True, loose)
-            for i in range(0, len(windows), 512):
-                yield rows(windows[i : i + 512])
+            for i in range(0, len(windows), 256):
+                yield rows(windows[i : i + 256])
         release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SEQUENCE)
