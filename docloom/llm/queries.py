@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, hard_negatives, kneser_ney, mixing, ngram_join, packing, pii, rules, token_store, warc
+from . import ann, chat, hard_negatives, kneser_ney, mixing, ngram_join, packing, pii, ranked_search, rules, token_store, warc
 from .common import materialise, n_words, prepare, tokenizer_file
 
 
@@ -110,6 +110,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(said("base"), 256).alias("base_sha256"), said("all").alias("spans"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE doc_id IS NOT NULL),
+n AS (SELECT doc_id, len(t) AS n FROM d WHERE len(t) > 0), s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM n, s),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER o AS INT) AS rank, doc_id, score FROM r WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
+"""
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
@@ -129,8 +145,8 @@ WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) QUALIFY row_numbe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_mixing, op4_chat, op5_ann, op6_rules, op7_warc, op8_packing, op9_token_store, op10_pii, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_mixing, op4_chat, op5_ann, op6_rules, op7_warc, op8_packing, op9_token_store, op10_pii, op12_ranked_search, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op4_chat": OP4_SQL, "op7_warc": OP7_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op4_chat": OP4_SQL, "op7_warc": OP7_SQL, "op12_ranked_search": OP12_SQL, "op13_hard_negatives": OP13_SQL}
