@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, hard_negatives, kneser_ney, mixing, ngram_join, packing, pii, ranked_search, rules, token_store, warc
+from . import ann, chat, context_tree, hard_negatives, kneser_ney, mixing, ngram_join, packing, pii, ranked_search, rules, token_store, warc
 from .common import materialise, n_words, prepare, tokenizer_file
 
 
@@ -110,6 +110,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(said("base"), 256).alias("base_sha256"), said("all").alias("spans"))
 
 
+def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0
+    return context_tree.score(table(spark, sf_dir, "documents"), learn)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(ranked_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -145,7 +150,7 @@ WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) QUALIFY row_numbe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_mixing, op4_chat, op5_ann, op6_rules, op7_warc, op8_packing, op9_token_store, op10_pii, op12_ranked_search, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_mixing, op4_chat, op5_ann, op6_rules, op7_warc, op8_packing, op9_token_store, op10_pii, op11_context_tree, op12_ranked_search, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
