@@ -14,6 +14,11 @@ from .common import materialise, release, shared_dir, small
 _INDEX = "shard long, dim int, n int, top int, ids binary, vectors binary, levels binary, neighbours binary"
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near 1: cosines stay the same to the last bit, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -174,10 +179,11 @@ def search_graph(x: np.ndarray, levels: np.ndarray, graph: list[np.ndarray], que
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector array<double>) of the rows that take part: a vector without null, NaN or infinite components and not all zero."""
+    """(vec_id, vector array<double>), one row per id, of the rows that take part: an id, and a vector without null, NaN or infinite components and not all zero. Of several such rows of one id, the smallest vector counts."""
     v = F.col(vector_col).cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).where(F.col("vector").isNotNull() & (F.size("vector") > 0) & fine)
+    fine = F.forall(F.col("vector"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & fine)
+    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def build_index(vectors: DataFrame, k: int, shard_rows: int = 4096, m: int = 16, pool: int = 64, seed: int = 0) -> DataFrame:
@@ -203,6 +209,7 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = 4096, m: int = 16,
         sizes = np.array([len(a) for a in lists], dtype=np.int64)
         for i, a in enumerate(lists):
             ids[i, : len(a)] = a
+        x = _scaled(x)
         order = np.argsort(ids[:, 0], kind="stable")
         x, ids, sizes = np.ascontiguousarray(x[order]), ids[order], sizes[order]
         levels, graph = build_graph(_unit(x), m, pool, seed)
@@ -248,7 +255,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 128, t
     def answer(shard: tuple, rows: pa.RecordBatch) -> pa.RecordBatch:
         ids, x, unit, norms, levels, graph = shard
         names = rows.column("vec_id").to_pylist()
-        asked = rows.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
+        asked = _scaled(rows.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1))
         found, _ = search_graph(unit, levels, graph, _unit(asked), min(width, len(x)))
         a: list[tuple[int, int, float]] = []
         for i, name in enumerate(names):
@@ -282,11 +289,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 128, t
 
 
 def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", **index) -> DataFrame:
-    """The k nearest other rows of each row that is_query (a Column) holds for. Rows not usable() take no part, on either side; neither do null ids.
+    """The k nearest other rows of each row that is_query (a Column on the id) holds for. Rows not usable() take no part, on either side.
 
-    Vectors are compared with those of their own dimension only. Fewer than k other rows: all of them. An empty table gives no rows.
+    An id counts once, as a query and as an answer, with its smallest usable vector. Vectors are compared with those of their own dimension only. Fewer than k other rows: all of them. An empty table gives no rows.
     """
     shared_dir(df.sparkSession)
-    all_rows = usable(df, id_col, vector_col).where(F.col("vec_id").isNotNull())
-    asked = usable(df.where(is_query), id_col, vector_col).where(F.col("vec_id").isNotNull())
-    return search(materialise(build_index(all_rows, k, **index), "hnsw"), asked, k)
+    rows = materialise(usable(df, id_col, vector_col), "vectors")
+    asked = rows.withColumn(id_col, F.col("vec_id")).where(is_query).select("vec_id", "vector")
+    return search(materialise(build_index(rows, k, **index), "hnsw"), asked, k)

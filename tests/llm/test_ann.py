@@ -61,3 +61,14 @@ def test_copies_odd_rows_and_few(spark):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4]}
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_repeated_ids_and_extreme_norms(spark):
+    """An id in several rows is asked and found once; neither tiny nor huge components spoil a cosine."""
+    rows = [(i, [1.0, i / 10]) for i in range(1, 8)] + [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [2.0, 9.0]), (3, [1.0, 0.3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == [(i, i) for i in range(1, 6)]
+    rows = [(50, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [1e300, 1e300]), (3, [1e-310, 1e-310]), (4, [0.0, 1e200]), (5, [-1e-200, 0.0])]
+    got = {r["vec_id"]: r["score"] for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50).collect()}
+    assert got == {1: 1.0, 2: got[2], 3: got[3], 4: 0.0, 5: -1.0} and abs(got[2] - 0.5**0.5) < 1e-15 and abs(got[3] - 0.5**0.5) < 1e-9
