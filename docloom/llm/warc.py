@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import calendar
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -73,6 +74,10 @@ def _version_block(data: bytes) -> tuple[str, list[str], int]:
     return first[0], FIELDS[int(version)].split(" "), at
 
 
+def _aside(problem: str, place: str, held: bytes) -> dict:
+    return dict.fromkeys(_RECORD.names) | {"record_id": place, "payload": held, "payload_bytes": len(held), "truncated": False, "problem": problem}
+
+
 def parse_arc(data: bytes, name: str = "") -> Iterator[dict]:
     """Records of an ARC file as rows of RECORD.
 
@@ -81,14 +86,11 @@ def parse_arc(data: bytes, name: str = "") -> Iterator[dict]:
     payload (none where the whole file lacks a version block), and nothing else but the place as record_id.
     """
 
-    def aside(problem: str, at: int, bytes_: bytes) -> dict:
-        return dict.fromkeys(_RECORD.names) | {"record_id": f"{name}:{at}", "payload": bytes_, "payload_bytes": len(bytes_), "truncated": False, "problem": problem}
-
     try:
         about, fields, at = _version_block(data)
     except ValueError as e:
         if data:
-            yield aside(str(e), 0, b"")
+            yield _aside(str(e), f"{name}:0", b"")
         return
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
@@ -102,17 +104,18 @@ def parse_arc(data: bytes, name: str = "") -> Iterator[dict]:
             if head is None:
                 at = end + 1
         if at > start:
-            yield aside("bad header line", start, data[start:at])
+            yield _aside("bad header line", f"{name}:{start}", data[start:at])
         if head is None:
             break
         length, start = int(head["Archive-length"]), end + 1
         body = data[start : start + length]
         at = start + length
-        yield synthesise(head, body, len(body) < length, f"{about}:{start}")
+        yield synthesise(head, body, len(body) < length, f"{name or about}:{start}")
 
 
 def timestamp(digits: str) -> str:
-    """A WARC timestamp of 4 to 14 digits: what is left out is the beginning of the year, month or day, and what is out of range the nearest that is valid."""
+    """A WARC timestamp of 4 to 14 digits: what is left out is the beginning of the year, month or day, and what is out of range the nearest that is valid. Half a number at the end is left out too."""
+    digits = digits[: len(digits) // 2 * 2]
     d = digits + "00000101000000"[len(digits) :]
     year, month = max(1, int(d[:4])), min(12, max(1, int(d[4:6])))
     day = min(calendar.monthrange(year, month)[1], max(1, int(d[6:8])))
@@ -120,7 +123,7 @@ def timestamp(digits: str) -> str:
 
 
 def synthesise(head: dict[str, str], body: bytes, truncated: bool, place: str) -> dict:
-    """What a WARC record of an ARC record says: identifier (from URL, date, digest and place, so the same on every run), timestamp, type and digest."""
+    """What a WARC record of an ARC record says: identifier (from URL, date, digest and place in the stored file, so copies of a file have records of their own), timestamp, type and digest."""
     http, payload = b"", body
     if body.startswith(b"HTTP/") and (cut := body.find(b"\r\n\r\n")) >= 0:
         http, payload = body[: cut + 4], body[cut + 4 :]
@@ -179,8 +182,10 @@ def convert(arcs: DataFrame, payload: bool = True) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = content.as_py() or b""
+                plain, broken = _unpack(data)
+                aside = [] if broken is None else [_aside("broken gzip member", f"{name or ''}:{broken}", data[broken:])]
                 rows, held = [], 0
-                for r in parse_arc(b"".join(_members(data)), name or ""):
+                for r in itertools.chain(parse_arc(plain, name or ""), aside):
                     rows.append(r if payload else r | {"head": None, "payload": None})
                     held += r["payload_bytes"] if payload else 500
                     if held > 4_000_000:
@@ -205,6 +210,28 @@ def _members(data: bytes) -> Iterator[bytes]:
         rest = rest[len(rest) - len(z.unused_data) :]
 
 
+def _unpack(data: bytes, step: int = 1 << 16) -> tuple[bytes, int | None]:
+    """What the members of a gzip file hold, one after another, or the data as it is; and where the first member begins that is broken or ends early, if one does.
+
+    Of that member, what comes out before the fault counts; where the next one begins can't be told, so nothing behind it is read.
+    """
+    if data[:2] != b"\x1f\x8b":
+        return data, None
+    out, at = [], 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        z, end = zlib.decompressobj(31), at
+        try:
+            while not z.eof and end < len(data):
+                out.append(z.decompress(data[end : end + step]))
+                end += step
+        except zlib.error:
+            return b"".join(out), at
+        if not z.eof:
+            return b"".join([*out, z.flush()]), at
+        at = min(end, len(data)) - len(z.unused_data)
+    return b"".join(out), None
+
+
 def problems(records: DataFrame) -> DataFrame:
     """(place, problem, bytes) of what could not be read."""
     return records.where("problem IS NOT NULL").select(F.col("record_id").alias("place"), "problem", F.col("payload").alias("bytes"))
@@ -334,7 +361,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(arcs: DataFrame, least: int = 0, each_bytes: int = 16_000_000) -> DataFrame:
-    """Store ARC files in the shared folder, convert them to WARC files there, repeated payloads as revisits, and read those back. No files, no rows. What can't be read is left out; see problems()."""
+    """Store ARC files in the shared folder, convert them to WARC files there, repeated payloads as revisits, and read those back. No files, no rows. What can't be read is left out; see problems().
+
+    A file that is there twice has its records twice, the later ones as revisits; pages repeated or without an id (null) are records of their own, null urls about:blank, null contents files without records.
+    """
     spark = arcs.sparkSession
     shared_dir(spark)
     legacy, path = scratch(spark, "arc"), scratch(spark, "warc")

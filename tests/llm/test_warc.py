@@ -1,4 +1,5 @@
 import gzip
+import os
 import hashlib
 import base64
 
@@ -34,9 +35,29 @@ def test_bad_records_are_kept_aside(spark):
     assert {(r["place"], r["problem"]) for r in warc.problems(warc.convert(arcs)).collect()} == {(f"x:{at}", "bad header line"), ("y:0", "no version block")}
 
 
+def test_the_same_file_twice(spark):
+    """Equal names and contents inside: as many rows as records, and every copy a revisit."""
+    data = bytearray(warc.arc_container("a.arc", 1, [(1, "http://a", b"one"), (2, "http://b", b"two"), (2, "http://b", b"two")]))
+    arcs = spark.createDataFrame([("x", data), ("y", data)], "name string, content binary")
+    rows = warc.archive(arcs).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in rows if r["record_type"] == "revisit") == [(1, "revisit", 1)] + 3 * [(2, "revisit", 2)]
+    assert len(rows) == 6 and len({r["record_id"] for r in rows}) == 6
+
+
+def test_broken_gzip_members(spark):
+    one, two = (gzip.compress(warc.arc_container(f"{i}.arc", 1, [(i, f"http://{i}", os.urandom(300_000))])) for i in (1, 2))
+    bad = bytearray(one + two)
+    bad[len(one) + len(two) // 2] ^= 0xFF
+    arcs = spark.createDataFrame([("whole", bytearray(one)), ("bad", bad), ("short", bytearray(two[: len(two) // 2])), ("none", None)], "name string, content binary")
+    got = warc.convert(arcs)
+    assert {(r["place"], r["problem"]) for r in warc.problems(got).collect()} >= {(f"bad:{len(one)}", "broken gzip member"), ("short:0", "broken gzip member")}
+    assert [r["page_id"] for r in got.where("NOT truncated AND problem IS NULL").orderBy("record_id").collect()].count(1) == 2
+    assert warc._unpack(one + two + b"\0\0")[1] is None and warc._unpack(b"plain") == (b"plain", None)
+
+
 def test_timestamps():
-    assert [warc.timestamp(x) for x in ("1999", "199913", "20000230", "1999010203", "19990101256199", "20240229235959")] == [
-        "1999-01-01T00:00:00Z", "1999-12-01T00:00:00Z", "2000-02-29T00:00:00Z", "1999-01-02T03:00:00Z", "1999-01-01T23:59:59Z", "2024-02-29T23:59:59Z",
+    assert [warc.timestamp(x) for x in ("1999", "19991", "199913", "1999011", "20000230", "1999010203", "19990101256199", "20240229235959")] == [
+        "1999-01-01T00:00:00Z", "1999-01-01T00:00:00Z", "1999-12-01T00:00:00Z", "1999-01-01T00:00:00Z", "2000-02-29T00:00:00Z", "1999-01-02T03:00:00Z", "1999-01-01T23:59:59Z", "2024-02-29T23:59:59Z",
     ]
 
 
