@@ -28,7 +28,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 #: Further candidates, looser than the base.
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]++)++", re.I)
 _AT = re.compile(r"[\[(] ?at", re.I)
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9][0-9 ().-]{6,22}[0-9](?![0-9A-Za-z])")
 _KEYED = re.compile(r"(?:token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key)[\x20\"']{0,2}[:=][\x20]{0,2}[\"']?([A-Za-z0-9_/+=-]{8,}+(?:\.[A-Za-z0-9_/+=-]++)*+)", re.I)
@@ -90,7 +90,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Further spans that may be personal data and overlap no base span and no candidate before them."""
+    """Further spans that may be personal data and overlap no base span and no candidate before them.
+
+    Addresses and secrets have any length; numbers, whose longest kind has 19 digits, end after 24 characters. All patterns scan a run once.
+    """
     found = []
     if ("[" in text or "(" in text) and _AT.search(text):
         found += [(m.start(), m.end(), "email") for m in _SPELT.finditer(text)]

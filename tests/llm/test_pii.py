@@ -150,3 +150,14 @@ def test_very_long_and_repeated_rows(spark):
     got = pii.find(df, pii.train(df)).collect()
     assert len(got) == 5 and sum(len(r["base"]) == 1 for r in got) == 3
     assert {r["text"] for r in pii.redact(df, pii.train(df)).collect()} == {long.replace("a@b.org", "<EMAIL>"), None, ""}
+
+
+def test_spelt_addresses_of_any_length():
+    import time
+
+    local, label = "a.b-" * 50 + "x", "y" * 200
+    text = f"write to {local} [at] {label} [dot] {label} (dot) z.z.z.z.org today"
+    assert pii.candidates(text, []) == [(9, len(text) - 6, "email")]
+    began = time.perf_counter()
+    pii.candidates("a." * 300_000 + " [at " + "b-" * 300_000, [])
+    assert time.perf_counter() - began < 5
