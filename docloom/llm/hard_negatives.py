@@ -128,7 +128,7 @@ def route(asked: DataFrame, lists: Broadcast, best: int, later: bool) -> DataFra
     """(dim, cluster, part) of every part that an anchor visits, with what it asks.
 
     First round: the `best` lists with the highest bounds among those that may hold a score of the window. Later round: all the others whose bound is not strictly below
-    the kth score of the first (the column floor; null where fewer than k were found).
+    the kth score of the first (the column floor; null where fewer than k were found), asked for nothing below it.
     lists: by dimension (centroids, radius2, parts, clusters), a bounded number of lists.
     """
 
@@ -150,6 +150,9 @@ def route(asked: DataFrame, lists: Broadcast, best: int, later: bool) -> DataFra
                     place += [(len(v), int(names[c]), p) for p in range(count[c])]
                     rows += [i] * int(count[c])
             out = batch.select(["anchor_id", "slot", "label", "v", "lo", "hi"])
+            if later:
+                least = pa.array([lo if f is None else max(lo, f) for lo, f in zip(out.column("lo").to_pylist(), floors)], pa.int64())
+                out = out.set_column(4, "lo", least)
             for at in range(0, len(rows), 4096):
                 where = np.array(place[at : at + 4096], dtype=np.int32).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, where.T.copy()), *out.take(pa.array(rows[at : at + 4096])).columns], ["dim", "cluster", "part", *out.schema.names])
