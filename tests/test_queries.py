@@ -11,6 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 import docloom.plans.more  # noqa: E402, F401
 import docloom.plans.reports  # noqa: E402, F401
+import docloom.plans.shapes  # noqa: E402, F401
 import docloom.plans.studies  # noqa: E402, F401
 from docloom.plans.queries import QUERIES, SQL  # noqa: E402
 
