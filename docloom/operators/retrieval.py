@@ -41,11 +41,10 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def recent_turns(turns: DataFrame, n: int = 20) -> DataFrame:
-    """The last n messages of each conversation; one by the model at the beginning of those is dropped. turns: (conv_id, turn, role, text), role user or model."""
+    """The last n messages of each conversation; where older ones are left out, one by the model at the beginning of those is dropped too. turns: (conv_id, turn, role, text), role user or model."""
     w = Window.partitionBy("conv_id")
-    last = turns.withColumn("_r", F.row_number().over(w.orderBy(F.desc("turn")))).where(F.col("_r") <= n)
-    last = last.withColumn("_first", F.col("_r") == F.max("_r").over(w))
-    return last.where(~(F.col("_first") & (F.col("role") == "model"))).drop("_r", "_first")
+    last = turns.withColumn("_r", F.row_number().over(w.orderBy(F.desc("turn")))).withColumn("_n", F.count("*").over(w)).where(F.col("_r") <= n)
+    return last.where(~((F.col("_r") == n) & (F.col("_n") > n) & (F.col("role") == "model"))).drop("_r", "_n")
 
 
 def inline_citations(responses: DataFrame, chunks: DataFrame) -> DataFrame:

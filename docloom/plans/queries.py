@@ -89,8 +89,8 @@ def j20_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TURNS = "SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'model' ELSE role END AS role, text FROM conversations WHERE role <> 'system'"
 
 
-@query(f"""WITH t AS ({_TURNS}), l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM t), k AS (SELECT *, max(r) OVER (PARTITION BY conv_id) AS m FROM l WHERE r <= 4)
-SELECT conv_id, turn, role FROM k WHERE NOT (r = m AND role = 'model')""")
+@query(f"""WITH t AS ({_TURNS}), l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM t)
+SELECT conv_id, turn, role FROM l WHERE r <= 4 AND NOT (r = 4 AND n > 4 AND role = 'model')""")
 def w1_recent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").where("role <> 'system'").selectExpr("conv_id", "turn", "CASE role WHEN 'assistant' THEN 'model' ELSE role END AS role", "text")
     return retrieval.recent_turns(t, 4).select("conv_id", "turn", "role")

@@ -1,4 +1,4 @@
-"""Queries over records of many shapes. Importing this module registers them."""
+"""Queries over records of many shapes and over chat sessions as stored and streamed. Importing this module registers them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fusion, paths
+from ..sources import sessions, shared
+from ..streaming import threads
 from . import relations as rel
 from .queries import query
 from .relations import table
@@ -130,3 +132,39 @@ FROM records LEFT JOIN f USING (study_id) LEFT JOIN e USING (study_id)""")
 def snk8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "orders").selectExpr("o_custkey AS study_id", "o_orderkey % 7 AS page", "o_orderpriority AS label", "o_orderstatus AS text")
     return paths.report(records(spark, sf_dir), marks, "Report")
+
+
+# --- chat sessions ---------------------------------------------------------
+
+_TURNS = "SELECT CAST(conv_id AS STRING) AS session_id, CASE WHEN turn % 3 = 2 THEN 'side' ELSE 'main' END AS thread, turn, CASE role WHEN 'assistant' THEN 'model' ELSE role END AS role, text AS content FROM conversations"
+
+
+def turns(df: DataFrame) -> DataFrame:
+    return df.selectExpr("CAST(conv_id AS STRING) AS session_id", "CASE WHEN turn % 3 = 2 THEN 'side' ELSE 'main' END AS thread", "turn", "CASE role WHEN 'assistant' THEN 'model' ELSE role END AS role", "text AS content")
+
+
+@query(f"""WITH t AS (SELECT session_id, thread, turn, min((role, content)) AS m FROM ({_TURNS}) GROUP BY ALL), l AS (SELECT *, row_number() OVER (PARTITION BY session_id, thread ORDER BY turn DESC) AS r, count(*) OVER (PARTITION BY session_id, thread) AS n_messages FROM t)
+SELECT session_id, thread, n_messages, turn, m[1] AS role, m[2] AS content FROM l WHERE r <= 3 AND NOT (r = 3 AND n_messages > 3 AND m[1] = 'model')""")
+def st4_thread_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as a stream of turns, in micro-batches of a file or some; what the state ends with."""
+    schema = table(spark, sf_dir, "conversations").schema
+    # as a pattern, since the table may be one file, which a stream doesn't take by its name
+    live = threads.contexts(turns(spark.readStream.schema(schema).option("maxFilesPerTrigger", 32).parquet(f"{sf_dir}/conversations.parque[t]")), keep=3)
+    out = shared.folder(spark, "contexts")
+    threads.start(live, out, shared.folder(spark, "marks")).awaitTermination()
+    return threads.latest(spark, out).select("session_id", "thread", "n_messages", F.explode("context").alias("t")).select("session_id", "thread", "n_messages", "t.turn", "t.role", "t.content")
+
+
+@query(f"""WITH t AS ({_TURNS}) SELECT session_id, CASE WHEN CAST(session_id AS BIGINT) % 3 = 0 THEN '{{"topic": "b"}}' ELSE '{{"topic": "a"}}' END AS state, CASE WHEN CAST(session_id AS BIGINT) % 3 = 0 THEN 'day 2' ELSE 'day 1' END AS updated_at,
+  count(*) FILTER (thread = 'main') AS n_messages, count(DISTINCT thread) AS n_threads FROM t WHERE session_id NOT LIKE '%7' GROUP BY ALL""")
+def src8_session_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions saved, some saved again, some deleted, the store compacted and read."""
+    store = sessions.Store(spark, shared.folder(spark, "sessions"))
+    first = sessions.from_turns(turns(table(spark, sf_dir, "conversations"))).withColumn("state", F.lit('{"topic": "a"}'))
+    store.save(first, 1, "day 1")
+    third = store.sessions().where("CAST(session_id AS LONG) % 3 = 0").withColumn("state", F.lit('{"topic": "b"}'))
+    store.save(third, 2, "day 2")
+    store.delete(store.list().where("session_id LIKE '%7'"), 3)
+    kept = store.compact(shared.folder(spark, "sessions"), 4).sessions()
+    counts = sessions.overview(sessions.to_turns(kept))
+    return kept.select("session_id", "state", "updated_at").join(counts, "session_id")
