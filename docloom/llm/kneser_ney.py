@@ -404,7 +404,15 @@ def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: s
     answers = rows.select(_TEXT, _KEY).mapInArrow(ask, "block long, id long").join(known, "id")
     out = T.StructType([*[docs.schema[c] for c in keep], T.StructField(_NLL, T.DoubleType()), T.StructField(_CHARS, T.LongType()), T.StructField(_TOXIC, T.DoubleType())])
     packed = rows.mapInArrow(pack, "block long, key string, rows binary")
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, out)
+    scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, out)
+    scored._held = head, mask
+    return scored
+
+
+def _drop(df: DataFrame) -> None:
+    """Take back what df has sent to all tasks, once what is made of it is written."""
+    for sent in getattr(df, "_held", ()):
+        sent.destroy()
 
 
 def likely(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -418,7 +426,9 @@ def likely(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.array(_marked(mask.value, bits, hashes)))
         release()
 
-    return docs.where(F.col(id_col).isNotNull()).select("*", F.xxhash64(F.col(id_col).cast("long"))).mapInArrow(keep, docs.schema)
+    out = docs.where(F.col(id_col).isNotNull()).select("*", F.xxhash64(F.col(id_col).cast("long"))).mapInArrow(keep, docs.schema)
+    out._held = (mask,)
+    return out
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
@@ -433,11 +443,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col:
     shared_dir(docs.sparkSession)
     said = verdicts(labels)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen = likely(texts, said.select("label_id"), "id").join(said, F.expr("id = label_id"))
+    near = likely(texts, said.select("label_id"), "id")
+    chosen = near.join(said, F.expr("id = label_id"))
     key = F.concat_ws(":", "kind", _key(F.col("lang"), 1 - fold(F.col("id"))))
     # some thousands of documents to a task, so that grams are counted together before they are handed on
     tables = model(count(chosen.select(key.alias("key"), "text").coalesce(parts(docs.sparkSession, said.count(), 8000))))
     known = materialise(items(tables), "items")
+    _drop(near)
     for pair in tables:
         discard(*pair)
     return known
@@ -485,15 +497,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     """docs (or its columns `keep`, which must hold id and language) with perplexity, threshold, toxicity, toxicity_limit and kept. docs must be a stable read, such as a table.
 
     kept: perplexity <= threshold and toxicity <= toxicity_limit, where these exist. perplexity is per character; since a few characters say little, each text is scored as if
-    it went on for `inert` characters at its language's middle. Languages without trusted texts are kept unjudged, and
+    it went on for `inert` characters at its language's middle. Languages without trusted texts are kept unjudged, so is the half of a language whose trusted texts all lie in that same fold, and
     where no text is labelled toxic, toxicity is null. Null and empty texts are not kept, since nothing speaks for them; their perplexity is null.
-    Null language is a language of its own. Repeated rows are scored alike. An empty table gives no rows. Columns of docs with the five names are replaced; other names never clash.
+    Null language is a language of its own. Repeated rows are scored alike. An empty table gives no rows. Columns of docs with the five names are replaced; names beginning with _kn_ are taken, and others never clash.
     """
     shared_dir(docs.sparkSession)
     docs = docs.drop(*OUTPUT)
     keep = docs.columns if keep is None else keep
     known = train(docs, labels, id_col, lang_col, text_col)
-    scored = materialise(score(docs, known, id_col, lang_col, text_col, keep), "scored")
+    raw = score(docs, known, id_col, lang_col, text_col, keep)
+    scored = materialise(raw, "scored")
+    _drop(raw)
     discard(known)
     # the language's middle in the same rough way for texts of all lengths
     rate = quantiles(scored.where(F.col(_NLL).isNotNull()).select(F.col(lang_col).alias("lang"), (F.col(_NLL) / F.col(_CHARS)).alias("x")), 0.5)
