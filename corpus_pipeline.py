@@ -43,7 +43,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: (sequence_id, n_tokens, ids, pieces)."""
+    """Training sequences: (sequence_id, n_tokens, ids, pieces). Texts reach Python some hundreds at a time in this session from now on, as the executors hold what earlier stages needed."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return packing.pack(docs, packing.encoder_of(common.tokenizer_file()))
 
 
@@ -63,7 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = common.materialise(docs, f"stage{i}")
+            common.discard(before)
     return docs
