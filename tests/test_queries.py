@@ -10,6 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 import docloom.plans.more  # noqa: E402, F401
+import docloom.plans.passages  # noqa: E402, F401
 import docloom.plans.reports  # noqa: E402, F401
 import docloom.plans.shapes  # noqa: E402, F401
 import docloom.plans.studies  # noqa: E402, F401
