@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import quotes
+from ..functions import text as tx
+from ..operators import phrases, quotes
 from .queries import docs, query
+from .relations import table
 
 # Four quotes of 60 characters from all over each text, with up to three errors of a sign that no text holds: each costs one edit, no more and no less. A fifth is of that sign alone.
 _START = "CAST(1 + (doc_id * 131 + i * 977) % (length(text) - 80) AS INT)"
@@ -26,3 +28,53 @@ def j9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = docs(spark, sf_dir).where("length(text) > 100").select("doc_id", "text")
     asked = texts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("doc_id", F.col("i").alias("quote_id"), F.expr(_quote()).alias("quote"))
     return quotes.locate(asked, texts).select("doc_id", "quote_id", "method", F.col("confidence").cast("double").alias("confidence"))
+
+
+# --- key phrases and what they support ---------------------------------------
+
+_K = "c_custkey"
+#: Responses with figures, sentences with terms, markers and repeated phrases, and two sources of each.
+_RESPONSE = f"""concat('Mortality was ', {_K} % 40, '.5% in N = ', {_K} % 90, ' cases of ', c_name, ', that is ', {_K} % 40, '.5% [2]. The OUTCOME of ', {_K} % 7, ' was fair', CASE WHEN {_K} % 3 = 0 THEN '[1]' ELSE '' END, '. We found p < 0.0', {_K} % 9, ' and ', {_K} % 12, ' ± 3.5, range ', {_K} % 5, ' - ', {_K} % 5 + 4, '. Mortality was ', {_K} % 40, '.5%.')"""
+_SOURCE_1 = f"concat('In all, mortality was ', {_K} % 40, '.5% . n = ', {_K} % 90, '. The outcome of ', {_K} % 7, ' was fair. It says p < 0.0', {_K} % 8)"
+_SOURCE_2 = f"concat('Values ', {_K} % 12, ' ± 3.5 and ', {_K} % 5, ' - ', {_K} % 5 + 4, ' with ', {_K} % 40, '.5%. Edema and hematoma', CASE WHEN {_K} % 4 = 0 THEN ' of the outcome of 3 was fair' ELSE '' END)"
+
+
+def _phrases_sql(rows: str, keys: str) -> str:
+    """(keys, phrase, nth: the order of phrases), over a relation with columns keys and text."""
+    parts = [f"SELECT {keys}, {i} AS p, generate_subscripts(m, 1) AS j, unnest(m) AS phrase FROM (SELECT {keys}, regexp_extract_all(text, '{x}') AS m FROM {rows})" for i, x in enumerate(tx.PHRASES)]
+    sentences = f"SELECT {keys}, unnest(range(1, len(s) + 1)) AS j, s FROM (SELECT {keys}, string_split(text, '.') AS s FROM {rows})"
+    likely = f"SELECT {keys}, j, CASE WHEN j < len(s) THEN concat(s[j], '.') ELSE s[j] END AS phrase FROM ({sentences})"
+    terms = ", ".join(f"({len(tx.PHRASES) + i}, '{t}')" for i, t in enumerate(tx.TERMS))
+    parts += [f"SELECT {keys}, p, j, phrase FROM ({likely}) l, (VALUES {terms}) t(p, term) WHERE length(phrase) > 10 AND length(phrase) < 150 AND regexp_matches(phrase, concat('(?i)\\b', term, '\\b'))"]
+    return f"SELECT {keys}, phrase, min((p, j)) AS nth FROM ({' UNION ALL '.join(parts)}) WHERE length(phrase) > 3 GROUP BY {keys}, phrase"
+
+
+@query(f"WITH p AS ({_phrases_sql('documents', 'doc_id')}) SELECT phrase, count(DISTINCT doc_id) AS n FROM p GROUP BY phrase")
+def f22_key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.distinct(docs(spark, sf_dir))
+
+
+_SUPPORTS = f"""responses AS (SELECT {_K} AS response_id, {_RESPONSE} AS text FROM customer),
+sources AS (SELECT {_K} AS response_id, 1 AS idx, {_SOURCE_1} AS text FROM customer UNION ALL SELECT {_K}, 2, {_SOURCE_2} FROM customer),
+phrases AS ({_phrases_sql('sources', 'response_id, idx')}),
+hits AS (SELECT p.response_id, idx, nth, phrase, s AS "start", s + length(phrase) AS "end" FROM (SELECT p.*, r.text, unnest(range(0, length(r.text))) AS s FROM phrases p JOIN responses r ON r.response_id = p.response_id) p WHERE starts_with(lower(substring(text, s + 1, length(phrase))), lower(phrase))),
+supports AS (SELECT * FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE b.response_id = a.response_id AND (b.idx, b.nth, b."start") < (a.idx, a.nth, a."start") AND b."start" <= a."start" AND b."end" >= a."end"))"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer")
+    sources = c.selectExpr(f"{_K} AS response_id", f"inline(array(struct(1 AS idx, {_SOURCE_1} AS text), struct(2 AS idx, {_SOURCE_2} AS text)))")
+    return c.selectExpr(f"{_K} AS response_id", f"{_RESPONSE} AS text"), sources
+
+
+@query(f"""WITH {_SUPPORTS} SELECT response_id, idx, "start", "end", phrase FROM supports""")
+def j21_phrase_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.supports(*_answers(spark, sf_dir))
+
+
+@query(f"""WITH {_SUPPORTS}, e AS (SELECT response_id, "end", min(idx) AS idx FROM supports GROUP BY ALL), m AS (SELECT response_id, text, unnest(range(0, length(text) + 1)) AS i FROM responses)
+SELECT m.response_id, string_agg(concat(substring(text, i, 1), CASE WHEN e.idx IS NOT NULL AND NOT regexp_matches(substring(text, i + 1, 5), '^\\[\\d+\\]') THEN concat('[', e.idx, ']') ELSE '' END), '' ORDER BY i) AS marked
+FROM m LEFT JOIN e ON e.response_id = m.response_id AND e."end" = m.i WHERE i > 0 GROUP BY m.response_id""")
+def j21_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses, sources = _answers(spark, sf_dir)
+    return phrases.marked(responses, phrases.supports(responses, sources))
