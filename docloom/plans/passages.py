@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import phrases, quotes
+from ..operators import duplicates, phrases, quotes
 from .queries import docs, query
 from .relations import table
 
@@ -78,3 +78,43 @@ FROM m LEFT JOIN e ON e.response_id = m.response_id AND e."end" = m.i WHERE i >
 def j21_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses, sources = _answers(spark, sf_dir)
     return phrases.marked(responses, phrases.supports(responses, sources))
+
+
+# --- studies that may be the same ----------------------------------------------
+
+_NAME = f"translate(substring(md5(CAST({_K} AS STRING)), 1, 10), '0123456789', 'ghijklmnop')"
+#: Every customer's study, and of one in five a second one with spelling mistakes, a shifted period, or other years.
+_STUDY_A = {"study_id": f"{_K}", "author": f"concat('Dr. ', {_NAME})", "centre": "concat(n_name, ' University Hospital')", "year_from": f"CAST(1990 + {_K} % 20 AS INT)", "year_to": f"CAST(1993 + {_K} % 20 AS INT)"}
+_STUDY_B = {
+    "study_id": f"{_K} + 1000000000",
+    "author": f"CASE {_K} % 4 WHEN 0 THEN concat('DR ', {_NAME}) WHEN 1 THEN concat('Dr. ', substring({_NAME}, 1, 4), substring({_NAME}, 6, 5)) WHEN 2 THEN concat('Dr. ', {_NAME}, 'x') ELSE concat('Dr. z', substring({_NAME}, 1, 3), 'z', substring({_NAME}, 5, 6)) END",
+    "centre": f"CASE {_K} % 3 WHEN 0 THEN concat(n_name, ' University Hospital') WHEN 1 THEN concat(n_name, ' Univercity Hospitl') ELSE concat(n_name, ' University Hospital') END",
+    "year_from": f"CAST(1990 + {_K} % 20 + {_K} % 7 AS INT)",
+    "year_to": f"CAST(1992 + {_K} % 20 + {_K} % 7 AS INT)",
+}
+_OF = "FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_ALL_STUDIES = f"SELECT {', '.join(f'{e} AS {n}' for n, e in _STUDY_A.items())} {_OF} UNION ALL SELECT {', '.join(f'{e} AS {n}' for n, e in _STUDY_B.items())} {_OF} WHERE {_K} % 5 = 3"
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(lower({}), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+_PAIRS = f"""studies AS ({_ALL_STUDIES}), s AS (SELECT study_id, {_PLAIN.format("author")} AS author, {_PLAIN.format("centre")} AS centre, year_from, year_to FROM studies),
+d AS (SELECT a.study_id AS a, b.study_id AS b, levenshtein(a.author, b.author) AS author_distance, levenshtein(a.centre, b.centre) AS centre_distance, least(a.year_to, b.year_to) - greatest(a.year_from, b.year_from) + 1 AS shared_years,
+  greatest(a.year_to, b.year_to) - least(a.year_from, b.year_from) + 1 AS years, greatest(length(a.author), length(b.author)) AS la, greatest(length(a.centre), length(b.centre)) AS lc, least(length(a.author), length(b.author)) // 5 AS ka, least(length(a.centre), length(b.centre)) // 5 AS kc
+  FROM s a JOIN s b ON a.study_id < b.study_id AND a.year_from <= b.year_to AND b.year_from <= a.year_to),
+pairs AS (SELECT a, b, CAST(author_distance AS INT) AS author_distance, CAST(centre_distance AS INT) AS centre_distance, CAST(shared_years AS INT) AS shared_years, (1 - author_distance / la::DOUBLE + 1 - centre_distance / lc::DOUBLE + shared_years / years::DOUBLE) / 3 AS score,
+  CASE WHEN author_distance + centre_distance = 0 AND shared_years / years::DOUBLE >= 0.5 THEN 'High' WHEN author_distance + centre_distance <= 2 THEN 'Medium' ELSE 'Low' END AS confidence FROM d WHERE author_distance <= ka AND centre_distance <= kc)"""
+
+
+def _studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+    make = lambda rows, of: rows.selectExpr(*[f"{e} AS {n}" for n, e in of.items()])
+    return make(c, _STUDY_A).unionByName(make(c.where(f"{_K} % 5 = 3"), _STUDY_B))
+
+
+@query(f"WITH {_PAIRS} SELECT * REPLACE (round(score, 9) AS score) FROM pairs")
+def j4_duplicate_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.duplicate_studies(_studies(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_PAIRS}, m AS (SELECT b AS study_id, count(*) AS n, max_by((a, confidence), (score, -a)) AS m FROM pairs GROUP BY b) SELECT s.study_id, m.m IS NOT NULL AS is_duplicate, m.m[1] AS duplicate_of, m.m[2] AS confidence, coalesce(n, 0) AS n_candidates FROM studies s LEFT JOIN m ON m.study_id = s.study_id")
+def l10_duplicate_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _studies(spark, sf_dir)
+    return duplicates.assessment(s, duplicates.duplicate_studies(s))
