@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import duplicates, phrases, quotes
+from ..operators import duplicates, phrases, quotes, running
 from .queries import docs, query
 from .relations import table
 
@@ -118,3 +118,32 @@ def j4_duplicate_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l10_duplicate_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _studies(spark, sf_dir)
     return duplicates.assessment(s, duplicates.duplicate_studies(s))
+
+
+# --- a batch of calls to a service that fails at times ---------------------------
+
+AGENTS = ("comparator", "intervention", "metadata", "outcomes", "population", "quality")
+
+
+class Flaky:
+    """Says how long a text is. Fails for good on every 23rd document with the agent for quality, and before that up to four times with the error of a service that is overloaded."""
+
+    def __call__(self, doc_id: int, agent: str, text: str, attempt: int) -> str:
+        if agent == "quality" and doc_id % 23 == 0:
+            raise ValueError("unreadable")
+        if attempt <= (doc_id + AGENTS.index(agent)) % 37 % 5 and doc_id % 3 == 0:
+            raise RuntimeError("503 overloaded")
+        return str(len(text))
+
+
+@query(f"""WITH r AS (SELECT doc_id, text, unnest(range(0, 6)) AS i, unnest([{', '.join(f"'{a}'" for a in AGENTS)}]) AS agent FROM documents WHERE length(coalesce(text, '')) >= 100),
+t AS (SELECT *, i = 5 AND doc_id % 23 = 0 AS bad, CASE WHEN doc_id % 3 = 0 THEN (doc_id + i) % 37 % 5 ELSE 0 END AS fails FROM r),
+a AS (SELECT doc_id, agent, NOT bad AND fails < 3 AS ok, CASE WHEN bad THEN 'unreadable' WHEN fails >= 3 THEN '503 overloaded' END AS error, CASE WHEN bad THEN 1 ELSE least(fails + 1, 3) END AS attempts FROM t),
+g AS (SELECT doc_id, count(*) FILTER (ok) AS n_ok, min((agent, error)) FILTER (NOT ok) AS f, sum(attempts) AS n_attempts FROM a GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n_ok = 6 THEN 'extracted' ELSE 'error' END AS status, CASE WHEN g.doc_id IS NULL THEN 'PDF appears empty or contains minimal text (possible scanned PDF)' WHEN f IS NOT NULL THEN concat(f[1], ': ', f[2]) END AS message, CAST(coalesce(n_attempts, 0) AS BIGINT) AS n_attempts
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id""")
+def c15_batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six agents for every document, retried without pauses; a study is whole or an error."""
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    answers = running.call(running.requests(d.where("length(text) >= 100"), AGENTS), Flaky, running.Policy(first=0.0, jitter=0.0, at_once=4))
+    return running.together(d, answers, len(AGENTS)).drop("data")
