@@ -91,9 +91,14 @@ def overlap(citations: DataFrame, spans: DataFrame, cell: int = 256) -> DataFram
     return j.select("doc_id", "cite_id", "pos", clipped.alias("text"), "page", (F.col("x") + F.col("width") * (lo - F.col("start_char")) / n).alias("x"), "y", (F.col("width") * (hi - lo) / n).alias("width"))
 
 
-def first_at(citations: DataFrame, spans: DataFrame) -> DataFrame:
-    """For each citation the first span that holds its start (end included), left outer: (doc_id, cite_id, page, x, y), page 1 and zeros where none does."""
-    hit = citations.join(spans, "doc_id").where("c_start >= start_char AND c_start <= end_char")
+def first_at(citations: DataFrame, spans: DataFrame, cell: int = 256) -> DataFrame:
+    """For each citation the first span that holds its start (end included), left outer: (doc_id, cite_id, page, x, y), page 1 and zeros where none does.
+
+    The join is on cells of `cell` characters: a start lies in one, a span in those that it touches.
+    """
+    c = citations.withColumn("cell", F.floor(F.col("c_start") / cell))
+    s = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start_char") / cell), F.floor(F.col("end_char") / cell))))
+    hit = c.join(s, ["doc_id", "cell"]).where("c_start >= start_char AND c_start <= end_char")
     best = hit.groupBy("doc_id", "cite_id").agg(F.min_by(F.struct("page", "x", "y"), "pos").alias("s"))
     return citations.join(best, ["doc_id", "cite_id"], "left").select("doc_id", "cite_id", F.coalesce("s.page", F.lit(1)).alias("page"), F.coalesce("s.x", F.lit(0)).alias("x"), F.coalesce("s.y", F.lit(0)).alias("y"))
 
@@ -104,16 +109,56 @@ def first_containing(terms: DataFrame, spans: DataFrame) -> DataFrame:
     return j.groupBy("doc_id", "term").agg(F.min("pos").alias("pos"))
 
 
-def refine(ranges: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans within a broad range that contain a text: (doc_id, cite_id, pos). ranges: (doc_id, cite_id, c_start, c_end, term)."""
-    j = ranges.join(spans.select("doc_id", "pos", "start_char", "end_char", "text"), "doc_id")
+def refine(ranges: DataFrame, spans: DataFrame, cell: int = 256) -> DataFrame:
+    """Spans within a broad range that contain a text: (doc_id, cite_id, pos). ranges: (doc_id, cite_id, c_start, c_end, term).
+
+    The join is on cells of `cell` characters: a span that lies within a range starts in one of the cells that the range touches.
+    """
+    r = ranges.where("c_end >= c_start").withColumn("cell", F.explode(F.sequence(F.floor(F.col("c_start") / cell), F.floor(F.col("c_end") / cell))))
+    s = spans.select("doc_id", "pos", "start_char", "end_char", "text", F.floor(F.col("start_char") / cell).alias("cell"))
+    j = r.join(s, ["doc_id", "cell"])
     return j.where((F.col("start_char") >= F.col("c_start")) & (F.col("end_char") <= F.col("c_end")) & F.contains(F.lower("text"), F.lower("term"))).select("doc_id", "cite_id", "pos")
 
 
-def in_rectangle(spans: DataFrame, rectangles: DataFrame) -> DataFrame:
-    """Words that touch a rectangle of their page: (doc_id, rect_id, pos). rectangles: (doc_id, rect_id, page, x0, y0, x1, y1)."""
-    j = spans.join(rectangles, ["doc_id", "page"])
-    return j.where("x < x1 AND x + width > x0 AND y < y1 AND y + height > y0").select("doc_id", "rect_id", "pos")
+def in_rectangle(spans: DataFrame, rectangles: DataFrame, cell: float = 96) -> DataFrame:
+    """Words that touch a rectangle of their page: (doc_id, rect_id, pos). rectangles: (doc_id, rect_id, page, x0, y0, x1, y1).
+
+    Each page is a grid of squares of `cell`; words and rectangles are dealt to the squares that they touch, so the join is on (doc_id, page, square), and a pair counts in the first square that both touch.
+    """
+    squares = lambda a, b: F.sequence(F.floor(a / cell).cast("long"), F.floor(b / cell).cast("long"))
+
+    def dealt(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+        return rows.where((x1 >= x0) & (y1 >= y0)).withColumn("gx", F.explode(squares(x0, x1))).withColumn("gy", F.explode(squares(y0, y1)))
+
+    c = F.col
+    s = dealt(spans.select("doc_id", "page", "pos", "x", "y", "width", "height"), c("x"), c("y"), c("x") + c("width"), c("y") + c("height"))
+    j = s.join(dealt(rectangles, c("x0"), c("y0"), c("x1"), c("y1")), ["doc_id", "page", "gx", "gy"])
+    first = (c("gx") == F.floor(F.greatest("x", "x0") / cell)) & (c("gy") == F.floor(F.greatest("y", "y0") / cell))
+    return j.where(first & F.expr("x < x1 AND x + width > x0 AND y < y1 AND y + height > y0")).select("doc_id", "rect_id", "pos")
+
+
+def item_offsets(items: DataFrame, gap: int = 2) -> DataFrame:
+    """items with start_char and end_char in the whole text, which is each page's items, a blank behind each, then `gap` characters behind each page, pages without items included.
+
+    items: (doc_id, page from 1, pos, text, ...); those without a text have no place and are left out. Sums are made in two levels, within pages and over the lengths of pages, so a long document is as many tasks as it has pages.
+    """
+    rows = items.where(F.length("text") > 0)
+    n = F.length("text") + 1
+    lengths = rows.groupBy("doc_id", "page").agg(F.sum(n).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    begins = lengths.select("doc_id", "page", (F.coalesce(upto, F.lit(0)) + (F.col("page") - 1) * gap).alias("_begin"))
+    within = F.coalesce(F.sum(n).over(Window.partitionBy("doc_id", "page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_within", within).join(begins, ["doc_id", "page"])
+    start = (F.col("_begin") + F.col("_within")).cast("long")
+    return placed.select(*items.columns, start.alias("start_char"), (start + F.length("text")).alias("end_char"))
+
+
+def whole_text(items: DataFrame, pages: DataFrame, gap: str = "\n\n") -> DataFrame:
+    """(doc_id, text) that item_offsets() counts in. pages: (doc_id, n_pages)."""
+    made = items.where(F.length("text") > 0).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda t: F.concat(t["text"], F.lit(" "))), "").alias("t"))
+    every = pages.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n_pages").cast("int"))).alias("page"))
+    full = every.join(made, ["doc_id", "page"], "left").select("doc_id", F.struct("page", F.concat(F.coalesce("t", F.lit("")), F.lit(gap)).alias("t")).alias("p"))
+    return full.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "").alias("text"))
 
 
 def containment(quotes: DataFrame, blocks: DataFrame, least: float = 0.7) -> DataFrame:

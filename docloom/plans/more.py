@@ -15,7 +15,14 @@ from .relations import table
 
 # --- matching --------------------------------------------------------------------
 
-_QUOTES = "SELECT * FROM (SELECT doc_id, 1 AS quote_id, substring(text, 30, 60) AS quote FROM documents UNION ALL SELECT doc_id, 2, concat(substring(text, 10, 40), ' zzz qqq') FROM documents UNION ALL SELECT doc_id, 3, 'nothing like this there' FROM documents) x WHERE regexp_matches(quote, '[A-Za-z0-9_]')"
+#: Quotes from all over the text: as they stand, with other words behind, from its end, and from nowhere.
+_QUOTED = {
+    1: "substring(text, CAST(30 + (doc_id * 131) % greatest(length(text) - 90, 1) AS INT), 60)",
+    2: "concat(substring(text, CAST(10 + (doc_id * 977) % greatest(length(text) - 50, 1) AS INT), 40), ' zzz qqq')",
+    3: "'nothing like this there'",
+    4: "substring(text, CAST(greatest(length(text) - 70, 1) AS INT), 60)",
+}
+_QUOTES = f"SELECT * FROM ({' UNION ALL '.join(f'SELECT doc_id, {i} AS quote_id, {q} AS quote FROM documents WHERE text IS NOT NULL' for i, q in _QUOTED.items())}) x WHERE regexp_matches(quote, '[A-Za-z0-9_]')"
 _BLOCKS = "blocks AS (SELECT doc_id, CAST(i AS INT) AS block, substring(text, CAST(i * 400 + 1 AS INT), 500) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 400.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0))"
 _PLAIN = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '\\s+', ' ', 'g'), '[^A-Za-z0-9_\\s]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
 _FUZZY = f"""quotes AS ({_QUOTES}), {_BLOCKS}, q AS (SELECT *, list_distinct(list_filter(regexp_split_to_array({_PLAIN.format("quote")}, '\\s+'), lambda x: x <> '')) AS w FROM quotes),
@@ -25,7 +32,7 @@ d AS (SELECT q.doc_id, quote_id, block, 1 - len(list_intersect(w, regexp_split_t
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text")
     # a quote without a word says nothing
-    return d.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("quote_id"), q.alias("quote")) for i, q in ((1, F.substring("text", 30, 60)), (2, F.concat(F.substring("text", 10, 40), F.lit(" zzz qqq"))), (3, F.lit("nothing like this there")))]))).where(F.col("quote").rlike("[A-Za-z0-9_]"))
+    return d.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("quote_id"), F.expr(q).alias("quote")) for i, q in _QUOTED.items()]))).where(F.col("quote").rlike("[A-Za-z0-9_]"))
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

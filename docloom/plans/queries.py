@@ -243,7 +243,7 @@ def f9_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_stats(chunking.chunk(docs(spark, sf_dir).select("doc_id", "text"), "fixed", max_tokens=600, overlap_tokens=100))
 
 
-_HEADED = "concat('Title', chr(10), CASE doc_id % 3 WHEN 0 THEN 'Abstract: ' WHEN 1 THEN 'METHODS ' ELSE 'none ' END, left(text, 40), ' RESULTS AND MORE ', left(text, 25), chr(10), CASE doc_id % 2 WHEN 0 THEN 'Conclusion x' ELSE 'Discussion y' END, left(text, 9))"
+_HEADED = "concat('Title', chr(10), CASE doc_id % 3 WHEN 0 THEN 'Abstract: ' WHEN 1 THEN 'METHODS ' ELSE 'none ' END, text, ' RESULTS AND MORE ', substring(text, CAST(length(text) / 2 AS INT), 25), chr(10), CASE doc_id % 2 WHEN 0 THEN 'Conclusion x' ELSE 'Discussion y' END, left(text, 9))"
 _HEAD_SQL = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, length(regexp_extract(t, '(?is)^(.*?)\\b(?:{w})\\b', 1)) AS pre, regexp_extract(t, '(?i)\\b(?:{w})\\b') AS m, t FROM h WHERE regexp_matches(t, '(?i)\\b(?:{w})\\b')" for n, w in chunking.HEADINGS)
 
 
@@ -458,11 +458,13 @@ def j4_duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPANS = """w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
 o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM w),
 spans AS (SELECT doc_id, pos::INT AS pos, text, start_char, start_char + length(text) AS end_char, start_char // 1000 + 1 AS page, start_char % 80 * 6 AS x, start_char // 80 * 12 AS y, length(text) * 6 AS width, 12 AS height FROM o)"""
-_CITES = "cites AS (SELECT doc_id, i::INT AS cite_id, i * 37 AS c_start, i * 37 + 60 AS c_end FROM documents, (SELECT unnest(range(0, 10)) AS i) x)"
+#: Citations of 60 characters all over each text, the last beyond its end.
+_CITES = "cites AS (SELECT doc_id, i::INT AS cite_id, i * 137 AS c_start, i * 137 + 60 AS c_end FROM (SELECT doc_id, unnest(range(0, CAST(length(text) // 137 + 2 AS BIGINT))) AS i FROM documents))"
 
 
 def _cites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("cite_id")).selectExpr("doc_id", "cite_id", "CAST(cite_id * 37 AS BIGINT) AS c_start", "CAST(cite_id * 37 + 60 AS BIGINT) AS c_end")
+    cites = docs(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 137).cast("int") + 1)).alias("cite_id"))
+    return cites.selectExpr("doc_id", "cite_id", "CAST(cite_id * 137 AS BIGINT) AS c_start", "CAST(cite_id * 137 + 60 AS BIGINT) AS c_end")
 
 
 @query(f"WITH {_SPANS} SELECT doc_id, count(*) AS n, max(end_char) AS chars, max(page) AS pages, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM spans GROUP BY doc_id")
@@ -494,13 +496,30 @@ def j7_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.refine(_cites(spark, sf_dir).withColumn("term", F.lit("Er")), spans.word_spans(docs(spark, sf_dir).select("doc_id", "text")))
 
 
-@query(f"WITH {_SPANS} SELECT s.doc_id, 1 AS rect_id, pos FROM spans s WHERE page = 1 AND x < 300 AND x + width > 100 AND y < 60 AND y + height > 24")
+@query(f"WITH {_SPANS} SELECT s.doc_id, page AS rect_id, pos FROM spans s WHERE x < 300 AND x + width > 100 AND y < (page - 1) * 150 + 60 AND y + height > (page - 1) * 150 + 24")
 def j13_in_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", "text")
-    r = d.selectExpr("doc_id", "1 AS rect_id", "1L AS page", "100 AS x0", "24 AS y0", "300 AS x1", "60 AS y1")
+    # a rectangle on each page; y counts on from page to page
+    pages = d.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.length("text") / 1000) + 1)).alias("page"))
+    r = pages.selectExpr("doc_id", "page AS rect_id", "page", "100 AS x0", "(page - 1) * 150 + 24 AS y0", "300 AS x1", "(page - 1) * 150 + 60 AS y1")
     return spans.in_rectangle(spans.word_spans(d), r)
 
 
+_ITEMS = """items AS (SELECT doc_id, CAST(i AS INT) AS page, generate_subscripts(string_split(line, ' '), 1) - 1 AS pos, unnest(string_split(line, ' ')) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+placed AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + (page - 1) * 2 AS start_char FROM items WHERE text <> '')"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.select("doc_id", (F.col("i") + 1).alias("page"), F.posexplode(F.split("line", " ")).alias("pos", "text"))
+
+
+@query(f"WITH {_ITEMS} SELECT doc_id, page, pos::INT AS pos, start_char, start_char + length(text) AS end_char FROM placed")
+def w3_page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as pages; offsets count the blank behind each item and the gap behind each page."""
+    return spans.item_offsets(_items(spark, sf_dir)).drop("text")
+
+
 @query(f"WITH {_SPANS} SELECT doc_id, page, min(x) AS x0, min(y) AS y0, max(x + width) AS x1, max(y + height) AS y1 FROM spans GROUP BY doc_id, page")
 def a15_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.envelope(spans.word_spans(docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "page")

@@ -26,25 +26,24 @@ def test_what_is_tried_again(errors, want):
     assert got[:4] == want and got[4] == sum(slept) and len(slept) == want[3] - 1
 
 
-def make_client():
-    """A client that says how many calls were under way at once."""
-    lock, seen = threading.Lock(), {"now": 0, "most": 0}
-
-    def client(doc_id, agent, text, attempt):
-        with lock:
-            seen["now"] += 1
-            seen["most"] = max(seen["most"], seen["now"])
-        time.sleep(0.01)
-        with lock:
-            seen["now"] -= 1
-        if doc_id == 3 and agent == "b":
-            raise ValueError("no")
-        return None if text is None else f"{agent}/{seen['most']}"
-
-    return client
-
-
 def test_every_document_has_a_status(spark):
+    def make_client():
+        """A client that says how many calls were under way at once."""
+        lock, seen = threading.Lock(), {"now": 0, "most": 0}
+
+        def client(doc_id, agent, text, attempt):
+            with lock:
+                seen["now"] += 1
+                seen["most"] = max(seen["most"], seen["now"])
+            time.sleep(0.01)
+            with lock:
+                seen["now"] -= 1
+            if doc_id == 3 and agent == "b":
+                raise ValueError("no")
+            return None if text is None else f"{agent}/{seen['most']}"
+
+        return client
+
     docs = spark.createDataFrame([(i, "x" * 120) for i in range(40)] + [(50, None), (51, "short")], "doc_id long, text string")
     answers = running.call(running.requests(docs, ("a", "b")).coalesce(1), make_client, running.Policy(at_once=3), together=8)
     got = {r["doc_id"]: r for r in running.together(docs, answers, 2).collect()}
