@@ -237,7 +237,10 @@ def bitmap(spark: SparkSession, ids: DataFrame, most: int = 28) -> tuple[Broadca
     whole = bytearray(max(bits // 8, 4096))
     for row in marked.toLocalIterator():
         whole[(row["n"] - 1) * 4096 : row["n"] * 4096] = row["m"]
-    return spark.sparkContext.broadcast(bytes(whole)), bits
+    sent = spark.sparkContext.broadcast(bytes(whole))
+    del whole, marked
+    release()  # the driver too lives on
+    return sent, bits
 
 
 def _scatter(id_: Column) -> Column:
@@ -298,7 +301,10 @@ def largest(known: DataFrame, most: int) -> tuple[Broadcast, DataFrame]:
             break
         taken, least = taken + n, w
     head = Counts.of((known.where(weight >= least) if least is not None else known.limit(0)).toArrow())
-    return known.sparkSession.sparkContext.broadcast(head.packed()), (known if least is None else known.where(weight < least)).select("id")
+    sent = known.sparkSession.sparkContext.broadcast(head.packed())
+    del head
+    release()
+    return sent, (known if least is None else known.where(weight < least)).select("id")
 
 
 def _cells(tables: list[Counts], ids: np.ndarray) -> np.ndarray:
