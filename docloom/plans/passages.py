@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import duplicates, phrases, quotes, running
+from ..operators import duplicates, phrases, quotes, running, tables
+from ..sources import files
 from .queries import docs, query
 from .relations import table
 
@@ -147,3 +148,57 @@ def c15_batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", "text")
     answers = running.call(running.requests(d.where("length(text) >= 100"), AGENTS), Flaky, running.Policy(first=0.0, jitter=0.0, at_once=4))
     return running.together(d, answers, len(AGENTS)).drop("data")
+
+
+# --- layouts and tables -------------------------------------------------------------
+
+def _word(text: str, x: str, y: str) -> str:
+    return f"""'<word xMin="', {x}, '" yMin="', {y}, '" xMax="', {x} + 5, '" yMax="', {y} + 10, '">', {text}, '</word>'"""
+
+
+# two pages; the first has two blocks of two lines, of as many words as the order has units, the second a block with an empty word and a line without words
+_BLOCK = "concat('<block><line>', ws, '</line><line>', ws, '<word xMin=\"1\" yMin=\"2\" xMax=\"3\" yMax=\"4\">end</word></line></block>')"
+_LAYOUT = f"""concat('<doc><page width="600" height="800">', {_BLOCK}, {_BLOCK}, '</page><page width="1" height="1"><block><line><word xMin="0" yMin="0" xMax="1" yMax="1"></word>', {_word("c_mktsegment", "1", "2")}, '</line><line></line></block></page></doc>')"""
+_WORDS = "array_join(transform(sequence(1, 1 + c_custkey % 4), n -> concat('<word xMin=\"', n * 10, '\" yMin=\"', c_custkey % 9, '\" xMax=\"', n * 10 + 5, '\" yMax=\"', c_custkey % 9 + 10, '\">w', n, '</word>')), '')"
+
+
+@query("""WITH c AS (SELECT c_custkey AS doc_id, CAST(1 + c_custkey % 4 AS INT) AS n, c_custkey % 9 AS y, c_mktsegment AS m FROM customer),
+w AS (SELECT doc_id, n, y, b, l, unnest(range(1, CASE WHEN l = 2 THEN n + 2 ELSE n + 1 END)) AS i FROM c, (SELECT unnest([1, 1, 2, 2]) AS b, unnest([1, 2, 1, 2]) AS l) x)
+SELECT doc_id, 1 AS page, b AS block, l AS line, i::INT AS word, ((b - 1) * (2 * n + 1) + (l - 1) * n + i - 1)::INT AS pos, CASE WHEN i > n THEN 'end' ELSE concat('w', i) END AS text,
+  CASE WHEN i > n THEN 1 ELSE i * 10 END::DOUBLE AS x0, CASE WHEN i > n THEN 2 ELSE y END::DOUBLE AS y0, CASE WHEN i > n THEN 3 ELSE i * 10 + 5 END::DOUBLE AS x1, CASE WHEN i > n THEN 4 ELSE y + 10 END::DOUBLE AS y1 FROM w
+UNION ALL SELECT doc_id, 2, 1, 1, 1, 0, m, 1, 2, 6, 12 FROM c""")
+def src16_layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_mktsegment", f"{_WORDS} AS ws")
+    return files.layout_blocks(c.selectExpr("c_custkey AS doc_id", f"{_LAYOUT} AS xml"))
+
+
+#: A table of each kind, of figures in several forms.
+_TABLES = {
+    "headers": f"""CASE {_K} % 4 WHEN 0 THEN array('Group', 'Mortality', 'mRS 0-2') WHEN 1 THEN array('Item', 'Hydrocephalus', 'GCS') WHEN 2 THEN array('Complications', 'n') ELSE array('Step of those screened', 'Number') END""",
+    "rows": f"""CASE {_K} % 4
+      WHEN 0 THEN array(array('a', concat({_K} % 40, '.5 %'), concat({_K} % 9, '/9 (', {_K} % 100, '%)')), array('b', concat({_K} % 7, '/', {_K} % 11), 'n/a'), array('c', '', '50%'))
+      WHEN 1 THEN array(array('x', concat({_K} % 100, ' (', {_K} % 90, '.2%)'), '9'), array('y', 'none', '8'))
+      WHEN 2 THEN array(array('Infection', concat({_K} % 9, '')), array('', '3'), array('Bleeding', ''))
+      ELSE array(array('Patients enrolled', concat({_K} % 300, '')), array('Excluded', '5'), array('Included in analysis', concat('n = ', {_K} % 200))) END""",
+}
+_TABLES_SQL = "SELECT c_custkey AS doc_id, " + ", ".join(f"{e} AS {n}" for n, e in _TABLES.items()).replace("array(", "list_value(") + " FROM customer"
+
+
+def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "customer").selectExpr(f"{_K} AS doc_id", "0 AS table_idx", *[f"{e} AS {n}" for n, e in _TABLES.items()])
+    return t.withColumn("kind", tx.table_kind(F.col("headers")))
+
+
+@query(f"""WITH t AS ({_TABLES_SQL}), r AS (SELECT doc_id, headers[1] AS first, unnest(rows) AS r FROM t), f AS (
+  SELECT doc_id, 'outcomes.mortality' AS field, r[2] AS source, coalesce(nullif(regexp_extract(r[2], '(\\d+\\.?\\d*)\\s*%', 1), ''), CAST(floor(CAST(nullif(regexp_extract(r[2], '(\\d+)\\s*/\\s*(\\d+)', 1), '') AS DOUBLE) / nullif(CAST(nullif(regexp_extract(r[2], '(\\d+)\\s*/\\s*(\\d+)', 2), '') AS DOUBLE), 0) * 1000 + 0.5) / 10 AS VARCHAR)) AS v FROM r WHERE first = 'Group'
+  UNION ALL SELECT doc_id, 'outcomes.mRS_favorable', r[3], nullif(regexp_extract(r[3], '(\\d+\\.?\\d*)\\s*%', 1), '') FROM r WHERE first = 'Group'
+  UNION ALL SELECT doc_id, 'population.hydrocephalus.percentage', r[2], nullif(regexp_extract(r[2], '(\\d+\\.?\\d*)\\s*%', 1), '') FROM r WHERE first = 'Item'
+  UNION ALL SELECT doc_id, 'population.sampleSize', array_to_string(r, ' '), nullif(regexp_extract(array_to_string(r, ' '), '(\\d+)', 1), '') FROM r WHERE first = 'Step of those screened' AND regexp_matches(lower(array_to_string(r, ' ')), 'enrolled|included'))
+SELECT doc_id, field, CAST(v AS DOUBLE) AS value, source AS source_text FROM f WHERE v IS NOT NULL""")
+def f30_table_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.map_fields(_given(spark, sf_dir)).drop("table_idx")
+
+
+@query(f"WITH t AS ({_TABLES_SQL}) SELECT doc_id, list_transform(list_filter(rows, lambda r: r[1] <> ''), lambda r: array_to_string(r, ' - ')) AS complications FROM t WHERE headers[1] = 'Complications'")
+def f30_complications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.complications(_given(spark, sf_dir)).drop("table_idx")

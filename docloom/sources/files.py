@@ -65,6 +65,29 @@ def layout_words(xml: Column) -> Column:
     return F.flatten(F.transform(pages, words))
 
 
+_BOX = "_xMin: double, _yMin: double, _xMax: double, _yMax: double"
+NESTED = f"page array<struct<_width: double, _height: double, block array<struct<{_BOX}, line: array<struct<{_BOX}, word: array<struct<_VALUE: string, {_BOX}>>>>>>>>"
+
+
+def layout_blocks(layouts: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """(doc_id, page, block, line, word, pos, text, x0, y0, x1, y1): the words of pages of blocks of lines. layouts: (doc_id, and XML text).
+
+    All places count from 1, but pos, which counts a page's words from 0 through its blocks and lines. Words without a text have no row and no place; what isn't such XML has no words. Each level is opened by a generator
+    in the same stage; counts of words ahead come from the sizes within the record, so nothing is shuffled.
+    """
+    full = lambda words: F.filter(F.coalesce(words, F.array()), lambda w: F.coalesce(w["_VALUE"], F.lit("")) != "")
+    pages = layouts.select("doc_id", F.posexplode(F.from_xml(xml_col, NESTED)["page"]).alias("page", "p"))
+    # a page's lines in order, each with its block's and its own place
+    flat = F.flatten(F.transform(F.coalesce("p.block", F.array()), lambda b, i: F.transform(F.coalesce(b["line"], F.array()), lambda l, j: F.struct((i + 1).alias("block"), (j + 1).alias("line"), full(l["word"]).alias("words")))))
+    lines = pages.select("doc_id", (F.col("page") + 1).alias("page"), flat.alias("lines"))
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ahead"))
+    ahead = F.aggregate("lines", start, lambda s, l: F.struct((s["n"] + F.size(l["words"])).alias("n"), F.array_append(s["ahead"], s["n"]).alias("ahead")), lambda s: s["ahead"])
+    lines = lines.withColumn("ahead", ahead).select("doc_id", "page", F.inline(F.arrays_zip(F.col("lines").alias("l"), F.col("ahead").alias("ahead"))))
+    words = lines.select("doc_id", "page", "l.block", "l.line", "ahead", F.posexplode("l.words").alias("word", "w"))
+    box = [F.col(f"w._{a}").alias(b) for a, b in (("xMin", "x0"), ("yMin", "y0"), ("xMax", "x1"), ("yMax", "y1"))]
+    return words.select("doc_id", "page", "block", "line", (F.col("word") + 1).alias("word"), (F.col("ahead") + F.col("word")).alias("pos"), F.col("w._VALUE").alias("text"), *box)
+
+
 def grid(rows: Column) -> tuple[Column, Column]:
     """Headers and rows of extracted cells, array<array<string>>: null cells are empty, white space is single blanks, the first row with any content is the header."""
     clean = F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
