@@ -153,14 +153,19 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"\s+"))
 
 
+def word_hashes(text: Column) -> Column:
+    """array<long>: 64-bit hashes of the distinct words of a text, for joins that should not move words."""
+    return F.array_distinct(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.xxhash64(w)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common words among all words of two texts."""
     return jaccard_of_sets(word_set(a), word_set(b))
 
 
 def jaccard_of_sets(x: Column, y: Column) -> Column:
-    """Share of common words among all words of two word sets."""
-    return F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y)).cast("double"))
+    """Share of common words among all words of two word sets, words or hashes; what is not common is counted, not built."""
+    return F.transform(F.array(F.size(F.array_intersect(x, y)).cast("double")), lambda n: F.try_divide(n, F.size(x) + F.size(y) - n))[0]
 
 
 # What cells of a table begin with.

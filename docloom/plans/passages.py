@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import duplicates, phrases, quotes, running, tables
-from ..sources import files
+from ..operators import duplicates, phrases, quotes, running, tables, vector_index
+from ..sources import files, shared
 from .queries import docs, query
 from .relations import table
 
@@ -202,3 +202,20 @@ def f30_table_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH t AS ({_TABLES_SQL}) SELECT doc_id, list_transform(list_filter(rows, lambda r: r[1] <> ''), lambda r: array_to_string(r, ' - ')) AS complications FROM t WHERE headers[1] = 'Complications'")
 def f30_complications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.complications(_given(spark, sf_dir)).drop("table_idx")
+
+
+# --- an index that grows --------------------------------------------------------------
+
+_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round({_COS}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id, label) AS rank FROM s)
+SELECT query_id, CAST(count(*) AS BIGINT) AS n_chunks, string_agg(concat('[', rank, '] chunk ', vec_id), chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 5 GROUP BY query_id""")
+def snk7_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the vectors appended after the other; every 50th asks all cells."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.selectExpr("vec_id AS doc_id", "label AS chunk_idx", "concat('chunk ', vec_id) AS text", "embedding")
+    index = vector_index.create(spark, shared.folder(spark, "index"), rows)
+    index.append(rows.where("doc_id % 2 = 0"))
+    index.append(rows.where("doc_id % 2 = 1"))
+    return vector_index.contexts(e.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding"), index.search, 5, probes=None)

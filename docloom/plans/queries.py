@@ -179,8 +179,8 @@ def f20_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT a.doc_id, list_distinct(regexp_split_to_array(lower(a.text), '\\s+')) AS x, list_distinct(regexp_split_to_array(lower(b.text), '\\s+')) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
 SELECT doc_id, round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 9) AS similarity FROM p""")
 def so1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # word sets, not texts, go through the join
-    d = docs(spark, sf_dir).select("doc_id", tx.word_set(F.col("text")).alias("words"))
+    # hashes of words, not texts, go through the join
+    d = docs(spark, sf_dir).select("doc_id", tx.word_hashes(F.col("text")).alias("words"))
     b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("other"))
     return d.join(b, "doc_id").select("doc_id", F.round(tx.jaccard_of_sets(F.col("words"), F.col("other")), 9).alias("similarity"))
 
