@@ -68,9 +68,3 @@ def patients(n: DataFrame, mean_age: float, sd_age: float, daily_risk: float, da
     z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
     t = -F.log(u(3)) / daily_risk
     return one.select("study_id", "patient", F.greatest(F.lit(0.0), mean_age + sd_age * z).alias("age"), F.least(t, F.lit(float(days))).alias("time"), (t <= days).alias("died"))
-
-
-def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key, for upserts into file tables."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -91,6 +91,44 @@ def unsupported(fields: DataFrame, texts: DataFrame, id_col: str = "study_id", l
     return rows.where(short | absent).select(id_col, "path", F.when(short, "WARNING").otherwise("CRITICAL").alias("severity"), F.when(short, weak).otherwise(wrong).alias("message"))
 
 
+def values_at(records: DataFrame, fields: list[str], id_col: str = "study_id", data_col: str = "data") -> DataFrame:
+    """(id_col, fields map<string, string>): what stands at some dotted paths of each record, as text; of a field with evidence, its value. What isn't there is missing from the map; one pass, no shuffle."""
+    v = F.try_parse_json(data_col)
+
+    def at(path: str) -> Column:
+        here = F.try_variant_get(v, f"$.{path}", "variant")
+        return text(F.when(holds(here, VALUE), F.try_variant_get(here, f"$.{VALUE}", "variant")).otherwise(here))
+
+    pairs = F.array_compact(F.array(*[F.when(at(f).isNotNull(), F.struct(F.lit(f).alias("field"), at(f).alias("value"))) for f in dict.fromkeys(fields)]))
+    return records.select(id_col, F.map_from_entries(pairs).alias("fields"))
+
+
+def searchable(records: DataFrame, fields: list[str], least: int = 3, id_col: str = "study_id", data_col: str = "data") -> DataFrame:
+    """(id_col, field, value): texts of at least `least` characters at some paths, to look for in the source."""
+    rows = values_at(records, fields, id_col, data_col).select(id_col, F.explode("fields").alias("field", "value"))
+    return rows.where(F.length("value") >= least)
+
+
+def recommendations(records: DataFrame, required: list[str], sum_of: tuple[str, list[str]], id_col: str = "study_id", data_col: str = "data") -> DataFrame:
+    """(id_col, recommendations array<string>): what is to be mended in a record: required fields without a value, fields with a value but no quote, a total that isn't the sum of its parts.
+
+    sum_of: the path of the total, and those of its parts, where missing ones count 0. A record without a total has no such fault; what is no JSON object lacks all that is required.
+    """
+    total, parts = sum_of
+    known = values_at(records, [*required, total, *parts], id_col, data_col)
+    there = F.col("fields")
+    missing = F.array_compact(F.array(*[F.when(there[f].isNull(), F.lit(f)) for f in required]))
+    number = lambda f: F.coalesce(there[f].try_cast("double"), F.lit(0.0))
+    wrong = there[total].try_cast("double") != sum((number(f) for f in parts), F.lit(0.0))
+    bare = verifiable(records, id_col, data_col).where(F.col("value").isNotNull() & (F.coalesce("source", F.lit("")) == "")).groupBy(id_col).agg(F.sort_array(F.collect_list("path")).alias("bare"))
+    said = [
+        F.when(F.size(missing) > 0, F.concat(F.lit("Missing critical fields: "), F.array_join(missing, ", "))),
+        F.when(F.col("bare").isNotNull(), F.concat(F.lit("Add source quotes for: "), F.array_join("bare", ", "))),
+        F.when(wrong, F.lit("NOS total score doesn't match sum of components - verify calculation")),
+    ]
+    return known.join(bare, id_col, "left").select(id_col, F.array_compact(F.array(*said)).alias("recommendations"))
+
+
 def same(a: Column, b: Column) -> Column:
     """Whether two JSON texts say the same: keys in any order, arrays in order. Null (or no JSON) equals null only."""
     plain = lambda c: F.to_json(F.try_parse_json(c))

@@ -28,10 +28,6 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-def cited_markdown(index: Column, title: Column, text: Column) -> Column:
-    return F.concat(F.lit("["), index.cast("string"), F.lit("] **"), title, F.lit("**: > "), text)
-
-
 def response_sources(responses: DataFrame) -> DataFrame:
     """(response_id, idx from 1, title, cited) from (response_id, blocks): blocks is JSON, an array of {"title", "cited_text"}; what isn't JSON has no sources."""
     blocks = F.from_json("blocks", "array<struct<title: string, cited_text: string>>")

@@ -218,9 +218,10 @@ def gate(candidates: DataFrame, existing: DataFrame, matches: DataFrame) -> Data
     """
     rank = F.expr("CASE confidence WHEN 'High' THEN 2 WHEN 'Medium' THEN 1 ELSE 0 END")
     best = matches.groupBy("study_id").agg(F.max(rank).alias("rank"))
-    empty = existing.isEmpty()
-    j = candidates.join(best, "study_id", "left")
-    rank = F.coalesce("rank", F.lit(0)) if not empty else F.lit(0)
+    # one row, whatever exists: nothing is run while the plan is made
+    some = existing.select(F.lit(True).alias("some")).limit(1).groupBy().agg(F.coalesce(F.first("some"), F.lit(False)).alias("some")).withColumn("one", F.lit(1))
+    j = candidates.join(best, "study_id", "left").withColumn("one", F.lit(1)).join(F.broadcast(some), "one")
+    rank = F.when(F.col("some"), F.coalesce("rank", F.lit(0))).otherwise(0)
     return j.select("study_id", F.when(~F.col("passed"), "rejected").when(rank == 2, "duplicate").when(rank == 1, "flagged").otherwise("saved").alias("status"))
 
 

@@ -152,6 +152,13 @@ def f10_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.studies(spark, sf_dir).select("study_id", tx.fraction_part(m, 1).alias("numerator"), tx.fraction_part(m, 2).alias("denominator"), tx.parse_percentage(m, True).alias("strict_pct"), tx.parse_percentage(m).alias("pct"))
 
 
+@query(f"""{_STUDIES}, t AS (SELECT study_id, unnest([mortality, mrs, source_text]) AS text, unnest([1, 2, 3]) AS n FROM studies)
+SELECT study_id, n, coalesce(TRY_CAST(nullif(regexp_extract(text, '(\\d+)\\s*/\\s*(\\d+)', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(text, '\\d+'), '') AS BIGINT)) AS numerator, TRY_CAST(nullif(regexp_extract(text, '(\\d+)\\s*/\\s*(\\d+)', 2), '') AS BIGINT) AS denominator FROM t""")
+def f10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rel.studies(spark, sf_dir).select("study_id", F.posexplode(F.array("mortality", "mrs", "source_text")).alias("n", "text"))
+    return t.select("study_id", (F.col("n") + 1).alias("n"), tx.parse_count(F.col("text")).alias("c")).select("study_id", "n", "c.*")
+
+
 _DAYS = "coalesce(" + ", ".join(f"TRY_CAST(nullif(regexp_extract(follow_up, '(?i)(\\d+)\\s*{p}', 1), '') AS BIGINT) * {n}" for p, n in (("d(?:ay)?s?", 1), ("m(?:onth)?s?", 30), ("y(?:ea)?r?s?", 365))) + ")"
 _MORT = "coalesce(TRY_CAST(nullif(regexp_extract(mortality, '(\\d+\\.?\\d*)%', 1), '') AS DOUBLE) / 100, TRY_CAST(nullif(regexp_extract(mortality, '(\\d+)\\s*/\\s*(\\d+)', 1), '') AS DOUBLE) / nullif(TRY_CAST(nullif(regexp_extract(mortality, '(\\d+)\\s*/\\s*(\\d+)', 2), '') AS DOUBLE), 0))"
 
@@ -164,11 +171,10 @@ def f14_harmonise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE concat(regexp_replace(substring(text, 1, 197), '^\\s+|\\s+$', '', 'g'), '...') END AS short,
-regexp_replace(concat('Id ', source, '/', CAST(doc_id AS STRING)), '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace(regexp_replace(text, '-\\s*\\n\\s*', '', 'g'), '\\s+', ' ', 'g') AS joined FROM documents""")
+regexp_replace(concat('Id ', source, '/', CAST(doc_id AS STRING)), '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace(regexp_replace(regexp_replace(text, '-\\s*\\n\\s*', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS joined FROM documents""")
 def f18_f21_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    one = F.regexp_replace(F.regexp_replace(t, r"-\s*\n\s*", ""), r"\s+", " ")
-    return docs(spark, sf_dir).select("doc_id", tx.truncate(t).alias("short"), tx.safe_id(F.concat(F.lit("Id "), "source", F.lit("/"), F.col("doc_id").cast("string"))).alias("safe"), one.alias("joined"))
+    return docs(spark, sf_dir).select("doc_id", tx.truncate(t).alias("short"), tx.safe_id(F.concat(F.lit("Id "), "source", F.lit("/"), F.col("doc_id").cast("string"))).alias("safe"), tx.join_lines(t).alias("joined"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[^A-Za-z0-9_\\s]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS plain FROM documents")

@@ -89,6 +89,28 @@ def c7_found_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.unsupported(paths.verifiable(records(spark, sf_dir)), texts)
 
 
+REQUIRED = ["metadata.firstAuthor", "metadata.publicationYear", "metadata.hospitalCenter", "population.sampleSize", "population.diagnosis", "intervention.procedure", "outcomes.mortality", "quality.totalScore"]
+#: Studies as JSON, some fields null, some missing, some without a quote.
+_STUDY = f"""concat('{{"metadata": {{"firstAuthor": "', c_name, '", "publicationYear": ', CASE WHEN {_K} % 7 = 0 THEN 'null' ELSE '2001' END, CASE WHEN {_K} % 5 = 0 THEN '' ELSE ', "hospitalCenter": "C"' END, '}}, "population": {{"sampleSize": {{"value": ', CASE WHEN {_K} % 6 = 0 THEN 'null' ELSE '40' END, ', "sourceText": ', CASE WHEN {_K} % 4 = 0 THEN 'null' ELSE '"n = 40"' END, '}}, "diagnosis": "d"}}, "intervention": {{"procedure": "craniectomy"}}, "outcomes": {{"mortality": {{"value": "', {_K} % 41, '%", "sourceText": "',
+  CASE WHEN {_K} % 3 = 0 THEN '' ELSE 'died' END, '"}}}}, "quality": {{"selection": ', {_K} % 5, ', "comparability": 1, "outcome": null, "totalScore": ', {_K} % 5 + CASE WHEN {_K} % 11 = 0 THEN 2 ELSE 1 END, '}}}}')"""
+
+
+@query(f"""WITH k AS (SELECT {_K} AS k FROM customer),
+m AS (SELECT k, list_filter([CASE WHEN k % 7 = 0 THEN 'metadata.publicationYear' END, CASE WHEN k % 5 = 0 THEN 'metadata.hospitalCenter' END, CASE WHEN k % 6 = 0 THEN 'population.sampleSize' END], lambda x: x IS NOT NULL) AS missing,
+  list_filter([CASE WHEN k % 3 = 0 THEN 'outcomes.mortality' END, CASE WHEN k % 4 = 0 AND k % 6 > 0 THEN 'population.sampleSize' END], lambda x: x IS NOT NULL) AS bare FROM k)
+SELECT k AS study_id, list_filter([CASE WHEN len(missing) > 0 THEN concat('Missing critical fields: ', array_to_string(missing, ', ')) END, CASE WHEN len(bare) > 0 THEN concat('Add source quotes for: ', array_to_string(bare, ', ')) END,
+  CASE WHEN k % 11 = 0 THEN 'NOS total score doesn''t match sum of components - verify calculation' END], lambda x: x IS NOT NULL) AS recommendations FROM m""")
+def a8_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "customer").selectExpr(f"{_K} AS study_id", f"{_STUDY} AS data")
+    return paths.recommendations(s, REQUIRED, ("quality.totalScore", ["quality.selection", "quality.comparability", "quality.outcome"]))
+
+
+@query(f"""WITH k AS (SELECT {_K} AS k, c_name FROM customer) SELECT k AS study_id, 'metadata.firstAuthor' AS field, c_name AS value FROM k UNION ALL SELECT k, 'metadata.publicationYear', '2001' FROM k WHERE k % 7 > 0
+UNION ALL SELECT k, 'intervention.procedure', 'craniectomy' FROM k UNION ALL SELECT k, 'outcomes.mortality', concat(k % 41, '%') FROM k WHERE k % 41 > 9""")
+def p13_searchable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.searchable(table(spark, sf_dir, "customer").selectExpr(f"{_K} AS study_id", f"{_STUDY} AS data"), REQUIRED)
+
+
 _RANKED = "CASE source WHEN 'erratum' THEN 4 WHEN 'supplement' THEN 3 WHEN 'main-paper' THEN 2 ELSE 1 END"
 
 
