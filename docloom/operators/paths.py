@@ -91,21 +91,27 @@ def unsupported(fields: DataFrame, texts: DataFrame, id_col: str = "study_id", l
     return rows.where(short | absent).select(id_col, "path", F.when(short, "WARNING").otherwise("CRITICAL").alias("severity"), F.when(short, weak).otherwise(wrong).alias("message"))
 
 
-def values_at(records: DataFrame, fields: list[str], id_col: str = "study_id", data_col: str = "data") -> DataFrame:
-    """(id_col, fields map<string, string>): what stands at some dotted paths of each record, as text; of a field with evidence, its value. What isn't there is missing from the map; one pass, no shuffle."""
-    v = F.try_parse_json(data_col)
+def _read_at(records: DataFrame, fields: list[str], data_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """records with a text column per path, and those columns' names. Each step is a column that the next one names more than once, so that the optimizer keeps it: data is parsed once a row."""
+    names = {f: f"_at{i}" for i, f in enumerate(dict.fromkeys(fields))}
+    rows = records.withColumn("_json", F.try_parse_json(data_col))
+    rows = rows.withColumns({n: F.try_variant_get("_json", f"$.{f}", "variant") for f, n in names.items()})
+    rows = rows.withColumns({n: F.when(holds(F.col(n), VALUE), F.try_variant_get(n, f"$.{VALUE}", "variant")).otherwise(F.col(n)) for n in names.values()})
+    return rows.withColumns({n: text(F.col(n)) for n in names.values()}), names
 
-    def at(path: str) -> Column:
-        here = F.try_variant_get(v, f"$.{path}", "variant")
-        return text(F.when(holds(here, VALUE), F.try_variant_get(here, f"$.{VALUE}", "variant")).otherwise(here))
 
-    pairs = F.array_compact(F.array(*[F.when(at(f).isNotNull(), F.struct(F.lit(f).alias("field"), at(f).alias("value"))) for f in dict.fromkeys(fields)]))
-    return records.select(id_col, F.map_from_entries(pairs).alias("fields"))
+def values_at(records: DataFrame, fields: list[str], id_col: str = "study_id", data_col: str = "data") -> DataFrame:
+    """(id_col, fields map<string, string>): what stands at some dotted paths of each record, as text; of a field with evidence, its value. What isn't there is missing from the map; one pass, no shuffle."""
+    rows, names = _read_at(records, fields, data_col)
+    pairs = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(n).alias("value"))) for f, n in names.items()]))
+    return rows.select(id_col, F.map_from_entries(pairs).alias("fields"))
 
 
 def searchable(records: DataFrame, fields: list[str], least: int = 3, id_col: str = "study_id", data_col: str = "data") -> DataFrame:
     """(id_col, field, value): texts of at least `least` characters at some paths, to look for in the source."""
-    rows = values_at(records, fields, id_col, data_col).select(id_col, F.explode("fields").alias("field", "value"))
+    rows, names = _read_at(records, fields, data_col)
+    # a row per path straight from the columns; exploding a map would have it made again for a filter on its size
+    rows = rows.select(id_col, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(n).alias("value")) for f, n in names.items()])))
     return rows.where(F.length("value") >= least)
 
 
