@@ -140,6 +140,12 @@ def normalise(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", " "), r"[^A-Za-z0-9_\s]", ""))
 
 
+def plain_words(text: Column) -> Column:
+    """The words of normalise() with a blank before and behind each, more than one at places: to look for " word " or for a part of a word."""
+    blank = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\x0b\f\r", F.lower(text))
+    return F.concat(F.lit(" "), F.regexp_replace(blank, "[^a-z0-9_ ]+", ""), F.lit(" "))
+
+
 def join_lines(text: Column) -> Column:
     """Words hyphenated at a line end are joined, white space becomes single blanks."""
     return strip(F.regexp_replace(F.regexp_replace(text, r"-\s*\n\s*", ""), r"\s+", " "))

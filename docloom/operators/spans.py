@@ -164,7 +164,9 @@ def whole_text(items: DataFrame, pages: DataFrame, gap: str = "\n\n") -> DataFra
 def containment(quotes: DataFrame, blocks: DataFrame, least: float = 0.7) -> DataFrame:
     """First block of the page that contains at least this share of a quote's words. quotes: (doc_id, quote_id, page, quote); blocks: (doc_id, page, block, text)."""
     words = F.filter(F.split(tx.normalise(F.col("quote")), " "), lambda w: w != "")
-    j = quotes.join(blocks, ["doc_id", "page"]).withColumn("_b", tx.normalise(F.col("text"))).withColumn("_w", words)
+    asked = quotes.select("doc_id", "page", "quote_id", words.alias("_w")).where(F.size("_w") > 0)
+    # before the join, so that a block is cleaned once, not for every word of every quote
+    j = asked.join(blocks.select("doc_id", "page", "block", tx.plain_words(F.col("text")).alias("_b")), ["doc_id", "page"])
     share = F.size(F.filter("_w", lambda w: F.contains(F.col("_b"), w))) / F.size("_w")
     return j.withColumn("ratio", share).where(F.col("ratio") >= least).groupBy("doc_id", "quote_id").agg(F.min_by("block", "block").alias("block"), F.min_by("ratio", "block").alias("ratio"))
 

@@ -1,6 +1,6 @@
 """Costly steps happen once a row, not once for every use of what they give."""
 
-from docloom.operators import paths
+from docloom.operators import paths, spans
 
 
 def optimised(df):
@@ -13,3 +13,21 @@ def test_records_are_parsed_once(spark):
     assert sorted(map(tuple, df.collect())) == [(1, "a", "long"), (1, "c.d", "1234")]
     assert optimised(df).count("parseJson") == 1
     assert optimised(paths.values_at(records, ["a", "b", "c.d"])).count("parseJson") == 1
+
+
+def cleaned_above_join(df):
+    """Whether the join itself, or what stands above it, cleans texts."""
+    lines = optimised(df).split("\n")
+    at = next(i for i, line in enumerate(lines) if "Join Inner" in line)
+    return any("regexp_replace" in line for line in lines[: at + 1])
+
+
+ODD = "Alpha\tBETA-x\n gamma  (delta) ünd _e1 it's\x0bend"
+
+
+def test_containment_cleans_a_block_once(spark):
+    quotes = spark.createDataFrame([(1, 1, 1, "betax; its ND end"), (1, 2, 1, "?!"), (1, 3, 1, "alpha beta gamma nope"), (1, 4, 1, None)], "doc_id long, quote_id int, page int, quote string").coalesce(1)
+    blocks = spark.createDataFrame([(1, 1, 0, "nothing"), (1, 1, 1, ODD), (1, 1, 2, ODD), (1, 1, 3, None)], "doc_id long, page int, block int, text string").coalesce(1)
+    df = spans.containment(quotes, blocks)
+    assert sorted(map(tuple, df.collect())) == [(1, 1, 1, 1.0), (1, 3, 1, 0.75)]
+    assert not cleaned_above_join(df)
