@@ -39,15 +39,28 @@ def text_blocks(spans: DataFrame, most: int = 500) -> DataFrame:
     return s.groupBy("doc_id").applyInArrow(run, out)
 
 
+def _asked(quotes: DataFrame, *more: Column) -> DataFrame:
+    """Quotes with their distinct words as _w, a blank before and behind each."""
+    words = F.array_distinct(F.filter(F.split(tx.normalise(F.col("quote")), r"\s+"), lambda w: w != ""))
+    return quotes.select("doc_id", "quote_id", F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))).alias("_w"), *more)
+
+
+def _cleaned(blocks: DataFrame, *more: Column) -> DataFrame:
+    """Blocks with their words as _b: cleaned once a block, before they meet the quotes."""
+    return blocks.select("doc_id", "block", tx.plain_words(F.col("text")).alias("_b"), *more)
+
+
+def _lacking() -> Column:
+    """The share of the words _w that _b lacks; null where there are none."""
+    return 1 - F.try_divide(F.size(F.filter("_w", lambda w: F.contains(F.col("_b"), w))), F.size("_w"))
+
+
 def fuzzy(quotes: DataFrame, blocks: DataFrame, threshold: float = 0.4, k: int = 1) -> DataFrame:
     """(doc_id, quote_id, block, distance, rank): the k blocks of the document that share most of a quote's words; distance is the share they lack, at most `threshold`.
 
     quotes: (doc_id, quote_id, quote).
     """
-    words = F.array_distinct(F.filter(F.split(tx.normalise(F.col("quote")), r"\s+"), lambda w: w != ""))
-    j = quotes.withColumn("_w", words).where(F.size("_w") > 0).join(blocks, "doc_id")
-    there = F.split(tx.normalise(F.col("text")), r"\s+")
-    j = j.withColumn("distance", 1 - F.size(F.array_intersect("_w", there)) / F.size("_w")).where(F.col("distance") <= threshold)
+    j = _asked(quotes).where(F.size("_w") > 0).join(_cleaned(blocks), "doc_id").withColumn("distance", _lacking()).where(F.col("distance") <= threshold)
     w = Window.partitionBy("doc_id", "quote_id").orderBy("distance", "block")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "quote_id", "block", "distance", "rank")
 

@@ -1,6 +1,6 @@
 """Costly steps happen once a row, not once for every use of what they give."""
 
-from docloom.operators import paths, spans
+from docloom.operators import matching, paths, spans
 
 
 def optimised(df):
@@ -31,3 +31,11 @@ def test_containment_cleans_a_block_once(spark):
     df = spans.containment(quotes, blocks)
     assert sorted(map(tuple, df.collect())) == [(1, 1, 1, 1.0), (1, 3, 1, 0.75)]
     assert not cleaned_above_join(df)
+
+
+def test_fuzzy_cleans_a_block_once(spark):
+    quotes = spark.createDataFrame([(1, 1, "betax; its end END"), (1, 2, "?!"), (1, 3, "alpha beta gamma"), (1, 4, None)], "doc_id long, quote_id int, quote string").coalesce(1)
+    blocks = spark.createDataFrame([(1, 0, "alpha"), (1, 1, ODD), (1, 2, ODD), (1, 3, None)], "doc_id long, block int, text string").coalesce(1)
+    df = matching.fuzzy(quotes, blocks, 0.4, 1)
+    assert sorted((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in df.collect()) == [(1, 1, 1, 0.0, 1), (1, 3, 1, 0.333333, 1)]
+    assert not cleaned_above_join(df)
