@@ -66,12 +66,15 @@ def fuzzy(quotes: DataFrame, blocks: DataFrame, threshold: float = 0.4, k: int =
 
 
 def smart(quotes: DataFrame, blocks: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, quote_id, method, block, confidence): the first block that contains the quote, else the nearest one by words, else none."""
-    exact = quotes.join(blocks, "doc_id").where(F.contains(F.lower("text"), F.lower("quote"))).groupBy("doc_id", "quote_id").agg(F.min("block").alias("e"))
-    near = fuzzy(quotes, blocks, threshold).where(F.col("distance") < threshold).select("doc_id", "quote_id", F.col("block").alias("f"), "distance")
-    j = quotes.select("doc_id", "quote_id").join(exact, ["doc_id", "quote_id"], "left").join(near, ["doc_id", "quote_id"], "left")
+    """(doc_id, quote_id, method, block, confidence): the first block that contains the quote, else the nearest one by words, else none. Both are found in one pass over the blocks."""
+    j = _asked(quotes, F.lower("quote").alias("_q")).join(_cleaned(blocks, F.lower("text").alias("_low")), "doc_id")
+    j = j.select("doc_id", "quote_id", "block", F.contains("_low", "_q").alias("exact"), _lacking().alias("distance")).where(F.col("exact") | (F.col("distance") < threshold))
+    near = F.min(F.when(F.col("distance") < threshold, F.struct("distance", "block")))
+    hits = j.groupBy("doc_id", "quote_id").agg(F.min(F.when(F.col("exact"), F.col("block"))).alias("e"), near.alias("f"))
+    found = quotes.select("doc_id", "quote_id").join(hits, ["doc_id", "quote_id"], "left")
     method = F.when(F.col("e").isNotNull(), "exact").when(F.col("f").isNotNull(), "fuzzy").otherwise("none")
-    return j.select("doc_id", "quote_id", method.alias("method"), F.coalesce("e", "f").alias("block"), F.when(F.col("e").isNotNull(), 1.0).otherwise(F.coalesce(1 - F.col("distance"), F.lit(0.0))).alias("confidence"))
+    confidence = F.when(F.col("e").isNotNull(), 1.0).otherwise(F.coalesce(1 - F.col("f.distance"), F.lit(0.0)))
+    return found.select("doc_id", "quote_id", method.alias("method"), F.coalesce("e", "f.block").alias("block"), confidence.alias("confidence"))
 
 
 def in_windows(spans: DataFrame, needle: str, most: int = 20) -> DataFrame:

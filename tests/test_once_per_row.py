@@ -39,3 +39,11 @@ def test_fuzzy_cleans_a_block_once(spark):
     df = matching.fuzzy(quotes, blocks, 0.4, 1)
     assert sorted((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in df.collect()) == [(1, 1, 1, 0.0, 1), (1, 3, 1, 0.333333, 1)]
     assert not cleaned_above_join(df)
+
+
+def test_smart_meets_the_blocks_once(spark):
+    quotes = spark.createDataFrame([(1, 1, "X\n GAMMA  (d"), (1, 2, "(d"), (1, 3, "gamma delta nope alpha"), (1, 4, "nowhere"), (1, 5, None), (2, 1, "alpha")], "doc_id long, quote_id int, quote string").coalesce(1)
+    blocks = spark.createDataFrame([(1, 0, "alpha"), (1, 1, ODD), (1, 2, ODD), (1, 3, None)], "doc_id long, block int, text string").coalesce(1)
+    df = matching.smart(quotes, blocks)
+    assert sorted(map(tuple, df.collect())) == [(1, 1, "exact", 1, 1.0), (1, 2, "exact", 1, 1.0), (1, 3, "fuzzy", 1, 0.75), (1, 4, "none", None, 0.0), (1, 5, "none", None, 0.0), (2, 1, "none", None, 0.0)]
+    assert optimised(df).count("Join Inner") == 1 and not cleaned_above_join(df)
