@@ -1,7 +1,7 @@
 """Studies that may report the same patients: names that nearly agree, periods that overlap, ranked verdicts.
 
-Names are compared by edit distance, but only those that share one of their rarest q-grams. That loses nothing: one edit touches at most q of a name's q-grams, so two names within k edits share
-one of the k * q + 1 rarest of either. The work is done on distinct names; a name that a third of all studies bear is one row there.
+Names are compared by edit distance, but only those of which the longer has one of k + 1 pieces of the shorter, at nearly its place. That loses nothing: the pieces don't overlap, so k edits
+leave one of them whole, and move it by k characters at most. Where they lie is free, so the rarest are taken. The work is done on distinct names; a name that a third of all studies bear is one row there.
 """
 
 from __future__ import annotations
@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-Q = 2
+#: Characters of a piece, and of those of a name of PER_EDIT characters, which is too short for two of them.
+PIECE, SHORT_PIECE = 4, 3
+#: Counts of pieces are kept by hash, so that they go to all tasks; they only say which pieces are taken.
+BUCKETS = 1 << 16
+#: Above any place in a name.
+FAR = 1 << 24
 #: A name of n characters may differ by n // PER_EDIT edits.
 PER_EDIT = 5
 
@@ -20,23 +25,42 @@ def edits(name: Column) -> Column:
     return F.floor(F.length(name) / PER_EDIT).cast("int")
 
 
+def _pairs_of_grams(padded: Column) -> Column:
+    """The pairs of characters of a text as bits of a long. One edit changes at most two of a name's pairs into two others, so names within k edits differ in 4 * k bits at most."""
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))
+    return F.aggregate(grams, F.lit(0).cast("long"), lambda bits, g: bits.bitwiseOR(bit(g)))
+
+
 def similar_names(names: DataFrame) -> DataFrame:
     """(x, y, distance): all ordered pairs of different names within the edits that the shorter one may have, and each name with itself. names: (name), null and repeated ones allowed."""
     one = names.where("name IS NOT NULL").select("name").distinct()
-    # q-grams of the padded name; the second "an" of a name is another gram than the first
     padded = F.concat(F.lit("\x01"), F.col("name"), F.lit("\x02"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("name") + 1), lambda i: F.substring(padded, i, F.lit(Q)))
-    rows = one.select("name", edits(F.col("name")).alias("k"), F.explode(grams).alias("gram"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("name", "gram").orderBy(F.lit(1))))
-    often = rows.groupBy("gram", "nth").agg(F.count("*").alias("n"))
-    rarest = Window.partitionBy("name").orderBy("n", "gram", "nth")
-    keys = rows.join(often, ["gram", "nth"]).withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("k") * Q + 1).select("name", "k", "gram", "nth")
-    a, b = keys.alias("a"), keys.alias("b")
-    k = F.least("a.k", "b.k")
-    near = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.nth") == F.col("b.nth")) & (F.col("a.name") < F.col("b.name")) & (F.abs(F.length("a.name") - F.length("b.name")) <= k)
-    pairs = a.join(b, near).select(F.col("a.name").alias("x"), F.col("b.name").alias("y"), k.alias("k")).distinct()
+    # names without edits to spare equal nothing but themselves; as the longer of a pair they don't count either
+    rows = one.where(F.length("name") >= PER_EDIT).select("name", padded.alias("padded"), edits(F.col("name")).alias("k"), F.length("name").alias("n"), _pairs_of_grams(padded).alias("bits"))
+    size = F.when(F.col("n") == PER_EDIT, SHORT_PIECE).otherwise(PIECE)
+    cut = lambda at, size: F.substring("padded", at, size)
+    bucket = lambda piece: F.pmod(F.xxhash64(piece), F.lit(BUCKETS))
+    # all pieces of the longer names: of the short kind only where the shorter may have PER_EDIT characters
+    every = lambda size: F.transform(F.sequence(F.lit(1), F.col("n") + 3 - size), lambda i: F.struct(i.alias("at"), cut(i, F.lit(size)).alias("piece")))
+    near_short = F.when(F.col("n") <= PER_EDIT + 1, every(SHORT_PIECE)).otherwise(F.array().cast("array<struct<at: int, piece: string>>"))
+    longer = rows.select("name", "n", "bits", F.inline(F.concat(every(PIECE), near_short)))
+    often = longer.groupBy(bucket(F.col("piece")).alias("bucket")).agg(F.count("*").alias("often"))
+    # k + 1 pieces side by side, from each place where they fit; those that are met least are taken, which is one number per name: how often, then the first place
+    places = F.sequence(F.lit(1), F.col("n") + 3 - size * (F.col("k") + 1))
+    tried = rows.select("name", "padded", "k", size.alias("size"), F.explode(places).alias("first")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    tried = tried.select("name", "first", bucket(cut(F.col("first") + F.col("i") * F.col("size"), F.col("size"))).alias("bucket"))
+    met = tried.join(F.broadcast(often), "bucket").groupBy("name", "first").agg(F.sum("often").alias("often"))
+    best = met.groupBy("name").agg(F.min(F.col("often") * FAR + F.col("first")).alias("best"))
+    at = (F.pmod("best", F.lit(FAR)) + F.col("i") * size).cast("int")
+    shorter = rows.join(best, "name").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).select("name", "n", "k", "bits", at.alias("at"), cut(at, size).alias("piece"))
+    a, b = shorter.alias("a"), longer.alias("b")
+    order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.name") < F.col("b.name")))
+    near = (F.abs(F.col("a.at") - F.col("b.at")) <= F.col("k")) & (F.col("b.n") - F.col("a.n") <= F.col("k")) & order & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= 4 * F.col("k"))
+    pairs = a.join(b, (F.col("a.piece") == F.col("b.piece")) & near).select(F.col("a.name").alias("x"), F.col("b.name").alias("y"), "k").distinct()
     pairs = pairs.withColumn("distance", F.levenshtein("x", "y")).where(F.col("distance") <= F.col("k")).select("x", "y", "distance")
-    return pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")).unionByName(one.select(F.col("name").alias("x"), F.col("name").alias("y"), F.lit(0).alias("distance")))
+    both = pairs.select(F.inline(F.array(F.struct("x", "y", "distance"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "distance"))))
+    return both.unionByName(one.select(F.col("name").alias("x"), F.col("name").alias("y"), F.lit(0).alias("distance")))
 
 
 def duplicate_studies(studies: DataFrame) -> DataFrame:
