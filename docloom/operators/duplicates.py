@@ -72,7 +72,9 @@ def duplicate_studies(studies: DataFrame) -> DataFrame:
     full = "study_id IS NOT NULL AND author <> '' AND centre <> '' AND year_from <= year_to"
     s = studies.select("study_id", tx.normalise(F.col("author")).alias("author"), tx.normalise(F.col("centre")).alias("centre"), "year_from", "year_to").where(full)
     authors, centres = (similar_names(s.select(F.col(c).alias("name"))).select(F.col("x").alias(c), F.col("y").alias(f"other_{c}"), F.col("distance").alias(f"{c}_distance")) for c in ("author", "centre"))
-    asked = s.join(authors, "author").join(centres, "centre")
+    # an author of a single study meets none by the same name; most are such, so they go before the studies are dealt to centres
+    alone = s.groupBy("author").count().where("count = 1").select("author", F.col("author").alias("other_author"))
+    asked = s.join(authors.join(alone, ["author", "other_author"], "left_anti"), "author").join(centres, "centre")
     other = s.select(F.col("study_id").alias("b"), F.col("author").alias("other_author"), F.col("centre").alias("other_centre"), F.col("year_from").alias("from_b"), F.col("year_to").alias("to_b"))
     pairs = asked.join(other, ["other_author", "other_centre"]).where("study_id < b AND year_from <= to_b AND from_b <= year_to")
     shared = F.least("year_to", "to_b") - F.greatest("year_from", "from_b") + 1

@@ -51,3 +51,13 @@ def test_names_with_common_parts_meet_few(spark):
     got = {tuple(r) for r in df.collect()}
     assert {tuple(sorted((n, n[:6] + n[7:]))) for n in names[:50]} <= {(x, y) for x, y, _ in got}
     assert {("abcde", "abcdef", 1), ("abcde", "xbcde", 1), ("dr ab", "dr xab", 1)} <= got and not any("abcd" in (x, y) or "dr a" in (x, y) for x, y, _ in got)
+
+
+def test_an_author_of_one_study_meets_no_centres(spark):
+    """Studies whose author neither returns nor is misspelt are left before they are dealt to the names near their centre's; the figures stay."""
+    rows = [(i, f"author {i * 7919 % 100000:05d} {i:04d}", f"centre of medicine {'abcdefghij'[i % 10]}", 2000, 2005) for i in range(300)]
+    rows += [(1000, rows[5][1], "centre of medicine q", 2001, 2005), (1001, rows[7][1] + "x", "centre of medicine a", 2000, 2005)]
+    df = du.duplicate_studies(spark.createDataFrame(rows, "study_id long, author string, centre string, year_from int, year_to int"))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and distance(a[1], b[1]) <= min(len(a[1]), len(b[1])) // du.PER_EDIT and distance(a[2], b[2]) <= 3}
+    assert {(r["a"], r["b"]) for r in df.collect()} == want and {(5, 1000), (7, 1001)} <= want
+    assert "LeftAnti" in df._jdf.queryExecution().optimizedPlan().toString()
