@@ -432,11 +432,10 @@ def _score_block(keys: np.ndarray, vals: np.ndarray, words: dict[bytes, int], te
             tokens[i] += len(own)
             known[i] += np.count_nonzero(c)
             logs[i] += np.log10(c + 0.1).sum()
-    total = np.zeros(len(texts))
-    order = np.argsort(keys)
-    places, vals = _Places(keys[order]), vals[order].astype(np.float64)
+    total, places = np.zeros(len(texts)), _Places(keys)
     data, starts = _padded(texts, depth)
-    for a, runs, fits in _steps(data, starts, depth):
+    del text, texts, words  # a block is held once from here on
+    for a, runs, fits in _steps(data, starts, depth, 1 << 18):
         p = np.zeros(len(runs))
         p[fits] = vals[places.find(runs[fits])]
         first = np.searchsorted(starts, a, "right") - 1
@@ -472,17 +471,17 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 if kind == _WORDS:
                     words.update(zip(k.as_py().split(b" "), np.frombuffer(v.as_py(), dtype=np.int64).tolist()))
                 elif kind == _RUNS:
-                    keys.append(np.frombuffer(k.as_py(), dtype=_U))
-                    vals.append(np.frombuffer(v.as_py(), dtype=np.float32))
+                    keys.append(np.frombuffer(k.as_buffer(), dtype=_U))
+                    vals.append(np.frombuffer(v.as_buffer(), dtype=np.float32))
                 else:
                     lengths, meta = np.frombuffer(v.as_py(), dtype=np.int64), meta.as_py()
                     n = len(lengths)
-                    text = pa.decompress(k.as_py(), int(lengths.sum()), "zstd", asbytes=True)
-                    figures = _score_block(np.concatenate(keys), np.concatenate(vals), words, text, lengths, depth)
+                    figures = _score_block(np.concatenate(keys), np.concatenate(vals), words, pa.decompress(k.as_buffer(), int(lengths.sum()), "zstd", asbytes=True), lengths, depth)
                     flags = np.frombuffer(meta, dtype=np.uint8, offset=8 * n)
                     ids = pa.array(np.frombuffer(meta, dtype=np.int64, count=n), mask=(flags & 1).astype(bool))
                     yield pa.RecordBatch.from_arrays([ids, pa.array((flags & 2) == 0), *map(pa.array, figures), pa.array(lengths)], ["id", "held_out", "n_tokens", "n_known", "logs", "ln", "n_bytes"])
                     keys, vals, words = [], [], {}
+                    release()
         release()
 
     # a block's text comes behind all its answers

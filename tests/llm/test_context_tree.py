@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -113,3 +114,19 @@ def test_held_out_texts_code_shorter_than_by_words(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = ct.score(df, learn()).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_a_block_is_scored_in_little_memory():
+    """What a task holds above its keys and its text, while it scores a block."""
+    rng, depth = np.random.default_rng(0), 5
+    words = [bytes(rng.choice(list(b"abcdefgh"), 5).astype(np.uint8)) for _ in range(300)]
+    texts = [b" ".join([words[i] for i in rng.integers(0, 300, 40_000)]) + ct.END for _ in range(16)]
+    keys, counts = ct.count_runs(texts, depth)
+    text, lengths, said = b"".join(texts), np.array([len(t) for t in texts], dtype=np.int64), dict.fromkeys([*words, ct.END], 1)
+    del texts
+    tracemalloc.start()
+    figures = ct._score_block(keys, np.log(counts / counts.sum()), said, text, lengths, depth)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert figures[0].sum() == 16 * 40_001 and np.isfinite(figures[3]).all()
+    assert peak < 12 * len(text), peak / len(text)
