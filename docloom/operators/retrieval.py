@@ -29,9 +29,16 @@ def best_per_chunk(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "chunk_idx").agg(F.max("score").alias("score"), F.count("*").alias("n_hits"))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def vector_top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
