@@ -128,6 +128,7 @@ def label(edges: DataFrame) -> DataFrame:
         both = pair.union(pair.selectExpr("v AS u", "u AS v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         wide = spread_join(both.where("v > u"), low, "u", "v").selectExpr("v AS u", "m AS v").distinct()
+        wide = materialise(wide, "wide")  # read four times
         # smaller side: u and all neighbours not above it move to the smallest of them
         low = wide.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.explode(F.expr("array(struct(v AS u, m AS v), struct(u AS u, m AS v))"))
@@ -135,7 +136,7 @@ def label(edges: DataFrame) -> DataFrame:
         close = materialise(close, "edges")
         # both are sets, so they are equal if one holds the other and has as many rows
         same = close.count() == pair.count() and close.join(pair, ["u", "v"], "left_anti").isEmpty()
-        discard(pair)
+        discard(pair, wide)
         pair = close
         if same:
             break

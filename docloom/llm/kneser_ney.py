@@ -237,7 +237,7 @@ def bitmap(spark: SparkSession, ids: DataFrame, most: int = 28) -> tuple[Broadca
     whole = bytearray(max(bits // 8, 4096))
     for row in marked.toLocalIterator():
         whole[(row["n"] - 1) * 4096 : row["n"] * 4096] = row["m"]
-    sent = spark.sparkContext.broadcast(bytes(whole))
+    sent = spark.sparkContext.broadcast(whole)
     del whole, marked
     release()  # the driver too lives on
     return sent, bits
@@ -300,13 +300,36 @@ def largest(known: DataFrame, most: int) -> tuple[Broadcast, DataFrame]:
         if taken + n > most:
             break
         taken, least = taken + n, w
-    head = Counts.of((known.where(weight >= least) if least is not None else known.limit(0)).toArrow())
-    sent = known.sparkSession.sparkContext.broadcast(head.packed())
-    del head
-    release()
+    sent = packed(known.where(weight >= least) if least is not None else known.limit(0))
     return sent, (known if least is None else known.where(weight < least)).select("id")
 
 
+def packed(known: DataFrame) -> Broadcast:
+    """Items as Counts.packed() has them, broadcast. Executors sort and pack them in 16 ranges of ids, which are hashes; the driver holds the packed bytes once and a range or a few beside them."""
+    spark = known.sparkSession
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        own = Counts.of(rows)
+        release()
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(own.ids)], pa.int64()), "ids": pa.array([own.ids.astype("<i8").tobytes()], pa.binary()), "cells": pa.array([own.cells.tobytes()], pa.binary())})
+
+    table = materialise(known.groupBy(F.shiftright("id", 60)).applyInArrow(pack, "part long, n long, ids binary, cells binary"), "head")
+    sizes = dict(table.select("part", "n").collect())
+    total, at, before = sum(sizes.values()), {}, 0
+    for part in sorted(sizes):
+        at[part], before = before, before + sizes[part]
+    whole = bytearray(total * (8 + 4 * len(_CELLS)))
+    for part, n, ids, cells in table.toLocalIterator():
+        whole[8 * at[part] : 8 * (at[part] + n)] = ids
+        first = 8 * total + 4 * len(_CELLS) * at[part]
+        whole[first : first + len(cells)] = cells
+    sent = spark.sparkContext.broadcast(whole)
+    del whole
+    discard(table)
+    release()  # the driver too lives on
+    return sent
+
+
 def _cells(tables: list[Counts], ids: np.ndarray) -> np.ndarray:
     """The cells of each id, from the table that has it; nan where none has."""
     out = np.full((len(ids), len(_CELLS)), np.nan)

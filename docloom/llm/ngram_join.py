@@ -183,16 +183,18 @@ def _place(members: DataFrame, block: int, block_bytes: int) -> DataFrame:
     """Adds blocks and block to members (root, node, size, center, ...): how many blocks a component has, and which is the row's.
 
     A block holds about `block` members or block_bytes of hashes. Members of one center, which share a bucket, go to the same blocks as far as they fit, so that most blocks of a
-    component that chance ties hold together have no bucket in common.
+    component that chance ties hold together have no bucket in common. members: written, as it is read several times; so are the steps here, or each would hold the plans of those before many times over.
     """
     fit = lambda n, b: F.greatest(F.ceil(F.col(n) / block), F.ceil(8 * F.col(b) / block_bytes)).cast("long")
     whole = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("w")).select("root", fit("m", "w").alias("blocks"))
-    members = spread_join(members, whole, "root", "node")
+    members = materialise(spread_join(members, whole, "root", "node"), "components")
     own = members.where("blocks > 1").groupBy("center").agg(F.count("*").alias("m"), F.sum("size").alias("w")).select("center", fit("m", "w").alias("shares"))
     large = spread_join(members.where("blocks > 1"), own, "center", "node")
     share = F.pmod(F.xxhash64("node"), F.col("shares"))
     large = large.withColumn("block", F.pmod(F.xxhash64("center", share), F.col("blocks"))).drop("shares")
-    return members.where("blocks = 1").withColumn("block", F.lit(0).cast("long")).unionByName(large)
+    out = materialise(members.where("blocks = 1").withColumn("block", F.lit(0).cast("long")).unionByName(large), "members")
+    discard(members)
+    return out
 
 
 def _pairs(members: DataFrame, put: DataFrame, similarity: float) -> DataFrame:
@@ -241,7 +243,9 @@ def similar(
     found = label(put.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
     centers = put.groupBy("node").agg(F.min("low").alias("center"))
     members = found.join(centers, "node").join(reps.select(F.col("rep").alias("node"), "copies", *key), "node").join(signed.select("node", "row_key"), "node")
-    members = materialise(_place(members, block, block_bytes), "members")
+    found = materialise(members, "found")
+    members = _place(found, block, block_bytes)
+    discard(found)
 
     # full sets of the members only
     texts = docs.select(F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row_key"), F.col(text_col).alias("text")).join(members.select("row_key").distinct(), "row_key", "left_semi").select("text")
@@ -274,10 +278,11 @@ def similar(
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     joined = label(checked.where("low <> node").select(F.col("node").alias("a"), F.col("low").alias("b")))
     per = reps.withColumnRenamed("rep", "node").join(joined, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = linked = materialise(per, "linked")
     tops = per.groupBy("root").agg(F.min("best").alias("top"))
     per = spread_join(per, tops, "root", "node").select(*key, F.col("top.doc_id").alias("class_id"), F.col("top.node").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     per = materialise(per, "classes")
-    discard(members, checked, reps)
+    discard(members, checked, reps, linked)
     # copies of one text are a hub here too, and rows without words have no class of their own in `per`
     out = spread_join(signed.where("size > 0").select("node", "doc_id", "row_key", F.struct(*key).alias("k")), per.select(F.struct(*key).alias("k"), "class_id", "top", "n_links"), "k", "node")
     out = out.select("node", "doc_id", "row_key", "class_id", F.col("n_links").cast("long").alias("n_links"), (F.col("node") == F.col("top")).alias("first"))

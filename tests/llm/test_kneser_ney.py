@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -145,3 +146,17 @@ def test_bitmap(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text")
     left = {r["doc_id"] for r in kn.likely(docs, ids, "doc_id").collect()}
     assert {7 * i for i in range(500)} <= left and len(left) < 3000
+
+
+def test_the_head_passes_the_driver_once(spark):
+    """The counts sent ahead, as they were, with little beside them in the driver."""
+    known = spark.range(200_000).select(F.xxhash64("id").alias("id"), *[(F.col("id") + i).cast("float").alias(c) for i, c in enumerate(kn._CELLS)])
+    tracemalloc.start()
+    sent, others = kn.largest(known, 1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got, want = kn.Counts.unpacked(sent.value), kn.Counts.of(known.toArrow())
+    assert (got.ids == want.ids).all() and (got.cells == want.cells).all() and others.count() == 0
+    assert peak < 2.5 * len(sent.value), peak / len(sent.value)
+    none, _ = kn.largest(known.limit(0), 1 << 20)
+    assert not len(kn.Counts.unpacked(none.value).ids)

@@ -98,3 +98,17 @@ def test_shingles():
     assert len(ngram_join.shingles(" \t")) == len(ngram_join.shingles(None)) == 0
     assert (ngram_join.shingles("ä b c d e") == ngram_join.shingles("ä  b\nc d e ")).all()
     assert ngram_join.bands_for(0.8, 0.9999, 7) == 40
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """No step holds the plans of those before it many times over, as the driver keeps them all."""
+    joins, made = {}, ngram_join.materialise
+
+    def seen(df, name):
+        joins[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return made(df, name)
+
+    monkeypatch.setattr(ngram_join, "materialise", seen)
+    df = spark.createDataFrame([(i, "one two three four five six seven " + "x" * (i % 3)) for i in range(9)], "doc_id long, text string")
+    assert ngram_join.similar(df).count() == 9
+    assert joins["members"] and max(joins.values()) <= 12, joins
