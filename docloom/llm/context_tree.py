@@ -396,10 +396,10 @@ def answer(asked: DataFrame, known: DataFrame, tasks: int) -> DataFrame:
 
 
 class _Places:
-    """Places of keys, by open addressing over a table at most a quarter full."""
+    """Places of keys, by open addressing over a table at most half full."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.shift = keys, 64 - max(4, (4 * len(keys)).bit_length())
+        self.keys, self.shift = keys, 64 - max(4, (2 * len(keys)).bit_length())
         self.mask = (1 << (64 - self.shift)) - 1
         self.table = np.full(self.mask + 1, -1, dtype=np.int32)
         todo, at = np.arange(len(keys), dtype=np.int32), (_mix(keys) >> _U(self.shift)).astype(np.int64)
@@ -421,27 +421,45 @@ class _Places:
         return out
 
 
-def _score_block(keys: np.ndarray, vals: np.ndarray, words: dict[bytes, int], text: bytes, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """For each text: tokens, known tokens, the sum of log10(count + 0.1) over its tokens, and ln of its probability."""
-    ends = np.cumsum(lengths).tolist()
-    texts = [text[b - n : b] for b, n in zip(ends, lengths.tolist())]
-    tokens, known, logs = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
-    for i, t in enumerate(texts):
+def _texts(text: bytes, lengths: np.ndarray) -> Iterator[bytes]:
+    """Each text of a block, one at a time."""
+    for end, n in zip(np.cumsum(lengths).tolist(), lengths.tolist()):
+        yield text[end - n : end]
+
+
+def _word_figures(words: dict[bytes, int], text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each text of a block: tokens, known tokens, and the sum of log10(count + 0.1) over its tokens."""
+    tokens, known, logs = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths))
+    for i, t in enumerate(_texts(text, lengths)):
         for own in [*words_of(t), [END]]:
             c = np.fromiter(map(words.__getitem__, own), dtype=np.int64, count=len(own))
             tokens[i] += len(own)
             known[i] += np.count_nonzero(c)
             logs[i] += np.log10(c + 0.1).sum()
-    total, places = np.zeros(len(texts)), _Places(keys)
-    data, starts = _padded(texts, depth)
-    del text, texts, words  # a block is held once from here on
+    return tokens, known, logs
+
+
+def _run_figures(keys: list[np.ndarray], vals: list[np.ndarray], text: bytes, lengths: np.ndarray, depth: int) -> np.ndarray:
+    """ln of the probability of each text of a block. Takes what is in keys and vals out of them, so that it is held once."""
+    data, starts = _padded(list(_texts(text, lengths)), depth)
+    del text
+    own = np.concatenate(keys)
+    keys.clear()
+    p_of = np.concatenate(vals)
+    vals.clear()
+    total, places = np.zeros(len(lengths)), _Places(own)
     for a, runs, fits in _steps(data, starts, depth, 1 << 18):
         p = np.zeros(len(runs))
-        p[fits] = vals[places.find(runs[fits])]
+        p[fits] = p_of[places.find(runs[fits])]
         first = np.searchsorted(starts, a, "right") - 1
         inside = starts[first + 1 : np.searchsorted(starts, a + len(runs))] - a
         total[first : first + 1 + len(inside)] += np.add.reduceat(p, np.concatenate([[0], inside]).astype(np.int64))
-    return tokens, known, logs, total
+    return total
+
+
+def _score_block(keys: np.ndarray, vals: np.ndarray, words: dict[bytes, int], text: bytes, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """For each text: tokens, known tokens, the sum of log10(count + 0.1) over its tokens, and ln of its probability."""
+    return *_word_figures(words, text, lengths), _run_figures([keys], [vals], text, lengths, depth)
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, block_bytes: int = 1 << 25, shard_bytes: int = 1 << 24) -> DataFrame:
@@ -465,27 +483,39 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     both = texts.unionByName(answer(asked, known, 2 * shards), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, vals, words = [], [], {}
+        keys, vals, words, block, said = [], [], {}, None, None
+
+        def out() -> pa.RecordBatch:
+            text, lengths, meta = block
+            n = len(lengths)
+            figures = [*said, _run_figures(keys, vals, pa.decompress(text, int(lengths.sum()), "zstd", asbytes=True), lengths, depth)]
+            flags = np.frombuffer(meta, dtype=np.uint8, offset=8 * n)
+            ids = pa.array(np.frombuffer(meta, dtype=np.int64, count=n), mask=(flags & 1).astype(bool))
+            release()
+            return pa.RecordBatch.from_arrays([ids, pa.array((flags & 2) == 0), *map(pa.array, figures), pa.array(lengths)], ["id", "held_out", "n_tokens", "n_known", "logs", "ln", "n_bytes"])
+
         for batch in batches:
-            for kind, k, v, meta in zip(batch.column("kind").to_pylist(), batch.column("keys"), batch.column("vals"), batch.column("meta")):
-                if kind == _WORDS:
-                    words.update(zip(k.as_py().split(b" "), np.frombuffer(v.as_py(), dtype=np.int64).tolist()))
-                elif kind == _RUNS:
-                    keys.append(np.frombuffer(k.as_buffer(), dtype=_U))
-                    vals.append(np.frombuffer(v.as_buffer(), dtype=np.float32))
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
+                k, v = batch.column("keys")[i].as_py(), batch.column("vals")[i].as_py()
+                if kind == _TEXT:
+                    if block:
+                        yield out()
+                    block, said = (k, np.frombuffer(v, dtype=np.int64), batch.column("meta")[i].as_py()), None
+                elif kind == _WORDS:
+                    words.update(zip(k.split(b" "), np.frombuffer(v, dtype=np.int64).tolist()))
                 else:
-                    lengths, meta = np.frombuffer(v.as_py(), dtype=np.int64), meta.as_py()
-                    n = len(lengths)
-                    figures = _score_block(np.concatenate(keys), np.concatenate(vals), words, pa.decompress(k.as_buffer(), int(lengths.sum()), "zstd", asbytes=True), lengths, depth)
-                    flags = np.frombuffer(meta, dtype=np.uint8, offset=8 * n)
-                    ids = pa.array(np.frombuffer(meta, dtype=np.int64, count=n), mask=(flags & 1).astype(bool))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array((flags & 2) == 0), *map(pa.array, figures), pa.array(lengths)], ["id", "held_out", "n_tokens", "n_known", "logs", "ln", "n_bytes"])
-                    keys, vals, words = [], [], {}
-                    release()
+                    if said is None:  # all words are here; none is needed beside the runs
+                        said = _word_figures(words, pa.decompress(block[0], int(block[1].sum()), "zstd", asbytes=True), block[1])
+                        words = {}
+                    keys.append(np.frombuffer(k, dtype=_U))
+                    vals.append(np.frombuffer(v, dtype=np.float32))
+            batch = k = v = None  # before the next is made
+        if block:
+            yield out()
         release()
 
-    # a block's text comes behind all its answers
-    dealt = both.repartition(parts(spark, texts.count(), 1), "block").sortWithinPartitions("block", F.desc("kind"))
+    # a block's text comes first, then its words, then its runs, of which there are some in every block
+    dealt = both.repartition(parts(spark, texts.count(), 1), "block").sortWithinPartitions("block", F.col("kind") != _TEXT, F.desc("kind"))
     figures = dealt.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, logs double, ln double, n_bytes long")
     base = F.col("logs") - F.col("n_tokens") * float(np.log10(tokens + 0.1 * (types + 1)))
     return figures.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import context_tree as ct
 
+
 def learn():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0
 
@@ -130,3 +131,13 @@ def test_a_block_is_scored_in_little_memory():
     tracemalloc.stop()
     assert figures[0].sum() == 16 * 40_001 and np.isfinite(figures[3]).all()
     assert peak < 12 * len(text), peak / len(text)
+
+
+def test_runs_are_held_once_and_their_places_fill_little():
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 48, 1000).astype(np.uint64))
+    places = ct._Places(keys)
+    assert len(places.table) <= 4 * len(keys) and (keys[places.find(keys[::-1])] == keys[::-1]).all()
+    texts = [b"ab ab\n", b"\n"]
+    runs, counts = ct.count_runs(texts, 2)
+    parts, vals = [runs[:2], runs[2:]], [np.zeros(2), np.zeros(len(runs) - 2)]
+    assert ct._run_figures(parts, vals, b"".join(texts), np.array([6, 1]), 2).tolist() == [0, 0] and parts == vals == []
