@@ -55,9 +55,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it from there: cuts lineage and survives lost executors."""
+    """Write df once to the shared folder and read it from there: cuts lineage and survives lost executors. What the driver freed meanwhile goes back to the machine."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    release_jvm(df.sparkSession)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table
@@ -94,6 +95,25 @@ def release() -> None:
         pass
 
 
+def release_jvm(spark: SparkSession) -> None:
+    """The same for the driver's JVM, which lives on from job to job: compiling and planning take memory of the C library and free it, and the library keeps it for each of hundreds of threads.
+
+    Done by the JVM's own management command; a JVM without it keeps that memory.
+    """
+    from py4j.protocol import Py4JError
+
+    jvm = spark._jvm
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # by way of the interface, as the server's class isn't open to others
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, given)
+    except Py4JError:
+        pass
+
+
 def parts(spark: SparkSession, rows: int, each: int, least: int = 1) -> int:
     """Tasks for so many rows (or bytes) at about `each` a task."""
     return max(least, -(-int(rows) // each))
