@@ -4,7 +4,7 @@ The grams are runs of five characters (code points). Two models come from the la
 toxic texts; where a passage is far likelier under the second, the text is toxic however well formed the rest is. Both exist twice, each trained on the documents of one
 fold, and a document is scored by the models of the other fold, so no text is judged by a model that holds it.
 
-Counts are tables keyed by model and gram. Documents are read in blocks of one language and fold; a block asks for its distinct grams and their contexts that the models may
+Counts are tables keyed by model and gram. Documents are read in blocks of one language and fold; a block asks for its distinct runs of characters, as grams and as contexts, that the models may
 hold, the questions of all blocks meet the count tables in a join on hashed keys, and each answer goes back to the block that asked. The counts that nearly every block would ask for, a
 bounded number of the largest, go to all tasks at once instead. So neither the models nor the corpus' grams need fit anywhere.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +32,18 @@ CODE_POINTS = 0x110000
 #: Columns of our own; no table has such names.
 _KEY, _TEXT, _NLL, _CHARS, _TOXIC = "_kn_key", "_kn_text", "_kn_nll", "_kn_chars", "_kn_toxic"
 _U = np.uint64
+#: So many numbers at most are told apart by a table of them (9 bytes each).
+_TABLE = 1 << 23
 
 
-def _chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
-    """Runs of ORDER characters, about `most` at a time: code points, where in them the runs start, and (text, number of its runs) in order. A long text goes on in the next chunk."""
+def _chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+    """Runs of ORDER characters, about `most` at a time: code points, and (text, where in them its first run starts, number of its runs) in order. A long text goes on in the next chunk."""
     parts: list[str] = []
-    runs: list[tuple[int, int]] = []
+    runs: list[tuple[int, int, int]] = []
     held = 0
 
-    def made() -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-        c = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        lengths = np.array([n for _, n in runs])
-        first = np.concatenate([[0], np.cumsum(lengths + ORDER - 1)[:-1]])
-        starts = np.repeat(first - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        return c, starts, runs
+    def made() -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4"), runs
 
     for i, text in enumerate(texts):
         text = text or ""
@@ -52,7 +51,7 @@ def _chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[
         while at < len(text):
             n = min(len(text) - at, most - held)
             parts.append(START * (ORDER - 1) + text[:n] if at == 0 else (START * (ORDER - 1) + text[:at])[1 - ORDER :] + text[at : at + n] if at < ORDER else text[at + 1 - ORDER : at + n])
-            runs.append((i, n))
+            runs.append((i, held + (ORDER - 1) * len(runs), n))
             at, held = at + n, held + n
             if held >= most:
                 yield made()
@@ -61,38 +60,71 @@ def _chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[
         yield made()
 
 
-def _hashes(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs that start at `starts`. They only tell apart the grams of one block: two of a million share one with a chance of 1 in 10^7."""
-    n = len(c) - ORDER + 1
-    h = np.zeros(max(n, 0), dtype=np.uint64)
+def _number(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, all less than `below`, and which of them stands at each place. Values are sorted only where a table of all that may occur would be large."""
+    if below > min(_TABLE, 32 * len(values)):
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(below, dtype=bool)
+    seen[values] = True
+    found = np.flatnonzero(seen)
+    place = np.empty(below, dtype=np.int64)
+    place[found] = np.arange(len(found))
+    return found, place.take(values)
+
+
+class Level(NamedTuple):
+    """The distinct runs of one length: code points [n, length], and for each run the places, in the level below, of the run without its last and without its first character."""
+
+    points: np.ndarray
+    context: np.ndarray
+    ending: np.ndarray
+
+
+def _levels(c: np.ndarray) -> tuple[list[Level], np.ndarray]:
+    """Distinct runs of 0 to ORDER characters of c, and which of the longest starts at each place. A run is numbered by the number of its context and its last character.
+
+    Runs across two texts are among them. They end in the first characters of START before a text, where nobody looks them up.
+    """
+    none = np.zeros(1, dtype=np.int64)
+    levels, which, held = [Level(np.zeros((1, 0), dtype=np.uint32), none, none)], np.zeros(len(c) + 1, dtype=np.int64), none
+    chars, char = _number(c.astype(np.int64), CODE_POINTS)
+    for k in range(1, ORDER + 1):
+        below, n = levels[-1], len(chars)
+        numbers = which[: len(c) - k + 1] * n
+        numbers += char[k - 1 :]
+        found, which = _number(numbers, len(below.points) * n)
+        context, last = np.divmod(found, n)
+        # a run's ending is its context's ending, and the last character
+        ending = np.searchsorted(held, below.ending[context] * n + last) if k > 1 else np.zeros(n, dtype=np.int64)
+        levels.append(Level(np.concatenate([below.points[context], chars[last, None].astype(np.uint32)], axis=1), context, ending))
+        held = found
+    return levels, which
+
+
+def _hashes(points: np.ndarray) -> np.ndarray:
+    """64-bit hashes of grams [n, ORDER]. They only tell apart the grams that a task counts: two of a million share one with a chance of 1 in 10^7."""
+    h = np.zeros(len(points), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(ORDER):
-            h += c[j : n + j]
+            h += points[:, j]
             h *= _U(0xD6E8FEB86659FD93)
             h ^= h >> _U(29)
-    return h[starts]
-
-
-def _first(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, a place of each, how often each occurs, and which of them stands at each place."""
-    order = np.argsort(h)
-    ranked = h[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    at = np.flatnonzero(new)
-    which = np.empty(len(h), dtype=np.int32)
-    which[order] = np.cumsum(new, dtype=np.int32) - 1
-    return ranked[at], order[at], np.diff(np.concatenate([at, [len(h)]])), which
+    return h
 
 
 def distinct(texts: Iterable[str | None], most: int = 1 << 20, start: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct grams of some texts, and of those that `start` came from: hashes in order, code points [n, ORDER], counts."""
     h, g, n = start or (np.zeros(0, dtype=np.uint64), np.zeros((0, ORDER), dtype=np.uint32), np.zeros(0, dtype=np.int64))
-    for c, starts, _ in _chunks(texts, most):
-        new, at, many, _ = _first(_hashes(c, starts))
-        both, points = np.concatenate([h, new]), np.concatenate([g, c[starts[at][:, None] + np.arange(ORDER)]])
-        h, place, _, where = _first(both)
-        n = np.bincount(where, weights=np.concatenate([n, many]), minlength=len(h)).astype(np.int64)
-        g = points[place]
+    for c, runs in _chunks(texts, most):
+        levels, which = _levels(c)
+        points = levels[ORDER].points
+        many = np.bincount(np.concatenate([which[at : at + k] for _, at, k in runs]), minlength=len(points))
+        own = np.flatnonzero(many)
+        both, points, many = np.concatenate([h, _hashes(points[own])]), np.concatenate([g, points[own]]), np.concatenate([n, many[own]])
+        order = np.argsort(both)
+        both = both[order]
+        at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        h, g, n = both[at], points[order[at]], np.add.reduceat(many[order], at)
     return h, g, n
 
 
@@ -116,9 +148,9 @@ def _ids(points: np.ndarray, key: str) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _roles(g: np.ndarray, key: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each order from 1 up, the names of the grams' endings of that length, and of the contexts in those."""
-    return [_ids(g[:, ORDER - k :], key) for k in range(1, ORDER + 1)], [_ids(g[:, ORDER - k : ORDER - 1], key) for k in range(1, ORDER + 1)]
+def _names(levels: list[Level], key: str) -> np.ndarray:
+    """The names of the runs of all levels, from the shortest on."""
+    return np.concatenate([_ids(x.points, key) for x in levels])
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], text_at: int, key_at: int, most: int) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -331,30 +363,61 @@ def packed(known: DataFrame) -> Broadcast:
 
 
 def _cells(tables: list[Counts], ids: np.ndarray) -> np.ndarray:
-    """The cells of each id, from the table that has it; nan where none has."""
-    out = np.full((len(ids), len(_CELLS)), np.nan)
+    """The cells of each id, from the one table that has it; nan where none has."""
+    out, left = np.full((len(ids), len(_CELLS)), np.nan), np.arange(len(ids))
     for table in tables:
-        at, there = table.find(ids)
-        out[there] = table.cells[at[there]]
+        at, there = table.find(ids[left])
+        out[left[there]] = table.cells[at[there]]
+        left = left[~there]
     return out
 
 
-def _logs(roles: tuple[list[np.ndarray], list[np.ndarray]], tables: list[Counts]) -> list[np.ndarray | None]:
+def _logs(levels: list[Level], key: str, tables: list[Counts]) -> list[np.ndarray | None]:
     """Under the trusted and the toxic model, the natural logarithm of the interpolated probability of each gram's last character after those before; None without a model.
 
-    From order 1 up: p = num / total + gamma * p of the order below, and p of the order below where the context is unknown.
+    From order 1 up: p = num / total + gamma * p of the order below, and p of the order below where the context is unknown. Each distinct run is looked up once, as a gram and as a context.
     """
-    p, known = [1.0 / CODE_POINTS] * 2, [False] * 2
-    for grams, contexts in zip(*roles):
-        ends, befores = _cells(tables, grams), _cells(tables, contexts)
+    upto = np.cumsum([len(x.points) for x in levels])
+    cells = np.split(_cells(tables, _names(levels, key)), upto[:-1])
+    p, known = [np.full(1, 1.0 / CODE_POINTS)] * 2, [False] * 2
+    for level, ends, below in zip(levels[1:], cells[1:], cells):
         for i in (0, 1):
-            num, total, gamma = np.nan_to_num(ends[:, 3 * i]), befores[:, 3 * i + 1], befores[:, 3 * i + 2]
+            num, total, gamma, lower = np.nan_to_num(ends[:, 3 * i]), below[level.context, 3 * i + 1], below[level.context, 3 * i + 2], p[i][level.ending]
             seen = ~np.isnan(total)
             known[i] = known[i] or seen.any()
-            p[i] = np.where(seen, num / np.where(seen, total, 1.0) + np.where(seen, gamma, 1.0) * p[i], p[i])
+            p[i] = np.where(seen, num / np.where(seen, total, 1.0) + np.where(seen, gamma, 1.0) * lower, lower)
     return [np.log(x) if k else None for x, k in zip(p, known)]
 
 
+def _asked(texts: Iterable[str | None], key: str, mask: bytes, bits: int, head: Counts) -> np.ndarray:
+    """The ids, in order, that a block asks for: names of its runs that may be in the bitmap, but are not in the head."""
+    wanted = np.zeros(0, dtype=np.int64)
+    for c, _ in _chunks(texts):
+        names = _names(_levels(c)[0], key)
+        wanted = np.union1d(wanted, names[_marked(mask, bits, names)])
+    return wanted[~head.find(wanted)[1]]
+
+
+def _scores(texts: Iterable[str | None], n: int, key: str, tables: list[Counts]) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n texts, the negative logarithm of its probability, and how much likelier the toxic model makes a passage at most (see score()); nan without text or model."""
+    total, worst, running, scored, toxic = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, dtype=bool), False
+    # a chunk is scored at a time, rather than all that a block holds
+    for c, runs in _chunks(texts):
+        levels, which = _levels(c)
+        good, bad = _logs(levels, key, tables)
+        if good is None:
+            break
+        logp, excess = good[which], None if bad is None else (bad - good)[which]
+        for i, at, k in runs:
+            scored[i] = True
+            total[i] -= logp[at : at + k].sum()
+            if excess is not None:
+                top, running[i] = _worst(excess[at : at + k], running[i])
+                worst[i] = max(worst[i], top)
+        toxic = excess is not None
+    return np.where(scored, total, np.nan), np.where(scored & toxic, worst, np.nan)
+
+
 def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, block_bytes: int = 16_000_000, common: int = 1 << 20) -> DataFrame:
     """docs (or its columns `keep`) with _kn_nll double: negative logarithm of the text's probability under the trusted model of the other fold, _kn_chars long: its length, and
     _kn_toxic double: over all passages, the largest logarithm of how much likelier the toxic model makes it than the trusted one.
@@ -379,12 +442,8 @@ def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: s
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (key, block) in enumerate(_by_key(batches, 0, 1, block_bytes), number()):
-            _, g, _ = distinct(_texts(block, 0))
-            if len(g):
-                grams, contexts = _roles(g, key)
-                wanted = np.unique(np.concatenate([np.unique(x[_marked(mask.value, bits, x)]) for x in grams + contexts]))
-                wanted = wanted[~Counts.unpacked(head.value).find(wanted)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(wanted), pa.int64()), pa.array(wanted)], names=["block", "id"])
+            wanted = _asked(_texts(block, 0), key, mask.value, bits, Counts.unpacked(head.value))
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(wanted), pa.int64()), pa.array(wanted)], names=["block", "id"])
         release()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,29 +461,7 @@ def score(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", lang_col: s
         block = pa.ipc.open_stream(packed["rows"][0].as_buffer()).read_all().combine_chunks()
         at = block.schema.get_field_index(_TEXT)
         lengths = np.array([len(x or "") for x in _texts(block, at)], dtype=np.int64)
-        nll, toxic = np.full(len(lengths), np.nan), np.full(len(lengths), np.nan)
-        h, g, _ = distinct(_texts(block, at))
-        if len(h):
-            good, bad = _logs(_roles(g, packed["key"][0].as_py()), [Counts.unpacked(head.value), Counts.of(known)])
-            total, worst, running = np.zeros(len(lengths)), np.zeros(len(lengths)), np.zeros(len(lengths))
-            # the runs of characters are made again chunk by chunk, rather than held
-            for c, starts, of in _chunks(_texts(block, at)) if good is not None else ():
-                new, _, _, which = _first(_hashes(c, starts))
-                where = np.searchsorted(h, new)
-                logp = good[where][which]
-                excess = None if bad is None else (bad[where] - good[where])[which]
-                to = 0
-                for i, k in of:
-                    total[i] -= logp[to : to + k].sum()
-                    if excess is not None:
-                        top, running[i] = _worst(excess[to : to + k], running[i])
-                        worst[i] = max(worst[i], top)
-                    to += k
-            some = lengths > 0
-            if good is not None:
-                nll[some] = total[some]
-                if bad is not None:
-                    toxic[some] = worst[some]
+        nll, toxic = _scores(_texts(block, at), len(lengths), packed["key"][0].as_py(), [Counts.unpacked(head.value), Counts.of(known)])
         cells = [block.column(at if c == text_col else block.schema.get_field_index(c)) for c in keep]
         release()
         optional = lambda x: pa.array(x, pa.float64(), mask=np.isnan(x))

@@ -160,3 +160,43 @@ def test_the_head_passes_the_driver_once(spark):
     assert peak < 2.5 * len(sent.value), peak / len(sent.value)
     none, _ = kn.largest(known.limit(0), 1 << 20)
     assert not len(kn.Counts.unpacked(none.value).ids)
+
+
+def test_each_run_once(monkeypatch):
+    """A block's runs are numbered, not sorted, and each distinct one is looked up once."""
+    sizes = []
+    real = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **y: sizes.append(len(a)) or real(a, *x, **y))
+    many = texts(3000, 6)
+    h, g, n = kn.distinct(many)
+    assert n.sum() == sum(map(len, many)) > 100 * len(h)
+    assert max(sizes) < 0.1 * n.sum()
+    runs = {s[i - k : i] for t in many for s in ["\x02" * 4 + t] for i in range(5, len(s) + 1) for k in range(6)} | {"\x02" * k for k in range(5)}
+    asked = []
+    find = kn.Counts.find
+    monkeypatch.setattr(kn.Counts, "find", lambda self, ids: asked.append(len(ids)) or find(self, ids))
+    none = kn.Counts(np.zeros(0, dtype=np.int64), np.zeros((0, 6), dtype=np.float32))
+    nll, toxic = kn._scores(many, len(many), "0:en", [none])
+    assert np.isnan(nll).all() and np.isnan(toxic).all()
+    # runs across two texts, which end in the mark of a start, are the only others
+    assert len(runs) <= sum(asked) < 1.5 * len(runs)
+
+
+def test_levels_of_narrow_and_wide_alphabets(monkeypatch):
+    """Runs, their contexts and endings are the same whether told apart by a table or in order."""
+    rng = np.random.default_rng(1)
+    wide = ["".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 400)) + "\U0001f600", "", None, "a", *texts(20, 2)]
+    for table in (1 << 23, 0):
+        monkeypatch.setattr(kn, "_TABLE", table)
+        for c, runs in kn._chunks(wide, 700):
+            s = c.astype("<u4").tobytes().decode("utf-32-le")
+            levels, which = kn._levels(c)
+            names = [["".join(map(chr, p)) for p in level.points] for level in levels]
+            assert [names[5][w] for w in which] == [s[i : i + 5] for i in range(len(s) - 4)]
+            for k in range(1, 6):
+                assert len(set(names[k])) == len(names[k]) and set(names[k]) == {s[i : i + k] for i in range(len(s) - k + 1)}
+                assert [names[k - 1][i] for i in levels[k].context] == [x[:-1] for x in names[k]]
+                assert [names[k - 1][i] for i in levels[k].ending] == [x[1:] for x in names[k]]
+        h, g, n = kn.distinct(wide, 700)
+        want = Counter(("\x02" * 4 + t)[i - 4 : i + 1] for t in wide if t for i in range(4, len(t) + 4))
+        assert dict(zip(kn._strings(g).to_pylist(), n.tolist())) == dict(want)
